@@ -42,7 +42,6 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
-        self._live: dict[int, str] = {}
         atexit.register(self.close)
 
     def path(self, name: str) -> str:
@@ -52,10 +51,13 @@ class Scratch:
         path = self.path(name)
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._live[id(out)] = path
         out._tidemark_path = path
         return out
 
+    def again(self, df: DataFrame) -> DataFrame:
+        """A second reading of a table that ``put`` wrote, for joins of a table with itself."""
+        return self.spark.read.schema(df.schema).parquet(df._tidemark_path)
+
     def drop(self, df: DataFrame) -> None:
         _delete(self.spark, df._tidemark_path)
 

@@ -171,12 +171,8 @@ def _verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
     """The pairs a, b with their exact similarity."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def bag(keys: bytes, weights: bytes) -> tuple[np.ndarray, np.ndarray]:
-            k = np.frombuffer(keys, dtype=np.uint64)
-            return k, np.frombuffer(weights, dtype="<u4") if weights else np.ones(len(k), dtype=np.uint32)
-
         for b in batches:
-            sims = [probability_jaccard(*bag(ka, wa), *bag(kb, wb)) for ka, wa, kb, wb in zip(b["ka"], b["wa"], b["kb"], b["wb"], strict=True)]
+            sims = [probability_jaccard(*_unpacked(ka, wa), *_unpacked(kb, wb)) for ka, wa, kb, wb in zip(b["ka"], b["wa"], b["kb"], b["wb"], strict=True)]
             yield pd.DataFrame({"a": b["a"], "b": b["b"], "sim": np.asarray(sims, dtype=float)})
 
     one = bags.select(F.col("node").alias("b"), F.col("keys").alias("kb"), F.col("weights").alias("wb"))
@@ -184,41 +180,99 @@ def _verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
     return pairs.join(one, "b").join(two, "a").select("a", "b", "ka", "wa", "kb", "wb").mapInPandas(run, "a binary, b binary, sim double")
 
 
-def similar_pairs(buckets: DataFrame, bags: DataFrame, scratch: Scratch, similarity: float, small: int) -> list[DataFrame]:
-    """All links inside buckets, up to connection; ``buckets`` has bucket, node (of two nodes at least).
+def _unpacked(keys: bytes, weights: bytes) -> tuple[np.ndarray, np.ndarray]:
+    k = np.frombuffer(keys, dtype=np.uint64)
+    return k, np.frombuffer(weights, dtype="<u4") if weights else np.ones(len(k), dtype=np.uint32)
+
+
+def spanning_links(loose: pd.DataFrame, every: pd.DataFrame, similarity: float) -> list[tuple[bytes, bytes]]:
+    """Links between texts of ``loose`` and of ``every`` that join different classes, as few as needed.
 
-    In a bucket of at most ``small`` texts all pairs are verified. In a larger one only the least
-    node, its centre, meets the others. A text that the centre links to may leave the bucket unless
-    some text that it does not link to might still be similar: 1 - similarity is a metric, so that
-    one at distance d from the centre cannot be within r of one at distance e if d > r + e. What
-    remains meets the next centre, until nothing remains. So no pair is dropped unseen that could
-    connect two classes, and no bucket is ever gathered.
+    Both have node, label, keys, weights. Common shingles with all of ``every`` are counted at once; a
+    pair that is joined already is passed over. A pair without repeated shingles whose set similarity
+    is too small cannot be a link; the rest are verified exactly.
     """
-    radius = 1 - similarity
-    links: list[DataFrame] = []
-    seen: DataFrame | None = None
-    while True:
-        sized = scratch.put(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("centre")).where("n > 1"), "sizes")
-        rows = scratch.put(buckets.join(sized, "bucket"), "rows")
-        few = rows.where(F.col("n") <= small)
-        left, right = few.select("bucket", F.col("node").alias("a")), few.select("bucket", F.col("node").alias("b"))
-        near = left.join(right, "bucket").where("a < b").select("a", "b")
-        many = rows.where((F.col("n") > small) & (F.col("node") != F.col("centre"))).select("bucket", F.col("centre").alias("a"), F.col("node").alias("b"))
-        pairs = near.union(many.select("a", "b")).distinct()
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        sims = scratch.put(_verified(pairs, bags), "similarities")
-        links.append(sims.where(F.col("sim") >= similarity).select("a", "b"))
-        seen = sims if seen is None else scratch.put(seen.unionByName(sims), "seen")
-        large = rows.where(F.col("n") > small)
-        if large.isEmpty():
-            return links
-        judged = scratch.put(many.join(seen, ["a", "b"]).select("bucket", "b", (1 - F.col("sim")).alias("d")), "judged")
-        apart = judged.where(F.col("d") > radius).groupBy("bucket").agg(F.min("d").alias("nearest_apart"))
-        rest = judged.join(apart, "bucket").where((F.col("d") > radius) | (F.col("nearest_apart") <= radius + F.col("d")))
-        buckets = scratch.put(rest.select("bucket", F.col("b").alias("node")), "rest")
-        if buckets.isEmpty():
-            return links
+    bags = [_unpacked(k, w) for k, w in zip(every["keys"], every["weights"], strict=True)]
+    sizes = np.array([len(k) for k, _ in bags])
+    repeats = np.array([len(w) > 0 for w in every["weights"]])
+    keys = np.concatenate([k for k, _ in bags])
+    owner = np.repeat(np.arange(len(bags)), sizes)
+    order = np.argsort(keys, kind="stable")
+    keys, owner = keys[order], owner[order]
+    parent: dict[bytes, bytes] = {}
+
+    def root(x: bytes) -> bytes:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = parent.get(up, up)
+            x = up
+        return x
+
+    labels, nodes, out = list(every["label"]), list(every["node"]), []
+    for node, label, k, w in zip(loose["node"], loose["label"], loose["keys"], loose["weights"], strict=True):
+        mine = _unpacked(k, w)
+        lo, hi = np.searchsorted(keys, mine[0], "left"), np.searchsorted(keys, mine[0], "right")
+        span = hi - lo
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(span)[:-1]]), span) + np.arange(span.sum())
+        common = np.bincount(owner[at], minlength=len(bags))
+        jaccard = common / (len(mine[0]) + sizes - common)
+        possible = np.flatnonzero((jaccard >= similarity - 1e-9) | ((repeats | (len(w) > 0)) & (common > 0)))
+        for j in possible[np.argsort(-jaccard[possible], kind="stable")]:
+            x, y = root(label), root(labels[j])
+            if x != y and probability_jaccard(*mine, *bags[j]) >= similarity:
+                parent[x] = y
+                out.append((node, nodes[j]))
+    return out
+
+
+def similar_pairs(buckets: DataFrame, bags: DataFrame, scratch: Scratch, similarity: float, small: int, hubs: int = 4, block: int = 512) -> DataFrame:
+    """Links (a, b) inside buckets, enough to connect every class; ``buckets`` has bucket and node.
+
+    In a bucket of at most ``small`` texts all pairs are verified. In a larger one every text first
+    meets the ``hubs`` texts that are in most large buckets, usually the originals of the copies;
+    most texts are connected by that, at a cost that grows with the bucket and not with its square.
+    Texts of large buckets that are not in their group's main class then meet the whole group, in
+    blocks of bounded size, and each pair of blocks gives only the links that join classes.
+    """
+    sized = scratch.put(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
+    rows = scratch.put(buckets.join(sized, "bucket"), "rows")
+    few = rows.where(F.col("n") <= small)
+    left, right = few.select("bucket", F.col("node").alias("a")), few.select("bucket", F.col("node").alias("b"))
+    near = left.join(right, "bucket").where("a < b").select("a", "b")
+    large = rows.where(F.col("n") > small).select("bucket", "node")
+    if large.isEmpty():
+        return scratch.put(_verified(near.distinct(), bags).where(F.col("sim") >= similarity).select("a", "b"), "links")
+    often = scratch.put(large.groupBy("node").agg(F.count(F.lit(1)).alias("times")), "often")
+    ranked = scratch.put(large.join(often, "node"), "ranked")
+    top = ranked.groupBy("bucket").agg(F.max(F.struct("times", "node")).alias("h0"))
+    chosen = scratch.put(top.select("bucket", F.col("h0.node").alias("hub")), "hubs-0")
+    for i in range(1, hubs):
+        others = ranked.join(chosen, (ranked["bucket"] == chosen["bucket"]) & (ranked["node"] == chosen["hub"]), "left_anti")
+        more = others.groupBy("bucket").agg(F.max(F.struct("times", "node")).alias("h")).select("bucket", F.col("h.node").alias("hub"))
+        chosen = scratch.put(chosen.unionByName(more), f"hubs-{i}")
+    meet = large.join(chosen, "bucket").where(F.col("node") != F.col("hub")).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    links = scratch.put(_verified(near.union(meet).distinct(), bags).where(F.col("sim") >= similarity).select("a", "b"), "links")
+    known = components(links, scratch)
+    first = chosen.groupBy("bucket").agg(F.min("hub").alias("hub"))
+    group = components(large.join(first, "bucket").where(F.col("node") != F.col("hub")).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), scratch)
+    member = often.select("node").join(group.withColumnRenamed("label", "grp"), "node").join(known, "node", "left")
+    member = scratch.put(member.select("node", "grp", F.coalesce("label", "node").alias("label")), "members")
+    main = member.groupBy("grp", "label").count().groupBy("grp").agg(F.max(F.struct("count", "label")).alias("m"), F.sum("count").alias("size"))
+    main = scratch.put(main.where("m.count < size").select("grp", F.col("m.label").alias("main"), "size"), "groups")
+    placed = member.join(main, "grp").withColumn("parts", F.ceil(F.col("size") / block).cast("int")).join(bags, "node")
+    placed = scratch.put(placed.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")), "placed")
+    whole = F.sequence(F.lit(0), F.col("parts") - 1)
+    columns = ["node", "label", "keys", "weights"]
+    loose = placed.where(F.col("label") != F.col("main")).withColumn("other", F.explode(whole)).select("grp", F.col("part").alias("i"), F.col("other").alias("j"), *columns)
+    every = scratch.again(placed).withColumn("other", F.explode(whole)).select("grp", F.col("other").alias("i"), F.col("part").alias("j"), *columns)
+
+    def run(_: tuple, few_: pd.DataFrame, all_: pd.DataFrame) -> pd.DataFrame:
+        found = spanning_links(few_, all_, similarity) if len(few_) and len(all_) else []
+        return pd.DataFrame(found, columns=["a", "b"], dtype=object)
+
+    keys = ("grp", "i", "j")
+    rest = scratch.put(loose.groupBy(*keys).cogroup(every.groupBy(*keys)).applyInPandas(run, "a binary, b binary"), "rest")
+    scratch.drop(placed)
+    return links.unionByName(rest)
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -246,7 +300,7 @@ def _key(id_col: str, text_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("long"), by_text)
 
 
-def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, small: int = 8, scratch: Scratch | None = None) -> DataFrame:
+def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, small: int = 32, scratch: Scratch | None = None) -> DataFrame:
     """One row per row of ``docs``: id and class_id, the least id of its class.
 
     Texts whose words agree in order (case and marks aside) are one class without further ado; they
@@ -264,12 +318,9 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     nodes = texts.select("node", "rep").join(buckets.select("node").distinct(), "node")
     bags = scratch.put(_bags(keyed, nodes).dropDuplicates(["node"]), "bags")
     links = similar_pairs(buckets, bags, scratch, similarity, small)
+    labels = components(links, scratch)
     scratch.drop(bags)
     scratch.drop(buckets)
-    every = links[0]
-    for x in links[1:]:
-        every = every.union(x)
-    labels = components(every, scratch)
     labelled = texts.select("node", "rep").join(labels, "node", "left")
     least = labelled.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("rep").alias("least"))
     named = scratch.put(labelled.join(least, "label", "left").select(F.col("node").alias("fp"), F.coalesce("least", "rep").alias("class_id")), "named")

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from tidemark.llm import hnsw, html_text, near_dups, packing, pii, quality, toxicity, warc
+import corpus_pipeline
+from tidemark.llm import chat, hnsw, html_text, mixing, near_dups, packing, pii, quality, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_toxicity": toxicity.op1_toxicity,
+        "op2_chat": chat.op2_chat,
         "op3_quality": quality.op3_quality,
         "op4_html": html_text.op4_html,
+        "op5_mixing": mixing.op5_mixing,
         "op6_pii": pii.op6_pii,
         "op7_warc": warc.op7_warc,
         "op8_near_dups": near_dups.op8_near_dups,
         "op9_packing": packing.op9_packing,
         "op10_nearest": hnsw.op10_nearest,
+        "pipeline": corpus_pipeline.run,
     }
 
 
