@@ -39,10 +39,11 @@ def pattern_votes(text: str | None) -> list[int]:
 
 
 class GenerativeModel:
-    """Votes in {-1, 0, 1} given a hidden class: accuracies by EM, then correlations.
+    """Votes in {-1, 0, 1} given a hidden class: accuracies by EM, and correlations.
 
-    Voters that agree more than their class explains share evidence; the weights solve
-    (correlation matrix) w = 1 within [0, 1], so copies of one voter count about once.
+    Voters that agree more than their class explains share evidence: the log odds of a vote are
+    divided by the correlations, summed, with all votes cast on the same text, so that copies of one
+    voter count once, and a voter that speaks alone counts in full. An abstention says nothing.
     """
 
     def __init__(self, rounds: int = 60, smoothing: float = 0.5):
@@ -53,7 +54,7 @@ class GenerativeModel:
         n, m = votes.shape
         if not n:
             return np.zeros(0)
-        self.prior, self.share = prior, np.ones(m)
+        self.prior, self.correlation = prior, np.eye(m)
         weight = weight / weight.sum() * n
         hot = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)
         yes = (votes > 0).sum(1)
@@ -64,15 +65,17 @@ class GenerativeModel:
             self.odds = np.log(p1 / p1.sum(1, keepdims=True)) - np.log(p0 / p0.sum(1, keepdims=True))
             self.odds[:, 2] = np.maximum(self.odds[:, 2], 0)  # a vote may be worthless, but not mean its contrary
             self.odds[:, 0] = np.minimum(self.odds[:, 0], 0)
+            self.odds[:, 1] = 0
             if round_ % 5 == 0:
-                self.share = self._shares(votes, weight, post)
+                self.correlation = self._correlations(votes, weight, post)
             new = self.posterior(votes)
             if np.abs(new - post).max() < 1e-6:
                 break
             post = new
         return post
 
-    def _shares(self, votes: np.ndarray, weight: np.ndarray, post: np.ndarray) -> np.ndarray:
+    def _correlations(self, votes: np.ndarray, weight: np.ndarray, post: np.ndarray) -> np.ndarray:
+        """Correlations of the votes within the classes, negative ones as none."""
         v, m = votes.astype(float), votes.shape[1]
         cov, var = np.zeros((m, m)), np.full(m, 1e-9)
         for w in (weight * post, weight * (1 - post)):
@@ -82,10 +85,13 @@ class GenerativeModel:
             var += np.diag(c)
         corr = np.clip(cov / np.sqrt(np.outer(var, var)), 0, 1)
         np.fill_diagonal(corr, 1.0)
-        return np.clip(np.linalg.solve(corr + 0.05 * np.eye(m), np.ones(m)), 0.05, 1.0)
+        return corr
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        z = np.log(self.prior / (1 - self.prior)) + sum(self.share[j] * self.odds[j][votes[:, j] + 1] for j in range(votes.shape[1]))
+        cast = (votes != 0).astype(float)
+        shared = np.maximum(cast @ self.correlation, 1.0)
+        odds = np.where(votes > 0, self.odds[:, 2], np.where(votes < 0, self.odds[:, 0], 0.0))
+        z = np.log(self.prior / (1 - self.prior)) + (odds / shared).sum(axis=1)
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
@@ -131,7 +137,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = 2000, m
     soft = pd.concat([pd.DataFrame({"hits": rows["hits"], "label": 1.0, "weight": weight * post}), pd.DataFrame({"hits": rows["hits"], "label": 0.0, "weight": weight * (1 - post)})])
     soft = soft[soft["weight"] > 1e-6]
     soft["hits"] = [list(map(int, h)) for h in soft["hits"]]
-    w, b = train(docs.sparkSession.createDataFrame(soft, "hits array<int>, label double, weight double"), len(features), 2)
+    w, b = train(docs.sparkSession.createDataFrame(soft, "hits array<int>, label double, weight double"), len(features), 2, reg=1e-5)
     return ToxicityModel(features, w[1] - w[0], float(b[1] - b[0]))
 
 
