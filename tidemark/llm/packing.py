@@ -8,7 +8,9 @@ nearly full, else it is cut at the largest slot that it fills.
 
 from __future__ import annotations
 
+import itertools
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -25,17 +27,37 @@ _BEFORE_END = re.compile(r"(?<=[^\W\d_])[.,]+(?=\s|$)")
 _UNUSUAL = re.compile("[\x1c-\x1fΣ]|<\\|")
 
 
+def byte_letters() -> dict[int, str]:
+    """The visible letter that stands for each byte in byte-level vocabularies: printable Latin-1
+    stands for itself, the other bytes take the letters from 256 on."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 255 and b != 173]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in plain)}
+
+
 class WordCache(dict):
-    """Ids of white-space separated chunks as little-endian bytes; asks the tokenizer once for each."""
+    """Ids of white-space separated chunks as little-endian bytes; asks the tokenizer once for each.
+
+    A chunk of letters alone in small, composed form passes the tokenizer's normalizer and splitter
+    unchanged, so its model is asked directly, if it gives the same ids for a few probes.
+    """
 
     def __init__(self, tokenizer, limit: int = 700_000):
         super().__init__()
-        self.tokenizer, self.limit = tokenizer, limit
+        self.tokenizer, self.limit, self.letters = tokenizer, limit, byte_letters()
+        self.direct = all(self._whole(w) == self._word(w) for w in ("a", "thehouse", "écoleß", "straße", "ñandú", "слово", "語"))
+
+    def _whole(self, chunk: str) -> list[int]:
+        return self.tokenizer.encode(chunk, add_special_tokens=False).ids
+
+    def _word(self, chunk: str) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(chunk.encode().decode("latin-1").translate(self.letters))]
 
     def __missing__(self, chunk: str) -> bytes:
-        ids = np.asarray(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(self) >= self.limit:
-            self.clear()
+        word = self.direct and chunk.isalpha() and unicodedata.is_normalized("NFC", chunk)
+        ids = np.asarray(self._word(chunk) if word else self._whole(chunk), dtype="<u4").tobytes()
+        if len(self) >= self.limit:  # forget the older half, which most rare words are in
+            for old in list(itertools.islice(self, self.limit // 2)):
+                del self[old]
         self[chunk] = ids
         return ids
 
@@ -103,10 +125,16 @@ class HarmonicBins:
         return [p for _, pieces in joined for p in self._close(pieces)]
 
 
-def _load(path: str):
-    from tokenizers import Tokenizer
+#: One cache for each tokenizer file in a worker process, kept from task to task.
+_CACHES: dict[str, WordCache] = {}
+
+
+def word_cache(path: str) -> WordCache:
+    if path not in _CACHES:
+        from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+        _CACHES[path] = WordCache(Tokenizer.from_file(path))
+    return _CACHES[path]
 
 
 def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_id: int = 1, slack: float = 0.02, whole: int = 64) -> DataFrame:
@@ -119,7 +147,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = WordCache(_load(tokenizer_path))
+        cache = word_cache(tokenizer_path)
         bins = HarmonicBins(capacity, TaskContext.get().partitionId() << 33)
 
         def frame(rows: list[list]) -> pd.DataFrame:
