@@ -211,7 +211,15 @@ def read_archives(index: DataFrame) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The frame of an offset list is at most a frame's worth of records, however many pages there are."""
+    """Writes every page into bundles beside the scratch tables and reads them back."""
     scratch = Scratch(spark)
     index = write_archives(table(spark, sf_dir, "pages"), f"{scratch.root}/archives", scratch=scratch)
-    return read_archives(index)
+    return read_archives(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((cast('0x' || substr(h, {5 * g + 1}, 5) as integer) >> {s}) & 31) + 1, 1)" for g in range(8) for s in (15, 10, 5, 0))
+OP7_SQL = f"""
+with p as (select page_id, coalesce(html, '') as body from pages), d as (select page_id, strlen(body) as n, sha1(body) as h from p),
+f as (select *, min(page_id) over (partition by h) as first from d)
+select page_id, n as payload_bytes, {_BASE32} as payload_digest, case when page_id = first then 'response' else 'revisit' end as record_type, case when page_id <> first then first end as refers_to from f
+"""
