@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.functions import scalars
 from tidemark.functions.windows import finite
@@ -18,7 +17,7 @@ SNAPSHOT = "ts timestamp, chain_id string, pair_address string, base_symbol stri
 BARS = "asset string, ts timestamp, open double, high double, low double, close double, log_return double, cum_return double, roll_vol double, liquidity_usd double, vol_h24 double"
 TICKS = "asset string, ts timestamp, event_id long, price double, size double"
 #: A pair as a market data service lists it.
-PAIR = T.StructType.fromDDL("chainId string, pairAddress string, baseToken struct<symbol:string>, quoteToken struct<symbol:string>, priceUsd string, liquidity struct<usd:double>, volume struct<h24:double>, dexId string")
+PAIR = "struct<chainId:string,pairAddress:string,baseToken:struct<symbol:string>,quoteToken:struct<symbol:string>,priceUsd:string,liquidity:struct<usd:double>,volume:struct<h24:double>,dexId:string>"
 
 
 def pair_id(chain: str = "chain_id", address: str = "pair_address") -> Column:
@@ -132,7 +131,7 @@ def candle_points(payload: DataFrame, column: str = "payload") -> DataFrame:
 
 def pair_snapshots(payload: DataFrame, column: str = "payload", ts: str = "ts") -> DataFrame:
     """Typed snapshots of listed pairs: ``pair``, else the first of ``pairs``."""
-    body = F.from_json(column, T.StructType([T.StructField("pair", PAIR), T.StructField("pairs", T.ArrayType(PAIR))]))
+    body = F.from_json(column, f"pair {PAIR}, pairs array<{PAIR}>")
     p = payload.select(ts, body.alias("b")).select(ts, F.coalesce("b.pair", F.get("b.pairs", 0)).alias("p"))
     price = F.col("p.priceUsd").try_cast("double")
     return p.where(F.col("p").isNotNull()).select(ts, F.col("p.chainId").alias("chain_id"), F.col("p.pairAddress").alias("pair_address"), F.col("p.baseToken.symbol").alias("base_symbol"), F.col("p.quoteToken.symbol").alias("quote_symbol"), price.alias("dex_price_usd"), F.col("p.liquidity.usd").alias("liquidity_usd"), F.col("p.volume.h24").alias("vol_h24"))
