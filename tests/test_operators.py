@@ -9,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import identity, registry, scalars
-from tidemark.functions.windows import average_rank, clip, correlation, normal_cdf
+from tidemark.functions.scalars import normal_cdf
+from tidemark.functions.windows import average_rank, clip, correlation
 from tidemark.operators import backtest, bars, cross_section, factors, governance, inference, portfolio, regimes, returns, signals, universe
 from tidemark.plans import report, scan
 from tidemark.sources import loaders, sinks
@@ -99,6 +100,18 @@ def test_long_short_sums(spark, panel):
     assert row["net"] == pytest.approx(0) and row["gross"] == pytest.approx(1)
 
 
+def test_orthogonal_signals_have_no_common_part(spark):
+    rng = np.random.default_rng(5)
+    rows = [(T0 + timedelta(hours=t), f"a{i}", *map(float, (x := rng.normal(size=3)) + [0, x[0], x[1]])) for t in range(4) for i in range(12)]
+    d = spark.createDataFrame(rows, "ts timestamp, asset string, s double, t double, u double")
+    out = cross_section.orthogonalized(d, ["s", "t", "u"])
+    for t in range(4):
+        p = out.where(F.col("ts") == F.lit(T0 + timedelta(hours=t))).toPandas()
+        assert len(p) == 12
+        assert abs(np.corrcoef(p["s_orth"], p["t_orth"])[0, 1]) < 1e-9 and abs(np.corrcoef(p["t_orth"], p["u_orth"])[0, 1]) < 1e-9
+    assert {r["a"] for r in cross_section.cross_correlations(out, ["s_orth", "t_orth"]).collect()} == {"s_orth"}
+
+
 def test_costs_lower_returns(spark):
     s = spark.createDataFrame([(T0, 0.01, 1.0), (T0 + timedelta(hours=1), -0.005, 0.5)], "ts timestamp, pnl double, turnover double")
     rows = portfolio.net_of_costs(s, 30, 10).orderBy("ts").collect()

@@ -150,7 +150,7 @@ def neutralized(panel: DataFrame, exposures: list[str], value: str = "value", as
     else:
         raise ValueError("one or two exposures; regress on more one after another")
     out = centred.withColumn("neutral", F.when(F.col("_n") < 3, y).when(F.col("_ok"), F.col("_y") - fit))
-    return out.drop(*[c for c in out.columns if c.startswith("_")])
+    return out.drop("_ok", "_n", "_y", "_x0", "_x1", "_a", "_b", "_c", "_d", "_e")
 
 
 def orthogonalized(panel: DataFrame, order: list[str], asset: str = "asset", ts: str = "ts") -> DataFrame:
@@ -160,11 +160,10 @@ def orthogonalized(panel: DataFrame, order: list[str], asset: str = "asset", ts:
     one-exposure regression in window expressions over the same partitioning."""
     out = panel.withColumn(f"{order[0]}_orth", F.col(order[0]))
     for i, name in enumerate(order[1:], 1):
-        step = out.withColumn("_cur", F.col(name))
+        out = out.withColumn("_left", F.col(name))
         for before in order[:i]:
-            step = neutralized(step, [f"{before}_orth"], "_cur", asset, ts).withColumn("_cur2", F.col("neutral")).drop("_cur", "neutral").withColumnRenamed("_cur2", "cur")
-            step = step.withColumn("_cur", F.col("cur")).drop("cur")
-        out = step.withColumn(f"{name}_orth", F.col("_cur")).drop("_cur")
+            out = neutralized(out, [f"{before}_orth"], "_left", asset, ts).drop("_left").withColumnRenamed("neutral", "_left")
+        out = out.withColumnRenamed("_left", f"{name}_orth")
     return out
 
 
