@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import mixing, near_dups, packing, pii, quality
 from tidemark.llm.common import Scratch, table
+from tidemark.session import ready
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,6 +56,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over the documents of ``sf_dir``."""
+    ready(spark)
     docs, scratch, before = table(spark, sf_dir, "documents"), Scratch(spark), None
     for i, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
