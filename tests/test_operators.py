@@ -251,6 +251,18 @@ def test_upsert_keeps_first_seen(spark):
     assert sorted(map(tuple, sinks.merged(old, new, "id", keep=("first",)).collect())) == [(1, "a", 1), (2, "c", 1), (3, "d", 9)]
 
 
+def test_a_run_is_written_once(spark, tmp_path, panel):
+    from tidemark.sources import runs
+
+    root, key = str(tmp_path / "runs"), identity.factor_run_id({"w": 40})
+    fit = factors.causal_ols(factors.factor_columns(panel, {"btc": "BTC"}), ["btc"], 40, 20)
+    betas = runs.long_betas(fit, ["btc"])
+    assert runs.persist_run(betas, root, key) and not runs.persist_run(betas, root, key)
+    assert runs.persist_run(betas, root, key, force=True)
+    assert runs.load_run(spark, root, key).count() == betas.count()
+    assert runs.fit_quality(runs.load_run(spark, root, key)).agg(F.max("n_factors")).first()[0] == 1
+
+
 def test_payloads_and_fallback(spark):
     p = spark.createDataFrame([('{"success":true,"data":{"items":[{"unixTime":0,"o":2.0,"l":1.0,"v":5.0},{"unixTime":60,"c":3.0}]}}',), ("broken",)], "payload string")
     assert [r["price"] for r in loaders.candle_points(p).orderBy("ts").collect()] == [1.5, 3.0]

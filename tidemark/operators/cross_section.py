@@ -187,3 +187,23 @@ def exposure_panel(panel: DataFrame, beta: Column | None = None, short: int = 24
 
 def grid(panel: DataFrame, value: str, asset: str = "asset", ts: str = "ts") -> DataFrame:
     return dense(panel, value, asset, ts)
+
+
+def ic_stability(ic: DataFrame, n: int, value: str = "ic", ts: str = "ts") -> DataFrame:
+    """One row: mean and deviation of the last n coefficients and their ratio within ten."""
+    x, w = F.col(value), Window.orderBy(ts).rowsBetween(-(n - 1), 0)
+    rolled = ic.where(x.isNotNull()).select(ts, full(F.avg(x), x, n, w).alias("m"), full(F.stddev_samp(x), x, n, w).alias("s"))
+    last = rolled.agg(F.max_by("m", ts).alias("rolling_mean"), F.max_by("s", ts).alias("rolling_std"))
+    return last.withColumn("ratio", clip(F.when(F.col("rolling_std") > 0, F.try_divide("rolling_mean", "rolling_std")), -10, 10))
+
+
+def sweep_statistic(results: DataFrame, metric: str = "mean_ic", signal: str = "signal", horizon: str = "horizon") -> DataFrame:
+    """hypothesis ("signal|horizon") and the mean of its metric, largest first."""
+    key = F.concat_ws("|", F.col(signal), F.col(horizon).cast("string")).alias("hypothesis")
+    return results.groupBy(key).agg(F.avg(metric).alias("stat")).orderBy(F.desc_nulls_last("stat"), "hypothesis")
+
+
+def means_by(frame: DataFrame, by: str = "regime") -> DataFrame:
+    """Rows and the mean of every numeric column of each group."""
+    numeric = [c for c, t in frame.dtypes if c != by and t in ("double", "float", "int", "bigint", "smallint", "tinyint")]
+    return frame.groupBy(by).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"mean_{c}") for c in numeric])

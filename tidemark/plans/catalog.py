@@ -736,3 +736,109 @@ def skew_kurtosis(spark: SparkSession, sf: str) -> DataFrame:
 @query("average_ranks", f"select l_orderkey, l_linenumber, {_RANK.format(x='l_quantity', p='l_orderkey')} as r from lineitem")
 def average_ranks(spark: SparkSession, sf: str) -> DataFrame:
     return inputs.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", average_rank(F.col("l_quantity"), "l_orderkey").alias("r"))
+
+
+# --- registry reads, set operations, events -----------------------------------------------------
+
+_ALLOW = "al as (select date_trunc('month', o_orderdate) as ts, 'p' || o_custkey as pair_address, o_totalprice as liquidity_usd, o_orderpriority as source from orders)"
+
+
+def _allowlist(spark: SparkSession, sf: str) -> DataFrame:
+    return inputs.table(spark, sf, "orders").select(F.date_trunc("month", "o_orderdate").alias("ts"), F.concat(F.lit("p"), F.col("o_custkey").cast("string")).alias("pair_address"), F.col("o_totalprice").alias("liquidity_usd"), F.col("o_orderpriority").alias("source"))
+
+
+@query("latest_allowlist", f"with {_ALLOW} select pair_address, round(liquidity_usd, 4) as liquidity_usd from al where ts = (select max(ts) from al) order by al.liquidity_usd desc, pair_address limit 20")
+def latest_allowlist(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(universe.latest_allowlist(_allowlist(spark, sf)).select("pair_address", "liquidity_usd"), 4)
+
+
+@query("allowlist_stats", f"with {_ALLOW} select count(distinct ts) as n_refreshes, count(*) filter (ts = (select max(ts) from al)) as n_last from al")
+def allowlist_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return universe.allowlist_stats(_allowlist(spark, sf)).select("n_refreshes", "n_last")
+
+
+@query("allowlist_refreshes", f"with {_ALLOW} select cast(ts as date) as day, count(*) as n, min(source) as source from al group by 1 order by 1 desc limit 5")
+def allowlist_refreshes(spark: SparkSession, sf: str) -> DataFrame:
+    sizes, _ = universe.churn_verification(_allowlist(spark, sf), _allowlist(spark, sf).withColumns({"action": F.lit("add"), "reason": F.lit("new")}))
+    return sizes.select(F.to_date("ts").alias("day"), "n", "source")
+
+
+@query("churn_log", "with a as (select 's' || s_suppkey as pair_address from supplier where s_suppkey % 2 = 0), b as (select 's' || s_suppkey as pair_address from supplier where s_suppkey % 3 = 0) select pair_address, 'remove' as action from (select * from a except select * from b) union all select pair_address, 'add' from (select * from b except select * from a)")
+def churn_log(spark: SparkSession, sf: str) -> DataFrame:
+    s = inputs.table(spark, sf, "supplier").select("s_suppkey", F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("pair_address"))
+    return universe.churn_log(s.where("s_suppkey % 2 = 0"), s.where("s_suppkey % 3 = 0"))
+
+
+@query("spot_in_panel", f"with {RET}, sp as (select ts, ln(close) - lag(ln(close)) over (order by ts) as r from bars where asset = 'click') select asset, ts, round(log_return, 6) as log_return from ret where asset <> 'click' union all select 'BTC_spot', ts, round(r, 6) from sp where ts in (select ts from ret where asset <> 'click')")
+def spot_in_panel(spark: SparkSession, sf: str) -> DataFrame:
+    r = inputs.returns(spark, sf)
+    spot = loaders.spot_series(inputs.bars(spark, sf).withColumn("price", F.col("close")), "click")
+    return rounded(loaders.with_spot(r.where("asset <> 'click'"), spot, "BTC").select("asset", "ts", "log_return"))
+
+
+@query("research_universe", f"with {WIDE}, n as (select *, count(*) over (partition by asset) as n from wide), o as (select * from n where n >= 20 and log_return is not null), ok as (select asset from o group by 1 having count(*) >= 2 and stddev_samp(log_return) > 0) select asset, ts, round(log_return, 6) as log_return from o where asset in (select asset from ok)")
+def research_universe(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(loaders.research_universe(inputs.wide(spark, sf), min_bars=20).select("asset", "ts", "log_return"))
+
+
+@query("snapshot_filters", "select event_id, round(value, 4) as price from events where value > 0 and cast(json_extract_string(props, '$.k') as double) > 50 and event_id % 7 > 2")
+def snapshot_filters(spark: SparkSession, sf: str) -> DataFrame:
+    e = inputs.table(spark, sf, "events").select("ts", "event_id", F.col("value").alias("price"), F.get_json_object("props", "$.k").alias("liquidity_usd").cast("double"), (F.col("event_id") % 7).cast("double").alias("vol_h24"))
+    return rounded(loaders.snapshots(e.toDF("ts", "event_id", "price", "liquidity_usd", "vol_h24"), "price", 50.0, 2.0).select("event_id", "price"), 4)
+
+
+@query("signal_events", """with e as (select event_id, case when event_id % 5 <> 0 then value / 40 end as b, value / 30 as l, (value - 20) / 10 as z, (value - 15) / 1000 as r from events)
+ select event_id, 'beta_compression_trigger' as signal, round(b, 6) as value, round(l - 0.15, 6) as threshold from e where b < l - 0.15 union all select event_id, 'dispersion_extreme', round(z, 6), 1.0 from e where z > 1
+ union all select event_id, 'dispersion_extreme', round(z, 6), -1.0 from e where z < -1 union all select event_id, 'residual_momentum', round(r, 6), 0.01 from e where r > 0.01""")
+def signal_events(spark: SparkSession, sf: str) -> DataFrame:
+    v = F.col("value")
+    m = inputs.table(spark, sf, "events").select("event_id", "ts", F.when(F.col("event_id") % 5 != 0, v / 40).alias("beta_short"), (v / 30).alias("beta_long"), ((v - 20) / 10).alias("dispersion_z"), ((v - 15) / 1000).alias("residual_return"))
+    return rounded(signals.detect(m, label="event_id").select("event_id", "signal", "value", "threshold"))
+
+
+@query("ic_stability", f"with {_IC}, r as (select ts, case when count(ic) over w = 5 then avg(ic) over w end as m, case when count(ic) over w = 5 then stddev_samp(ic) over w end as s from ic where ic is not null window w as (order by ts rows 4 preceding)) select round(arg_max(m, ts), 6) as rolling_mean, round(arg_max(s, ts), 6) as rolling_std, round(greatest(-10, least(10, arg_max(m, ts) / arg_max(s, ts))), 5) as ratio from r")
+def ic_stability(spark: SparkSession, sf: str) -> DataFrame:
+    s, w = _momentum3(spark, sf)
+    out = cross_section.ic_stability(cross_section.information_coefficient(s, returns.forward_return(w, 2)), 5)
+    return rounded(out.withColumn("ratio", F.round("ratio", 5)))
+
+
+@query("sweep_statistic", "select o_orderpriority || '|' || o_orderstatus as hypothesis, round(avg(o_totalprice), 3) as stat from orders group by 1")
+def sweep_statistic(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(cross_section.sweep_statistic(inputs.table(spark, sf, "orders"), "o_totalprice", "o_orderpriority", "o_orderstatus"), 3)
+
+
+@query("vol_target_weights", f"with {RET}, v as (select asset, stddev_samp(log_return) * sqrt(8760) as vol from ret group by 1), w as (select asset, vol, (1 / vol) / sum(1 / vol) over () as w from v), s as (select asset, least(1, w * 0.15 / sum(w * vol) over ()) as w from w) select asset, round(case when sum(w) over () > 1 then w / sum(w) over () else w end, 6) as weight from s")
+def vol_target_weights(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(portfolio.vol_target(inputs.returns(spark, sf)))
+
+
+@query("rank_weights", f"with {WIDE}, r as (select asset, ts, {_RANK.format(x='log_return', p='ts')} as r from wide where log_return is not null), s as (select *, case when r >= median(r) over (partition by ts) then 1.0 else -1.0 end as s from r), l as (select *, s / count(*) over (partition by ts, s) as w from s), g as (select *, w / sum(abs(w)) over (partition by ts) as v from l) select asset, ts, round(v - sum(v) over (partition by ts) / count(*) over (partition by ts), 6) as weight from g")
+def rank_weights(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(portfolio.rank_weights(inputs.wide(spark, sf), signal="log_return"))
+
+
+@query("beta_neutral_weights", f"with {_LS}, b as (select *, hash_b from (select ls.*, (length(asset) * 0.1 + cast(substr(asset, 6, 1) as double) / 10) as hash_b from ls)), s as (select *, sum(weight * hash_b) over (partition by ts) as g, sum(hash_b * hash_b) over (partition by ts) as q from b) select asset, ts, round(case when q > 1e-18 then weight - g / q * hash_b else weight end, 6) as weight from s")
+def beta_neutral_weights(spark: SparkSession, sf: str) -> DataFrame:
+    w = portfolio.long_short(inputs.wide(spark, sf), 4, 4, rank="log_return")
+    w = w.withColumn("beta", F.length("asset") * 0.1 + F.substring("asset", 6, 1).cast("double") / 10)
+    return rounded(portfolio.beta_neutral(w).select("asset", "ts", "weight"))
+
+
+@query("walk_forward_fits")
+def walk_forward_fits(spark: SparkSession, sf: str) -> DataFrame:
+    p = inputs.with_market(spark, sf)
+    return rounded(factors.walk_forward_ols(p, backtest.walk_forward_folds(p, 200, 48, 48), ["factor"]))
+
+
+@query("report_performance")
+def report_performance(spark: SparkSession, sf: str) -> DataFrame:
+    from tidemark.plans.report import signal_report
+
+    s, w = _momentum3(spark, sf)
+    return rounded(signal_report(s, w, "1D", horizons=(1, 2), k=5).performance, 4)
+
+
+@query("dataset_identity")
+def dataset_identity(spark: SparkSession, sf: str) -> DataFrame:
+    return governance.dataset_id({t: inputs.table(spark, sf, t) for t in ("events", "nation")})
