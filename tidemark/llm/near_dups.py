@@ -23,6 +23,7 @@ from tidemark.llm.common import Scratch, fresh, table
 BANDS, ROWS, WIDTH, SIMILARITY = 28, 5, 5, 0.8
 _WORD = re.compile(r"\w+")
 _G1, _G2, _G3, _BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9DDFEA08EB382D69)
+_LOW = np.uint64(0xFFFFFFFF)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -79,35 +80,38 @@ def signature(keys: np.ndarray, weights: np.ndarray, registers: int = BANDS * RO
     first = np.full(registers, np.inf)
     owner = np.zeros(registers, dtype=np.uint64)
     time = np.zeros(n)
-    live = np.arange(n)
-    draw = 0
-    with np.errstate(over="ignore"):
-        while len(live):
-            many = max(1, -(-6 * registers // len(live))) if not np.isfinite(first).all() else 1
-            steps = np.arange(draw, draw + many, dtype=np.uint64)
-            h = mix(keys[live, None] ^ mix(steps * _G3)[None, :])
-            gap = -np.log(((h >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / weights[live, None]
-            at = time[live, None] + np.cumsum(gap, axis=1)
-            time[live] = at[:, -1]
-            place = (mix(h) % np.uint64(registers)).astype(np.intp)
-            order = np.argsort(-at, axis=None, kind="stable")
-            t, p, k = at.ravel()[order], place.ravel()[order], np.repeat(keys[live], many)[order]
-            best, who = np.full(registers, np.inf), np.zeros(registers, dtype=np.uint64)
-            best[p], who[p] = t, k  # the last write to a place is its earliest arrival
-            sooner = best < first
-            first[sooner], owner[sooner] = best[sooner], who[sooner]
-            live = live[time[live] < first.max()]
-            draw += many
+    # about the time at which every register has had an arrival, and so the arrivals of a shingle till then
+    likely = registers * (np.log(registers) + 1) / weights.sum()
+    many = min(int(likely * weights.max()) + 2, max(3, 8192 // n))
+    draw = rounds = 0
+    scale = np.uint64(32)
+    while n:
+        steps = mix(np.arange(draw, draw + many, dtype=np.uint64) * _G3)
+        h = mix(keys[:, None] ^ steps)
+        at = np.cumsum(np.log(((h >> scale).astype(np.float64) + 0.5) * 2.0**-32) / -weights[:, None], axis=1)
+        at += time[:, None]
+        time = at[:, -1]
+        place = (((h & _LOW) * np.uint64(registers)) >> scale).astype(np.intp).ravel()
+        at = at.ravel()
+        before = first.copy()
+        np.minimum.at(first, place, at)
+        hit = np.flatnonzero((at == first[place]) & (at < before[place]))
+        owner[place[hit]] = keys[hit // many]
+        live = time < first.max()
+        keys, weights, time = keys[live], weights[live], time[live]
+        n = len(keys)
+        draw += many
+        rounds += 1
+        many = max(2, many // 2 if rounds < 5 else 2048 // max(n, 1))
     return owner
 
 
 def band_keys(sig: np.ndarray, bands: int = BANDS) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        parts = sig.reshape(bands, -1)
-        acc = mix(np.arange(bands, dtype=np.uint64) * _G2)
-        for i in range(parts.shape[1]):
-            acc = mix(acc * _BASE + parts[:, i])
-    return acc.view(np.int64)
+    parts = sig.reshape(bands, -1)
+    acc = np.arange(1, bands + 1, dtype=np.uint64) * _G2
+    for i in range(parts.shape[1]):
+        acc = acc * _BASE + parts[:, i]
+    return mix(acc).view(np.int64)
 
 
 def probability_jaccard(ka: np.ndarray, wa: np.ndarray, kb: np.ndarray, wb: np.ndarray) -> float:
@@ -276,21 +280,34 @@ def similar_pairs(buckets: DataFrame, bags: DataFrame, scratch: Scratch, similar
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
-    """node, label: the least node of each connected class, by least labels and pointer jumping."""
-    edges = scratch.put(links.union(links.select("b", "a")).toDF("src", "dst").distinct(), "edges")
-    labels = scratch.put(edges.groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("least")).select("node", F.least("node", "least").alias("label")), "labels")
+    """node, label: one node of each connected class for all its nodes.
+
+    In a round every node points at its least neighbour, pointers are followed to their end, and links
+    are drawn anew between those ends. Classes of many links shrink to few nodes in a round or two.
+    """
+    edges = scratch.put(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
+    labels: DataFrame | None = None
     while True:
-        offers = edges.join(labels, edges["src"] == labels["node"]).groupBy("dst").agg(F.min("label").alias("offer"))
-        lowered = scratch.put(labels.join(offers, labels["node"] == offers["dst"], "left").select("node", "label", F.least("label", "offer").alias("next")), "lowered")
-        jump = lowered.select(F.col("node").alias("at"), F.col("next").alias("further"))
-        moved = lowered.join(jump, F.col("next") == F.col("at"), "left").select("node", "label", F.coalesce("further", "next").alias("next"))
-        new = scratch.put(moved, "labels")
-        scratch.drop(lowered)
-        scratch.drop(labels)
-        changed = not new.where(F.col("label") != F.col("next")).isEmpty()
-        labels = new.select("node", F.col("next").alias("label"))
-        labels._tidemark_path = new._tidemark_path
-        if not changed:
+        both = edges.select(F.col("a").alias("node"), F.col("b").alias("near")).union(edges.select("b", "a"))
+        up = scratch.put(both.groupBy("node").agg(F.min("near").alias("near")).select("node", F.least("node", "near").alias("up")), "up")
+        while True:
+            jump = up.select(F.col("node").alias("at"), F.col("up").alias("further"))
+            moved = scratch.put(up.join(jump, F.col("up") == F.col("at"), "left").select("node", "up", F.coalesce("further", "up").alias("next")), "up")
+            done = moved.where(F.col("up") != F.col("next")).isEmpty()
+            up = moved.select("node", F.col("next").alias("up"))
+            if done:
+                break
+        if labels is None:
+            labels = up.withColumnRenamed("up", "label")
+        else:
+            labels = labels.join(up, F.col("label") == up["node"], "left").select(labels["node"], F.coalesce("up", "label").alias("label"))
+        labels = scratch.put(labels, "labels")
+        x, y = up.select(F.col("node").alias("a"), F.col("up").alias("x")), up.select(F.col("node").alias("b"), F.col("up").alias("y"))
+        drawn = edges.join(x, "a").join(y, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct()
+        new = scratch.put(drawn, "edges")
+        scratch.drop(edges)
+        edges = new
+        if edges.isEmpty():
             return labels
 
 
@@ -300,7 +317,7 @@ def _key(id_col: str, text_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("long"), by_text)
 
 
-def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, small: int = 32, scratch: Scratch | None = None) -> DataFrame:
+def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, small: int = 16, scratch: Scratch | None = None) -> DataFrame:
     """One row per row of ``docs``: id and class_id, the least id of its class.
 
     Texts whose words agree in order (case and marks aside) are one class without further ado; they
