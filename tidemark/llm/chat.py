@@ -27,7 +27,6 @@ NAMES = {v: k for k, v in ROLES.items()}
 LEGAL = {(START, SYSTEM), (START, USER), (SYSTEM, USER), (USER, ASSISTANT), (ASSISTANT, USER)}
 #: Costs. A merge is the mildest; a turn without a known role takes any role for UNKNOWN.
 MERGE, RELABEL, RELABEL_SYSTEM, INSERT, UNKNOWN = 1.0, 2.5, 4.0, 2.0, 0.5
-FIELDS = ("cost", "turns")
 
 
 def moves(state: int, role: int | None) -> list[tuple[float, int, int, str, int | None, int]]:
@@ -148,41 +147,51 @@ def repair(turns: DataFrame, *, ranges: int | None = None) -> DataFrame:
 
     matrices = scratch.put(runs.mapInPandas(priced, "conv_id long, range int, matrix array<double>"), "matrices")
 
-    def joined(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("range")
-        m = [np.array(x).reshape(4, 4, 2) for x in part["matrix"]]
+    def way(conv: int | None, parts: list) -> list[tuple]:
+        """Where each range of a conversation begins and ends on the cheapest path, and after how many turns."""
+        m = [np.array(x["matrix"]).reshape(4, 4, 2) for x in parts]
         rest = [np.zeros((4, 2))]  # the best from each state to the end
         for x in reversed(m):
-            best = [min(((x[s, t, 0] + rest[-1][t, 0], x[s, t, 1] + rest[-1][t, 1], t) for t in range(4)), default=None) for s in range(4)]
-            rest.append(np.array([[c, n] for c, n, _ in best]))
+            best = [min((x[s, t, 0] + rest[-1][t, 0], x[s, t, 1] + rest[-1][t, 1]) for t in range(4)) for s in range(4)]
+            rest.append(np.array(best))
         rest.reverse()
         out, s, before = [], START, 0
-        for i, (r, x) in enumerate(zip(part["range"], m, strict=True)):
+        for i, x in enumerate(m):
             t = min(range(4), key=lambda t: (x[s, t, 0] + rest[i + 1][t, 0], x[s, t, 1] + rest[i + 1][t, 1], t))
-            out.append((part["conv_id"].iloc[0], r, s, t, before))
+            out.append((conv, parts[i]["range"], s, t, before))
             before += int(x[s, t, 1])
             s = t
-        return pd.DataFrame(out, columns=["conv_id", "range", "entry", "exit", "before"]).astype({"conv_id": "Int64"})
-
-    # at most one row for each range and conversation
-    ways = scratch.put(matrices.groupBy("conv_id").applyInPandas(joined, "conv_id long, range int, entry int, exit int, before long"), "ways")
-
-    def written(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("at")
-        roles_ = [role_of(r) for r in part["role"]]
-        turn = int(part["before"].iloc[0]) - 1
-        out = []
-        conv = part["conv_id"].iloc[0]
-        for (cost, _, begins, name, empty, take), text, at in zip(best_path(roles_, int(part["entry"].iloc[0]), int(part["exit"].iloc[0])), part["text"], part["at"], strict=True):
+        return out
+
+    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [w for conv, parts in zip(b["conv_id"].astype("Int64"), b["parts"], strict=True) for w in way(None if conv is pd.NA else conv, parts)]
+            yield pd.DataFrame(out, columns=["conv_id", "range", "entry", "exit", "before"]).astype({"conv_id": "Int64"})
+
+    # at most one matrix for each range in a conversation's list
+    lists = matrices.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("range", "matrix"))).alias("parts"))
+    ways = scratch.put(lists.mapInPandas(joined, "conv_id long, range int, entry int, exit int, before long"), "ways")
+
+    def fragments_of(conv: int | None, rng: int, entry: int, exit_: int, before: int, turns_: list) -> list[tuple]:
+        out, turn = [], before - 1
+        for (cost, _, begins, name, empty, take), x in zip(best_path([role_of(x["role"]) for x in turns_], entry, exit_), turns_, strict=True):
             if empty is not None:
                 turn += 1
-                out.append((conv, turn, NAMES[empty], "", "empty", 0.0, at, part["range"].iloc[0], True))
+                out.append((conv, turn, NAMES[empty], "", "empty", 0.0, x["at"], rng, True))
             turn += 1 if begins else 0
-            out.append((conv, turn, NAMES[take], text, name, cost, at, part["range"].iloc[0], bool(begins)))
-        return pd.DataFrame(out, columns=["conv_id", "out_turn", "role", "text", "op", "cost", "at", "range", "begins"]).astype({"conv_id": "Int64"})
+            out.append((conv, turn, NAMES[take], x["text"], name, cost, x["at"], rng, bool(begins)))
+        return out
 
-    whole = numbered.join(ways, numbered["conv_id"].eqNullSafe(ways["conv_id"]) & (numbered["range"] == ways["range"])).select(numbered["conv_id"], numbered["range"], "at", "role", "text", "entry", "exit", "before")
-    fragments = whole.groupBy("conv_id", "range").applyInPandas(written, "conv_id long, out_turn long, role string, text string, op string, cost double, at long, range int, begins boolean")
+    def written(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for conv, rng, entry, exit_, before, turns_ in zip(b["conv_id"].astype("Int64"), b["range"], b["entry"], b["exit"], b["before"], b["turns"], strict=True):
+                out += fragments_of(None if conv is pd.NA else conv, rng, entry, exit_, before, turns_)
+            yield pd.DataFrame(out, columns=["conv_id", "out_turn", "role", "text", "op", "cost", "at", "range", "begins"]).astype({"conv_id": "Int64"})
+
+    pieces = numbered.groupBy("conv_id", "range").agg(F.sort_array(F.collect_list(F.struct("at", "role", "text"))).alias("turns"))
+    whole = pieces.join(ways, pieces["conv_id"].eqNullSafe(ways["conv_id"]) & (pieces["range"] == ways["range"])).select(pieces["conv_id"], pieces["range"], "entry", "exit", "before", "turns")
+    fragments = whole.mapInPandas(written, "conv_id long, out_turn long, role string, text string, op string, cost double, at long, range int, begins boolean")
     return fragments.select(
         "conv_id",
         "out_turn",
