@@ -760,7 +760,7 @@ def allowlist_stats(spark: SparkSession, sf: str) -> DataFrame:
 @query("allowlist_refreshes", f"with {_ALLOW} select cast(ts as date) as day, count(*) as n, min(source) as source from al group by 1 order by 1 desc limit 5")
 def allowlist_refreshes(spark: SparkSession, sf: str) -> DataFrame:
     sizes, _ = universe.churn_verification(_allowlist(spark, sf), _allowlist(spark, sf).withColumns({"action": F.lit("add"), "reason": F.lit("new")}))
-    return sizes.select(F.to_date("ts").alias("day"), "n", "source")
+    return sizes.select(F.date_trunc("day", "ts").alias("day"), "n", "source")
 
 
 @query("churn_log", "with a as (select 's' || s_suppkey as pair_address from supplier where s_suppkey % 2 = 0), b as (select 's' || s_suppkey as pair_address from supplier where s_suppkey % 3 = 0) select pair_address, 'remove' as action from (select * from a except select * from b) union all select pair_address, 'add' from (select * from b except select * from a)")
