@@ -29,7 +29,7 @@ FIRST_DAY, DAYS_A, DAYS_B = "1900-01-01", 229, 319
 
 #: Kinds in the order in which they are tried; the first that fits at a place takes it.
 PATTERNS = (
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"),
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"),
     ("token", r"(?<![A-Za-z0-9])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32}|[0-9A-F]{64}|[0-9A-F]{40}|[0-9A-F]{32})(?![A-Za-z0-9])"),
     ("access_key", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
@@ -43,6 +43,11 @@ PATTERNS = (
 ANY = "|".join(p for _, p in PATTERNS)
 
 
+def _with(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` names it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def _chars(s: Column) -> Column:
     return F.filter(F.split(s, ""), lambda c: c != "")
 
@@ -71,23 +76,32 @@ def _add(half: Column, classes: Column, other: Column, r: Column, key: Column, l
     return F.array_join(F.transform(F.array(_pad(key, r, other, longest)), lambda pad: F.array_join(F.transform(_chars(half), lambda c, i: one(c, i, pad)), "")), "")
 
 
-def feistel(text: Column, classes: Column, key: Column, longest: int = 64) -> Column:
+def feistel(text: Column, classes: Column, key: Column, longest: int = 32) -> Column:
     """The pseudonym of ``text``; ``classes`` is as long and has a key of ALPHABETS for each character
     to permute and any other character for one to keep. ``longest`` bounds the length of a half."""
-    n = F.length(text)
-    cut = F.floor(n / 2).cast("int")
-    halves = F.struct(F.substring(text, F.lit(1), cut).alias("a"), F.substring(text, cut + 1, n).alias("b"))
-    ca, cb = F.substring(classes, F.lit(1), cut), F.substring(classes, cut + 1, n)
-    tag = F.concat_ws("|", key, n.cast("string"))
+    given = F.struct(text.alias("text"), classes.alias("classes"), F.floor(F.length(text) / 2).cast("int").alias("cut"))
+    parts = _with(
+        given,
+        lambda g: F.struct(
+            F.substring(g["text"], F.lit(1), g["cut"]).alias("a"),
+            F.substring(g["text"], g["cut"] + 1, F.length(g["text"])).alias("b"),
+            F.substring(g["classes"], F.lit(1), g["cut"]).alias("ca"),
+            F.substring(g["classes"], g["cut"] + 1, F.length(g["text"])).alias("cb"),
+            F.concat_ws("|", key, F.length(g["text"]).cast("string")).alias("tag"),
+        ),
+    )
 
-    def turn(acc: Column, r: Column) -> Column:
-        even = r % 2 == 0
-        return F.struct(
-            F.when(even, _add(acc["a"], ca, acc["b"], r, tag, longest)).otherwise(acc["a"]).alias("a"),
-            F.when(even, acc["b"]).otherwise(_add(acc["b"], cb, acc["a"], r, tag, longest)).alias("b"),
-        )
+    def rounds(p: Column) -> Column:
+        def turn(acc: Column, r: Column) -> Column:
+            even = r % 2 == 0
+            return F.struct(
+                F.when(even, _add(acc["a"], p["ca"], acc["b"], r, p["tag"], longest)).otherwise(acc["a"]).alias("a"),
+                F.when(even, acc["b"]).otherwise(_add(acc["b"], p["cb"], acc["a"], r, p["tag"], longest)).alias("b"),
+            )
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), halves, turn, lambda acc: F.concat(acc["a"], acc["b"]))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.struct(p["a"].alias("a"), p["b"].alias("b")), turn, lambda acc: F.concat(acc["a"], acc["b"]))
+
+    return _with(parts, rounds)
 
 
 def feistel_number(x: Column, size_a: int, size_b: int, key: Column) -> Column:
@@ -115,11 +129,14 @@ def _refill(form: Column, place: str, filling: Column) -> Column:
     """``form`` with its characters that match ``place`` replaced, in order, by those of ``filling``."""
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("used"))
 
-    def step(acc: Column, c: Column) -> Column:
-        hit = c.rlike(place)
-        return F.struct(F.concat(acc["out"], F.when(hit, F.substring(filling, acc["used"] + 1, F.lit(1))).otherwise(c)).alias("out"), (acc["used"] + hit.cast("int")).alias("used"))
+    def filled(f: Column) -> Column:
+        def step(acc: Column, c: Column) -> Column:
+            hit = c.rlike(place)
+            return F.struct(F.concat(acc["out"], F.when(hit, F.substring(f, acc["used"] + 1, F.lit(1))).otherwise(c)).alias("out"), (acc["used"] + hit.cast("int")).alias("used"))
+
+        return F.aggregate(_chars(form), start, step, lambda acc: acc["out"])
 
-    return F.aggregate(_chars(form), start, step, lambda acc: acc["out"])
+    return _with(filling, filled)
 
 
 def luhn_sum(digits: Column) -> Column:
@@ -159,16 +176,16 @@ def _token(m: Column, key: Column) -> Column:
 
 def _access_key(m: Column, key: Column) -> Column:
     body = F.substring(m, 5, 16)
-    return F.concat(F.substring(m, 1, 4), feistel(body, _class_of_each(body), F.concat(key, F.lit("access"))))
+    return F.concat(F.substring(m, 1, 4), feistel(body, _class_of_each(body), F.concat(key, F.lit("access")), 8))
 
 
 def _iban(m: Column, key: Column) -> Column:
     plain = F.replace(m, F.lit(" "), F.lit(""))
     country, body = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.length(plain))
-    new = feistel(body, _class_of_each(body), F.concat(key, F.lit("iban"), country))
-    check = F.lpad((98 - _mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
+    new = feistel(body, _class_of_each(body), F.concat(key, F.lit("iban"), country), 15)
+    whole = _with(new, lambda x: F.concat(country, F.lpad((98 - _mod97(F.concat(x, country, F.lit("00")))).cast("string"), 2, "0"), x))
     valid = F.length(plain).between(15, 34) & (_mod97(F.concat(body, country, F.substring(plain, 3, 2))) == 1)
-    return F.when(valid, _refill(m, "[A-Z0-9]", F.concat(country, check, new)))
+    return F.when(valid, _refill(m, "[A-Z0-9]", whole))
 
 
 def _date(m: Column, key: Column) -> Column:
@@ -181,33 +198,33 @@ def _date(m: Column, key: Column) -> Column:
     day = F.datediff(F.when(iso, ymd).otherwise(F.coalesce(dmy, mdy)).cast("date"), F.lit(FIRST_DAY).cast("date"))
     new = F.date_add(F.lit(FIRST_DAY).cast("date"), feistel_number(day.cast("long"), DAYS_A, DAYS_B, F.concat(key, F.lit("date"))).cast("int"))
     months_first = ~iso & dmy.isNull()
-    out = (
-        F.when(iso, F.date_format(new, "yyyy-MM-dd"))
-        .when(months_first, F.concat_ws("/", F.date_format(new, "MM"), F.date_format(new, "dd"), F.date_format(new, "yyyy")))
-        .otherwise(F.concat(F.date_format(new, "dd"), sep, F.date_format(new, "MM"), sep, F.date_format(new, "yyyy")))
-    )
-    return F.when(day.between(0, DAYS_A * DAYS_B - 1), F.when(months_first, F.replace(out, F.lit("/"), sep)).otherwise(out))
+
+    def written(d: Column) -> Column:
+        yyyy, mm, dd = (F.date_format(d, f) for f in ("yyyy", "MM", "dd"))
+        return F.when(iso, F.concat_ws("-", yyyy, mm, dd)).when(months_first, F.concat(mm, sep, dd, sep, yyyy)).otherwise(F.concat(dd, sep, mm, sep, yyyy))
+
+    return F.when(day.between(0, DAYS_A * DAYS_B - 1), _with(new, written))
 
 
 def _ip(m: Column, key: Column) -> Column:
     o = [F.split(m, r"\.")[i].cast("long") for i in range(4)]
     n = feistel_number(((o[0] * 256 + o[1]) * 256 + o[2]) * 256 + o[3], 65536, 65536, F.concat(key, F.lit("ip")))
-    parts = [F.shiftright(n, s).bitwiseAND(255).cast("string") for s in (24, 16, 8, 0)]
-    return F.when((o[0] < 256) & (o[1] < 256) & (o[2] < 256) & (o[3] < 256), F.concat_ws(".", *parts))
+    new = _with(n, lambda x: F.concat_ws(".", *[F.shiftright(x, s).bitwiseAND(255).cast("string") for s in (24, 16, 8, 0)]))
+    return F.when((o[0] < 256) & (o[1] < 256) & (o[2] < 256) & (o[3] < 256), new)
 
 
 def _ssn(m: Column, key: Column) -> Column:
     valid = ~m.rlike("^(000|666|9..)-") & ~m.rlike("-00-") & ~m.rlike("-0000$")
-    return F.when(valid, _refill(m, "[0-9]", feistel(_digits(m), _same("d", F.lit(9)), F.concat(key, F.lit("ssn")))))
+    return F.when(valid, _refill(m, "[0-9]", feistel(_digits(m), _same("d", F.lit(9)), F.concat(key, F.lit("ssn")), 5)))
 
 
 def _card(m: Column, key: Column) -> Column:
     d = _digits(m)
     n = F.length(d)
     head = F.substring(d, F.lit(1), n - 1)
-    new = F.concat(F.substring(head, 1, 1), feistel(F.substring(head, F.lit(2), n), _same("d", n - 2), F.concat(key, F.lit("card"))))
-    check = (10 - luhn_sum(F.concat(new, F.lit("0"))) % 10) % 10
-    return F.when(n.between(13, 19) & (luhn_sum(d) % 10 == 0), _refill(m, "[0-9]", F.concat(new, check.cast("string"))))
+    new = F.concat(F.substring(head, 1, 1), feistel(F.substring(head, F.lit(2), n), _same("d", n - 2), F.concat(key, F.lit("card")), 9))
+    whole = _with(new, lambda x: F.concat(x, ((10 - luhn_sum(F.concat(x, F.lit("0"))) % 10) % 10).cast("string")))
+    return F.when(n.between(13, 19) & (luhn_sum(d) % 10 == 0), _refill(m, "[0-9]", whole))
 
 
 def _phone(m: Column, key: Column) -> Column:
@@ -217,14 +234,14 @@ def _phone(m: Column, key: Column) -> Column:
     code, own = F.substring(d, F.lit(1), n - 10), F.substring(d, n - 9, F.lit(10))
     lead = lambda i: F.when(F.substring(own, i, 1).rlike("[2-9]"), "n").otherwise("d")
     classes = F.concat(lead(1), F.lit("dd"), lead(4), F.lit("dddddd"))
-    return _refill(m, "[0-9]", F.concat(code, feistel(own, classes, F.concat(key, F.lit("phone")))))
+    return _refill(m, "[0-9]", F.concat(code, feistel(own, classes, F.concat(key, F.lit("phone")), 5)))
 
 
 def _phone_intl(m: Column, key: Column) -> Column:
     """Keeps the sign and the digits that follow it as far as the country code goes (two of them)."""
     d = _digits(m)
     n = F.length(d)
-    new = F.concat(F.substring(d, 1, 2), feistel(F.substring(d, F.lit(3), n), _same("d", n - 2), F.concat(key, F.lit("intl"))))
+    new = F.concat(F.substring(d, 1, 2), feistel(F.substring(d, F.lit(3), n), _same("d", n - 2), F.concat(key, F.lit("intl")), 7))
     return F.when(n.between(8, 15), _refill(m, "[0-9]", new))
 
 
