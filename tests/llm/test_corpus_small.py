@@ -226,6 +226,59 @@ def test_tree_matching_aligns_across_a_missing_node():
     assert html_text.match_trees(a, b) == {0: 0, 1: 1, 3: 2, 4: 3}
 
 
+def test_lists_tables_and_long_pages_are_aligned(spark):
+    menu = "".join(f"<section><div class='s{k}'></div></section>" for k in range(300))
+    rows = []
+    for i in range(8):
+        cells = ["Yes" if k == i % 8 else f"v{i}-{k}" for k in range(8)]  # on every page, each time in another cell
+        table = "".join(f"<tr><td>{c}</td></tr>" for c in cells)
+        items = "".join(f"<li>item {i} {k}</li>" for k in range(i + 1))
+        rows.append((i, f"https://c.example/{i}", f"<body><table>{table}</table><ul>{items}</ul>{menu}<div class='box'>Stay in touch</div><div class='text'>Own {i}</div></body>"))
+    out = {r["page_id"]: r["text"].split() for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(8):
+        assert out[i].count("Yes") == 1 and "Stay" not in out[i] and out[i][-2:] == ["Own", str(i)]
+        assert out[i].count("item") == i + 1
+
+
+def most_pairs(a, b):
+    """Size of the largest matching, by plain recursion."""
+    ca, cb = html_text.children(a), html_text.children(b)
+
+    def best(x, y):
+        if a[x][1] != b[y][1]:
+            return 0
+
+        def rows(xs, ys):
+            return max(rows(xs[1:], ys), rows(xs, ys[1:]), best(xs[0], ys[0]) + rows(xs[1:], ys[1:])) if xs and ys else 0
+
+        return 1 + rows(ca[x], cb[y])
+
+    return best(0, 0)
+
+
+def test_tree_matching_equals_brute_force():
+    rng = np.random.default_rng(5)
+
+    def tree():
+        nodes, path = [(-1, "#")], [0]
+        for i in range(1, int(rng.integers(2, 9))):
+            path = path[: int(rng.integers(1, len(path) + 1))]
+            nodes.append((path[-1], "ab"[int(rng.integers(0, 2))]))
+            path.append(i)
+        return nodes
+
+    for _ in range(200):
+        a, b = tree(), tree()
+        pairs = html_text.match_trees(a, b)
+        assert len(pairs) == most_pairs(a, b) and len(set(pairs.values())) == len(pairs)
+        assert all(a[x][1] == b[y][1] and (x == 0 or pairs[a[x][0]] == b[y][0]) for x, y in pairs.items())
+        shapes = html_text.Shapes()
+        xs, ys = ([shapes.read([(-1, k)])[0] for k in rng.choice(list("abc"), 12)] for _ in range(2))
+        assert len(shapes.align(xs, ys, cells=4)) == len(shapes.align(xs, ys))
+    deep = [(-1, "#")] + [(i, "div") for i in range(3000)]
+    assert len(html_text.match_trees(deep, deep[:2500])) == 2500
+
+
 # --- archives
 
 

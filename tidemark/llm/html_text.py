@@ -1,7 +1,8 @@
 """Main text of web pages by wrapper induction over the pages of each host.
 
 A page becomes a tree of containers with slots of text. The most common tree of a host is its
-reference; simple tree matching aligns every page of the host with it. Slots whose text is the same
+reference; simple tree matching aligns every page of the host with it, whole, list items and table
+cells included. Text of containers that match none of the reference is content. Slots whose text is the same
 on most pages of the host are template, slots that vary are content. Containers that say what they
 are (menus, footers, adverts, forms, comments ...) are never content, and text inside an article
 element always is, however often other pages repeat it.
@@ -11,9 +12,10 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from zlib import crc32
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +32,7 @@ _TOKEN = re.compile(
 )
 _CONTAINERS = frozenset("html head body div section article main nav header footer aside form ul ol li dl table tbody thead tr td th blockquote pre figure details dialog menu button fieldset label center".split())
 _BREAKS = frozenset("p br hr h1 h2 h3 h4 h5 h6 dt dd summary figcaption caption option img input address".split())
+_REPEATED = frozenset("li tr td th".split())
 _NEVER = frozenset("head nav footer aside form menu dialog button fieldset label".split())
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _NOISE = re.compile(
@@ -78,7 +81,7 @@ def parse(page: str | None) -> tuple[list[tuple[int, str]], list[tuple[int, int,
             if tag == "li" and stack[-1][0] == "li":
                 stack.pop()
             _, parent, state = stack[-1]
-            names = " ".join(next(filter(None, x), "") for x in _NAMES.findall(m["attrs"] or ""))
+            names = " ".join(" ".join(next(filter(None, x), "") for x in _NAMES.findall(m["attrs"] or "")).split())
             if tag in _NEVER or (names and _NOISE.search(names)):
                 state = -1
             elif state == 0 and (tag == "header" or (names and _HEADER.search(names))):
@@ -103,55 +106,143 @@ def children(nodes: list[tuple[int, str]]) -> list[list[int]]:
     return out
 
 
-def match_trees(a: list[tuple[int, str]], b: list[tuple[int, str]]) -> dict[int, int]:
-    """Simple tree matching: pairs of nodes of a and b, order and ancestry kept, as many as can be."""
+class Shapes:
+    """Numbers for equal subtrees, so that each pair of them is compared once."""
+
+    def __init__(self):
+        self.number: dict[tuple, int] = {}
+        self.of: list[tuple[str, tuple[int, ...]]] = []
+        self.size: list[int] = []
+        self.height: list[int] = []
+        self.score: dict[tuple[int, int], int] = {}
+
+    def read(self, nodes: list[tuple[int, str]]) -> list[int]:
+        """The number of each node's subtree; children stand behind their parents."""
+        below, out = children(nodes), [0] * len(nodes)
+        for i in range(len(nodes) - 1, -1, -1):
+            key = (nodes[i][1], tuple(out[c] for c in below[i]))
+            if key not in self.number:
+                self.number[key] = len(self.of)
+                self.of.append(key)
+                self.size.append(1 + sum(self.size[c] for c in key[1]))
+                self.height.append(1 + max((self.height[c] for c in key[1]), default=0))
+            out[i] = self.number[key]
+        return out
+
+    def ends(self, xs: Sequence[int], ys: Sequence[int]) -> tuple[int, int]:
+        """How many first and last siblings are equal subtrees; to pair these with each other is best."""
+        n, k, e = min(len(xs), len(ys)), 0, 0
+        while k < n and xs[k] == ys[k]:
+            k += 1
+        while e < n - k and xs[-1 - e] == ys[-1 - e]:
+            e += 1
+        return k, e
+
+    def weights(self, xs: Sequence[int], ys: Sequence[int]) -> tuple[dict[int, int], np.ndarray, np.ndarray]:
+        """The score of each different one of xs against each of ys."""
+        rows, (kinds, at) = {x: i for i, x in enumerate(dict.fromkeys(xs))}, np.unique(np.asarray(ys, dtype=np.int64), return_inverse=True)
+        return rows, np.array([[self.pair(x, y) for y in kinds.tolist()] for x in rows], dtype=np.int64), at
+
+    def pair(self, x: int, y: int) -> int:
+        return self.size[x] if x == y else self.score[x, y] if self.of[x][0] == self.of[y][0] else 0
+
+    def table(self, xs: Sequence[int], ys: Sequence[int], *, whole: bool) -> np.ndarray:
+        """Best scores of the first i of xs with the first j of ys; for all i, or for the last only."""
+        rows, w, at = self.weights(xs, ys)
+        last = np.zeros(len(ys) + 1, dtype=np.int64)
+        out = [last]
+        for x in xs:
+            now = last.copy()
+            np.maximum(last[1:], last[:-1] + w[rows[x]][at], out=now[1:])
+            last = np.maximum.accumulate(now)
+            if whole:
+                out.append(last)
+        return np.array(out) if whole else last
+
+    def prepare(self, x: int, y: int) -> None:
+        """Scores of x and y and of the pairs below them that they need."""
+        todo, needed = [(x, y)], set()
+        while todo:
+            x, y = todo.pop()
+            if x == y or self.of[x][0] != self.of[y][0] or (x, y) in needed or (x, y) in self.score:
+                continue
+            needed.add((x, y))
+            xs, ys = self.of[x][1], self.of[y][1]
+            k, e = self.ends(xs, ys)
+            todo += [(p, q) for p in set(xs[k : len(xs) - e]) for q in set(ys[k : len(ys) - e])]
+        for x, y in sorted(needed, key=lambda xy: self.height[xy[0]]):
+            xs, ys = self.of[x][1], self.of[y][1]
+            k, e = self.ends(xs, ys)
+            equal = sum(self.size[c] for c in (*xs[:k], *xs[len(xs) - e :]))
+            xs, ys = xs[k : len(xs) - e], ys[k : len(ys) - e]
+            self.score[x, y] = 1 + equal + (int(self.table(xs, ys, whole=False)[-1]) if xs and ys else 0)
+
+    def align(self, xs: Sequence[int], ys: Sequence[int], cells: int = 1 << 21) -> list[tuple[int, int]]:
+        """Places of paired siblings; long rows are halved, so that no table has more than ``cells``."""
+        out, todo = [], [(0, 0, list(xs), list(ys))]
+        while todo:
+            a, b, xs, ys = todo.pop()
+            k, e = self.ends(xs, ys)
+            out += [(a + i, b + i) for i in range(k)] + [(a + len(xs) - i, b + len(ys) - i) for i in range(1, e + 1)]
+            a, b, xs, ys = a + k, b + k, xs[k : len(xs) - e], ys[k : len(ys) - e]
+            if not xs or not ys:
+                continue
+            if len(xs) > 1 and len(xs) * len(ys) > cells:
+                half = len(xs) // 2
+                cut = int(np.argmax(self.table(xs[:half], ys, whole=False) + self.table(xs[half:][::-1], ys[::-1], whole=False)[::-1]))
+                todo += [(a, b, xs[:half], ys[:cut]), (a + half, b + cut, xs[half:], ys[cut:])]
+                continue
+            m, i, j = self.table(xs, ys, whole=True), len(xs), len(ys)
+            while i and j:
+                if (w := self.pair(xs[i - 1], ys[j - 1])) and m[i][j] == m[i - 1][j - 1] + w:
+                    i, j = i - 1, j - 1
+                    out.append((a + i, b + j))
+                elif m[i][j] == m[i - 1][j]:
+                    i -= 1
+                else:
+                    j -= 1
+        return out
+
+
+def match_trees(a: list[tuple[int, str]], b: list[tuple[int, str]], shapes: Shapes | None = None) -> dict[int, int]:
+    """Simple tree matching: pairs of nodes of a and b, order and ancestry kept, as many as can be.
+    Nodes stand in document order. Trees of any size and depth are matched whole."""
+    shapes = shapes or Shapes()
+    na, nb = shapes.read(a), shapes.read(b)
+    if a[0][1] != b[0][1]:
+        return {}
+    shapes.prepare(na[0], nb[0])
     ca, cb = children(a), children(b)
-    memo: dict[tuple[int, int], tuple[int, list]] = {}
-
-    def best(x: int, y: int) -> int:
-        if a[x][1] != b[y][1]:
-            return 0
-        if (x, y) in memo:
-            return memo[x, y][0]
-        xs, ys = ca[x], cb[y]
-        m = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
-        for i, p in enumerate(xs, 1):
-            for j, q in enumerate(ys, 1):
-                m[i][j] = max(m[i - 1][j], m[i][j - 1], m[i - 1][j - 1] + best(p, q))
-        memo[x, y] = (m[-1][-1] + 1, m)
-        return memo[x, y][0]
-
     pairs: dict[int, int] = {}
-    if not best(0, 0):
-        return pairs
     todo = [(0, 0)]
     while todo:
         x, y = todo.pop()
+        if na[x] == nb[y]:
+            pairs.update((x + i, y + i) for i in range(shapes.size[na[x]]))
+            continue
         pairs[x] = y
-        m, i, j = memo[x, y][1], len(ca[x]), len(cb[y])
-        while i and j:
-            p, q = ca[x][i - 1], cb[y][j - 1]
-            if a[p][1] == b[q][1] and m[i][j] == m[i - 1][j - 1] + best(p, q):
-                todo.append((p, q))
-                i, j = i - 1, j - 1
-            elif m[i][j] == m[i - 1][j]:
-                i -= 1
-            else:
-                j -= 1
+        todo += [(ca[x][i], cb[y][j]) for i, j in shapes.align([na[c] for c in ca[x]], [nb[c] for c in cb[y]])]
     return pairs
 
 
-def skeleton(nodes: list[tuple[int, str]], longest: int = 400) -> str:
-    """The tree as text, list items left out, for counting; trees beyond ``longest`` nodes by their top."""
-    keep = [i for i, (_, label) in enumerate(nodes) if not label.startswith(("li", "tr", "td", "th"))][:longest]
-    new = {old: i for i, old in enumerate(keep)}
-    parents = []
-    for old in keep:
-        p = nodes[old][0]
-        while p >= 0 and p not in new:
-            p = nodes[p][0]
-        parents.append(new.get(p, -1))
-    return "\n".join(f"{p} {nodes[old][1]}" for p, old in zip(parents, keep, strict=True))
+def skeleton(nodes: list[tuple[int, str]]) -> str:
+    """The whole tree as text, for counting."""
+    return "\n".join(f"{p} {label}" for p, label in nodes)
+
+
+def outline(nodes: list[tuple[int, str]]) -> int:
+    """A number that trees share which differ in items, rows and cells only."""
+    kept: list[int] = []  # for each node the number of its nearest kept one
+    lines, n = [], 0
+    for p, label in nodes:
+        up = kept[p] if p >= 0 else -1
+        if label.split(".", 1)[0] in _REPEATED:
+            kept.append(up)
+        else:
+            kept.append(n)
+            n += 1
+            lines.append(f"{up} {label}")
+    return crc32("\n".join(lines).encode("utf-8", "surrogatepass"))
 
 
 def from_skeleton(text: str) -> list[tuple[int, str]]:
@@ -163,19 +254,18 @@ class Aligner:
 
     def __init__(self, limit: int = 5000):
         self.known: dict[tuple[str, str], dict[int, int]] = {}
+        self.shapes = Shapes()
         self.limit = limit
 
     def slots(self, nodes: list[tuple[int, str]], reference: str | None) -> dict[int, int]:
         """For each container of the page its node of the reference, where it has one."""
-        own = skeleton(nodes)
-        key = (own, reference or "")
+        key = (skeleton(nodes), reference or "")
         if key not in self.known:
-            if len(self.known) >= self.limit:
+            if len(self.known) >= self.limit or len(self.shapes.of) + len(self.shapes.score) > 100 * self.limit:
                 self.known.clear()
-            self.known[key] = match_trees(from_skeleton(own), from_skeleton(reference or ""))
-        pairs = self.known[key]
-        keep = [i for i, (_, label) in enumerate(nodes) if not label.startswith(("li", "tr", "td", "th"))][:400]
-        return {old: pairs[i] for i, old in enumerate(keep) if i in pairs}
+                self.shapes = Shapes()
+            self.known[key] = match_trees(nodes, from_skeleton(reference or ""), self.shapes)
+        return self.known[key]
 
 
 def template_key(node: int, text: str) -> int:
@@ -187,13 +277,13 @@ def extract(page: str | None, reference: str | None, template: frozenset | set,
     if any(state == 1 for _, _, state, _ in blocks):
         return " ".join(text for _, _, state, text in blocks if state == 1)
     slots = aligner.slots(nodes, reference) if template else {}
-    return " ".join(text for node, _, state, text in blocks if state == 0 and template_key(slots.get(node, -1) + 1, text) not in template)
+    return " ".join(text for node, _, state, text in blocks if state == 0 and (node not in slots or template_key(slots[node], text) not in template))
 
 
 def induce(pages: DataFrame, host: str, *, least_pages: int = 4, share: float = 0.5) -> DataFrame:
     """One row per host: its reference tree and its template, as keys of node and text.
 
-    All pages count. Trees and texts are counted where they lie before they are shuffled, so a host
+    The reference is the most common tree of the most common outline. All pages count. Trees and texts are counted where they lie before they are shuffled, so a host
     that has a third of all pages is no burden. A text is template if more than ``share`` of the
     host's pages, and ``least_pages`` at least, have it in the same slot; that bounds a template by
     the slots of a tree. Only text outside articles and outside marked noise is counted.
@@ -201,10 +291,12 @@ def induce(pages: DataFrame, host: str, *, least_pages: int = 4, share: float =
 
     def trees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({host: b[host], "reference": [skeleton(parse(h)[0]) for h in b["html"]]})
+            nodes = [parse(h)[0] for h in b["html"]]
+            yield pd.DataFrame({host: b[host], "outline": [outline(n) for n in nodes], "reference": [skeleton(n) for n in nodes]})
 
-    counted = pages.select(host, "html").mapInPandas(trees, f"{host} string, reference string").groupBy(host, "reference").count()
-    references = counted.groupBy(host).agg(F.max_by("reference", F.struct("count", "reference")).alias("reference"), F.sum("count").alias("n_pages"))
+    counted = pages.select(host, "html").mapInPandas(trees, f"{host} string, outline long, reference string").groupBy(host, "outline", "reference").count()
+    kinds = counted.groupBy(host, "outline").agg(F.max_by("reference", F.struct("count", "reference")).alias("reference"), F.sum("count").alias("count"))
+    references = kinds.groupBy(host).agg(F.max_by("reference", F.struct("count", "reference")).alias("reference"), F.sum("count").alias("n_pages"))
     references = Scratch(pages.sparkSession).put(references, "references")
 
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -218,7 +310,7 @@ def induce(pages: DataFrame, host: str, *, least_pages: int = 4, share: float =
                 if any(state == 1 for _, _, state, _ in blocks):
                     continue
                 slots = aligner.slots(nodes, ref)
-                rows += [(h, k) for k in {template_key(slots.get(node, -1) + 1, t) for node, _, state, t in blocks if state == 0}]
+                rows += [(h, k) for k in {template_key(slots[node], t) for node, _, state, t in blocks if state == 0 and node in slots}]
             yield pd.DataFrame(rows, columns=[host, "key"])
 
     joined = pages.select(host, "html").join(references, host)
