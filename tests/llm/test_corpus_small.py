@@ -226,6 +226,20 @@ def test_tree_matching_aligns_across_a_missing_node():
     assert html_text.match_trees(a, b) == {0: 0, 1: 1, 3: 2, 4: 3}
 
 
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<html class='cookies'><body class='has-sidebar search'>a<main class='no-comments comments'>b", "a b"),
+        ("<body><article class='post category-ads related'>a<div class='x-share'>b</div><div class='share x'>c</div></article>", "a b"),
+        ("<body><div class='modal'>a<main>b</main></div><form>c<article>d<section id='comments'><article>e</article></section></article></form>", "d"),
+        ("<body><div class='modal'>a<main>b<div role='search'>c</div></main></div><nav><main>d</main></nav>", "b"),
+        ("<body><div class='no-header'>a</div><div class='site-header'>b</div>", "a"),
+    ],
+)
+def test_names_of_whole_pages_say_nothing(html, text):
+    assert html_text.extract(html, None, frozenset(), html_text.Aligner()) == text
+
+
 def test_lists_tables_and_long_pages_are_aligned(spark):
     menu = "".join(f"<section><div class='s{k}'></div></section>" for k in range(300))
     rows = []

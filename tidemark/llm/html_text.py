@@ -35,20 +35,32 @@ _BREAKS = frozenset("p br hr h1 h2 h3 h4 h5 h6 dt dd summary figcaption caption
 _REPEATED = frozenset("li tr td th".split())
 _NEVER = frozenset("head nav footer aside form menu dialog button fieldset label".split())
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+#: Whole tokens of a class, id or role.
 _NOISE = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menus?|breadcrumbs?|masthead|top-?bar|footer|contentinfo|side-?bar|aside|complementary|widgets?|ads?|adverts?|advertisement|advertising|adsense|sponsor(?:ed)?|promo(?:tion)?s?"
-    r"|banner|cookies?|consent|gdpr|notices?|alert|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommend(?:ed|ations)?|comments?|respond|replies|reply|disqus|popup|modal|overlay|pagination|pager|search|skip-?link)(?:$|[\s_-])",
+    r"nav|navbar|navigation|menus?|breadcrumbs?|masthead|top-?bar|footer|contentinfo|side-?bar|aside|complementary|widgets?|ads?|adverts?|advertisement|advertising|adsense|sponsor(?:ed)?|promo(?:tion)?s?"
+    r"|banner|cookies?|consent|gdpr|notices?|alert|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommend(?:ed|ations)?|comments?|respond|replies|reply|disqus|popup|modal|overlay|pagination|pager|search|skip-?link",
     re.IGNORECASE,
 )
-_HEADER = re.compile(r"(?:^|[\s_-])(?:header|site-?head)(?:$|[\s_-])", re.IGNORECASE)
+_HEADER = re.compile(r"header|site-?head(?:er)?", re.IGNORECASE)
+#: Containers that hold whole pages or their main text, whatever their names say.
+_WHOLE = frozenset("html body main article".split())
+#: Containers of noise that pages are sometimes wrapped in.
+_WRAPPERS = frozenset("form fieldset".split())
+
+
+def _any(pattern: re.Pattern, names: str) -> bool:
+    return any(map(pattern.fullmatch, names.split()))
 
 
 def parse(page: str | None) -> tuple[list[tuple[int, str]], list[tuple[int, int, int, str]]]:
     """Containers as (parent, label), the root first, and blocks of text as (container, order among
-    that container's blocks, state, text); state: 0 plain, 1 in an article, -1 in a container of noise."""
+    that container's blocks, state, text); state: 0 plain, 1 in an article, -1 in a container of noise.
+
+    An article or main lifts the noise of names and forms around it; within an article or main, and in
+    menus, footers and the like by tag, noise stays noise (comments are articles, too)."""
     nodes: list[tuple[int, str]] = [(-1, "#")]
     blocks: list[tuple[int, int, int, str]] = []
-    stack: list[tuple[str, int, int]] = [("#", 0, 0)]  # tag, node, state
+    stack: list[tuple[str, int, int, bool]] = [("#", 0, 0, True)]  # tag, node, state (-2: never lifted), outside article and main
     count = [0]
     buffer: list[str] = []
 
@@ -57,8 +69,8 @@ def parse(page: str | None) -> tuple[list[tuple[int, str]], list[tuple[int, int,
             text = " ".join(entities.unescape("".join(buffer)).split())
             buffer.clear()
             if text:
-                _, node, state = stack[-1]
-                blocks.append((node, count[node], state, text))
+                _, node, state, _ = stack[-1]
+                blocks.append((node, count[node], max(state, -1), text))
                 count[node] += 1
 
     at = 0
@@ -80,17 +92,24 @@ def parse(page: str | None) -> tuple[list[tuple[int, str]], list[tuple[int, int,
                 continue
             if tag == "li" and stack[-1][0] == "li":
                 stack.pop()
-            _, parent, state = stack[-1]
+            _, parent, state, outside = stack[-1]
             names = " ".join(" ".join(next(filter(None, x), "") for x in _NAMES.findall(m["attrs"] or "")).split())
-            if tag in _NEVER or (names and _NOISE.search(names)):
-                state = -1
-            elif state == 0 and (tag == "header" or (names and _HEADER.search(names))):
+            if tag in _WHOLE:
+                if tag in ("main", "article"):
+                    if state == -1 and outside:
+                        state = 0
+                    if state == 0 and tag == "article":
+                        state = 1
+                    outside = False
+            elif tag in _NEVER and tag not in _WRAPPERS:
+                state = -2
+            elif tag in _WRAPPERS or (names and _any(_NOISE, names)):
+                state = min(state, -1)
+            elif state == 0 and (tag == "header" or (names and _any(_HEADER, names))):
                 state = -1
-            elif state == 0 and tag == "article":
-                state = 1
             nodes.append((parent, f"{tag}.{names}" if names else tag))
             count.append(0)
-            stack.append((tag, len(nodes) - 1, state))
+            stack.append((tag, len(nodes) - 1, state, outside))
         elif m["raw"]:
             pass
     if at < len(page):
