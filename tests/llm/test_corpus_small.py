@@ -226,6 +226,22 @@ def test_tree_matching_aligns_across_a_missing_node():
     assert html_text.match_trees(a, b) == {0: 0, 1: 1, 3: 2, 4: 3}
 
 
+def test_articles_are_aligned_like_all_else(spark):
+    top = "<div class='wrap'><div class='box'>Stay in touch</div>"
+    rows = []
+    for i in range(12):
+        if i < 6:
+            body = f"{top}<div class='lead'>Lead {i}</div><article class='post-{i}'><p>House rules apply</p><p>Own {i}</p></article></div>"
+        else:
+            body = f"{top}<div class='list'>List {i}</div></div>"
+        rows.append((i, f"https://d.example/{i}", f"<html><body class='page-{i}'>{body}</body></html>"))
+    rows += [(20 + i, f"https://d.example/copy/{i}", rows[0][2]) for i in range(30)]  # copies of a page say nothing new
+    out = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(12):
+        assert out[i] == (f"Lead {i} Own {i}" if i < 6 else f"List {i}")
+    assert {out[20 + i] for i in range(30)} == {"Lead 0 Own 0"}
+
+
 @pytest.mark.parametrize(
     ("html", "text"),
     [

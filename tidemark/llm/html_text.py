@@ -1,11 +1,11 @@
 """Main text of web pages by wrapper induction over the pages of each host.
 
-A page becomes a tree of containers with slots of text. The most common tree of a host is its
-reference; simple tree matching aligns every page of the host with it, whole, list items and table
-cells included. Text of containers that match none of the reference is content. Slots whose text is the same
-on most pages of the host are template, slots that vary are content. Containers that say what they
-are (menus, footers, adverts, forms, comments ...) are never content, and text inside an article
-element always is, however often other pages repeat it.
+A page becomes a tree of containers with slots of text. A host's most common trees, with and
+without articles, are its reference; simple tree matching aligns every page of the host with it, whole, list items and table
+cells included. Text of containers that match none of the reference is content. Text that is the same
+in its slot on most pages of the host is template, in articles and out of them; other text is content.
+Containers that say what they are (menus, footers, adverts, forms, comments ...) are never content.
+A page with articles has text outside them only in slots that vary over the host's pages.
 """
 
 from __future__ import annotations
@@ -107,7 +107,7 @@ def parse(page: str | None) -> tuple[list[tuple[int, str]], list[tuple[int, int,
                 state = min(state, -1)
             elif state == 0 and (tag == "header" or (names and _any(_HEADER, names))):
                 state = -1
-            nodes.append((parent, f"{tag}.{names}" if names else tag))
+            nodes.append((parent, f"{tag}.{names}" if names and tag not in _WHOLE else tag))
             count.append(0)
             stack.append((tag, len(nodes) - 1, state, outside))
         elif m["raw"]:
@@ -244,6 +244,27 @@ def match_trees(a: list[tuple[int, str]], b: list[tuple[int, str]], shapes: Shap
     return pairs
 
 
+def merge_trees(a: list[tuple[int, str]], b: list[tuple[int, str]]) -> list[tuple[int, str]]:
+    """``a`` with what ``b`` has besides, each where it stands in b."""
+    pairs = match_trees(b, a)
+    ca, cb = children(a), children(b)
+    out: list[tuple[int, str]] = []
+    todo: list[tuple[int | None, int | None, int]] = [(0, 0 if pairs else None, -1)]
+    while todo:
+        x, y, parent = todo.pop()
+        out.append((parent, a[x][1] if x is not None else b[y][1]))
+        at, xs, below = len(out) - 1, ca[x] if x is not None else [], []
+        done = 0
+        for q in cb[y] if y is not None else []:
+            if q in pairs:
+                until = xs.index(pairs[q], done)
+                below += [(p, None, at) for p in xs[done:until]]
+                done = until + 1
+            below.append((pairs.get(q), q, at))
+        todo += reversed(below + [(p, None, at) for p in xs[done:]])
+    return out
+
+
 def skeleton(nodes: list[tuple[int, str]]) -> str:
     """The whole tree as text, for counting."""
     return "\n".join(f"{p} {label}" for p, label in nodes)
@@ -291,52 +312,98 @@ def template_key(node: int, text: str) -> int:
     return node << 32 | crc32(text.encode("utf-8", "surrogatepass"))
 
 
-def extract(page: str | None, reference: str | None, template: frozenset | set, aligner: Aligner) -> str:
+def extract(page: str | None, reference: str | None, template: frozenset | set, aligner: Aligner, varying: frozenset | set = frozenset()) -> str:
+    """The text of ``page`` outside noise and template. On a page with articles, text outside them must
+    be in a slot known to be ``varying``."""
     nodes, blocks = parse(page)
-    if any(state == 1 for _, _, state, _ in blocks):
-        return " ".join(text for _, _, state, text in blocks if state == 1)
-    slots = aligner.slots(nodes, reference) if template else {}
-    return " ".join(text for node, _, state, text in blocks if state == 0 and (node not in slots or template_key(slots[node], text) not in template))
+    slots = aligner.slots(nodes, reference) if template or varying else {}
+    articles = any(state == 1 for _, _, state, _ in blocks)
+    return " ".join(
+        text
+        for node, _, state, text in blocks
+        if state >= 0 and (node not in slots or template_key(slots[node], text) not in template) and (state == 1 or not articles or slots.get(node) in varying)
+    )
+
+
+_SLOT, _FILLED, _WHOLE_TEXT, _TEXT = range(4)
+
+
+def evidence(nodes: list[tuple[int, str]], blocks: list[tuple[int, int, int, str]], slots: dict[int, int]) -> set[tuple[int, int]]:
+    """What one page says of its host's slots, as (kind, key): that it has a slot, that the slot has
+    text outside noise, all of that text, and each block of it."""
+    held: dict[int, list[str]] = {}
+    for node, _, state, text in blocks:
+        if state >= 0 and node in slots:
+            held.setdefault(slots[node], []).append(text)
+    out = {(_SLOT, template_key(slot, "")) for slot in slots.values()}
+    for slot, texts in held.items():
+        out |= {(_FILLED, template_key(slot, "")), (_WHOLE_TEXT, template_key(slot, "\n".join(texts)))}
+        out |= {(_TEXT, template_key(slot, t)) for t in texts}
+    return out
 
 
 def induce(pages: DataFrame, host: str, *, least_pages: int = 4, share: float = 0.5) -> DataFrame:
-    """One row per host: its reference tree and its template, as keys of node and text.
-
-    The reference is the most common tree of the most common outline. All pages count. Trees and texts are counted where they lie before they are shuffled, so a host
-    that has a third of all pages is no burden. A text is template if more than ``share`` of the
-    host's pages, and ``least_pages`` at least, have it in the same slot; that bounds a template by
-    the slots of a tree. Only text outside articles and outside marked noise is counted.
+    """One row per host: its reference tree, its template, as keys of node and text, and its varying slots.
+
+    The reference joins the most common trees of pages with and without articles, each that of the
+    most common outline. All pages count, with articles
+    or without, copies of one page of a host together as one. Trees and texts are counted where they
+    lie before they are shuffled, so a host that has a third of all pages is no burden. A text is
+    template if more than ``share`` of the host's pages that have the slot, and ``least_pages`` at
+    least, have it there; a slot varies if as many have text there that is not the slot's most common
+    whole text. That bounds both by the slots of a tree. Only text outside marked noise is counted.
     """
+    (page, same) = fresh(pages, "page", "same")
+    hashed = pages.select(host, "html", F.xxhash64("html").alias(page))
+    copies = hashed.groupBy(F.col(host).alias("h"), F.col(page).alias("x")).agg(F.count(F.lit(1)).alias(same)).where(F.col(same) > 1)
+    copies = Scratch(pages.sparkSession).put(copies, "copies")
+    once = hashed.join(copies, (F.col(host) == F.col("h")) & (F.col(page) == F.col("x")), "left").select(host, "html", (1 / F.coalesce(same, F.lit(1))).alias("part"))
 
     def trees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            nodes = [parse(h)[0] for h in b["html"]]
-            yield pd.DataFrame({host: b[host], "outline": [outline(n) for n in nodes], "reference": [skeleton(n) for n in nodes]})
-
-    counted = pages.select(host, "html").mapInPandas(trees, f"{host} string, outline long, reference string").groupBy(host, "outline", "reference").count()
-    kinds = counted.groupBy(host, "outline").agg(F.max_by("reference", F.struct("count", "reference")).alias("reference"), F.sum("count").alias("count"))
-    references = kinds.groupBy(host).agg(F.max_by("reference", F.struct("count", "reference")).alias("reference"), F.sum("count").alias("n_pages"))
+            parsed = [parse(h) for h in b["html"]]
+            yield pd.DataFrame(
+                {
+                    host: b[host],
+                    "article": [any(state == 1 for _, _, state, _ in blocks) for _, blocks in parsed],
+                    "outline": [outline(nodes) for nodes, _ in parsed],
+                    "reference": [skeleton(nodes) for nodes, _ in parsed],
+                    "part": b["part"],
+                }
+            )
+
+    @F.pandas_udf("string")
+    def merged(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([skeleton(merge_trees(from_skeleton(x), from_skeleton(y))) if x and y else x or y for x, y in zip(a, b, strict=True)], dtype=object)
+
+    counted = once.mapInPandas(trees, f"{host} string, article boolean, outline long, reference string, part double").groupBy(host, "article", "outline", "reference").agg(F.round(F.sum("part"), 6).alias("n"))
+    kinds = counted.groupBy(host, "article", "outline").agg(F.max_by("reference", F.struct("n", "reference")).alias("reference"), F.round(F.sum("n"), 6).alias("n"))
+    best = [F.max_by("reference", F.when(c, F.struct("n", "reference"))).alias(k) for k, c in (("with", F.col("article")), ("without", ~F.col("article")))]
+    references = kinds.groupBy(host).agg(*best, F.round(F.sum("n"), 6).alias("n_pages")).select(host, merged("without", "with").alias("reference"), "n_pages")
     references = Scratch(pages.sparkSession).put(references, "references")
 
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         aligner = Aligner()
         for b in batches:
-            rows = []
-            for h, ref, n_pages, page in zip(b[host], b["reference"], b["n_pages"], b["html"], strict=True):
-                if n_pages < least_pages:
-                    continue
-                nodes, blocks = parse(page)
-                if any(state == 1 for _, _, state, _ in blocks):
-                    continue
-                slots = aligner.slots(nodes, ref)
-                rows += [(h, k) for k in {template_key(slots[node], t) for node, _, state, t in blocks if state == 0 and node in slots}]
-            yield pd.DataFrame(rows, columns=[host, "key"])
-
-    joined = pages.select(host, "html").join(references, host)
-    keys = joined.select(host, "reference", "n_pages", "html").mapInPandas(texts, f"{host} string, key long").groupBy(host, "key").agg(F.count(F.lit(1)).alias("n"))
-    common = keys.join(references.select(host, "n_pages"), host).where((F.col("n") >= least_pages) & (F.col("n") > share * F.col("n_pages")))
+            n: dict[tuple[str, int, int], float] = {}
+            for h, ref, part, page_ in zip(b[host], b["reference"], b["part"], b["html"], strict=True):
+                nodes, blocks = parse(page_)
+                for kind, key in evidence(nodes, blocks, aligner.slots(nodes, ref)):
+                    n[h, kind, key] = n.get((h, kind, key), 0.0) + part
+            yield pd.DataFrame([(*k, v) for k, v in n.items()], columns=[host, "kind", "key", "n"])
+
+    joined = once.join(references.where(F.col("n_pages") >= least_pages), host)
+    keys = joined.select(host, "reference", "part", "html").mapInPandas(texts, f"{host} string, kind int, key long, n double").groupBy(host, "kind", "key").agg(F.round(F.sum("n"), 6).alias("n"))
+    keys = Scratch(pages.sparkSession).put(keys.where(F.col("n") >= least_pages).withColumn("slot", F.shiftright("key", 32)), "evidence")
+    of = lambda kind: F.when(F.col("kind") == kind, F.col("n"))
+    slots = keys.groupBy(host, "slot").agg(F.max(of(_SLOT)).alias("pages"), F.coalesce(F.max(of(_FILLED)) - F.coalesce(F.max(of(_WHOLE_TEXT)), F.lit(0)), F.lit(0)).alias("changing"))
+    most = lambda n: (n >= least_pages) & (n > share * F.col("pages"))
+    common = keys.where(F.col("kind") == _TEXT).join(slots, [host, "slot"]).where(most(F.col("n")))
     templates = common.groupBy(host).agg(F.collect_list("key").alias("template"))
-    return references.join(templates, host, "left").select(host, "reference", F.coalesce("template", F.array().cast("array<long>")).alias("template"))
+    varying = slots.where(most(F.col("changing"))).groupBy(host).agg(F.collect_list("slot").alias("varying"))
+    none = F.array().cast("array<long>")
+    out = references.join(templates, host, "left").join(varying, host, "left")
+    return out.select(host, "reference", F.coalesce("template", none).alias("template"), F.coalesce(F.col("varying").cast("array<long>"), none).alias("varying"))
 
 
 def main_text(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", text_col: str = "text", share: float = 0.5) -> DataFrame:
@@ -348,18 +415,18 @@ def main_text(pages: DataFrame, *, url_col: str = "url", html_col: str = "html",
     host, page = fresh(pages, "host", "page")
     named = pages.withColumn(host, F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit("")))
     wrappers = Scratch(pages.sparkSession).put(induce(named.select(F.col(host).alias("host"), F.col(html_col).alias("html")), "host", share=share), "wrappers")
-    useful = wrappers.where(F.size("template") > 0).select(F.col("host").alias("h"), F.col("reference").alias(page), "template")
+    useful = wrappers.where((F.size("template") > 0) | (F.size("varying") > 0)).select(F.col("host").alias("h"), F.col("reference").alias(page), "template", "varying")
 
-    def run(pages_: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def run(pages_: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         aligner = Aligner()
-        for html, reference, template in pages_:
-            yield pd.Series([extract(h, r, frozenset(t) if t is not None else frozenset(), aligner) for h, r, t in zip(html, reference, template, strict=True)], dtype=object)
+        for html, *wrapper in pages_:
+            yield pd.Series([extract(h, r, frozenset(() if t is None else t), aligner, frozenset(() if v is None else v)) for h, r, t, v in zip(html, *wrapper, strict=True)], dtype=object)
 
-    run.__annotations__ = {"pages_": Iterator[tuple[pd.Series, pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+    run.__annotations__ = {"pages_": Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]], "return": Iterator[pd.Series]}
     extracted = F.pandas_udf(run, "string")
     keep = [c for c in pages.columns if c not in (html_col, text_col)]
     out = named.join(useful, F.col(host) == F.col("h"), "left")
-    return out.select(*[named[c] for c in keep], extracted(named[html_col], F.col(page), F.col("template")).alias(text_col))
+    return out.select(*[named[c] for c in keep], extracted(named[html_col], F.col(page), F.col("template"), F.col("varying")).alias(text_col))
 
 
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
