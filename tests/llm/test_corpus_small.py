@@ -451,6 +451,37 @@ def test_mixture_meets_targets(spark, labelled):
     assert mixing.mixture(empty(spark), labels).count() == 0
 
 
+@pytest.mark.parametrize(("low", "high"), [(0.0, 1.0), (0.01, 0.5)])
+def test_rates_equal_least_squares_without_a_domain(spark, low, high):
+    rng = np.random.default_rng(8)
+    toxic = low + (high - low) * rng.beta(0.3, 3, 300)
+    p, tokens = np.column_stack([0 * toxic, 1 - toxic, toxic]), rng.integers(1, 500, 300)
+    rows = spark.createDataFrame([(int(n), [float(x) for x in q]) for n, q in zip(tokens, p, strict=True)], "tokens long, p array<double>")
+    model = mixing.DomainModel(None, None, None, [False, True, True])
+    rates = mixing.rates_of(model, rows.coalesce(1), mixing.TARGETS)
+    a, total = (p * tokens[:, None]).T[1:], tokens.sum()
+    want = np.array([0.96, 0.03]) / 0.99 * total
+    assert toxic.min() < 0.03 / 0.99 < toxic.max()
+    best = want  # it is inside the cone of the documents, so least squares has a residual of 0
+    assert rates.converged and rates.reached[0] == 0 and np.abs(rates.reached[1:] - best).max() < 1e-3 * total
+    got = np.array([r[0] for r in rows.coalesce(1).select(rates.column(F.col("p"))).collect()])
+    assert np.allclose(a @ got, rates.reached[1:])
+    with pytest.warns(UserWarning, match="not converged"):
+        assert not mixing.fit_rates(rows, np.array([0.0, 0.9999, 0.0001]), rounds=0).converged
+
+
+def test_domains_are_learnt_from_the_rows_that_are_left(spark, labelled):
+    docs, labels = labelled
+    gone = labels.where("quality = 0 and toxic = 0").select("doc_id")
+    left = docs.join(gone, "doc_id", "left_anti")
+    ghosts = spark.createDataFrame([(10_000_000 + i, 1, 0) for i in range(3000)], labels.select("doc_id", "quality", "toxic").schema)
+    out = mixing.mixture(left, labels.select("doc_id", "quality", "toxic").unionByName(ghosts), per_class=100).agg(
+        *[F.sum(F.expr(f"tokens * p_{d} * rate")).alias(d) for d in mixing.DOMAINS], F.sum("tokens").alias("n")
+    ).first()
+    assert out["low"] == 0
+    assert abs(out["toxic"] / out["n"] - 0.03 / 0.99) < 1e-3 and abs(out["plain"] / out["n"] - 0.96 / 0.99) < 1e-3
+
+
 def test_vocabulary_hits_are_the_features():
     v = text_model.Vocabulary(["w:loser", "p:zusc", "s:short"])
     assert v.hits("A l0ser, zuschen!") == [0, 1, 2] and v.hits(None) == []

@@ -8,6 +8,7 @@ all documents.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,6 +30,7 @@ class DomainModel:
     vocabulary: Vocabulary
     weights: np.ndarray
     intercepts: np.ndarray
+    present: list[bool]
 
     def column(self, text: Column) -> Column:
         """Tokens (white-space separated words) and posteriors of each whole text."""
@@ -41,21 +43,29 @@ class DomainModel:
 
 
 def fit_domains(docs: DataFrame, labels: DataFrame, *, per_class: int = 1500) -> DomainModel:
-    """Learns from ``per_class`` labelled documents of each domain at most. A domain without labelled
-    documents gets a posterior of about 0; without any labels at all the domains are equally likely."""
+    """Learns from ``per_class`` documents of each domain at most, drawn from the labels of ``docs`` only.
+    A domain that none of these have is absent and gets a posterior of 0; without any labels at all the
+    domains are equally likely."""
     domain = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 0).when(F.col("quality") == 1, 1)
-    ids = labelled_sample(labels, domain, per_class, [0, 1, 2])
+    scratch = Scratch(docs.sparkSession)
+    own = scratch.put(labels.join(docs.select("doc_id"), "doc_id", "left_semi").select("doc_id", domain.alias("domain")), "own-labels")
+    ids = labelled_sample(own, F.col("domain"), per_class, [0, 1, 2])
     sample = docs.join(F.broadcast(ids), docs["doc_id"] == ids["id"]).select(F.col("text"), "y", "weight").persist()
     try:
         vocabulary = Vocabulary(mine(sample, [0, 1, 2], max_features=2000))
         rows = sample_hits(sample, vocabulary).select("hits", F.col("y").alias("label"), "weight").persist()
-        if rows.select("label").distinct().count() < 2:
-            return DomainModel(vocabulary, np.zeros((3, max(1, len(vocabulary.features)))), np.zeros(3))
-        w, b = train(rows, len(vocabulary.features), 3)
+        seen = {r["label"] for r in rows.select("label").distinct().collect()}
+        present = [not seen or i in seen for i in range(3)]
+        if len(seen) < 2:
+            w, b = np.zeros((3, max(1, len(vocabulary.features)))), np.zeros(3)
+        else:
+            w, b = train(rows, len(vocabulary.features), 3)
+        absent = ~np.array(present)
+        w[absent], b[absent] = 0.0, -np.inf
         rows.unpersist()
     finally:
         sample.unpersist()
-    return DomainModel(vocabulary, w, b)
+    return DomainModel(vocabulary, w, b, present)
 
 
 @dataclass
@@ -66,14 +76,19 @@ class Rates:
     total: float
     target: np.ndarray
     reached: np.ndarray
+    converged: bool = True
 
     def column(self, p: Column) -> Column:
         """Starts from 1 and takes every step, each cut off at 0."""
-        rate = F.lit(1.0)
-        for s in self.steps:
-            gradient = sum((p[i] * F.lit(float(s[i])) for i in range(len(s))), F.lit(0.0))
-            rate = F.greatest(F.lit(0.0), rate - gradient)
-        return rate
+        if not self.steps:
+            return F.lit(1.0)
+        steps = F.array(*[F.array(*[F.lit(float(x)) for x in s]) for s in self.steps])
+        moved = lambda rate, s: sum((p[i] * s[i] for i in range(len(self.target))), F.lit(0.0)) * -1.0 + rate
+        return F.aggregate(steps, F.lit(1.0), lambda rate, s: F.greatest(F.lit(0.0), moved(rate, s)))
+
+
+#: Step lengths that a line search tries at once.
+LENGTHS = tuple(2.0**i for i in range(-6, 11))
 
 
 def fit_rates(rows: DataFrame, targets: np.ndarray, *, rounds: int = 25, tolerance: float = 1e-4) -> Rates:
@@ -81,30 +96,65 @@ def fit_rates(rows: DataFrame, targets: np.ndarray, *, rounds: int = 25, toleran
 
     ``rows`` has tokens and p. The distance of rates weighs a document by its tokens, so that rates
     depend on membership and not on length; the residual is measured by the Gram matrix of that
-    metric, so that a step length of 1 is safe and few rounds are needed. Each round is one
-    aggregation over all rows; only the totals, one number for each domain, reach the driver.
+    metric. Each round projects the steps of ``LENGTHS`` along the gradient, and along the gradient
+    scaled by the Gram matrix of the documents with a rate above 0, and takes the best. It ends when
+    every total is within ``tolerance`` of all tokens, or when a gradient step of length 1 changes no
+    total by more than a hundredth of that and rates by no more than ``tolerance`` (root mean square over
+    tokens); if neither holds after ``rounds``, it warns and ``converged`` is false. A round is two
+    aggregations over all rows; only sums, none of which grows with the rows, reach the driver.
     """
     k = len(targets)
-    a = [F.col("tokens") * F.col("p")[i] for i in range(k)]
-    first = rows.agg(F.sum("tokens").alias("n"), *[F.sum(a[i] * F.col("p")[j]).alias(f"g{i}{j}") for i in range(k) for j in range(i, k)]).first()
+    p = [F.col("p")[i] for i in range(k)]
+    t, pairs = F.col("tokens"), [(i, j) for i in range(k) for j in range(i, k)]
+
+    def gram_of(weight: Column) -> list[Column]:
+        return [F.sum(weight * p[i] * p[j]).alias(f"g{i}{j}") for i, j in pairs]
+
+    def inverse_of(row) -> np.ndarray:
+        gram = np.array([[row[f"g{min(i, j)}{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)], dtype=float)
+        return np.linalg.pinv(gram + np.eye(k) * np.trace(gram) * 1e-9, rcond=1e-9)
+
+    def along(rate: Column, step: np.ndarray) -> Column:
+        return F.greatest(F.lit(0.0), rate - sum((p[i] * F.lit(float(step[i])) for i in range(k)), F.lit(0.0)))
+
+    first = rows.agg(F.sum("tokens").alias("n"), *gram_of(t)).first()
     total = float(first["n"] or 0)
     if not total:
         return Rates([], 0.0, targets, np.zeros(k))
-    gram = np.array([[first[f"g{min(i, j)}{max(i, j)}"] for j in range(k)] for i in range(k)], dtype=float)
-    inverse = np.linalg.pinv(gram + np.eye(k) * np.trace(gram) * 1e-9, rcond=1e-9)
+    inverse = inverse_of(first)
     want = targets / targets.sum() * total
-    out = Rates([], total, want, np.zeros(k))
+    out = Rates([], total, want, np.zeros(k), False)
+    last = rows.agg(*[F.sum(t * p[i]).alias(f"a{i}") for i in range(k)]).first()
+    out.reached = np.array([last[f"a{i}"] for i in range(k)], dtype=float)
     for _ in range(rounds):
-        rate = out.column(F.col("p"))
-        now = rows.select("tokens", "p", rate.alias("rate")).agg(*[F.sum(a[i] * F.col("rate")).alias(str(i)) for i in range(k)]).first()
-        out.reached = np.array([now[str(i)] for i in range(k)], dtype=float)
         miss = out.reached - want
         if np.abs(miss).max() <= tolerance * total:
+            out.converged = True
+            break
+        rate, gradient = F.col("rate"), inverse @ miss
+        at = rows.select("tokens", "p", out.column(F.col("p")).alias("rate"))
+        change = along(rate, gradient) - rate
+        now = at.agg(*gram_of(F.when(rate > 0, t)), F.sum(t * change * change).alias("c"), *[F.sum(t * p[i] * change).alias(f"c{i}") for i in range(k)]).first()
+        if np.sqrt(now["c"] / total) <= tolerance and max(abs(now[f"c{i}"]) for i in range(k)) <= tolerance / 100 * total:
+            out.converged = True
             break
-        out.steps.append(inverse @ miss)
+        steps = [length * d for d in (gradient, inverse_of(now) @ miss) for length in LENGTHS]
+        tried = at.agg(*[F.sum(t * p[i] * along(rate, s)).alias(f"a{n}_{i}") for n, s in enumerate(steps) for i in range(k)]).first()
+        reached = np.array([[tried[f"a{n}_{i}"] for i in range(k)] for n in range(len(steps))], dtype=float)
+        best = int(np.argmin(np.einsum("ni,ij,nj->n", reached - want, inverse, reached - want)))
+        out.steps.append(steps[best])
+        out.reached = reached[best]
+    if not out.converged:
+        warnings.warn(f"mixing rates have not converged in {rounds} rounds: shares {out.reached / total} for {want / total}", stacklevel=2)
     return out
 
 
+def rates_of(model: DomainModel, rows: DataFrame, targets: dict[str, float]) -> Rates:
+    """Rates for the domains that are present, whose targets are scaled to a sum of 1."""
+    want = np.array([targets[d] if there else 0.0 for d, there in zip(DOMAINS, model.present, strict=True)])
+    return fit_rates(rows, want if want.sum() else np.array(model.present, dtype=float))
+
+
 def copies(rate: Column, key: Column) -> Column:
     """A whole number of uses whose expectation over keys is the rate, the same on every run."""
     u = F.pmod(F.xxhash64(F.lit("copies"), key), F.lit(1 << 40)) / F.lit(float(1 << 40))
@@ -121,7 +171,7 @@ def mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARG
     scratch = Scratch(docs.sparkSession)
     model = fit_domains(docs, labels.where(~held_out("doc_id")), per_class=per_class)
     rows = scratch.put(docs.select("doc_id", model.column(F.col("text")).alias("m")).select("doc_id", "m.tokens", "m.p"), "memberships")
-    rates = fit_rates(rows, np.array([targets[d] for d in DOMAINS]))
+    rates = rates_of(model, rows, targets)
     rate = rates.column(F.col("p"))
     out = rows.select("doc_id", "tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)], rate.alias("rate"))
     return out.withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
@@ -137,7 +187,7 @@ def remix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     (m, n) = fresh(docs, "membership", "uses")
     seen = docs.withColumn(m, model.column(F.col("text")))
     rows = scratch.put(seen.select(F.col(m)["tokens"].alias("tokens"), F.col(m)["p"].alias("p")), "memberships")
-    rates = fit_rates(rows, np.array([targets[d] for d in DOMAINS]))
+    rates = rates_of(model, rows, targets)
     uses = copies(rates.column(F.col(m)["p"]), F.col("doc_id"))
     return seen.withColumn(n, uses).drop(m).where(F.col(n) > 0).withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).drop(n)
 
