@@ -94,6 +94,29 @@ def test_cached_ids_equal_the_tokenizer(text):
     assert list(c.ids(text)) == c.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_cached_ids_equal_the_tokenizer_on_random_texts():
+    c = packing.word_cache(TOKENIZER)
+    assert not c.whole and c.direct
+    rng = np.random.default_rng(2)
+    odd_letters = [0x130, 0x131, 0x307, 0x301, 0x30A, 0x3A3, 0x3C2, 0xDF, 0x1E9E, 0xFB01, 0xBD, 0x85, 0xA0, 0x2028, 0x200B, 0x4F60, 0x645, 0x94D, 0x1C5, 0x212B, 0x1FB3, 0x149, 0x3AA, 0xAD, 0xFF21]
+    letters = np.array([*"abcXYZ .,!?'-_0123\n\t", *map(chr, odd_letters)], dtype=object)
+    for n in rng.integers(1, 14, 8000):
+        text = "".join(rng.choice(letters, n))
+        assert c.ids(text).tolist() == c._whole(text), ascii(text)
+
+
+def test_other_tokenizers_encode_whole_texts():
+    c = packing.word_cache(public_tokenizers.path("byte_bpe_50k.json"))
+    assert c.whole and c.ids("Two  Words").tolist() == c._whole("Two  Words")
+
+
+def test_a_cache_forgets_by_bytes():
+    c = packing.WordCache(packing.word_cache(TOKENIZER).tokenizer, limit=5000)
+    for i in range(200):
+        c.ids(f"word{i}")
+    assert c.held < 5000 and c.ids("word0 word199").tolist() == c._whole("word0 word199")
+
+
 def test_pieces_cover_every_id_once(spark, docs):
     src = docs.select("doc_id", "text").union(spark.createDataFrame([(9001, None), (9002, "long word list. " * 3000), (None, "no id")], "doc_id long, text string"))
     p = packing.pack(src.repartition(3), TOKENIZER, capacity=256).toPandas()
@@ -162,6 +185,25 @@ def test_near_dups_on_odd_rows(spark):
     assert near_dups.classes(empty(spark)).count() == 0
 
 
+def test_rows_count_by_their_own_key_where_ids_repeat(spark):
+    t1, t2, t3 = (" ".join(f"{w}{i}" for i in range(30)) for w in ("alpha", "beta", "gamma"))
+    near = t3.replace("gamma29", "other")
+    rows = [(3, t1), (5, t1), (5, t2), (7, t2), (5, t3), (5, t3), (None, near), (None, None), (5, None), (5, ""), (5, "  ")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    out = near_dups.classes(d)
+    assert out.count() == len(rows)
+    id_, h = near_dups._key("doc_id", "text")
+    rows_, first, repeated = near_dups._classes(d.select(id_.alias("id"), h.alias("h"), "text"), common.Scratch(spark), 0.8, 16)
+    assert repeated and first.count() == 6  # three texts, two kinds of wordless rows of one id, one of none
+    text_of = d.select(h.alias("h"), F.coalesce("text", F.lit("")).alias("t")).distinct()
+    of = {}
+    for r in rows_.join(text_of, "h").collect():
+        of.setdefault(r["class_id"], set()).add(r["t"])
+    assert {frozenset(x) for x in of.values()} == {frozenset(x) for x in ([t1], [t2], [t3, near], [""], ["  "])} and len(of) == 6
+    kept = sorted((str(r["doc_id"]), r["text"] or "") for r in near_dups.keep_one(d).collect())
+    assert kept == sorted([("3", t1), ("5", t2), ("None", near), ("None", ""), ("5", ""), ("5", "  ")])
+
+
 # --- pseudonyms
 
 

@@ -35,7 +35,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 100_000):
         super().__init__()
         from xxhash import xxh64_intdigest
 
@@ -135,40 +135,37 @@ def probability_jaccard(ka: np.ndarray, wa: np.ndarray, kb: np.ndarray, wb: np.n
 
 
 def _sketch(docs: DataFrame) -> DataFrame:
-    """id, fp, bands of every text; both null where it has no words."""
+    """id, h, fp, bands of every row; a row without words has a print of its own and no bands."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from xxhash import xxh3_128_digest
+
         hashes = WordHashes()
         for b in batches:
             fps, bands = [], []
-            for text in b["text"]:
+            for id_, h, text in zip(b["id"], b["h"], b["text"], strict=True):
                 words = words_of(text)
                 if words:
                     fps.append(fingerprint(words))
                     bands.append(band_keys(signature(*shingles(words, hashes))))
                 else:
-                    fps.append(None)
+                    fps.append(xxh3_128_digest(f"\0{id_} {h}"))
                     bands.append(None)
-            yield pd.DataFrame({"id": b["id"], "fp": pd.Series(fps, dtype=object), "bands": pd.Series(bands, dtype=object)})
+            yield pd.DataFrame({"id": b["id"], "h": b["h"], "fp": pd.Series(fps, dtype=object), "bands": pd.Series(bands, dtype=object)})
 
-    return docs.select("id", "text").mapInPandas(run, "id long, fp binary, bands array<long>")
+    return docs.mapInPandas(run, "id long, h long, fp binary, bands array<long>")
 
 
 def _bags(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Shingles and weights of the texts that share a bucket, one row for each distinct text."""
-
-    def prints(texts: pd.Series) -> pd.Series:
-        return pd.Series([fingerprint(w) if (w := words_of(t)) else None for t in texts], dtype=object)
+    """Shingles and weights of the texts in ``nodes``, and their bytes; texts are found by id and hash."""
 
-    def bags(texts: pd.Series) -> pd.DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
-        out = [shingles(words_of(t), hashes) for t in texts]
-        return pd.DataFrame({"keys": [k.tobytes() for k, _ in out], "weights": [w.astype("<u4").tobytes() if (w > 1).any() else b"" for _, w in out]})
+        for b in batches:
+            out = [shingles(words_of(t), hashes) for t in b["text"]]
+            yield pd.DataFrame({"node": b["node"], "keys": [k.tobytes() for k, _ in out], "weights": [w.astype("<u4").tobytes() if (w > 1).any() else b"" for _, w in out], "bytes": [8 * len(k) for k, _ in out]})
 
-    printed = docs.select("id", "text", F.pandas_udf(prints, "binary")("text").alias("fp"))
-    chosen = printed.join(nodes.select(F.col("node"), F.col("rep")), (F.col("fp") == F.col("node")) & F.col("id").eqNullSafe(F.col("rep")))
-    made = chosen.select("node", F.pandas_udf(bags, "keys binary, weights binary")("text").alias("b"))
-    return made.select("node", "b.keys", "b.weights")
+    return docs.join(nodes, ["id", "h"]).select("node", "text").mapInPandas(run, "node binary, keys binary, weights binary, bytes long")
 
 
 def _verified(pairs: DataFrame, bags: DataFrame) -> DataFrame:
@@ -228,14 +225,14 @@ def spanning_links(loose: pd.DataFrame, every: pd.DataFrame, similarity: float)
     return out
 
 
-def similar_pairs(buckets: DataFrame, bags: DataFrame, scratch: Scratch, similarity: float, small: int, hubs: int = 4, block: int = 512) -> DataFrame:
+def similar_pairs(buckets: DataFrame, bags: DataFrame, scratch: Scratch, similarity: float, small: int, hubs: int = 4, block_bytes: int = 1 << 22) -> DataFrame:
     """Links (a, b) inside buckets, enough to connect every class; ``buckets`` has bucket and node.
 
     In a bucket of at most ``small`` texts all pairs are verified. In a larger one every text first
     meets the ``hubs`` texts that are in most large buckets, usually the originals of the copies;
     most texts are connected by that, at a cost that grows with the bucket and not with its square.
-    Texts of large buckets that are not in their group's main class then meet the whole group, in
-    blocks of bounded size, and each pair of blocks gives only the links that join classes.
+    Texts that are not in the main class of such a bucket then meet the whole bucket, in blocks of
+    bounded bytes, and each pair of blocks gives only the links that join classes.
     """
     sized = scratch.put(buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
     rows = scratch.put(buckets.join(sized, "bucket"), "rows")
@@ -256,24 +253,23 @@ def similar_pairs(buckets: DataFrame, bags: DataFrame, scratch: Scratch, similar
     meet = large.join(chosen, "bucket").where(F.col("node") != F.col("hub")).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
     links = scratch.put(_verified(near.union(meet).distinct(), bags).where(F.col("sim") >= similarity).select("a", "b"), "links")
     known = components(links, scratch)
-    first = chosen.groupBy("bucket").agg(F.min("hub").alias("hub"))
-    group = components(large.join(first, "bucket").where(F.col("node") != F.col("hub")).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), scratch)
-    member = often.select("node").join(group.withColumnRenamed("label", "grp"), "node").join(known, "node", "left")
-    member = scratch.put(member.select("node", "grp", F.coalesce("label", "node").alias("label")), "members")
-    main = member.groupBy("grp", "label").count().groupBy("grp").agg(F.max(F.struct("count", "label")).alias("m"), F.sum("count").alias("size"))
-    main = scratch.put(main.where("m.count < size").select("grp", F.col("m.label").alias("main"), "size"), "groups")
-    placed = member.join(main, "grp").withColumn("parts", F.ceil(F.col("size") / block).cast("int")).join(bags, "node")
-    placed = scratch.put(placed.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")), "placed")
+    member = large.join(known, "node", "left").join(bags.select("node", "bytes"), "node").select("bucket", "node", F.coalesce("label", "node").alias("label"), "bytes")
+    member = scratch.put(member, "members")
+    main = member.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).groupBy("bucket")
+    main = main.agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("size"), F.sum("bytes").alias("bytes")).where("m.n < size")
+    mixed = scratch.put(main.select("bucket", F.col("m.label").alias("main"), F.ceil(F.col("bytes") / block_bytes).cast("int").alias("parts")), "mixed")
+    placed = member.drop("bytes").join(mixed, "bucket").join(bags, "node")
+    placed = scratch.put(placed.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).drop("bytes"), "placed")
     whole = F.sequence(F.lit(0), F.col("parts") - 1)
     columns = ["node", "label", "keys", "weights"]
-    loose = placed.where(F.col("label") != F.col("main")).withColumn("other", F.explode(whole)).select("grp", F.col("part").alias("i"), F.col("other").alias("j"), *columns)
-    every = scratch.again(placed).withColumn("other", F.explode(whole)).select("grp", F.col("other").alias("i"), F.col("part").alias("j"), *columns)
+    loose = placed.where(F.col("label") != F.col("main")).withColumn("other", F.explode(whole)).select("bucket", F.col("part").alias("i"), F.col("other").alias("j"), *columns)
+    every = scratch.again(placed).withColumn("other", F.explode(whole)).select("bucket", F.col("other").alias("i"), F.col("part").alias("j"), *columns)
 
     def run(_: tuple, few_: pd.DataFrame, all_: pd.DataFrame) -> pd.DataFrame:
         found = spanning_links(few_, all_, similarity) if len(few_) and len(all_) else []
         return pd.DataFrame(found, columns=["a", "b"], dtype=object)
 
-    keys = ("grp", "i", "j")
+    keys = ("bucket", "i", "j")
     rest = scratch.put(loose.groupBy(*keys).cogroup(every.groupBy(*keys)).applyInPandas(run, "a binary, b binary"), "rest")
     scratch.drop(placed)
     return links.unionByName(rest)
@@ -311,54 +307,75 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
             return labels
 
 
-def _key(id_col: str, text_col: str) -> Column:
-    """A row without an id goes by the hash of its text, below all usual ids."""
-    by_text = -F.shiftrightunsigned(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), 1) - 1
-    return F.coalesce(F.col(id_col).cast("long"), by_text)
+def _key(id_col: str, text_col: str) -> tuple[Column, Column]:
+    """A row's key: its id and the hash of its text. A row without an id goes by that hash, below all
+    usual ids; null text counts as empty."""
+    h = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    return F.coalesce(F.col(id_col).cast("long"), _by_hash(h)), h
 
 
-def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, small: int = 16, scratch: Scratch | None = None) -> DataFrame:
-    """One row per row of ``docs``: id and class_id, the least id of its class.
+def _by_hash(h: Column) -> Column:
+    return -F.shiftrightunsigned(h, 1) - 1
 
-    Texts whose words agree in order (case and marks aside) are one class without further ado; they
-    are joined where they lie, so that huge groups of copies are one text from there on. Texts
-    without words (null, empty) are classes of their own. Rows with equal ids count one by one.
-    """
-    scratch = scratch or Scratch(docs.sparkSession)
-    keyed = docs.select(_key(id_col, text_col).alias("id"), F.col(text_col).alias("text"))
-    sketched = scratch.put(_sketch(keyed), "sketches")
-    texts = sketched.where(F.col("fp").isNotNull()).groupBy(F.col("fp").alias("node")).agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
-    texts = scratch.put(texts, "texts")
+
+def _classes(docs: DataFrame, scratch: Scratch, similarity: float, small: int) -> tuple[DataFrame, DataFrame, bool]:
+    """From id, h and text: the rows as id, h, class_id; the first row (id, h) of every class; whether ids repeat."""
+    sketched = scratch.put(_sketch(docs), "sketches")
+    repeated = not sketched.groupBy("id").count().where("count > 1").isEmpty()
+    texts = scratch.put(sketched.groupBy(F.col("fp").alias("node")).agg(F.min(F.struct("id", "h")).alias("rep"), F.first("bands").alias("bands")), "texts")
     exploded = texts.select(F.explode("bands").alias("bucket"), "node")
     shared = scratch.put(exploded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket"), "shared")
     buckets = scratch.put(exploded.join(shared, "bucket"), "buckets")
-    nodes = texts.select("node", "rep").join(buckets.select("node").distinct(), "node")
-    bags = scratch.put(_bags(keyed, nodes).dropDuplicates(["node"]), "bags")
+    nodes = texts.join(buckets.select("node").distinct(), "node").select("node", "rep.id", "rep.h")
+    bags = _bags(docs, nodes)
+    bags = scratch.put(bags.dropDuplicates(["node"]) if repeated else bags, "bags")
     links = similar_pairs(buckets, bags, scratch, similarity, small)
     labels = components(links, scratch)
     scratch.drop(bags)
     scratch.drop(buckets)
-    labelled = texts.select("node", "rep").join(labels, "node", "left")
-    least = labelled.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("rep").alias("least"))
-    named = scratch.put(labelled.join(least, "label", "left").select(F.col("node").alias("fp"), F.coalesce("least", "rep").alias("class_id")), "named")
-    return sketched.select("id", "fp").join(named, "fp", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
+    labelled = scratch.put(texts.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label")), "labelled")
+    least = labelled.groupBy("label").agg(F.min("rep").alias("rep"))
+    name = F.col("rep.id")
+    if repeated:  # of classes with one least id, that of the least text hash has it
+        least = scratch.put(least, "least")
+        taken = least.groupBy(F.col("rep.id").alias("id")).agg(F.min(F.struct("rep.h", "label")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("id", "first")
+        least = least.join(taken, F.col("rep.id") == F.col("id"), "left").drop("id")
+        name = F.when(F.col("first").isNull() | (F.col("first.label") == F.col("label")), name).otherwise(_by_hash(F.xxhash64("label")))
+    least = scratch.put(least.select("label", "rep", name.alias("class_id")), "class-names")
+    named = scratch.put(labelled.select("node", "label").join(least.select("label", "class_id"), "label").select(F.col("node").alias("fp"), "class_id"), "named")
+    return sketched.select("id", "h", "fp").join(named, "fp").select("id", "h", "class_id"), least.select("rep.id", "rep.h"), repeated
+
+
+def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, small: int = 16, scratch: Scratch | None = None) -> DataFrame:
+    """One row per row of ``docs``: id and class_id, the least id of its class.
+
+    Texts whose words agree in order (case and marks aside) are one class without further ado; they
+    are joined where they lie, so that huge groups of copies are one text from there on. Texts
+    without words (null, empty) are classes of their own, but for repeated rows of one id and text.
+    Ids may repeat and be null: a row counts by its id and text. A class whose least id is the least
+    of another class, too, is named by a hash of its text instead, a number below -1.
+    """
+    id_, h = _key(id_col, text_col)
+    keyed = docs.select(id_.alias("id"), h.alias("h"), F.col(text_col).alias("text"))
+    return _classes(keyed, scratch or Scratch(docs.sparkSession), similarity, small)[0].select("id", "class_id")
 
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, small: int = 16) -> DataFrame:
     """``docs`` with one row of each class, that of the least id; its columns stay.
 
     Rows without words are classes of their own and stay. Of rows that repeat both an id and a text
-    one stays.
+    one stays, and of rows with one id and different texts those that are first of their classes.
     """
-    scratch = Scratch(docs.sparkSession)
-    named = scratch.put(classes(docs, id_col=id_col, text_col=text_col, scratch=scratch), "classes")
-    kept = named.where(F.col("id") == F.col("class_id")).select(F.col("id").alias("kept_id")).distinct()
-    (key,) = fresh(docs, "row_key")
-    keyed = docs.withColumn(key, _key(id_col, text_col))
-    out = keyed.join(kept, F.col(key) == F.col("kept_id"), "left_semi")
-    if not named.groupBy("id").count().where("count > 1").isEmpty():
-        out = out.dropDuplicates([key, text_col])
-    return out.drop(key)
+    key, print_ = fresh(docs, "row_key", "text_hash")
+    id_, h = _key(id_col, text_col)
+    keyed = docs.select(id_.alias("id"), h.alias("h"), F.col(text_col).alias("text"))
+    _, kept, repeated = _classes(keyed, Scratch(docs.sparkSession), similarity, small)
+    kept = kept.select(F.col("id").alias("kept_id"), F.col("h").alias("kept_hash"))
+    own = docs.withColumns({key: id_, print_: h})
+    out = own.join(kept, (F.col(key) == F.col("kept_id")) & (F.col(print_) == F.col("kept_hash")), "left_semi")
+    if repeated:
+        out = out.dropDuplicates([key, print_])
+    return out.drop(key, print_)
 
 
 def op8_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:

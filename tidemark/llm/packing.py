@@ -24,7 +24,9 @@ from tidemark.llm.common import table
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _BEFORE_END = re.compile(r"(?<=[^\W\d_])[.,]+(?=\s|$)")
-_UNUSUAL = re.compile("[\x1c-\x1fΣ]|<\\|")
+_UNUSUAL = re.compile("[\x1c-\x1fΣ\u0130]|<\\|")
+#: Texts by which a cache finds out whether a tokenizer works chunk by chunk.
+_PROBES = ("Hello, World. It's 42!", "a.b c.. d,,", "école ÉCOLE straße", "tab\tand\nline", "x-y_z 3.14 (ok)", "你好 world", "ﬁne ½ ²", "don't  stop...", "e\u0301 \u200b q")
 
 
 def byte_letters() -> dict[int, str]:
@@ -38,13 +40,17 @@ class WordCache(dict):
     """Ids of white-space separated chunks as little-endian bytes; asks the tokenizer once for each.
 
     A chunk of letters alone in small, composed form passes the tokenizer's normalizer and splitter
-    unchanged, so its model is asked directly, if it gives the same ids for a few probes.
+    unchanged, so its model is asked directly, if it gives the same ids for a few probes. A tokenizer
+    that gives other ids for chunks than for whole probes encodes every text whole. ``limit`` bounds
+    the bytes of the chunks and their ids.
     """
 
-    def __init__(self, tokenizer, limit: int = 700_000):
+    def __init__(self, tokenizer, limit: int = 64 << 20):
         super().__init__()
-        self.tokenizer, self.limit, self.letters = tokenizer, limit, byte_letters()
-        self.direct = all(self._whole(w) == self._word(w) for w in ("a", "thehouse", "écoleß", "straße", "ñandú", "слово", "語"))
+        self.tokenizer, self.limit, self.letters, self.held = tokenizer, limit, byte_letters(), 0
+        self.direct, self.whole = False, False
+        self.whole = any(self.ids(p).tolist() != self._whole(p) for p in _PROBES)
+        self.direct = not self.whole and all(self._whole(w) == self._word(w) for w in ("a", "thehouse", "écoleß", "straße", "ñandú", "слово", "語"))
 
     def _whole(self, chunk: str) -> list[int]:
         return self.tokenizer.encode(chunk, add_special_tokens=False).ids
@@ -55,19 +61,23 @@ class WordCache(dict):
     def __missing__(self, chunk: str) -> bytes:
         word = self.direct and chunk.isalpha() and unicodedata.is_normalized("NFC", chunk)
         ids = np.asarray(self._word(chunk) if word else self._whole(chunk), dtype="<u4").tobytes()
-        if len(self) >= self.limit:  # forget the older half, which most rare words are in
-            for old in list(itertools.islice(self, self.limit // 2)):
+        self.held += len(ids) + len(chunk) + 120  # the last for the two objects and their place
+        if self.held >= self.limit:  # forget the older half, which most rare words are in
+            for old in list(itertools.islice(self, len(self) // 2)):
                 del self[old]
+            self.held = sum(len(k) + len(v) + 120 for k, v in self.items())
         self[chunk] = ids
         return ids
 
     def ids(self, text: str) -> np.ndarray:
-        """Equal to encoding the whole text: this tokenizer drops white space, lower-cases, and
-        never joins letters with punctuation. Texts where Python's idea of a space or of lower
-        case differs from the tokenizer's are encoded whole."""
-        if _UNUSUAL.search(text):
-            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
-        chunks = _BEFORE_END.sub(r" \g<0>", text.lower()).split()
+        """Equal to encoding the whole text: a tokenizer that works chunk by chunk drops white space,
+        lower-cases composed letters, and never joins letters with punctuation. Texts where Python's
+        idea of a space or of lower case differs from the tokenizer's, and texts whose small letters
+        compose with marks after them, are encoded whole."""
+        low = text.lower()
+        if self.whole or _UNUSUAL.search(text) or not unicodedata.is_normalized("NFC", low):
+            return np.asarray(self._whole(text), dtype="<u4")
+        chunks = _BEFORE_END.sub(r" \g<0>", low).split()
         return np.frombuffer(b"".join(map(self.__getitem__, chunks)), dtype="<u4")
 
 
