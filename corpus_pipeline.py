@@ -1,7 +1,10 @@
 """The corpus pipeline: documents through quality rules, near-duplicate removal, pseudonyms, mixing, packing.
 
 Each stage takes all that the one before it kept, as Parquet in the shared folder. The last returns
-the pieces of the packed sequences.
+the pieces of the packed sequences. Null and empty texts fail the quality rules, so that later stages
+of a run see texts with words only; each stage alone takes them, as its operator says. Rows with
+repeated or null ids are rows of their own, other columns pass through, and an empty table of
+documents gives no pieces.
 """
 
 from __future__ import annotations
@@ -16,27 +19,32 @@ from tidemark.session import ready
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the weighted rules reject."""
+    ready(spark)
     return quality.keep_good(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each class of near duplicates."""
+    ready(spark)
     return near_dups.keep_one(docs)
 
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data in the texts; n_chars follows where the table has it."""
+    ready(spark)
     out = pii.pseudonymise(docs, pii.KEY)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in out.columns else out
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Uses each document as often as the target weights of the domains ask for."""
+    ready(spark)
     return mixing.remix(docs, table(spark, sf_dir, "labels"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts and packs the tokenised documents into sequences."""
+    ready(spark)
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -56,7 +64,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over the documents of ``sf_dir``."""
-    ready(spark)
     docs, scratch, before = table(spark, sf_dir, "documents"), Scratch(spark), None
     for i, (name, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
