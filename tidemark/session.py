@@ -1,4 +1,4 @@
-"""What a session needs so that Python workers find this package."""
+"""What a session needs so that Python workers find this package and hold little at a time."""
 
 from __future__ import annotations
 
@@ -7,11 +7,14 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Rows that Python workers take at once, where the session has Spark's default of ten thousand: rows may be long texts.
+BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Puts the repository on the path of workers that start from now on, wherever the driver was started.
+    """Puts the repository on the path of workers that start from now on, wherever the driver was started,
+    and bounds their batches unless the session has a bound of its own.
 
     On a cluster whose machines do not share it, submit the package with --py-files instead.
     """
@@ -19,4 +22,6 @@ def ready(spark: SparkSession) -> SparkSession:
     paths = environment.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
+    if spark.conf.get(BATCH) == "10000":
+        spark.conf.set(BATCH, BATCH_ROWS)
     return spark
