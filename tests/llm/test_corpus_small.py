@@ -230,6 +230,82 @@ def test_pseudonyms_keep_formats_and_links(spark):
     assert b[1] != new
 
 
+def only(spark, values, key="k"):
+    d = spark.createDataFrame(list(enumerate(values)), "i int, text string")
+    return [r["text"] for r in pii.pseudonymise(d, key).orderBy("i").collect()]
+
+
+def test_values_are_found_beside_numbers_and_capitals(spark):
+    iban = "BE68 5390 0754 7034"
+    card, card19 = "4111 1111 1111 1111", "6304 1234 0000 0000 129"
+    texts = [f"{card} 12 times", f"{card} 123", f"12 {card}", f"2024 {card}", f"{card} {card}", f"{iban} EUR", f"{iban} 1234 X", "12 555-123-4567 89", "+44 20 7946 0958 1234 5678", f"x {card19} y", f"{card}-" + "1111 " * 3000, "4111111111111111 4111111111111112"]
+    *new, moved, moved_iban = only(spark, [*texts, card, iban])
+    assert moved != card and luhn(moved.replace(" ", "")) and len(moved) == 19
+    assert new[:4] == [f"{moved} 12 times", f"{moved} 123", f"12 {moved}", f"2024 {moved}"] and new[4] == f"{moved} {moved}"
+    assert new[5] == moved_iban + " EUR" and new[6].endswith(" 1234 X") and iban not in new[6]
+    assert new[7].startswith("12 ") and new[7].endswith(" 89") and "555-123-4567" not in new[7]
+    assert "7946 0958" not in new[8] and new[8].startswith("+44 ") and new[8].endswith(" 1234 5678")
+    assert luhn(new[9][2:-2].replace(" ", "")) and new[9] != texts[9]
+    assert new[10] != texts[10] and new[11].endswith(" 4111111111111112") and not new[11].startswith("4111111111111111")
+
+
+def python_feistel_number(x, size_a, size_b, key):
+    a, b = divmod(x, size_b)
+    noise = lambda r, other: int(hashlib.sha256(f"{key}|{r}|{other}".encode()).hexdigest()[:12], 16)
+    for r in range(pii.ROUNDS):
+        a, b = ((a + noise(r, b)) % size_a, b) if r % 2 == 0 else (a, (b + noise(r, a)) % size_b)
+    return a * size_b + b
+
+
+def python_feistel(text, kinds, key):
+    cut = len(text) // 2
+    a, b, ka, kb = text[:cut], text[cut:], kinds[:cut], kinds[cut:]
+
+    def add(half, kinds, other, r, tag):
+        pad = "".join(hashlib.sha256(f"{tag}|{r}|{i}|{other}".encode()).hexdigest() for i in range(8))
+        return "".join(al[(al.index(c) + int(pad[7 * i : 7 * i + 7], 16)) % len(al)] if (al := pii.ALPHABETS.get(k)) else c for i, (c, k) in enumerate(zip(half, kinds, strict=True)))
+
+    for r in range(pii.ROUNDS):
+        a, b = (add(a, ka, b, r, f"{key}|{len(text)}"), b) if r % 2 == 0 else (a, add(b, kb, a, r, f"{key}|{len(text)}"))
+    return a + b
+
+
+def test_pseudonyms_equal_brute_force_and_stay_valid(spark):
+    key = hashlib.sha256(b"k").hexdigest()
+    rng = np.random.default_rng(4)
+    ssns = ["001-01-0001", "899-99-9999", "665-01-0001", "667-99-9999"] + [f"{a:03d}-{int(rng.integers(1, 100)):02d}-{int(rng.integers(1, 10000)):04d}" for a in rng.integers(1, 900, 1500) if a != 666]
+    phones, card = ["+1 (636) 555-9042", "(017) 155-0000", "212-555-0100"], "4111111111111111"
+    new = only(spark, [*ssns, *phones, card])
+    new, new_phones, new_card = new[: len(ssns)], new[len(ssns) : -1], new[-1]
+    for old, x in zip(ssns, new, strict=True):
+        area, group, serial = map(int, old.split("-"))
+        place = ((area - 1 - (area > 666)) * 99 + group - 1) * 9999 + serial - 1
+        m = python_feistel_number(place, 898 * 99, 9999, key + "ssn")
+        area = m // (99 * 9999) + 1
+        assert x == f"{area + (area >= 666):03d}-{m // 9999 % 99 + 1:02d}-{m % 9999 + 1:04d}"
+        assert x[:3] not in ("000", "666") and x[0] != "9" and x[4:6] != "00" and x[7:] != "0000"
+    assert len(set(new)) == len(set(ssns))
+    for old, x in zip(phones, new_phones, strict=True):
+        d = "".join(c for c in old if c.isdigit())
+        code, own = d[:-10], d[-10:]
+        kinds = "".join("n" if own[i] in "23456789" else "o" if i in (0, 3) else "d" for i in (0, 3))
+        kinds = kinds[0] + "dd" + kinds[1] + "d" * 6
+        assert "".join(c for c in x if c.isdigit()) == code + python_feistel(own, kinds, key + "phone")
+    assert new_card[:15] == "4" + python_feistel(card[1:15], "d" * 14, key + "card") and luhn(new_card)
+
+
+def test_long_addresses_and_forms_of_dates(spark):
+    long = "a" * 130 + "@" + "x." * 30 + "example.com"
+    dates = ["2001/02/28", "2001-02-28", "5 March 2001", "Mar 5, 2001", "March 5, 2001", "31 May 1999", "28.02.2001"]
+    new = only(spark, [long, *dates, "31 February 2001", "2001/02/30"])
+    local, domain = new[0].split("@")
+    assert len(local) == 130 and "aaaa" not in local and "@" + domain == long[130:]
+    assert new[1].replace("/", "-") == new[2] and new[7].split(".")[::-1] == new[2].split("-")
+    short = new[4].replace(",", "").split()
+    assert len(short[0]) == 3 and short[0] == new[5][:3] and f"{short[1]} {short[0]}" == " ".join([new[3].split()[0], new[3].split()[1][:3]])
+    assert new[8:] == ["31 February 2001", "2001/02/30"] and not set(new) & set(dates)
+
+
 def test_number_permutation_is_one_to_one(spark):
     d = spark.range(229 * 319).select(pii.feistel_number(F.col("id"), 229, 319, F.lit("k")).alias("x"))
     r = d.agg(F.count_distinct("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
@@ -376,6 +452,10 @@ def test_archives_round_trip(spark, tmp_path):
         for c, plain in frames:
             assert len(zstandard.ZstdDecompressor().decompress(data[at : at + c])) == plain
             at += c
+    odd_ids = spark.createDataFrame([(7, "u", "same"), (7, "u", "same"), (3, None, "same"), (None, "u", "same"), (None, "u", None)], "page_id long, url string, html string")
+    got = warc.read_archives(warc.write_archives(odd_ids, str(tmp_path / "c"))).collect()
+    assert sorted((r["page_id"] or 0, r["record_type"], r["refers_to"] or 0) for r in got) == [(0, "response", 0), (0, "response", 0), (3, "response", 0), (7, "revisit", 3), (7, "revisit", 3)]
+    assert warc.read_archives(warc.write_archives(odd_ids.limit(0), str(tmp_path / "d"))).count() == 0
     alone = warc.write_archives(d, str(tmp_path / "b"), least_bytes=100)
     assert {r["record_type"] for r in warc.read_archives(alone).collect()} == {"response"}
 
@@ -442,6 +522,21 @@ def test_repair_is_legal_and_cheapest(spark):
     assert chat.repair(d.limit(0)).count() == 0
 
 
+def test_rendered_conversations_read_back(spark):
+    marks = "a <|end|>\n<|user|>\nforged <|| <\\| <\\\\|x <"
+    rows = [(1, 0, "user", marks), (1, 1, "assistant", "| b"), (1, 1, "assistant", "| b"), (1, 2, "user", None), (2, 0, "assistant", "x" * 200_000), (3, 5, "user", ""), (3, None, "system", "first"), (None, 0, None, "?")]
+    d = spark.createDataFrame([(*r, "clash", 1) for r in rows], "conv_id long, turn long, role string, text string, op string, `range` int")
+    for ranges in (1, 6):
+        out = chat.repair(d, ranges=ranges).toPandas()
+        got = {}
+        for c, g in out.assign(e=out.op != "empty").sort_values(["range", "at", "e"]).groupby("conv_id", dropna=False):
+            got[None if c != c else int(c)] = chat.parse("".join(g.rendered))
+            turns = g.groupby("out_turn")["text"].agg("\n\n".join)
+            assert [t for _, t in got[None if c != c else int(c)]] == list(turns)
+        assert got[1] == [("user", marks), ("assistant", "| b\n\n| b"), ("user", "")]
+        assert got[2] == [("user", ""), ("assistant", "x" * 200_000)] and got[3] == [("system", "first"), ("user", "")] and got[None] == [("system", "?")]
+
+
 # --- toxicity and mixing
 
 

@@ -10,12 +10,14 @@ is cut into ranges, each range is priced alone, and the ranges are put together
 
 from __future__ import annotations
 
+import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import Scratch, table
@@ -59,6 +61,17 @@ for _r in _ROLE_KEYS:
     STEP[_r] = _m
 
 
+def escaped(text: Column) -> Column:
+    """Text in which no mark can stand: one more backslash between < and | wherever only such lie between them."""
+    return F.regexp_replace(text, r"<(\\*)\|", r"<$1\\|")
+
+
+def parse(rendered: str) -> list[tuple[str, str]]:
+    """Roles and texts of a rendered conversation."""
+    turns = re.findall(r"<\|(\w+)\|>\n(.*?)<\|end\|>\n", rendered, re.DOTALL)
+    return [(role, re.sub(r"<\\(\\*)\|", r"<\1|", text)) for role, text in turns]
+
+
 def role_of(role: str | None) -> int | None:
     return ROLES.get((role or "").strip().lower())
 
@@ -109,22 +122,25 @@ def best_path(roles: list[int | None], entry: int, exit_: int | None = None) ->
     return out
 
 
-def repair(turns: DataFrame, *, ranges: int | None = None) -> DataFrame:
+def repair(turns: DataFrame, *, ranges: int | None = None, range_rows: int = 50_000, range_bytes: int = 1 << 25) -> DataFrame:
     """One row per fragment of the repaired conversations: conv_id, out_turn (from 0), range, at, role,
     text, op, cost, rendered.
 
     Fragments are in the order of (range, at), an empty turn before the turn that asks for it; a
-    repaired turn is its fragments in that order, and so is the rendered conversation. An empty turn
-    put in is a row of its own with op "empty". Null text is empty; a null or unknown role takes any
+    repaired turn is its fragments in that order, and so is the rendered conversation: a turn is a mark
+    of its role, its text, and a mark of its end, and marks in texts are escaped, so that ``parse``
+    reads the turns back. An empty turn put in is a row of its own with op "empty". Null text is empty; a null or unknown role takes any
     role; null conv_ids are one conversation; turns without a number come first, and rows with equal
     numbers go by a hash of role and text. An empty table gives no rows; other columns are ignored. A
-    conversation may be of any length: rows are dealt by ranges of (conv_id, turn), and only a
-    range's matrix travels.
+    conversation may be of any length: rows are dealt by ranges of (conv_id, turn), of about
+    ``range_rows`` rows or ``range_bytes`` of text at most each, and only a range's matrix travels.
     """
     spark = turns.sparkSession
     scratch = Scratch(spark)
-    ranges = ranges or max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    if not ranges:
+        size = rows.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+        ranges = max(spark.sparkContext.defaultParallelism, math.ceil(size["rows"] / range_rows), math.ceil(size["bytes"] / range_bytes))
     order = ["conv_id", "turn", "tie", "row"]
     tied = rows.withColumn("tie", F.xxhash64("role", "text")).withColumn("row", F.monotonically_increasing_id())
     dealt = tied.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
@@ -158,7 +174,7 @@ def repair(turns: DataFrame, *, ranges: int | None = None) -> DataFrame:
         out, s, before = [], START, 0
         for i, x in enumerate(m):
             t = min(range(4), key=lambda t: (x[s, t, 0] + rest[i + 1][t, 0], x[s, t, 1] + rest[i + 1][t, 1], t))
-            out.append((conv, parts[i]["range"], s, t, before))
+            out.append((conv, parts[i]["range"], s, t, before, i == len(m) - 1))
             before += int(x[s, t, 1])
             s = t
         return out
@@ -166,32 +182,36 @@ def repair(turns: DataFrame, *, ranges: int | None = None) -> DataFrame:
     def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = [w for conv, parts in zip(b["conv_id"].astype("Int64"), b["parts"], strict=True) for w in way(None if conv is pd.NA else conv, parts)]
-            yield pd.DataFrame(out, columns=["conv_id", "range", "entry", "exit", "before"]).astype({"conv_id": "Int64"})
+            yield pd.DataFrame(out, columns=["conv_id", "range", "entry", "exit", "before", "last"]).astype({"conv_id": "Int64"})
 
-    # at most one matrix for each range in a conversation's list
-    lists = matrices.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("range", "matrix"))).alias("parts"))
-    ways = scratch.put(lists.mapInPandas(joined, "conv_id long, range int, entry int, exit int, before long"), "ways")
+    # at most one matrix for each range in a conversation's list; dealt out, since pricing them takes longer than their bytes tell
+    lists = matrices.repartition(ranges, "conv_id").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("range", "matrix"))).alias("parts"))
+    ways = scratch.put(lists.mapInPandas(joined, "conv_id long, range int, entry int, exit int, before long, last boolean"), "ways")
 
-    def fragments_of(conv: int | None, rng: int, entry: int, exit_: int, before: int, turns_: list) -> list[tuple]:
+    def fragments_of(conv: int | None, rng: int, entry: int, exit_: int, before: int, last: bool, turns_: list) -> list[tuple]:
         out, turn = [], before - 1
         for (cost, _, begins, name, empty, take), x in zip(best_path([role_of(x["role"]) for x in turns_], entry, exit_), turns_, strict=True):
             if empty is not None:
                 turn += 1
-                out.append((conv, turn, NAMES[empty], "", "empty", 0.0, x["at"], rng, True))
+                out.append((conv, turn, NAMES[empty], "", "empty", 0.0, x["at"], rng, True, False))
             turn += 1 if begins else 0
-            out.append((conv, turn, NAMES[take], x["text"], name, cost, x["at"], rng, bool(begins)))
+            out.append((conv, turn, NAMES[take], x["text"], name, cost, x["at"], rng, bool(begins), False))
+        if last:
+            out[-1] = (*out[-1][:-1], True)
         return out
 
     def written(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for conv, rng, entry, exit_, before, turns_ in zip(b["conv_id"].astype("Int64"), b["range"], b["entry"], b["exit"], b["before"], b["turns"], strict=True):
-                out += fragments_of(None if conv is pd.NA else conv, rng, entry, exit_, before, turns_)
-            yield pd.DataFrame(out, columns=["conv_id", "out_turn", "role", "text", "op", "cost", "at", "range", "begins"]).astype({"conv_id": "Int64"})
+            for conv, rng, entry, exit_, before, last, turns_ in zip(b["conv_id"].astype("Int64"), b["range"], b["entry"], b["exit"], b["before"], b["last"], b["turns"], strict=True):
+                out += fragments_of(None if conv is pd.NA else conv, rng, entry, exit_, before, last, turns_)
+            yield pd.DataFrame(out, columns=["conv_id", "out_turn", "role", "text", "op", "cost", "at", "range", "begins", "ends"]).astype({"conv_id": "Int64"})
 
     pieces = numbered.groupBy("conv_id", "range").agg(F.sort_array(F.collect_list(F.struct("at", "role", "text"))).alias("turns"))
-    whole = pieces.join(ways, pieces["conv_id"].eqNullSafe(ways["conv_id"]) & (pieces["range"] == ways["range"])).select(pieces["conv_id"], pieces["range"], "entry", "exit", "before", "turns")
-    fragments = whole.mapInPandas(written, "conv_id long, out_turn long, role string, text string, op string, cost double, at long, range int, begins boolean")
+    whole = pieces.join(ways, pieces["conv_id"].eqNullSafe(ways["conv_id"]) & (pieces["range"] == ways["range"])).select(pieces["conv_id"], pieces["range"], "entry", "exit", "before", "last", "turns")
+    fragments = whole.mapInPandas(written, "conv_id long, out_turn long, role string, text string, op string, cost double, at long, range int, begins boolean, ends boolean")
+    end, none = F.lit("<|end|>\n"), F.lit("")
+    opening = F.concat(F.when(F.col("out_turn") > 0, end).otherwise(none), F.lit("<|"), F.col("role"), F.lit("|>\n"))
     return fragments.select(
         "conv_id",
         "out_turn",
@@ -201,9 +221,10 @@ def repair(turns: DataFrame, *, ranges: int | None = None) -> DataFrame:
         "text",
         "op",
         "cost",
-        F.concat(F.when(F.col("begins"), F.concat(F.when(F.col("out_turn") > 0, F.lit("<|end|>\n")).otherwise(F.lit("")), F.lit("<|"), F.col("role"), F.lit("|>\n"))).otherwise(F.lit("\n\n")), F.col("text")).alias("rendered"),
+        F.concat(F.when(F.col("begins"), opening).otherwise(F.lit("\n\n")), escaped(F.col("text")), F.when(F.col("ends"), end).otherwise(none)).alias("rendered"),
     )
 
 
 def op2_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, repaired and rendered, a row per fragment; odd rows as ``repair`` says."""
     return repair(table(spark, sf_dir, "conversations"))

@@ -4,7 +4,10 @@ A validated value is permuted within its own format by a keyed Feistel network:
 are cut into two halves, and each round adds to one half, character by character and modulo the
 size of the character's alphabet, a pad hashed from the key, the round and the other half. Every
 round can be undone, so the map is a permutation of each format: equal values get equal
-pseudonyms in every document, and different values stay different.
+pseudonyms in every document, and different values stay different. Formats are such that every
+pseudonym is valid by the rule that its value passed: check digits are made anew, and parts with
+forbidden values (areas, groups and serials of social security numbers) are numbers of a range
+without them.
 """
 
 from __future__ import annotations
@@ -19,6 +22,8 @@ ROUNDS = 10
 ALPHABETS = {
     "d": "0123456789",
     "n": "23456789",  # the first digits of North American area codes and exchanges
+    "o": "01",  # the same where they are none of those
+    "p": "123456789",  # the first digits of numbers without leading zeros
     "l": "abcdefghijklmnopqrstuvwxyz",
     "u": "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
     "x": "0123456789abcdef",
@@ -27,18 +32,58 @@ ALPHABETS = {
 #: Dates from 1900-01-01 to 2099-12-31: 73,049 days = 229 * 319.
 FIRST_DAY, DAYS_A, DAYS_B = "1900-01-01", 229, 319
 
+MONTHS = "January February March April May June July August September October November December".split()
+#: Lengths of international account numbers by country.
+IBAN_LENGTHS = {
+    15: "NO",
+    16: "BE",
+    18: "DK FI FO GL NL SD",
+    19: "MK SI",
+    20: "AT BA EE KZ LT LU XK",
+    21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST",
+    26: "IS TR",
+    27: "FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB PL SV",
+    29: "BR EG PS QA UA",
+    30: "JO KW MU",
+    31: "MT SC",
+    32: "LC",
+}
+#: The beginnings of country calling codes that have one digit or two; the others have three.
+_CALLING = "1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]"
+
+
+def _iban_pattern() -> str:
+    """Each country's length, and any length for countries that are not listed."""
+    of = []
+    for n, countries in IBAN_LENGTHS.items():
+        fours, rest = divmod(n - 4, 4)
+        of.append(f"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{fours}}}" + (f" ?[A-Z0-9]{{{rest}}}" if rest else ""))
+    listed = "|".join(c for x in IBAN_LENGTHS.values() for c in x.split())
+    of.append(f"(?!{listed})[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?")
+    return rf"(?<![A-Za-z0-9])(?:{'|'.join(of)})(?![A-Za-z0-9])"
+
+
+_MONTH = "(?:" + "|".join(dict.fromkeys([*MONTHS, *(m[:3] for m in MONTHS)])) + ")"
+
 #: Kinds in the order in which they are tried; the first that fits at a place takes it.
 PATTERNS = (
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9])"),
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-][A-Za-z0-9.-]*\.[A-Za-z]{2,24}(?![A-Za-z0-9])"),
     ("token", r"(?<![A-Za-z0-9])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32}|[0-9A-F]{64}|[0-9A-F]{40}|[0-9A-F]{32})(?![A-Za-z0-9])"),
     ("access_key", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"),
-    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
-    ("date", r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9/-]|\.[0-9])"),
+    ("iban", _iban_pattern()),
+    ("date", r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9/-]|\.[0-9])"),
+    ("written_date", rf"(?<![A-Za-z0-9])(?:[0-9]{{1,2}} {_MONTH} [0-9]{{4}}|{_MONTH} [0-9]{{1,2}}, [0-9]{{4}})(?![A-Za-z0-9])"),
     ("ip", r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"),
     ("ssn", r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])"),
-    ("card", r"(?<![A-Za-z0-9])[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9])"),
+    # in fours and what may follow them; by issuers' other groups; digit by digit; without gaps
+    ("card", r"(?<![A-Za-z0-9])(?:[0-9]{4}(?:[ -][0-9]{4}){3,}(?:[ -][0-9]{1,3})?|3[0-9]{3}[ -][0-9]{6}[ -][0-9]{4,5}|[0-9]{6}[ -][0-9]{7,13}|[0-9](?:[ -][0-9]){12,18}|[0-9]{13,19})(?![A-Za-z0-9])"),
     ("phone", r"(?<![A-Za-z0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![A-Za-z0-9])"),
-    ("phone_intl", r"(?<![A-Za-z0-9+])\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{1,4}\)?){2,5}(?![A-Za-z0-9])"),
+    ("phone_intl", r"(?<![A-Za-z0-9+])\+[1-9](?:[ .()-]{0,2}[0-9]){7,14}\)?(?![A-Za-z0-9])"),
 )
 ANY = "|".join(p for _, p in PATTERNS)
 
@@ -166,8 +211,11 @@ def _class_of_each(s: Column) -> Column:
 
 
 def _email(m: Column, key: Column) -> Column:
+    """Keeps the domain. A local part is permuted in pieces of 64 characters, mostly one."""
     local, domain = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
-    return F.concat(feistel(local, _class_of_each(local), F.concat(key, F.lit("email"))), F.lit("@"), domain)
+    pieces = F.sequence(F.lit(0), F.floor((F.length(local) - 1) / 64).cast("int"))
+    new = F.transform(pieces, lambda i: _with(F.substring(local, i * 64 + 1, F.lit(64)), lambda x: feistel(x, _class_of_each(x), F.concat_ws("|", key, F.lit("email"), i.cast("string")))))
+    return F.concat(F.array_join(new, ""), F.lit("@"), domain)
 
 
 def _token(m: Column, key: Column) -> Column:
@@ -188,22 +236,46 @@ def _iban(m: Column, key: Column) -> Column:
     return F.when(valid, _refill(m, "[A-Z0-9]", whole))
 
 
+def _day(year: Column, month: Column, day: Column) -> Column:
+    """Days since FIRST_DAY; null where there is no such date."""
+    date = F.try_to_timestamp(F.concat_ws("-", year, month, day), F.lit("yyyy-MM-dd")).cast("date")
+    return F.datediff(date, F.lit(FIRST_DAY).cast("date"))
+
+
+def _moved_day(day: Column, key: Column, written) -> Column:
+    """Another day from FIRST_DAY on, as ``written`` puts it; null where the day is outside."""
+    new = F.date_add(F.lit(FIRST_DAY).cast("date"), feistel_number(day.cast("long"), DAYS_A, DAYS_B, F.concat(key, F.lit("date"))).cast("int"))
+    return F.when(day.between(0, DAYS_A * DAYS_B - 1), _with(new, written))
+
+
 def _date(m: Column, key: Column) -> Column:
-    sep = F.substring(m, 3, 1)
-    iso = m.rlike("^[0-9]{4}-")
+    year_first = m.rlike("^[0-9]{4}")
+    sep = F.substring(m, F.when(year_first, 5).otherwise(3), F.lit(1))
     x, y, year = F.substring(m, 1, 2), F.substring(m, 4, 2), F.substring(m, 7, 4)
-    ymd = F.try_to_timestamp(m, F.lit("yyyy-MM-dd"))
-    dmy = F.try_to_timestamp(F.concat_ws("-", year, y, x), F.lit("yyyy-MM-dd"))
-    mdy = F.try_to_timestamp(F.concat_ws("-", year, x, y), F.lit("yyyy-MM-dd"))
-    day = F.datediff(F.when(iso, ymd).otherwise(F.coalesce(dmy, mdy)).cast("date"), F.lit(FIRST_DAY).cast("date"))
-    new = F.date_add(F.lit(FIRST_DAY).cast("date"), feistel_number(day.cast("long"), DAYS_A, DAYS_B, F.concat(key, F.lit("date"))).cast("int"))
-    months_first = ~iso & dmy.isNull()
+    dmy = _day(year, y, x)
+    day = F.when(year_first, _day(F.substring(m, 1, 4), F.substring(m, 6, 2), F.substring(m, 9, 2))).otherwise(F.coalesce(dmy, _day(year, x, y)))
+    months_first = ~year_first & dmy.isNull()
 
     def written(d: Column) -> Column:
         yyyy, mm, dd = (F.date_format(d, f) for f in ("yyyy", "MM", "dd"))
-        return F.when(iso, F.concat_ws("-", yyyy, mm, dd)).when(months_first, F.concat(mm, sep, dd, sep, yyyy)).otherwise(F.concat(dd, sep, mm, sep, yyyy))
+        return F.when(year_first, F.concat(yyyy, sep, mm, sep, dd)).when(months_first, F.concat(mm, sep, dd, sep, yyyy)).otherwise(F.concat(dd, sep, mm, sep, yyyy))
+
+    return _moved_day(day, key, written)
 
-    return F.when(day.between(0, DAYS_A * DAYS_B - 1), _with(new, written))
+
+def _written_date(m: Column, key: Column) -> Column:
+    names = F.array(*[F.lit(x) for x in MONTHS])
+    name, year = F.regexp_extract(m, "[A-Za-z]+", 0), F.substring(m, F.length(m) - 3, F.lit(4))
+    month = F.array_position(F.transform(names, lambda x: F.substring(x, 1, 3)), F.substring(name, 1, 3)).cast("string")
+    day = _day(year, F.lpad(month, 2, "0"), F.lpad(F.regexp_extract(m, "(?<![0-9])[0-9]{1,2}(?![0-9])", 0), 2, "0"))
+
+    def written(d: Column) -> Column:
+        long = F.element_at(names, F.month(d))
+        new = F.when((F.length(name) == 3) & (name != "May"), F.substring(long, 1, 3)).otherwise(long)
+        dd, yyyy = F.dayofmonth(d).cast("string"), F.date_format(d, "yyyy")
+        return F.when(m.rlike("^[0-9]"), F.concat_ws(" ", dd, new, yyyy)).otherwise(F.concat(new, F.lit(" "), dd, F.lit(", "), yyyy))
+
+    return _moved_day(day, key, written)
 
 
 def _ip(m: Column, key: Column) -> Column:
@@ -213,39 +285,81 @@ def _ip(m: Column, key: Column) -> Column:
     return F.when((o[0] < 256) & (o[1] < 256) & (o[2] < 256) & (o[3] < 256), new)
 
 
+#: Valid parts of social security numbers: areas 001 to 899 but 666, groups 01 to 99, serials 0001 to 9999.
+_AREAS, _GROUPS, _SERIALS = 898, 99, 9999
+
+
 def _ssn(m: Column, key: Column) -> Column:
+    area, group, serial = (F.substring(m, at, n).cast("long") for at, n in ((1, 3), (5, 2), (8, 4)))
     valid = ~m.rlike("^(000|666|9..)-") & ~m.rlike("-00-") & ~m.rlike("-0000$")
-    return F.when(valid, _refill(m, "[0-9]", feistel(_digits(m), _same("d", F.lit(9)), F.concat(key, F.lit("ssn")), 5)))
+    place = ((area - 1 - (area > 666).cast("int")) * _GROUPS + group - 1) * _SERIALS + serial - 1
+    new = feistel_number(place, _AREAS * _GROUPS, _SERIALS, F.concat(key, F.lit("ssn")))
+
+    def written(x: Column) -> Column:
+        first = F.floor(x / (_GROUPS * _SERIALS)).cast("int")
+        parts = ((first + 1 + (first >= 665).cast("int"), 3), (F.floor(x / _SERIALS).cast("int") % _GROUPS + 1, 2), ((x % _SERIALS).cast("int") + 1, 4))
+        return F.concat_ws("-", *[F.lpad(p.cast("string"), n, "0") for p, n in parts])
+
+    return F.when(valid, _with(new, written))
+
+
+def _card_digits(d: Column, key: Column) -> Column:
+    """Keeps the first digit, and makes the check digit anew."""
+    n = F.length(d)
+    new = F.concat(F.substring(d, 1, 1), feistel(F.substring(d, F.lit(2), n - 2), _same("d", n - 2), F.concat(key, F.lit("card")), 9))
+    return _with(new, lambda x: F.concat(x, ((10 - luhn_sum(F.concat(x, F.lit("0"))) % 10) % 10).cast("string")))
 
 
 def _card(m: Column, key: Column) -> Column:
+    """A number in fours may have other numbers in fours, or a short one, beside it: from left to right
+    four groups are a card if their check digit is right, or else with three digits after them."""
+
+    def cards(g: Column) -> Column:
+        def step(acc: Column, i: Column) -> Column:
+            d16, d19 = F.array_join(F.slice(g, i + 1, 4), ""), F.array_join(F.slice(g, i + 1, 5), "")
+            of = lambda d, n: F.when((F.length(d) == n) & (luhn_sum(d) % 10 == 0), d)
+            found = F.coalesce(of(d16, 16), of(d19, 19))
+            moved = _with(
+                found,
+                lambda d: F.when(
+                    d.isNotNull(),
+                    F.struct(F.concat(acc["out"], _card_digits(d, key)).alias("out"), (i + F.when(F.length(d) == 16, 4).otherwise(5)).alias("next"), F.lit(True).alias("hit")),
+                ).otherwise(F.struct(F.concat(acc["out"], F.element_at(g, i + 1)).alias("out"), (i + 1).alias("next"), acc["hit"].alias("hit"))),
+            )
+            return F.when(i < acc["next"], acc).otherwise(moved)
+
+        start = F.struct(F.lit("").alias("out"), F.lit(0).alias("next"), F.lit(False).alias("hit"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(g) - 1), start, step, lambda acc: F.when(acc["hit"], acc["out"]))
+
     d = _digits(m)
     n = F.length(d)
-    head = F.substring(d, F.lit(1), n - 1)
-    new = F.concat(F.substring(head, 1, 1), feistel(F.substring(head, F.lit(2), n), _same("d", n - 2), F.concat(key, F.lit("card")), 9))
-    whole = _with(new, lambda x: F.concat(x, ((10 - luhn_sum(F.concat(x, F.lit("0"))) % 10) % 10).cast("string")))
-    return F.when(n.between(13, 19) & (luhn_sum(d) % 10 == 0), _refill(m, "[0-9]", whole))
+    alone = F.when(n.between(13, 19) & (luhn_sum(d) % 10 == 0), _with(d, lambda x: _card_digits(x, key)))
+    new = F.when(m.rlike("^(?:[0-9]{4}[ -]){3}"), _with(F.split(m, "[ -]"), cards)).otherwise(alone)
+    return _with(new, lambda x: F.when(x.isNotNull(), _refill(m, "[0-9]", x)))
 
 
 def _phone(m: Column, key: Column) -> Column:
-    """Keeps the country code and permutes the ten digits after it."""
+    """Keeps the country code and permutes the ten digits after it; first digits of the area and the
+    exchange stay among 2 to 9, or among 0 and 1, where they were."""
     d = _digits(m)
     n = F.length(d)
     code, own = F.substring(d, F.lit(1), n - 10), F.substring(d, n - 9, F.lit(10))
-    lead = lambda i: F.when(F.substring(own, i, 1).rlike("[2-9]"), "n").otherwise("d")
+    lead = lambda i: F.when(F.substring(own, i, 1).rlike("[2-9]"), "n").otherwise("o")
     classes = F.concat(lead(1), F.lit("dd"), lead(4), F.lit("dddddd"))
     return _refill(m, "[0-9]", F.concat(code, feistel(own, classes, F.concat(key, F.lit("phone")), 5)))
 
 
 def _phone_intl(m: Column, key: Column) -> Column:
-    """Keeps the sign and the digits that follow it as far as the country code goes (two of them)."""
+    """Keeps the country's calling code; the number after it begins with a zero if it did."""
     d = _digits(m)
-    n = F.length(d)
-    new = F.concat(F.substring(d, 1, 2), feistel(F.substring(d, F.lit(3), n), _same("d", n - 2), F.concat(key, F.lit("intl")), 7))
-    return F.when(n.between(8, 15), _refill(m, "[0-9]", new))
+    code = F.regexp_extract(d, f"^(?:{_CALLING}|[0-9]{{3}})", 0)
+    own = F.substring(d, F.length(code) + 1, F.length(d))
+    classes = F.concat(F.when(F.substring(own, 1, 1) == "0", "-").otherwise("p"), _same("d", F.length(own) - 1))
+    new = F.concat(code, feistel(own, classes, F.concat_ws("|", key, F.lit("intl"), code), 7))
+    return F.when(F.length(d).between(8, 15), _refill(m, "[0-9]", new))
 
 
-_MAKE = {"email": _email, "token": _token, "access_key": _access_key, "iban": _iban, "date": _date, "ip": _ip, "ssn": _ssn, "card": _card, "phone": _phone, "phone_intl": _phone_intl}
+_MAKE = {"email": _email, "token": _token, "access_key": _access_key, "iban": _iban, "date": _date, "written_date": _written_date, "ip": _ip, "ssn": _ssn, "card": _card, "phone": _phone, "phone_intl": _phone_intl}
 
 
 def pseudonym(match: Column, key: Column) -> Column:
@@ -257,8 +371,9 @@ def pseudonym(match: Column, key: Column) -> Column:
 def pseudonymise(docs: DataFrame, key: str, *, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """``docs`` with the personal data in ``text_col`` replaced; other columns and all rows stay.
 
-    Validated are Luhn sums of card numbers, remainders of account numbers, octets, calendar dates
-    from 1900 to 2099 and the area rules of social security numbers; what fails stays as it is.
+    Validated are Luhn sums of card numbers, lengths and remainders of account numbers, octets, calendar
+    dates from 1900 to 2099 and the area rules of social security numbers; what fails stays as it is,
+    and a valid value beside it is found.
     Null text stays null, text without digits or @ stays as it is, and equal texts get equal
     results. ``count_col``, if given, gets the number of values replaced (0 for null text).
     """
@@ -280,4 +395,5 @@ KEY = "tidemark-demonstration-key"
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with pseudonyms in their whole texts; null text stays null, rows count one by one."""
     return pseudonymise(table(spark, sf_dir, "documents"), KEY, count_col="n_replaced").select("doc_id", "text", "n_replaced")

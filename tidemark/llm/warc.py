@@ -180,8 +180,12 @@ def write_archives(pages: DataFrame, folder: str, *, least_bytes: int = 0, frame
     return scratch.put(rows.mapInPandas(run, INDEX), "index")
 
 
-def read_archives(index: DataFrame) -> DataFrame:
-    """Reads the records that the index names, each frame once, and checks every digest."""
+def read_archives(index: DataFrame, *, task_bytes: int = 1 << 27) -> DataFrame:
+    """Reads the records that the index names, each frame once, and checks every digest.
+
+    Frames are dealt out by name to so many tasks that each reads about ``task_bytes`` and no core is
+    idle; an empty index gives no rows.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
@@ -206,7 +210,9 @@ def read_archives(index: DataFrame) -> DataFrame:
                     out.append((int(own) if own else None, length, digest, fields["WARC-Type"], int(to) if to else None, fields["WARC-Target-URI"], bundle.rpartition("/")[2], frame, offset))
             yield pd.DataFrame(out, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "bundle", "frame", "offset"]).astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    frames = index.groupBy("bundle", "frame", "frame_at", "frame_size").agg(F.collect_list("offset").alias("offsets"))
+    plain_bytes = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-plain_bytes // task_bytes))
+    frames = index.repartition(tasks, "bundle", "frame").groupBy("bundle", "frame", "frame_at", "frame_size").agg(F.collect_list("offset").alias("offsets"))
     return frames.mapInPandas(run, RECORDS)
 
 
