@@ -39,7 +39,8 @@ class DomainModel:
         def run(texts: pd.Series) -> pd.DataFrame:
             return pd.DataFrame({"tokens": [len((t or "").split()) for t in texts], "p": [of(t) for t in texts]})
 
-        return F.pandas_udf(run, "tokens long, p array<double>")(text)
+        # called nondeterministic, so that a filter on what it gives is not pushed below it and computes it again
+        return F.pandas_udf(run, "tokens long, p array<double>").asNondeterministic()(text)
 
 
 def fit_domains(docs: DataFrame, labels: DataFrame, *, per_class: int = 1500) -> DomainModel:
@@ -139,8 +140,10 @@ def fit_rates(rows: DataFrame, targets: np.ndarray, *, rounds: int = 25, toleran
             out.converged = True
             break
         steps = [length * d for d in (gradient, inverse_of(now) @ miss) for length in LENGTHS]
-        tried = at.agg(*[F.sum(t * p[i] * along(rate, s)).alias(f"a{n}_{i}") for n, s in enumerate(steps) for i in range(k)]).first()
-        reached = np.array([[tried[f"a{n}_{i}"] for i in range(k)] for n in range(len(steps))], dtype=float)
+        each = at.select("tokens", "p", "rate", F.posexplode(F.lit([[float(x) for x in s] for s in steps])).alias("n", "step"))
+        moved = F.greatest(F.lit(0.0), rate - sum((p[i] * F.col("step")[i] for i in range(k)), F.lit(0.0)))
+        tried = {r["n"]: r for r in each.groupBy("n").agg(*[F.sum(t * p[i] * moved).alias(f"a{i}") for i in range(k)]).collect()}
+        reached = np.array([[tried[n][f"a{i}"] for i in range(k)] for n in range(len(steps))], dtype=float)
         best = int(np.argmin(np.einsum("ni,ij,nj->n", reached - want, inverse, reached - want)))
         out.steps.append(steps[best])
         out.reached = reached[best]

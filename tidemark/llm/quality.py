@@ -54,7 +54,8 @@ def _counts(text: Column) -> Column:
     def of(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([text_counts(t) for t in texts], columns=list(COUNTS), dtype="int64")
 
-    return F.pandas_udf(of, ", ".join(f"{c} long" for c in COUNTS))(text)
+    # called nondeterministic, so that a filter on the counts is not pushed below them and counts again
+    return F.pandas_udf(of, ", ".join(f"{c} long" for c in COUNTS)).asNondeterministic()(text)
 
 
 def _share(of: str, to: str):

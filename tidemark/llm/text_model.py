@@ -156,11 +156,11 @@ def sample_hits(sample: DataFrame, vocabulary: Vocabulary) -> DataFrame:
 def train(rows: DataFrame, n_features: int, n_classes: int, *, reg: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """Softmax weights (classes x features) and intercepts from rows of hits, label, weight."""
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.linalg import Vectors, VectorUDT
+    from pyspark.ml.feature import CountVectorizerModel
 
     size = max(1, n_features)
-    to_vector = F.udf(lambda h: Vectors.sparse(size, h, [1.0] * len(h)), VectorUDT())
-    data = rows.select(to_vector("hits").alias("features"), F.col("label").cast("double"), F.col("weight").cast("double"))
+    spelled = rows.select(F.col("hits").cast("array<string>").alias("hits"), F.col("label").cast("double"), F.col("weight").cast("double"))
+    data = CountVectorizerModel.from_vocabulary([str(i) for i in range(size)], "hits", "features").transform(spelled)
     model = LogisticRegression(maxIter=60, regParam=reg, standardization=False, family="multinomial", weightCol="weight").fit(data)
     w, b = model.coefficientMatrix.toArray(), np.asarray(model.interceptVector.toArray())
     full_w, full_b = np.zeros((n_classes, size)), np.full(n_classes, -30.0)
