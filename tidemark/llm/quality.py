@@ -175,14 +175,12 @@ def score_quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 def keep_good(docs: DataFrame, *, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns.
 
-    Texts are counted once: rows are written with their counts, those that fail the base rules without
-    their texts, and the model that the counts give is applied to what was written. No row is moved.
+    The model is fitted in a first pass over all rows; the verdict is then a function of each row alone,
+    so no row is moved or written between. Null and empty texts are not kept.
     """
     (c,) = fresh(docs, "quality_counts")
     s = F.col(c)
-    scratch = Scratch(docs.sparkSession)
-    counted = docs.withColumn(c, _counts(F.col(text_col))).withColumn(text_col, F.when(~base_failed(s), F.col(text_col)))
-    counted = scratch.put(counted, "counted")
+    counted = docs.withColumn(c, _counts(F.col(text_col)))
     model = fit_label_model(counted, c)
     return counted.where(~base_failed(s) & (model.column([r.vote(s) for r in RULES]) >= threshold)).drop(c)
 
