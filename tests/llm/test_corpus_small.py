@@ -607,6 +607,24 @@ def test_rates_equal_least_squares_without_a_domain(spark, low, high):
         assert not mixing.fit_rates(rows, np.array([0.0, 0.9999, 0.0001]), rounds=0).converged
 
 
+def test_a_target_out_of_reach_draws_no_others_after_it(spark):
+    rng = np.random.default_rng(3)
+    low, toxic = rng.uniform(0.0001, 0.0013, 200), rng.beta(0.4, 3, 200)
+    p, tokens = np.column_stack([low, 1 - low - toxic * (1 - low), toxic * (1 - low)]), rng.integers(1, 300, 200)
+    rows = spark.createDataFrame([(int(n), [float(x) for x in q]) for n, q in zip(tokens, p, strict=True)], "tokens long, p array<double>").coalesce(1)
+    want = np.array([0.01, 0.96, 0.03])
+    rates = mixing.fit_rates(rows, want)
+    a, x = (p * tokens[:, None]).T / tokens.sum(), np.ones(200)  # dense accelerated projected gradient
+    y, momentum, step = x, 1.0, 1 / np.linalg.eigvalsh(a @ a.T)[-1]
+    for _ in range(100_000):
+        new = np.maximum(0, y - step * (a.T @ (a @ y - want)))
+        following = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
+        x, y, momentum = new, new + (momentum - 1) / following * (new - x), following
+    assert np.abs(rates.reached / rates.total - a @ x).max() < 2e-3
+    got = np.array([r[0] for r in rows.select(rates.column(F.col("p"))).collect()])
+    assert np.allclose(a @ got, rates.reached / rates.total) and (got * tokens).sum() < 1.1 * tokens.sum()
+
+
 def test_domains_are_learnt_from_the_rows_that_are_left(spark, labelled):
     docs, labels = labelled
     gone = labels.where("quality = 0 and toxic = 0").select("doc_id")

@@ -88,21 +88,23 @@ class Rates:
         return F.aggregate(steps, F.lit(1.0), lambda rate, s: F.greatest(F.lit(0.0), moved(rate, s)))
 
 
-#: Step lengths that a line search tries at once.
-LENGTHS = tuple(2.0**i for i in range(-6, 11))
+#: Step lengths that a line search tries at once, and dampings of the directions that it tries them in.
+LENGTHS = tuple(4.0**i for i in range(-3, 6))
+DAMPINGS = (0.0, 1e-4, 1e-2)
 
 
 def fit_rates(rows: DataFrame, targets: np.ndarray, *, rounds: int = 25, tolerance: float = 1e-4) -> Rates:
     """Least squares of the domain totals A r against the targets over rates r >= 0, from r = 1.
 
-    ``rows`` has tokens and p. The distance of rates weighs a document by its tokens, so that rates
-    depend on membership and not on length; the residual is measured by the Gram matrix of that
-    metric. Each round projects the steps of ``LENGTHS`` along the gradient, and along the gradient
-    scaled by the Gram matrix of the documents with a rate above 0, and takes the best. It ends when
-    every total is within ``tolerance`` of all tokens, or when a gradient step of length 1 changes no
-    total by more than a hundredth of that and rates by no more than ``tolerance`` (root mean square over
-    tokens); if neither holds after ``rounds``, it warns and ``converged`` is false. A round is two
-    aggregations over all rows; only sums, none of which grows with the rows, reach the driver.
+    ``rows`` has tokens and p. The residual is plain, in tokens, so that a target that no document can
+    serve costs what it misses and draws no others after it. The distance of rates weighs a document by
+    its tokens, so that rates depend on membership and not on length. Each round projects the steps of
+    ``LENGTHS`` along the gradient, and along the gradient scaled by the damped Gram matrices of all
+    documents and of those with a rate above 0, and takes the best. It ends when every total is within
+    ``tolerance`` of all tokens, or when a plain gradient step changes no total by more than a hundredth
+    of that and rates by no more than ``tolerance`` (root mean square over tokens); if neither holds
+    after ``rounds``, it warns and ``converged`` is false. A round is two aggregations over all rows;
+    only sums, none of which grows with the rows, reach the driver.
     """
     k = len(targets)
     p = [F.col("p")[i] for i in range(k)]
@@ -111,40 +113,39 @@ def fit_rates(rows: DataFrame, targets: np.ndarray, *, rounds: int = 25, toleran
     def gram_of(weight: Column) -> list[Column]:
         return [F.sum(weight * p[i] * p[j]).alias(f"g{i}{j}") for i, j in pairs]
 
-    def inverse_of(row) -> np.ndarray:
-        gram = np.array([[row[f"g{min(i, j)}{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)], dtype=float)
-        return np.linalg.pinv(gram + np.eye(k) * np.trace(gram) * 1e-9, rcond=1e-9)
+    def gram(row) -> np.ndarray:
+        return np.array([[row[f"g{min(i, j)}{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)], dtype=float)
 
-    def along(rate: Column, step: np.ndarray) -> Column:
-        return F.greatest(F.lit(0.0), rate - sum((p[i] * F.lit(float(step[i])) for i in range(k)), F.lit(0.0)))
+    def directions(g: np.ndarray, miss: np.ndarray) -> list[np.ndarray]:
+        return [np.linalg.pinv(g + np.eye(k) * np.trace(g) * max(d, 1e-9), rcond=1e-9) @ miss for d in DAMPINGS]
 
-    first = rows.agg(F.sum("tokens").alias("n"), *gram_of(t)).first()
+    def along(rate: Column, step) -> Column:
+        return F.greatest(F.lit(0.0), rate - sum((p[i] * step[i] for i in range(k)), F.lit(0.0)))
+
+    first = rows.agg(F.sum("tokens").alias("n"), *gram_of(t), *[F.sum(t * p[i]).alias(f"a{i}") for i in range(k)]).first()
     total = float(first["n"] or 0)
     if not total:
         return Rates([], 0.0, targets, np.zeros(k))
-    inverse = inverse_of(first)
+    every = gram(first)
     want = targets / targets.sum() * total
-    out = Rates([], total, want, np.zeros(k), False)
-    last = rows.agg(*[F.sum(t * p[i]).alias(f"a{i}") for i in range(k)]).first()
-    out.reached = np.array([last[f"a{i}"] for i in range(k)], dtype=float)
+    out = Rates([], total, want, np.array([first[f"a{i}"] for i in range(k)], dtype=float), False)
     for _ in range(rounds):
         miss = out.reached - want
         if np.abs(miss).max() <= tolerance * total:
             out.converged = True
             break
-        rate, gradient = F.col("rate"), inverse @ miss
+        rate, plain = F.col("rate"), miss / np.linalg.eigvalsh(every)[-1]
         at = rows.select("tokens", "p", out.column(F.col("p")).alias("rate"))
-        change = along(rate, gradient) - rate
+        change = along(rate, [F.lit(float(x)) for x in plain]) - rate
         now = at.agg(*gram_of(F.when(rate > 0, t)), F.sum(t * change * change).alias("c"), *[F.sum(t * p[i] * change).alias(f"c{i}") for i in range(k)]).first()
         if np.sqrt(now["c"] / total) <= tolerance and max(abs(now[f"c{i}"]) for i in range(k)) <= tolerance / 100 * total:
             out.converged = True
             break
-        steps = [length * d for d in (gradient, inverse_of(now) @ miss) for length in LENGTHS]
+        steps = [length * d for d in (plain, *directions(every, miss), *directions(gram(now), miss)) for length in LENGTHS]
         each = at.select("tokens", "p", "rate", F.posexplode(F.lit([[float(x) for x in s] for s in steps])).alias("n", "step"))
-        moved = F.greatest(F.lit(0.0), rate - sum((p[i] * F.col("step")[i] for i in range(k)), F.lit(0.0)))
-        tried = {r["n"]: r for r in each.groupBy("n").agg(*[F.sum(t * p[i] * moved).alias(f"a{i}") for i in range(k)]).collect()}
+        tried = {r["n"]: r for r in each.groupBy("n").agg(*[F.sum(t * p[i] * along(rate, F.col("step"))).alias(f"a{i}") for i in range(k)]).collect()}
         reached = np.array([[tried[n][f"a{i}"] for i in range(k)] for n in range(len(steps))], dtype=float)
-        best = int(np.argmin(np.einsum("ni,ij,nj->n", reached - want, inverse, reached - want)))
+        best = int(np.argmin(((reached - want) ** 2).sum(axis=1)))
         out.steps.append(steps[best])
         out.reached = reached[best]
     if not out.converged:
