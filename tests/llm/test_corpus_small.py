@@ -388,6 +388,16 @@ def test_lists_tables_and_long_pages_are_aligned(spark):
         assert out[i].count("item") == i + 1
 
 
+def test_odd_pages(spark):
+    deep = "<div>" * 3000 + "deep" + "</div>" * 2000
+    rows = [(1, "https://e.example/a", deep), (1, "https://e.example/a", deep), (1, "https://e.example/b", "<p>" + "word " * 200_000), (None, "https://e.example/c", "</div></p>broken <b>tags</i> <p>x"), (2, "https://e.example/d", "plain \u00e9&eacute;&#233;"), (3, "https://e.example/e", "<p>x</p>" * 3000), (4, "HTTPS://E.example", "<!-- no text -->")]
+    d = spark.createDataFrame([(*r, "clash", 1) for r in rows], "page_id long, url string, html string, host string, reference int")
+    out = html_text.main_text(d)
+    assert out.columns == ["page_id", "url", "host", "reference", "text"]
+    texts = sorted((r["text"] for r in out.collect()), key=len)
+    assert texts == sorted(["deep", "deep", " ".join(["word"] * 200_000), "broken tags x", "plain ééé", " ".join(["x"] * 3000), ""], key=len)
+
+
 def most_pairs(a, b):
     """Size of the largest matching, by plain recursion."""
     ca, cb = html_text.children(a), html_text.children(b)
@@ -637,6 +647,20 @@ def test_domains_are_learnt_from_the_rows_that_are_left(spark, labelled):
     assert abs(out["toxic"] / out["n"] - 0.03 / 0.99) < 1e-3 and abs(out["plain"] / out["n"] - 0.96 / 0.99) < 1e-3
 
 
+def test_mixing_on_odd_rows(spark, labelled):
+    docs, labels = labelled
+    extra = odd(spark).select("doc_id", "text", F.lit(1).alias("copies"), F.lit("x").alias("membership"))
+    both = docs.where("doc_id > 6").select("doc_id", "text", F.lit(1).alias("copies"), F.lit("x").alias("membership")).unionByName(extra)
+    out = mixing.mixture(both, labels).toPandas()
+    assert len(out) == both.count() and out.rate.notna().all() and (out.rate >= 0).all() and out[["p_low", "p_plain", "p_toxic"]].sum(axis=1).round(9).eq(1).all()
+    again = mixing.mixture(both.repartition(5), labels).toPandas()
+    order = ["doc_id", "tokens", "copies"]
+    assert again.sort_values(order)[order].reset_index(drop=True).equals(out.sort_values(order)[order].reset_index(drop=True))
+    mixed = mixing.remix(both, labels)
+    assert mixed.columns == both.columns and mixed.count() == out.copies.sum()
+    assert mixing.remix(both.limit(0), labels).count() == 0 and mixing.mixture(both, labels.limit(0)).count() == len(out)
+
+
 def test_vocabulary_hits_are_the_features():
     v = text_model.Vocabulary(["w:loser", "p:zusc", "s:short"])
     assert v.hits("A l0ser, zuschen!") == [0, 1, 2] and v.hits(None) == []

@@ -300,5 +300,6 @@ def asked_of(queries: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 
 def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector among all; odd rows as ``nearest`` says."""
     rows = table(spark, sf_dir, "embeddings")
     return nearest(rows, rows.where(F.col("vec_id") % 20 == 0))

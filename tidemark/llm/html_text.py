@@ -430,5 +430,6 @@ def main_text(pages: DataFrame, *, url_col: str = "url", html_col: str = "html",
 
 
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of all pages; odd rows as ``main_text`` says."""
     out = main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return out.withColumn("n_chars", F.length("text").cast("long"))

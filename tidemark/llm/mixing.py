@@ -159,26 +159,27 @@ def rates_of(model: DomainModel, rows: DataFrame, targets: dict[str, float]) ->
     return fit_rates(rows, want if want.sum() else np.array(model.present, dtype=float))
 
 
-def copies(rate: Column, key: Column) -> Column:
+def copies(rate: Column, *key: Column) -> Column:
     """A whole number of uses whose expectation over keys is the rate, the same on every run."""
-    u = F.pmod(F.xxhash64(F.lit("copies"), key), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    u = F.pmod(F.xxhash64(F.lit("copies"), *key), F.lit(1 << 40)) / F.lit(float(1 << 40))
     return F.floor(rate + u).cast("int")
 
 
 def mixture(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, *, per_class: int = 1500) -> DataFrame:
     """One row per document: doc_id, tokens, p_<domain>, rate, copies.
 
-    Null and empty texts have no tokens; their rate stays 1. Labels of held-out ids are not used. Rows
-    with equal ids are fitted one by one and, having one id, are drawn alike; an empty table gives no
-    rows; other columns are ignored.
+    Null and empty texts have no tokens, but a rate like any. Labels of held-out ids are not used. Rows
+    with equal or null ids are fitted one by one, and drawn alike only if their texts are equal, too; an
+    empty table gives no rows; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession)
     model = fit_domains(docs, labels.where(~held_out("doc_id")), per_class=per_class)
-    rows = scratch.put(docs.select("doc_id", model.column(F.col("text")).alias("m")).select("doc_id", "m.tokens", "m.p"), "memberships")
+    seen = docs.select("doc_id", F.xxhash64("text").alias("h"), model.column(F.col("text")).alias("m"))
+    rows = scratch.put(seen.select("doc_id", "h", "m.tokens", "m.p"), "memberships")
     rates = rates_of(model, rows, targets)
     rate = rates.column(F.col("p"))
-    out = rows.select("doc_id", "tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)], rate.alias("rate"))
-    return out.withColumn("copies", copies(F.col("rate"), F.col("doc_id")))
+    out = rows.select("doc_id", "h", "tokens", *[F.col("p")[i].alias(f"p_{d}") for i, d in enumerate(DOMAINS)], rate.alias("rate"))
+    return out.withColumn("copies", copies(F.col("rate"), F.col("doc_id"), F.col("h"))).drop("h")
 
 
 def remix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, *, per_class: int = 1500) -> DataFrame:
@@ -192,9 +193,10 @@ def remix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     seen = docs.withColumn(m, model.column(F.col("text")))
     rows = scratch.put(seen.select(F.col(m)["tokens"].alias("tokens"), F.col(m)["p"].alias("p")), "memberships")
     rates = rates_of(model, rows, targets)
-    uses = copies(rates.column(F.col(m)["p"]), F.col("doc_id"))
+    uses = copies(rates.column(F.col(m)["p"]), F.col("doc_id"), F.xxhash64("text"))
     return seen.withColumn(n, uses).drop(m).where(F.col(n) > 0).withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n)))).drop(n)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of all documents for TARGETS; odd rows as ``mixture`` says."""
     return mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -379,4 +379,5 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 
 
 def op8_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every document; odd rows as ``classes`` says."""
     return classes(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")

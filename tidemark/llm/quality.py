@@ -186,4 +186,5 @@ def keep_good(docs: DataFrame, *, text_col: str = "text", threshold: float = 0.5
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdicts of all documents; odd rows as ``score_quality`` says."""
     return score_quality(table(spark, sf_dir, "documents"))

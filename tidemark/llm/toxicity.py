@@ -106,7 +106,7 @@ class ToxicityModel:
         return float(1 / (1 + np.exp(-min(max(z, -500.0), 500.0))))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = 2000, max_voters: int = 96) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = 2000) -> ToxicityModel:
     """Learns from ``per_class`` labelled documents of each class at most (those of the least id hash).
 
     Without labelled documents of both classes the model scores by the fixed lexicon alone.
@@ -129,8 +129,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = 2000, m
         has[i, list(h)] = True
     y, weight = rows["y"].to_numpy(), rows["weight"].to_numpy()
     toxic_like = (has & (y == 1)[:, None]).mean(0) / max(1e-9, (y == 1).mean()) > (has & (y == 0)[:, None]).mean(0) / max(1e-9, (y == 0).mean())
-    lexicon = np.flatnonzero(toxic_like)[:max_voters]
-    none = ~has[:, np.flatnonzero(toxic_like)].any(1)
+    lexicon = np.flatnonzero(toxic_like)
+    none = ~has[:, lexicon].any(1)
     votes = np.hstack([has[:, lexicon].astype(int), np.where(none, -1, 0)[:, None], np.array(rows["fixed"].tolist())])
     prior = float((weight * (y == 1)).sum() / weight.sum())
     post = GenerativeModel().fit(votes, weight, min(max(prior, 0.01), 0.5))
@@ -141,7 +141,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = 2000, m
     return ToxicityModel(features, w[1] - w[0], float(b[1] - b[0]))
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> Column:
+def score_toxicity(model: ToxicityModel, text_col: str = "text") -> Column:
     """The score of each whole text; null scores like the empty text."""
     return F.pandas_udf(lambda s: pd.Series([model.score(t) for t in s], dtype="float64"), "double")(F.col(text_col))
 
@@ -155,9 +155,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, per_
     """
     learn = labels.where(~held_out("doc_id"))
     model = fit_toxicity(docs, learn, per_class=per_class)
-    scored = docs.select("doc_id", held_out("doc_id").alias("held_out"), score_toxicity(docs, model).alias("score"))
+    scored = docs.select("doc_id", held_out("doc_id").alias("held_out"), score_toxicity(model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by the labels that are not held out; odd rows as ``toxicity`` says."""
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
