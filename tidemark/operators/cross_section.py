@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.windows import across, along, average_rank, clip, correlation, full, ln, percent_rank_average, trailing
 from tidemark.operators.bars import dense
-from tidemark.operators.returns import forward_return
 
 
 def zscore(x: Column, *partition: str, limit: float | None = 5.0, least: int = 2) -> Column:
@@ -58,12 +57,22 @@ def ic_summary(ic: DataFrame, *by: str, value: str = "ic") -> DataFrame:
 
 
 def ic_decay(signal: DataFrame, returns: DataFrame, horizons: list[int], method: str = "spearman", value: str = "value", ret: str = "log_return", asset: str = "asset", ts: str = "ts") -> DataFrame:
-    """The summary for each horizon, in one job."""
-    parts = [information_coefficient(signal, forward_return(returns, h, ret, asset, ts), method, value, "fwd", asset, ts).withColumn("horizon", F.lit(h)) for h in horizons]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return ic_summary(out, "horizon")
+    """The summary for each horizon. All forward returns come from one pass over the returns, which meet
+    the signal once; horizons are then rows, and ranks are taken within time and horizon."""
+    return ic_summary(ic_by_horizon(signal, returns, horizons, method, value, ret, asset, ts), "horizon")
+
+
+def ic_by_horizon(signal: DataFrame, returns: DataFrame, horizons: list[int], method: str = "spearman", value: str = "value", ret: str = "log_return", asset: str = "asset", ts: str = "ts") -> DataFrame:
+    """ts, horizon, ic, n."""
+    r = F.col(ret)
+    ahead = [F.exp(full(F.sum(r), r, h, along(asset, ts).rowsBetween(1, h))) - 1 for h in horizons]
+    seen = returns.where(r.isNotNull()).select(ts, asset, F.array(*ahead).alias("_f"))
+    both = signal.where(F.col(value).isNotNull()).select(ts, asset, F.col(value).alias("s")).join(seen, [ts, asset])
+    both = both.select(ts, "s", F.explode(F.arrays_zip(F.array(*[F.lit(h) for h in horizons]).alias("h"), F.col("_f").alias("f"))).alias("_e"))
+    both = both.select(ts, "s", F.col("_e.h").alias("horizon"), F.col("_e.f").alias("f")).where("f is not null")
+    if method == "spearman":
+        both = both.withColumns({"s": average_rank(F.col("s"), ts, "horizon"), "f": average_rank(F.col("f"), ts, "horizon")})
+    return both.groupBy(ts, "horizon").agg(correlation(F.col("s"), F.col("f")).alias("ic"), F.count(F.lit(1)).alias("n"))
 
 
 def members(panel: DataFrame, k_top: int, k_bottom: int, value: str = "rank_pct", asset: str = "asset", ts: str = "ts") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import checkpoints
+
 EXPERIMENTS = "run_id string, ts timestamp, git_commit string, spec_version string, out_dir string, notes string, tags_json string, params_json string, dataset_id string, hypothesis string"
 METRICS = "run_id string, metric_name string, metric_value double"
 LINEAGE = "artifact_id string, run_instance_id string, run_key string, dataset_id string, artifact_type string, relative_path string, sha256 string, created_at timestamp"
@@ -39,6 +41,25 @@ def recent(journal: DataFrame, kind: str | None = None, n: int = 100, ts: str =
     return (journal.where(F.col(kind_col) == kind) if kind else journal).orderBy(F.desc(ts)).limit(n)
 
 
+def candidates(table: DataFrame, status: str | None = None, dataset_id: str | None = None, signal: str | None = None, limit: int = 100) -> DataFrame:
+    """Candidates of a status, dataset or signal, newest first."""
+    for column, value in (("status", status), ("dataset_id", dataset_id), ("signal_name", signal)):
+        if value is not None:
+            table = table.where(F.col(column) == value)
+    return table.orderBy(F.desc("created_at"), "candidate_id").limit(limit)
+
+
+def new_candidates(runs: DataFrame, keys: tuple[str, ...] = ("dataset_id", "run_id", "signal_name", "horizon", "config_hash")) -> DataFrame:
+    """Rows to append as exploratory candidates; the id is a hash of the keys, so that the same candidate
+    comes once however often it is made."""
+    return runs.dropDuplicates(list(keys)).withColumns({"candidate_id": F.substring(F.sha2(F.concat_ws("|", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]), 256), 1, 16), "status": F.lit("exploratory")})
+
+
+def events_of(events: DataFrame, candidate_id: str, ts: str = "created_at") -> DataFrame:
+    """The events of one candidate in order of time."""
+    return events.where(F.col("candidate_id") == candidate_id).orderBy(ts, "event_type")
+
+
 def reasons(checks: list[tuple[str, Column]]) -> Column:
     """The names of the checks that fail; a check that is NULL fails."""
     return F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks]))
@@ -116,20 +137,20 @@ def trace(candidates: DataFrame, reports: DataFrame, events: DataFrame, lineage:
 
 
 def ancestors(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """artifact_id, ancestor_id, depth over all edges, by a recursive common table expression."""
-    return spark.sql(
-        """
-        with recursive up(artifact_id, ancestor_id, depth) as (
-          select child_artifact_id, parent_artifact_id, 1 from {edges}
-          union all
-          select up.artifact_id, e.parent_artifact_id, up.depth + 1
-          from up join {edges} e on up.ancestor_id = e.child_artifact_id
-          where up.depth < 50
-        )
-        select artifact_id, ancestor_id, min(depth) as depth from up group by artifact_id, ancestor_id
-        """,
-        edges=edges,
-    )
+    """artifact_id, ancestor_id, depth over all edges: each ancestor once, at its least depth.
+
+    A round takes the pairs of the last depth one edge up and keeps those that are new, until there are
+    none; so depth has no bound, many ways to one ancestor are followed once, and cycles end.
+    """
+    checkpoints(spark)
+    e = edges.select(F.col("child_artifact_id").alias("child"), F.col("parent_artifact_id").alias("parent")).distinct().checkpoint()
+    last = found = e.select(F.col("child").alias("artifact_id"), F.col("parent").alias("ancestor_id"), F.lit(1).alias("depth"))
+    while True:
+        up = last.join(e, F.col("ancestor_id") == F.col("child")).select("artifact_id", F.col("parent").alias("ancestor_id"), (F.col("depth") + 1).alias("depth")).distinct()
+        last = up.join(found.select("artifact_id", "ancestor_id"), ["artifact_id", "ancestor_id"], "left_anti").checkpoint()
+        if last.isEmpty():
+            return found
+        found = found.unionByName(last).checkpoint()
 
 
 def dataset_id(tables: dict[str, DataFrame]) -> DataFrame:

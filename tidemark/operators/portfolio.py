@@ -45,24 +45,40 @@ def portfolio_returns(weights: DataFrame, returns: DataFrame, ret: str = "log_re
     return both.groupBy(ts).agg(F.sum(F.coalesce("weight", F.lit(0.0)) * F.coalesce("r", F.lit(0.0))).alias("pnl"))
 
 
+def _numbered(weights: DataFrame, asset: str, ts: str) -> tuple[DataFrame, DataFrame]:
+    """Weights with the position of their time, and the times with theirs; times are few beside rows."""
+    times = weights.select(ts).distinct().withColumn("_n", F.row_number().over(Window.orderBy(ts)))
+    return weights.select(ts, asset, F.coalesce("weight", F.lit(0.0)).alias("weight")).join(times, ts), times
+
+
 def lagged(weights: DataFrame, bars: int = 1, asset: str = "asset", ts: str = "ts") -> DataFrame:
-    """Weights as executed: those of ``bars`` times before, on the grid of all times and assets."""
-    full = dense(weights, "weight", asset, ts)
-    return full.select(ts, asset, F.coalesce(F.lag("weight", bars).over(along(asset, ts)), F.lit(0.0)).alias("weight"))
+    """Weights as executed: those of ``bars`` times before. An asset without a row has no weight; the
+    assets of the first times have weight 0 then. Each row moves to a later time; no grid is made."""
+    rows, times = _numbered(weights, asset, ts)
+    moved = rows.select(asset, "weight", (F.col("_n") + bars).alias("_n")).join(times, "_n").select(ts, asset, "weight")
+    return moved.unionByName(rows.where(F.col("_n") <= bars).select(ts, asset, F.lit(0.0).alias("weight")))
 
 
 def held(weights: DataFrame, every: int, asset: str = "asset", ts: str = "ts") -> DataFrame:
-    """The weight of the last rebalancing time, of which there is one in ``every`` of the grid."""
-    full = dense(weights, "weight", asset, ts).withColumn("_i", F.row_number().over(along(asset, ts)) - 1)
-    at = F.when(F.col("_i") % every == 0, F.coalesce("weight", F.lit(0.0)))
-    return full.select(ts, asset, F.last(at, True).over(along(asset, ts).rowsBetween(Window.unboundedPreceding, 0)).alias("weight"))
+    """The weights of the last rebalancing time, of which there is one in ``every`` times; no grid is made."""
+    rows, times = _numbered(weights, asset, ts)
+    kept = rows.where((F.col("_n") - 1) % every == 0)
+    spread = kept.select(asset, "weight", F.explode(F.sequence(F.col("_n"), F.col("_n") + every - 1)).alias("_n"))
+    return spread.join(times, "_n").select(ts, asset, "weight")
 
 
 def turnover(weights: DataFrame, asset: str = "asset", ts: str = "ts") -> DataFrame:
-    """ts, turnover: the sum of absolute changes of weight on the grid; 0 at the first time."""
-    full = dense(weights, "weight", asset, ts).withColumn("weight", F.coalesce("weight", F.lit(0.0)))
-    d = F.abs(F.col("weight") - F.coalesce(F.lag("weight").over(along(asset, ts)), F.col("weight")))
-    return full.withColumn("_d", d).groupBy(ts).agg(F.sum("_d").alias("turnover"))
+    """ts, turnover: the sum of absolute changes of weight, an asset without a row having none; 0 at the
+    first time. A row compares itself with the row of the time before and, where the time after has
+    none, closes there: one exchange by asset and one by time."""
+    rows, times = _numbered(weights, asset, ts)
+    w = along(asset, "_n")
+    before = F.when(F.lag("_n").over(w) == F.col("_n") - 1, F.lag("weight").over(w))
+    goes_on = F.coalesce(F.lead("_n").over(w) == F.col("_n") + 1, F.lit(False))
+    marked = rows.withColumns({"_d": F.abs(F.col("weight") - F.coalesce(before, F.lit(0.0))), "_goes_on": goes_on})
+    moves = marked.select("_n", "_d").unionByName(marked.where(~F.col("_goes_on")).select((F.col("_n") + 1).alias("_n"), F.abs("weight").alias("_d")))
+    total = moves.groupBy("_n").agg(F.sum("_d").alias("_d"))
+    return times.join(total, "_n", "left").select(ts, F.when(F.col("_n") == 1, 0.0).otherwise(F.coalesce("_d", F.lit(0.0))).alias("turnover"))
 
 
 def smoothed(weights: DataFrame, alpha: float, asset: str = "asset", ts: str = "ts") -> DataFrame:

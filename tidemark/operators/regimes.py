@@ -59,6 +59,16 @@ def ic_by_regime(ic: DataFrame, regimes: DataFrame, *by: str, ts: str = "ts", un
     return s.select("regime", *by, *[F.when(ok, F.col(c)).alias(c) for c in ("mean_ic", "std_ic", "t_stat")], "n_obs")
 
 
+def ic_by_regime_and_horizon(ic: DataFrame, regimes: DataFrame, ts: str = "ts", unknown: bool = False) -> DataFrame:
+    """regime, horizon, mean, std, t and n of coefficients by horizon (see ``cross_section.ic_by_horizon``)."""
+    return ic_by_regime(ic, regimes, "horizon", ts=ts, unknown=unknown)
+
+
+def decay_by_regime(ic: DataFrame, regimes: DataFrame, ts: str = "ts", unknown: bool = False) -> DataFrame:
+    """The same with the horizon as ``horizon_bars``, in order of regime and horizon."""
+    return ic_by_regime_and_horizon(ic, regimes, ts, unknown).withColumnRenamed("horizon", "horizon_bars").orderBy("regime", "horizon_bars")
+
+
 def coverage(regimes: DataFrame) -> DataFrame:
     """One row: n, n_unknown, pct_available and the number of rows of each label, in order."""
     per = regimes.groupBy(F.coalesce("regime", F.lit("unknown")).alias("regime")).count()

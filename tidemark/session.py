@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -25,3 +26,15 @@ def ready(spark: SparkSession) -> SparkSession:
     if spark.conf.get(BATCH) == "10000":
         spark.conf.set(BATCH, BATCH_ROWS)
     return spark
+
+
+def checkpoints(spark: SparkSession) -> SparkSession:
+    """Sees that checkpoints have a folder: that of spark.checkpoint.dir, or a temporary one in a local
+    session, whose tasks all run here; on a cluster without the setting it raises."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="tidemark-"))
+    return spark
