@@ -301,3 +301,25 @@ def test_empty_panels(spark):
     assert cross_section.information_coefficient(e.withColumn("value", F.lit(1.0)), e.withColumn("fwd", F.lit(1.0))).count() == 0
     assert backtest.walk_forward_folds(e, 5, 2, 1).count() == 0
     assert pd.isna(inference.cusum(e.withColumn("value", F.col("close")), "asset").toPandas().get("stat", pd.Series(dtype=float))).all()
+
+
+def test_lineage_of_any_depth_and_many_ways(spark):
+    chain = [(i + 1, i) for i in range(60)]
+    lattice = [(1000 + 10 * (d + 1) + a, 1000 + 10 * d + b) for d in range(25) for a in range(2) for b in range(2)]  # 2^25 ways
+    loop = [(5001, 5000), (5000, 5001)]
+    out = governance.ancestors(spark, spark.createDataFrame(chain + lattice + loop, "child_artifact_id long, parent_artifact_id long")).toPandas()
+    assert out[out.artifact_id == 60].depth.max() == 60 and len(out[out.artifact_id == 60]) == 60
+    top = out[out.artifact_id == 1250]
+    assert len(top) == 50 and (top.depth == 25 - (top.ancestor_id - 1000) // 10).all()
+    assert sorted(map(tuple, out[out.artifact_id >= 5000].to_numpy().tolist())) == [(5000, 5000, 2), (5000, 5001, 1), (5001, 5000, 1), (5001, 5001, 2)]
+    assert not out.duplicated(["artifact_id", "ancestor_id"]).any()
+
+
+def test_weights_need_no_grid(spark):
+    from tidemark.operators import portfolio
+
+    w = spark.createDataFrame([(1, "a", 0.5), (1, "b", -0.5), (2, "a", 0.5), (3, "c", 1.0), (5, "a", None)], "ts int, asset string, weight double")
+    assert {(r["ts"], r["turnover"]) for r in portfolio.turnover(w).collect()} == {(1, 0.0), (2, 0.5), (3, 1.5), (5, 1.0)}
+    assert {tuple(r) for r in portfolio.lagged(w).select("ts", "asset", "weight").collect()} == {(1, "a", 0.0), (1, "b", 0.0), (2, "a", 0.5), (2, "b", -0.5), (3, "a", 0.5), (5, "c", 1.0)}
+    assert {tuple(r) for r in portfolio.held(w, 2).select("ts", "asset", "weight").collect()} == {(1, "a", 0.5), (1, "b", -0.5), (2, "a", 0.5), (2, "b", -0.5), (3, "c", 1.0), (5, "c", 1.0)}
+    assert portfolio.turnover(w.limit(0)).count() == 0

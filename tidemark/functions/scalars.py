@@ -138,7 +138,7 @@ def is_btc_pair(label: Column) -> Column:
 
 
 def parse_tags(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(text, ","), lambda t: F.trim(t)), lambda t: t != "")
 
 
 def to_float(text: Column) -> Column:
