@@ -495,6 +495,16 @@ def test_graph_recall_and_ties(spark):
     assert hnsw.nearest(d.limit(0), d.limit(0)).count() == 0
 
 
+def test_recall_of_a_shard_far_larger_than_the_beam():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    found = hnsw.Graph(hnsw._lifted(x, 1.0)).search(np.concatenate([x[:100], np.zeros((100, 1))], 1), 240)
+    score = x[:100] @ x.T
+    hits = sum(len(set(np.argsort(-score[i])[1:21]) & set(found[i][found[i] != i])) for i in range(100))
+    assert hits / 2000 >= 0.95
+
+
 # --- chat
 
 

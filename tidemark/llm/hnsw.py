@@ -278,12 +278,13 @@ def search(graphs: DataFrame, queries: DataFrame, shards: int, blocks: int, *, k
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, m: int = 16, ef_build: int = 80, ef: int = 160, shard_rows: int = 100_000, least_shards: int = 6, block_rows: int = 100_000) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20, m: int = 16, ef_build: int = 80, ef: int = 240, shard_rows: int = 20_000, least_shards: int = 6, block_rows: int = 100_000) -> DataFrame:
     """For each query its k nearest rows by inner product, its own row left out: query_id, rank, vec_id, score.
 
     Vectors that are null, zero or have null or non-finite components take no part, nor do rows
     without an id; vectors meet only those of their own dimension. Ties go to the smaller id. A
-    query that occurs twice with one vector is asked once. Shards and blocks have a bounded number
+    query that occurs twice with one vector is asked once. Recall falls with the size of a shard and
+    rises with ``ef``, so shards are kept small. Shards and blocks have a bounded number
     of rows, however many there are; an empty table gives no rows; other columns are ignored.
     """
     scratch = Scratch(vectors.sparkSession)
