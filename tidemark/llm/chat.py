@@ -154,8 +154,9 @@ def repair(turns: DataFrame, *, ranges: int | None = None, range_rows: int = 50_
     schema = "conv_id long, turn long, role string, text string, range int, at long"
     numbered = scratch.put(dealt.mapInPandas(number, schema), "ranges")
     roles = F.struct("at", "role")
-    # within a range the roles of one conversation: at most the rows of a range
-    runs = numbered.groupBy("conv_id", "range").agg(F.sort_array(F.collect_list(roles)).alias("roles"))
+    # within a range the roles of one conversation: at most the rows of a range; dealt out, since pricing
+    # them takes longer than their bytes tell
+    runs = numbered.repartition(ranges, "conv_id", "range").groupBy("conv_id", "range").agg(F.sort_array(F.collect_list(roles)).alias("roles"))
 
     def priced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -184,7 +185,7 @@ def repair(turns: DataFrame, *, ranges: int | None = None, range_rows: int = 50_
             out = [w for conv, parts in zip(b["conv_id"].astype("Int64"), b["parts"], strict=True) for w in way(None if conv is pd.NA else conv, parts)]
             yield pd.DataFrame(out, columns=["conv_id", "range", "entry", "exit", "before", "last"]).astype({"conv_id": "Int64"})
 
-    # at most one matrix for each range in a conversation's list; dealt out, since pricing them takes longer than their bytes tell
+    # at most one matrix for each range in a conversation's list
     lists = matrices.repartition(ranges, "conv_id").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("range", "matrix"))).alias("parts"))
     ways = scratch.put(lists.mapInPandas(joined, "conv_id long, range int, entry int, exit int, before long, last boolean"), "ways")
 
