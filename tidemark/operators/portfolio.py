@@ -55,8 +55,9 @@ def lagged(weights: DataFrame, bars: int = 1, asset: str = "asset", ts: str = "t
     """Weights as executed: those of ``bars`` times before. An asset without a row has no weight; the
     assets of the first times have weight 0 then. Each row moves to a later time; no grid is made."""
     rows, times = _numbered(weights, asset, ts)
-    moved = rows.select(asset, "weight", (F.col("_n") + bars).alias("_n")).join(times, "_n").select(ts, asset, "weight")
-    return moved.unionByName(rows.where(F.col("_n") <= bars).select(ts, asset, F.lit(0.0).alias("weight")))
+    at = lambda n, w: F.struct(n.alias("_n"), w.alias("weight"))
+    both = F.array_compact(F.array(at(F.col("_n") + bars, F.col("weight")), F.when(F.col("_n") <= bars, at(F.col("_n"), F.lit(0.0)))))
+    return rows.select(asset, F.inline(both)).join(times, "_n").select(ts, asset, "weight")
 
 
 def held(weights: DataFrame, every: int, asset: str = "asset", ts: str = "ts") -> DataFrame:
@@ -76,7 +77,9 @@ def turnover(weights: DataFrame, asset: str = "asset", ts: str = "ts") -> DataFr
     before = F.when(F.lag("_n").over(w) == F.col("_n") - 1, F.lag("weight").over(w))
     goes_on = F.coalesce(F.lead("_n").over(w) == F.col("_n") + 1, F.lit(False))
     marked = rows.withColumns({"_d": F.abs(F.col("weight") - F.coalesce(before, F.lit(0.0))), "_goes_on": goes_on})
-    moves = marked.select("_n", "_d").unionByName(marked.where(~F.col("_goes_on")).select((F.col("_n") + 1).alias("_n"), F.abs("weight").alias("_d")))
+    at = lambda n, d: F.struct(n.alias("_n"), d.alias("_d"))
+    both = F.array_compact(F.array(at(F.col("_n"), F.col("_d")), F.when(~F.col("_goes_on"), at(F.col("_n") + 1, F.abs("weight")))))
+    moves = marked.select(F.inline(both))
     total = moves.groupBy("_n").agg(F.sum("_d").alias("_d"))
     return times.join(total, "_n", "left").select(ts, F.when(F.col("_n") == 1, 0.0).otherwise(F.coalesce("_d", F.lit(0.0))).alias("turnover"))
 
