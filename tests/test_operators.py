@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from tidemark.functions import identity, registry, scalars
 from tidemark.functions.scalars import normal_cdf
 from tidemark.functions.windows import average_rank, clip, correlation
-from tidemark.operators import backtest, bars, cross_section, factors, governance, inference, portfolio, regimes, returns, signals, universe
+from tidemark.operators import backtest, bars, calibration, cross_section, factors, governance, inference, portfolio, regimes, returns, signals, universe
 from tidemark.plans import report, scan
-from tidemark.sources import loaders, sinks
+from tidemark.sources import loaders, runs, sinks
 
 T0 = datetime(2025, 1, 1)
 
@@ -323,3 +323,43 @@ def test_weights_need_no_grid(spark):
     assert {tuple(r) for r in portfolio.lagged(w).select("ts", "asset", "weight").collect()} == {(1, "a", 0.0), (1, "b", 0.0), (2, "a", 0.5), (2, "b", -0.5), (3, "a", 0.5), (5, "c", 1.0)}
     assert {tuple(r) for r in portfolio.held(w, 2).select("ts", "asset", "weight").collect()} == {(1, "a", 0.5), (1, "b", -0.5), (2, "a", 0.5), (2, "b", -0.5), (3, "c", 1.0), (5, "c", 1.0)}
     assert portfolio.turnover(w.limit(0)).count() == 0
+
+
+def test_identities_of_rows_are_those_of_payloads(spark):
+    rows = [(1, "a", True), (2, 'q"é', False), (3, None, None)]
+    df = spark.createDataFrame(rows, "n int, name string, flag boolean")
+    got = df.select("n", "name", "flag", identity.digest_of("n", "name", "flag").alias("id")).withColumn("seed", identity.seed_of("id", "s")).collect()
+    for r in got:
+        assert r["id"] == identity.run_id({"n": r["n"], "name": r["name"], "flag": r["flag"]})
+        assert r["seed"] == identity.seed_root(r["id"], "s")
+
+
+def test_fixed_blocks_do_not_wrap(spark):
+    t = inference.resample_table(spark, 23, 4, 5, "fixed", 7).toPandas().sort_values(["sim", "at"])
+    assert len(t) == 92 and t.pos.between(0, 22).all()
+    for _, g in t.groupby("sim"):
+        inside = g["at"].to_numpy()[1:] % 7 > 0
+        assert (np.diff(g["pos"])[inside] == 1).all()
+
+
+def test_a_run_is_made_once(spark, tmp_path):
+    made = []
+
+    def make():
+        made.append(1)
+        return spark.range(3)
+
+    for _ in range(2):
+        assert sorted(r["id"] for r in runs.cached(spark, str(tmp_path / "runs"), "rc_1", make).collect()) == [0, 1, 2]
+    assert made == [1]
+
+
+def test_grids_are_bounded(spark):
+    with pytest.raises(ValueError):
+        scan.parameter_grid(spark.range(1), {"a": list(range(6))})
+
+
+def test_levels_of_the_tests(spark):
+    assert calibration.hac_level(spark, 200, 80, 3).first()["rejection_rate"] < 0.15
+    assert all(r["fdr"] <= 0.1 for r in calibration.fdr_level(spark, 200, 10, 3).collect())
+    assert 0.2 < calibration.overfitting_level(spark, 40, 64, 5, 8, 3).agg(F.avg("pbo")).first()[0] < 0.8

@@ -1,4 +1,4 @@
-"""Identities of runs, families and seeds from canonical JSON; plain functions on the driver."""
+"""Identities of runs, families and seeds from canonical JSON: of one run on the driver, of a table of runs as columns."""
 
 from __future__ import annotations
 
@@ -11,6 +11,8 @@ from datetime import datetime, timezone
 from typing import Any
 
 import numpy as np
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 SEED_VERSION = 1
 #: Keys that say when or where a run was, not what it was.
@@ -41,6 +43,12 @@ def run_id(payload: dict) -> str:
     return digest(payload)
 
 
+def digest_of(*columns: str, n: int = 16) -> Column:
+    """``digest`` of each row's payload of these columns, whole numbers, texts and booleans; NULL is null."""
+    payload = F.to_json(F.struct(*sorted(columns)), {"ignoreNullFields": "false"})
+    return F.substring(F.sha2(payload, 256), 1, n)
+
+
 def run_key(payload: dict) -> str:
     """Equal for runs that differ only in when and where they ran."""
     return digest({k: v for k, v in payload.items() if not any(k.lower() == w or k.lower().endswith("_" + w) for w in VOLATILE)})
@@ -72,6 +80,12 @@ def seed_root(key: str, salt: str, fold_id: str | None = None, version: int = SE
     return int.from_bytes(hashlib.sha256(text.encode()).digest()[:8], "big") % 2**63
 
 
+def seed_of(key: str, salt: str, version: int = SEED_VERSION) -> Column:
+    """``seed_root`` of each row's run key."""
+    head = F.conv(F.substring(F.sha2(F.concat_ws("|", key, F.lit(salt), F.lit(str(version))), 256), 1, 16), 16, 10)
+    return (head.cast("decimal(20,0)") % F.lit(str(2**63)).cast("decimal(20,0)")).cast("long")
+
+
 def rng_for(key: str, salt: str, fold_id: str | None = None) -> np.random.Generator:
     return np.random.default_rng(seed_root(key, salt, fold_id))
 

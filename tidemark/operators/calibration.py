@@ -1,0 +1,76 @@
+"""Do the tests of ``inference`` keep their level where nothing is there to find?
+
+Trials are a column: all of them are drawn by hashes of seed and keys inside the engine and tested in one
+job, however many they are.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.operators import inference
+from tidemark.operators.inference import hashed_normal, hashed_uniform
+
+
+def null_panel(spark: SparkSession, trials: int, series: int, n: int, seed: int) -> DataFrame:
+    """trial, series, t, value: independent standard normal values."""
+    rows = spark.range(trials).select(F.col("id").alias("trial"), F.explode(F.sequence(F.lit(0), F.lit(series - 1))).alias("series"))
+    rows = rows.select("trial", "series", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("t"))
+    return rows.withColumn("value", hashed_normal(seed, "trial", "series", "t"))
+
+
+def null_p_values(spark: SparkSession, trials: int, hypotheses: int, seed: int) -> DataFrame:
+    """trial, id, p: independent uniform p-values."""
+    rows = spark.range(trials).select(F.col("id").alias("trial"), F.explode(F.sequence(F.lit(0), F.lit(hypotheses - 1))).alias("id"))
+    return rows.withColumn("p", hashed_uniform(seed, "trial", "id"))
+
+
+def null_ic_series(spark: SparkSession, series: int, n: int, seed: int, scale: float = 0.1) -> DataFrame:
+    """series, t, ic: coefficients of a signal that knows nothing, ``scale`` wide and within -1 and 1."""
+    p = null_panel(spark, 1, series, n, seed)
+    return p.select("series", "t", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("value") * scale)).alias("ic"))
+
+
+def run_batch(panel: DataFrame, test: Callable[[DataFrame], DataFrame], alpha: float = 0.05) -> DataFrame:
+    """rejection_rate, n_trials, nominal of a test that gives trial and p_value for all trials of a panel at once."""
+    return inference.type_one_error(test(panel), alpha)
+
+
+def hac_level(spark: SparkSession, trials: int, n: int, seed: int, alpha: float = 0.05) -> DataFrame:
+    """Share of trials whose mean the robust t-test takes for other than 0."""
+    return run_batch(null_panel(spark, trials, 1, n, seed), lambda p: inference.hac_mean(p, "trial", ts="t").select("trial", F.col("p_hac").alias("p_value")), alpha)
+
+
+def fdr_level(spark: SparkSession, trials: int, hypotheses: int, seed: int, q: float = 0.05) -> DataFrame:
+    """method, fdr, any_share: with nothing to find every discovery is false, so both shares should stay near q or below."""
+    p, out = null_p_values(spark, trials, hypotheses, seed), None
+    for method in ("bh", "by"):
+        found = inference.adjusted(p, method, q, by=("trial",)).groupBy("trial").agg(F.sum(F.col("rejected").cast("int")).alias("n_discoveries")).withColumn("n_true", F.lit(0))
+        rate = inference.false_discovery(found).crossJoin(found.agg(F.avg((F.col("n_discoveries") > 0).cast("double")).alias("any_share")))
+        row = rate.select(F.lit(method).alias("method"), "fdr", "any_share")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def _means_and_nulls(spark: SparkSession, hypotheses: int, n: int, n_sim: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    p = null_panel(spark, 1, hypotheses, n, seed).withColumnRenamed("series", "hypothesis")
+    observed = p.groupBy("hypothesis").agg(F.avg("value").alias("stat"))
+    return observed, inference.null_statistics(p, n_sim, seed, recenter=True, ts="t")
+
+
+def reality_check_level(spark: SparkSession, hypotheses: int, n: int, n_sim: int, seed: int) -> DataFrame:
+    """p_value, n_sim of one family of hypotheses with nothing in it."""
+    return inference.reality_check(*_means_and_nulls(spark, hypotheses, n, n_sim, seed))
+
+
+def romano_wolf_level(spark: SparkSession, hypotheses: int, n: int, n_sim: int, seed: int) -> DataFrame:
+    """hypothesis, stat, p_adj of one family with nothing in it."""
+    return inference.romano_wolf(*_means_and_nulls(spark, hypotheses, n, n_sim, seed))
+
+
+def overfitting_level(spark: SparkSession, trials: int, n: int, strategies: int, blocks: int, seed: int) -> DataFrame:
+    """trial, pbo, n_splits: the best of strategies without skill should rank anywhere in test."""
+    return inference.pbo(null_panel(spark, trials, strategies, n, seed), blocks, strategy="series", ts="t", by=("trial",))

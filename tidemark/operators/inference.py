@@ -97,22 +97,22 @@ def break_diagnostics(series: DataFrame, by: str = "series", value: str = "value
     return a.unionByName(b)
 
 
-def adjusted(p_values: DataFrame, method: str = "bh", q: float = 0.05, p: str = "p", key: str = "id", compat: bool = False) -> DataFrame:
-    """Adds p_adj and rejected by Benjamini-Hochberg or -Yekutieli.
+def adjusted(p_values: DataFrame, method: str = "bh", q: float = 0.05, p: str = "p", key: str = "id", compat: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """Adds p_adj and rejected by Benjamini-Hochberg or -Yekutieli, within ``by``.
 
     Standard: the running minimum from the largest p down. ``compat``: the running maximum from the
     smallest up. Hypotheses are few beside rows, and one task ranks them.
     """
     ok = p_values.where(F.col(p).isNotNull())
-    whole = Window.partitionBy()
-    ranked = ok.withColumns({"_r": F.row_number().over(Window.orderBy(p, key)), "_n": F.count(F.lit(1)).over(whole)})
+    whole = _partition(by)
+    ranked = ok.withColumns({"_r": F.row_number().over(whole.orderBy(p, key)), "_n": F.count(F.lit(1)).over(whole)})
     c = F.aggregate(F.sequence(F.lit(1), F.col("_n").cast("int")), F.lit(0.0), lambda a, i: a + F.lit(1.0) / i) if method == "by" else F.lit(1.0)
     raw = F.least(F.lit(1.0), F.col(p) * F.col("_n") * c / F.col("_r"))
     ranked = ranked.withColumn("_raw", raw)
     if compat:
-        adj = F.max("_raw").over(Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, 0))
+        adj = F.max("_raw").over(whole.orderBy("_r").rowsBetween(Window.unboundedPreceding, 0))
     else:
-        adj = F.min("_raw").over(Window.orderBy("_r").rowsBetween(0, Window.unboundedFollowing))
+        adj = F.min("_raw").over(whole.orderBy("_r").rowsBetween(0, Window.unboundedFollowing))
     return ranked.withColumn("p_adj", adj).withColumn("rejected", F.col("p_adj") <= q).drop("_r", "_n", "_raw")
 
 
@@ -128,8 +128,8 @@ def deflated_sharpe(pnl: DataFrame, n_trials: int, *by: str, value: str = "pnl")
     return d.withColumn("deflated_sr", F.try_divide(F.col("raw_sr") - F.col("e_max_sr"), F.sqrt("var_sr"))).drop("_m", "_s")
 
 
-def pbo(returns: DataFrame, blocks: int, value: str = "value", strategy: str = "strategy", ts: str = "ts", compat: bool = False) -> DataFrame:
-    """One row: the probability of backtest overfitting over all symmetric splits of ``blocks`` (even, at
+def pbo(returns: DataFrame, blocks: int, value: str = "value", strategy: str = "strategy", ts: str = "ts", compat: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """One row (of each ``by``): the probability of backtest overfitting over all symmetric splits of ``blocks`` (even, at
     most 16) blocks of time, and the number of splits.
 
     A strategy that wins in training and ranks low in test has a negative logit. ``compat`` counts ranks
@@ -138,23 +138,23 @@ def pbo(returns: DataFrame, blocks: int, value: str = "value", strategy: str = "
     if blocks % 2 or blocks > 16:
         raise ValueError("an even number of blocks, 16 at most")
     spark = returns.sparkSession
-    times = returns.select(ts).distinct().withColumn("_i", F.row_number().over(Window.orderBy(ts)) - 1)
-    size = times.agg(F.floor(F.count(F.lit(1)) / blocks).alias("_size"))
-    placed = times.crossJoin(F.broadcast(size)).withColumn("block", F.floor(F.try_divide("_i", "_size")).cast("int")).where(F.col("block") < blocks)
-    sums = returns.join(placed.select(ts, "block"), ts).groupBy(strategy, "block").agg(F.sum(value).alias("s"), F.count(value).alias("c"))
+    w = _partition(by)
+    times = returns.select(*by, ts).distinct().withColumns({"_i": F.row_number().over(w.orderBy(ts)) - 1, "_size": F.floor(F.count(F.lit(1)).over(w) / blocks)})
+    placed = times.withColumn("block", F.floor(F.try_divide("_i", "_size")).cast("int")).where(F.col("block") < blocks)
+    sums = returns.join(placed.select(*by, ts, "block"), [*by, ts]).groupBy(*by, strategy, "block").agg(F.sum(value).alias("s"), F.count(value).alias("c"))
     splits = list(itertools.combinations(range(blocks), blocks // 2))
     rows = [(i, b, b in chosen) for i, chosen in enumerate(map(set, splits)) for b in range(blocks)]
     table = spark.createDataFrame(rows, "split int, block int, train boolean")
-    per = sums.join(F.broadcast(table), "block").groupBy("split", strategy).agg(
+    per = sums.join(F.broadcast(table), "block").groupBy(*by, "split", strategy).agg(
         F.try_divide(F.sum(F.when(F.col("train"), F.col("s"))), F.sum(F.when(F.col("train"), F.col("c")))).alias("train_mean"),
         F.try_divide(F.sum(F.when(~F.col("train"), F.col("s"))), F.sum(F.when(~F.col("train"), F.col("c")))).alias("test_mean"),
     )
-    best = Window.partitionBy("split").orderBy(F.desc("train_mean"), strategy)
+    best = Window.partitionBy(*by, "split").orderBy(F.desc("train_mean"), strategy)
     order = F.col("test_mean").desc() if compat else F.col("test_mean").asc()
-    ranked = per.withColumns({"_w": F.row_number().over(best), "_r": F.row_number().over(Window.partitionBy("split").orderBy(order, strategy)) - 1, "_j": F.count(F.lit(1)).over(Window.partitionBy("split"))})
+    ranked = per.withColumns({"_w": F.row_number().over(best), "_r": F.row_number().over(Window.partitionBy(*by, "split").orderBy(order, strategy)) - 1, "_j": F.count(F.lit(1)).over(Window.partitionBy(*by, "split"))})
     share = (F.col("_r") + 0.5) / F.col("_j")
     logit = F.log(share / (1 - share))
-    return ranked.where("_w = 1").agg(F.avg((logit < 0).cast("double")).alias("pbo"), F.count(F.lit(1)).alias("n_splits"))
+    return ranked.where("_w = 1").groupBy(*by).agg(F.avg((logit < 0).cast("double")).alias("pbo"), F.count(F.lit(1)).alias("n_splits"))
 
 
 def pbo_proxy(results: DataFrame, train: str = "train_sharpe", test: str = "test_sharpe") -> DataFrame:
@@ -167,35 +167,37 @@ def pbo_proxy(results: DataFrame, train: str = "train_sharpe", test: str = "test
 # --- resampling ---------------------------------------------------------------------------------
 
 
-def stationary_indices(n: int, mean_block: float, rng: np.random.Generator) -> np.ndarray:
-    """Positions of one stationary bootstrap sample: blocks of geometric length that wrap around."""
-    begins = rng.random(n) < 1.0 / max(mean_block, 1.0)
-    begins[0] = True
-    at = np.flatnonzero(begins)
-    start = rng.integers(0, n, size=len(at))
-    block = np.cumsum(begins) - 1
-    return (start[block] + np.arange(n) - at[block]) % n
+def hashed_uniform(*keys: Column | str | int) -> Column:
+    """A number between 0 and 1 that depends on the keys alone, so that any task, any engine and any rerun
+    draws it again: the first 52 bits of a hash of the keys joined by bars."""
+    text = F.concat_ws("|", *[(F.lit(k) if isinstance(k, int) else F.col(k) if isinstance(k, str) else k).cast("string") for k in keys])
+    return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / 2.0**52
 
 
-def fixed_block_indices(n: int, block: int, rng: np.random.Generator) -> np.ndarray:
-    """Positions of one sample of blocks of fixed length that do not wrap."""
-    block = max(1, min(block, n))
-    start = rng.integers(0, n - block + 1, size=-(-n // block))
-    return (start[:, None] + np.arange(block)).ravel()[:n]
+def hashed_normal(*keys: Column | str | int) -> Column:
+    """A standard normal number from two uniform ones."""
+    return F.sqrt(-2 * F.ln(hashed_uniform(*keys, 1))) * F.cos(2 * math.pi * hashed_uniform(*keys, 2))
 
 
 def resample_table(spark: SparkSession, n: int, n_sim: int, seed: int, method: str = "stationary", block: float = 10.0) -> DataFrame:
-    """sim, at, pos: for each simulation the position that stands at each place; each simulation has a
-    seed of its own, so any task can make any of them again."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for sim in b["id"]:
-                rng = np.random.default_rng([seed, int(sim)])
-                pos = stationary_indices(n, block, rng) if method == "stationary" else fixed_block_indices(n, int(block), rng)
-                yield pd.DataFrame({"sim": np.full(n, sim), "at": np.arange(n), "pos": pos})
-
-    return spark.range(n_sim).mapInPandas(run, "sim long, at long, pos long")
+    """sim, at, pos: for each simulation the position that stands at each place.
+
+    Stationary: a block begins at the first place and elsewhere with probability 1 / ``block``, at a drawn
+    position, and wraps around. Fixed: blocks of ``block`` rows that do not wrap. A simulation is a row until
+    its blocks are spread, so no row moves between tasks."""
+    sims = spark.range(n_sim).select(F.col("id").alias("sim"))
+    if method == "stationary":
+        places = F.sequence(F.lit(0), F.lit(n - 1))
+        begins = F.filter(places, lambda at: (at == 0) | (hashed_uniform(seed, "sim", at, 3) < 1.0 / max(block, 1.0)))
+        spread = sims.select("sim", begins.alias("_b")).select("sim", "_b", F.posexplode("_b").alias("_i", "_at"))
+        ends = F.coalesce(F.get("_b", F.col("_i") + 1), F.lit(n))
+        start = F.floor(hashed_uniform(seed, "sim", "_at", 4) * n)
+        rows = spread.select("sim", "_at", start.alias("_s"), F.explode(F.sequence(F.lit(0), ends - F.col("_at") - 1)).alias("_k"))
+        return rows.select("sim", (F.col("_at") + F.col("_k")).cast("long").alias("at"), F.pmod(F.col("_s") + F.col("_k"), F.lit(n)).cast("long").alias("pos"))
+    size = max(1, min(int(block), n))
+    rows = sims.select("sim", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("at"))
+    start = F.floor(hashed_uniform(seed, "sim", F.floor(F.col("at") / size), 4) * (n - size + 1))
+    return rows.select("sim", F.col("at").cast("long").alias("at"), (start + F.col("at") % size).cast("long").alias("pos"))
 
 
 def _numbered(series: DataFrame, value: str, ts: str) -> DataFrame:
@@ -203,13 +205,14 @@ def _numbered(series: DataFrame, value: str, ts: str) -> DataFrame:
 
 
 def bootstrap_pnl(series: DataFrame, n_sim: int = 1000, seed: int = 42, method: str = "block_fixed", block: float = 10.0, value: str = "pnl", ts: str = "ts") -> DataFrame:
-    """sim, total_return, sharpe of each resampled series; the first row of a sample is its base."""
+    """sim, total_return, sharpe of each resampled series; the first row of a sample is its base,
+    and a loss of everything is -1."""
     rows = _numbered(series, value, ts)
     n = rows.count()
     table = resample_table(series.sparkSession, max(n, 1), n_sim if n else 0, seed, "stationary" if method == "stationary" else "fixed", block)
     joined = table.join(rows, "pos")
     sd = F.stddev_samp("x")
-    return joined.groupBy("sim").agg((F.exp(F.sum(F.when(F.col("at") > 0, F.log1p("x")))) - 1).alias("total_return"), F.when(sd > 0, F.try_divide(F.avg("x"), sd)).alias("sharpe"))
+    return joined.groupBy("sim").agg(F.when(F.min(F.when(F.col("at") > 0, F.col("x"))) <= -1, -1.0).otherwise(F.exp(F.sum(F.when(F.col("at") > 0, F.log1p("x")))) - 1).alias("total_return"), F.when(sd > 0, F.try_divide(F.avg("x"), sd)).alias("sharpe"))
 
 
 def sharpe_interval(series: DataFrame, freq: str, n_sim: int = 1000, seed: int = 42, method: str = "block_fixed", block: float | None = None, pct: float = 95.0, value: str = "pnl", ts: str = "ts") -> DataFrame:
@@ -237,6 +240,15 @@ def null_statistics(series: DataFrame, n_sim: int, seed: int, mean_block: float
     return rows.join(drawn, ts).groupBy("sim", by).agg(F.try_divide(F.sum(F.col("_x") * F.col("count")), F.sum("count")).alias("null_stat"))
 
 
+def search_warning(signals: Column, portfolios: Column) -> Column:
+    """What a report should say of the size of a search."""
+    most = F.greatest(signals, portfolios)
+    said = F.concat(F.lit("Tested: "), signals.cast("string"), F.lit(" signals, "), portfolios.cast("string"), F.lit(" portfolios."))
+    some = F.when(most > 5, F.lit("Deflate the Sharpe ratio, test out of sample, trust no single best result."))
+    many = F.when(most > 20, F.lit("Adjust p-values for the number of tests, or report medians over variants."))
+    return F.concat_ws(" ", said, some, many)
+
+
 def reality_check(observed: DataFrame, nulls: DataFrame, by: str = "hypothesis", stat: str = "stat") -> DataFrame:
     """p_value = (1 + number of simulations whose largest statistic reaches the observed largest) / (B + 1)."""
     top = observed.agg(F.max(stat).alias("_top"))
@@ -253,10 +265,20 @@ def romano_wolf(observed: DataFrame, nulls: DataFrame, by: str = "hypothesis", s
     return p.select(by, stat, F.max("_p").over(Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)).alias("p_adj"))
 
 
+def _moved_blocks(signal: DataFrame, n_sim: int, seed: int, block: int, asset: str, ts: str) -> DataFrame:
+    """The signal once for each simulation (sim), with blocks of its times in an order of their own."""
+    times = signal.select(ts).distinct().withColumn("_i", F.row_number().over(Window.orderBy(ts)) - 1)
+    each = times.withColumns({"sim": F.explode(F.sequence(F.lit(0), F.lit(n_sim - 1))), "_b": F.floor(F.col("_i") / block)})
+    key = F.md5(F.concat_ws("|", (F.lit(seed) + F.col("sim")).cast("string"), F.col("_b").cast("string")))
+    new = each.withColumn("_new", F.row_number().over(Window.partitionBy("sim").orderBy(key, "_b", "_i")) - 1)
+    moved = new.select(F.col(ts).alias("_from"), "sim", "_new").join(times.select(F.col("_i").alias("_new"), F.col(ts).alias("_to")), "_new")
+    return signal.join(moved, F.col(ts) == F.col("_from")).drop(ts, "_from", "_new").withColumnRenamed("_to", ts)
+
+
 def null_signals(signal: DataFrame, kind: str, seed: int, block: int = 10, value: str = "value", asset: str = "asset", ts: str = "ts") -> DataFrame:
     """The signal under a null: "ranks" (random ranks at each time), "permute" (values permuted across
     assets at each time) or "blocks" (blocks of time permuted)."""
-    rnd = F.xxhash64(F.lit(seed), F.col(ts).cast("string"), F.col(asset).cast("string"))
+    rnd = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(ts).cast("string"), F.col(asset).cast("string")))
     at = Window.partitionBy(ts)
     if kind == "ranks":
         return signal.where(F.col(value).isNotNull()).select(ts, asset, (F.row_number().over(at.orderBy(rnd, asset)) / F.count(F.lit(1)).over(at)).alias(value))
@@ -265,17 +287,13 @@ def null_signals(signal: DataFrame, kind: str, seed: int, block: int = 10, value
         left, right = s.select(ts, asset, "_a"), s.select(F.col(ts).alias("_ts"), F.col("_b"), F.col(value))
         return left.join(right, (left[ts] == right["_ts"]) & (left["_a"] == right["_b"])).select(ts, asset, value)
     if kind == "blocks":
-        times = signal.select(ts).distinct().withColumn("_i", F.row_number().over(Window.orderBy(ts)) - 1)
-        times = times.withColumns({"_b": F.floor(F.col("_i") / block), "_o": F.col("_i") % block})
-        order = times.select("_b").distinct().withColumn("_key", F.xxhash64(F.lit(seed), "_b"))
-        new = times.join(order, "_b").withColumn("_new", F.row_number().over(Window.orderBy("_key", "_b", "_o")) - 1)
-        moved = new.select(F.col(ts).alias("_from"), F.col("_new")).join(times.select(F.col("_i").alias("_new"), F.col(ts).alias("_to")), "_new")
-        return signal.join(moved, F.col(ts) == F.col("_from")).select(F.col("_to").alias(ts), asset, value)
+        return _moved_blocks(signal, 1, seed, block, asset, ts).drop("sim").select(ts, asset, value)
     raise ValueError(f"unknown null: {kind}")
 
 
 def null_suite(signal: DataFrame, forward: DataFrame, n_sim: int = 20, seed: int = 42, block: int = 10, value: str = "value", fwd: str = "fwd", asset: str = "asset", ts: str = "ts") -> DataFrame:
-    """kind, observed_ic, p_value: share of simulations whose mean coefficient reaches the observed one.
+    """kind, observed_ic, p_value: share of simulations whose mean coefficient reaches the observed one (up to
+    rounding, since blocks can be drawn in their old order).
 
     The simulations of a kind are a column, so a kind is one job."""
     from tidemark.operators.cross_section import information_coefficient, ic_summary
@@ -284,11 +302,8 @@ def null_suite(signal: DataFrame, forward: DataFrame, n_sim: int = 20, seed: int
     observed = ic_summary(information_coefficient(signal, forward, "spearman", value, fwd, asset, ts)).select(F.col("mean_ic").alias("observed_ic"))
     out = None
     for kind in ("ranks", "permute", "blocks"):
-        every = None
         if kind == "blocks":
-            parts = [null_signals(signal, kind, seed + i, block, value, asset, ts).withColumn("sim", F.lit(i)) for i in range(n_sim)]
-            for p in parts:
-                every = p if every is None else every.unionByName(p)
+            every = _moved_blocks(signal.select(ts, asset, value), n_sim, seed, block, asset, ts)
         else:
             # a simulation's number becomes part of the time, so that one pass serves all of them
             tagged = signal.crossJoin(F.broadcast(sims)).withColumn("_t", F.struct(ts, "sim"))
@@ -297,7 +312,7 @@ def null_suite(signal: DataFrame, forward: DataFrame, n_sim: int = 20, seed: int
         both = every.join(fw, [ts, asset]).withColumn("_t", F.struct(ts, "sim")).select(F.col("_t").alias(ts), asset, value, fwd)
         ic = information_coefficient(both.select(ts, asset, value), both.select(ts, asset, fwd), "spearman", value, fwd, asset, ts)
         means = ic.groupBy(F.col(f"{ts}.sim").alias("sim")).agg(F.avg("ic").alias("m"))
-        row = means.crossJoin(F.broadcast(observed)).groupBy("observed_ic").agg(F.avg((F.col("m") >= F.col("observed_ic")).cast("double")).alias("p_value"), F.count(F.lit(1)).alias("n_sim"))
+        row = means.crossJoin(F.broadcast(observed)).groupBy("observed_ic").agg(F.avg((F.col("m") >= F.col("observed_ic") - 1e-12).cast("double")).alias("p_value"), F.count(F.lit(1)).alias("n_sim"))
         row = row.select(F.lit(kind).alias("kind"), "observed_ic", "p_value", "n_sim")
         out = row if out is None else out.unionByName(row)
     return out

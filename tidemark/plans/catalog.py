@@ -384,7 +384,13 @@ def residual_momentum(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(factors.residual_momentum(inputs.returns(spark, sf), {"factor": "click"}))
 
 
-@query("kalman_betas")
+@query(
+    "kalman_betas",
+    "with recursive " + MARKET + """, k as (select asset, ts, log_return as y, factor as f, row_number() over (partition by asset order by ts) as i from mk),
+ st as (select asset, 0::bigint as i, 0.0::double as b, 0.0::double as a, 1.0::double as p, 0.0::double as u, 1.0::double as v, 0 as seen from k where i = 1 union all select asset, i, case when g is null then b else b + g * e end, case when g is null then a else a + h * e end, case when g is null then p else p + 1e-5 - g * x end, case when g is null then u else u - g * z end, case when g is null then v else v + 1e-5 - h * z end, case when g is null then seen else seen + 1 end
+  from (select *, x / (f * x + z + 1e-3) as g, z / (f * x + z + 1e-3) as h from (select st.asset, k.i, st.b, st.a, st.p, st.u, st.v, st.seen, k.f, k.y - k.f * st.b - st.a as e, case when k.y is not null then (st.p + 1e-5) * k.f + st.u end as x, case when k.y is not null then st.u * k.f + st.v + 1e-5 end as z from st join k on k.asset = st.asset and k.i = st.i + 1))),
+ kn as (select asset, i + 1 as i, b, a from st where seen >= 24) select asset, ts, round(b, 6) as beta_factor, round(a, 6) as alpha, round(y - f * b - a, 6) as residual from k left join kn using (asset, i)""",
+)
 def kalman_betas(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(factors.kalman_betas(inputs.with_market(spark, sf), ["factor"]).select("asset", "ts", "beta_factor", "alpha", "residual"))
 
@@ -534,32 +540,71 @@ def deflated_sharpe(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("series", "n", F.round("raw_sr", 6).alias("raw_sr"), F.round("skew", 5).alias("skew"), F.round("excess_kurtosis", 5).alias("excess_kurtosis"), F.round("e_max_sr", 6).alias("e_max_sr"), F.round("deflated_sr", 5).alias("deflated_sr"))
 
 
-@query("pbo")
+#: Numbers between 0 and 1 from keys, as ``inference.hashed_uniform`` draws them.
+_U = "((('0x' || substr(md5({k}), 1, 13))::bigint + 0.5) / 4503599627370496.0)"
+_TM = "tm as (select ts, row_number() over (order by ts) - 1 as pos, count(*) over () as n from (select distinct ts from s))"
+#: Positions of 200 stationary samples of the times in tm, and the null means of all hypotheses.
+_NULLS = _PNL + ", " + _TM + f""", pl as (select sim, pos as place, n, pos = 0 or {_U.format(k="concat_ws('|', 42, sim, pos, 3)")} < 0.1 as begins from tm, range(200) q(sim)),
+ pb as (select sim, place, n, max(case when begins then place end) over (partition by sim order by place) as b from pl), pp as (select sim, (cast(floor({_U.format(k="concat_ws('|', 42, sim, b, 4)")} * n) as bigint) + place - b) % n as pos from pb),
+ dr as (select sim, pos, count(*) as c from pp group by 1, 2), ce as (select ts, series, value - avg(value) over (partition by series) as x from s), nu as (select sim, series, sum(x * c) / sum(c) as null_stat from ce join tm using (ts) join dr using (pos) group by 1, 2), ob as (select series, avg(value) as stat from s group by 1)"""
+
+
+@query(
+    "pbo",
+    f"""with {_PNL}, tm as (select ts, row_number() over (order by ts) - 1 as i, count(*) over () // 8 as size from (select distinct ts from s)), bl as (select ts, i // size as block from tm where i // size < 8),
+ su as (select series, block, sum(value) as v, count(value) as c from s join bl using (ts) group by 1, 2), sp as (select m as split, b as block, (m >> b) & 1 = 1 as train from range(256) x(m), range(8) y(b) where bit_count(m) = 4),
+ pe as (select split, series, sum(case when train then v end) / sum(case when train then c end) as tr, sum(case when not train then v end) / sum(case when not train then c end) as te from su join sp using (block) group by 1, 2),
+ rk as (select row_number() over (partition by split order by tr desc, series) as w, (row_number() over (partition by split order by te, series) - 0.5) / count(*) over (partition by split) as share from pe) select round(avg((ln(share / (1 - share)) < 0)::int::double), 6) as pbo, count(*) as n_splits from rk where w = 1""",
+)
 def pbo(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(inference.pbo(_series(spark, sf).withColumnRenamed("series", "strategy"), 8))
 
 
-@query("reality_check")
+@query("reality_check", f"with {_NULLS}, mx as (select sim, max(null_stat) as m from nu group by 1) select round((1 + sum((m >= (select max(stat) from ob))::int)) / 201.0, 6) as p_value, count(*) as n_sim from mx")
 def reality_check(spark: SparkSession, sf: str) -> DataFrame:
     s = _series(spark, sf).withColumnRenamed("series", "hypothesis")
     observed = s.groupBy("hypothesis").agg(F.avg("value").alias("stat"))
     return rounded(inference.reality_check(observed, inference.null_statistics(s, 200, 42, recenter=True)))
 
 
-@query("romano_wolf")
+@query(
+    "romano_wolf",
+    f"""with {_NULLS}, k as (select *, row_number() over (order by stat desc, series) as k from ob), h as (select series, stat, k, max(null_stat) over (partition by sim order by k rows between current row and unbounded following) as m from nu join k using (series)),
+ p as (select series, stat, k, (1 + sum((m >= stat)::int)) / 201.0 as p from h group by 1, 2, 3) select series as hypothesis, round(stat, 6) as stat, round(max(p) over (order by k), 6) as p_adj from p""",
+)
 def romano_wolf(spark: SparkSession, sf: str) -> DataFrame:
     s = _series(spark, sf).withColumnRenamed("series", "hypothesis")
     observed = s.groupBy("hypothesis").agg(F.avg("value").alias("stat"))
     return rounded(inference.romano_wolf(observed, inference.null_statistics(s, 200, 42, recenter=True)))
 
 
-@query("sharpe_interval")
+_BOOT = RET + f""", c as (select log_return / 20 as x, row_number() over (order by ts) - 1 as pos, count(*) over () as n from ret where asset = 'click' and log_return is not null), z as (select n, least(n, greatest(20, floor(sqrt(n)))::bigint) as z from c limit 1),
+ bp as (select sim, pos as place, cast(floor({_U.format(k="concat_ws('|', 42, sim, pos // z, 4)")} * (z.n - z + 1)) as bigint) + pos % z as pos from c, z, range(200) q(sim)),
+ bs as (select sim, exp(sum(case when place > 0 then ln(1 + x) end)) - 1 as total_return, case when stddev_samp(x) > 0 then avg(x) / stddev_samp(x) end as sharpe from bp join c using (pos) group by 1)"""
+
+
+@query(
+    "sharpe_interval",
+    f"with {_BOOT}, o as (select avg(x) / stddev_samp(x) * sqrt(8760) as sharpe, count(*) as n from c) select round(sharpe, 4) as sharpe, n, (select round(quantile_cont(sharpe, 0.025) * sqrt(8760), 4) from bs) as low, (select round(quantile_cont(sharpe, 0.975) * sqrt(8760), 4) from bs) as high, round(sharpe * sqrt(n), 4) as t from o",
+)
 def sharpe_interval(spark: SparkSession, sf: str) -> DataFrame:
     p = inputs.returns(spark, sf).where("asset = 'click' and log_return is not null").select("ts", F.col("log_return").alias("pnl"))
     return rounded(inference.sharpe_interval(p, "1h", 200), 4)
 
 
-@query("null_suite")
+_HASHED = "md5('42|{' || strftime(ts, '%Y-%m-%d %H:%M:%S') || ', ' || sim || '}|' || asset)"
+_BYSIM = "kind, ts, sim"
+
+
+@query(
+    "null_suite",
+    f"""with {_IC}, sg as (select asset, ts, value from sig where value is not null), tg as (select asset, ts, sim, value, {_HASHED} as h from sg, range(8) q(sim)),
+ pa as (select *, row_number() over (partition by ts, sim order by asset) as a, row_number() over (partition by ts, sim order by h, asset) as b, count(*) over (partition by ts, sim) as c from tg),
+ tm as (select ts, row_number() over (order by ts) - 1 as i from (select distinct ts from sg)), tn as (select ts, sim, row_number() over (partition by sim order by md5((42 + sim) || '|' || (i // 10)), i // 10, i % 10) - 1 as i from tm, range(8) q(sim)),
+ al as (select 'ranks' as kind, asset, ts, sim, b / c as value from pa union all select 'permute', l.asset, l.ts, l.sim, r.value from pa l join pa r on l.ts = r.ts and l.sim = r.sim and l.a = r.b union all select 'blocks', asset, tm.ts, sim, value from sg join tn using (ts) join tm using (i)),
+ jo as (select kind, sim, al.ts, value as s, fwd as f from al join fw using (asset, ts) where fwd is not null), jr as (select kind, sim, ts, {_RANK.format(x='s', p=_BYSIM)} as s, {_RANK.format(x='f', p=_BYSIM)} as f from jo), ji as (select kind, sim, ts, {CORR.format(x='s', y='f', w='')} as ic from jr group by 1, 2, 3),
+ m as (select kind, sim, avg(ic) as m from ji group by 1, 2), oi as (select avg(ic) as o from ic) select kind, round(o, 6) as observed_ic, round(avg((m >= o - 1e-12)::int::double), 6) as p_value, count(*) as n_sim from m, oi group by kind, o""",
+)
 def null_suite(spark: SparkSession, sf: str) -> DataFrame:
     s, w = _momentum3(spark, sf)
     return rounded(inference.null_suite(s.where("value is not null"), returns.forward_return(w, 2).where("fwd is not null"), 8))

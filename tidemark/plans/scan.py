@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
@@ -143,3 +143,19 @@ def valuable_assets(panel: DataFrame, floor: float, liquidity: str = "liquidity_
     per = per.withColumn("_cap", F.percentile("median", F.lit(0.95)).over(Window.partitionBy()))
     good = per.where((F.col("p10") >= floor) & (F.col("missing") < 0.1) & (F.col("median") <= F.col("_cap")))
     return good.withColumn("score", F.col("rate") * F.col("median")).drop("_cap").orderBy(F.desc("score"), asset).limit(10)
+
+
+def parameter_grid(df: DataFrame, grid: dict[str, list], most: int = 5) -> DataFrame:
+    """Every row once for each combination of the values, which become columns; at most ``most`` values a name.
+
+    A metric over all combinations is then one aggregation by the names, whatever their number."""
+    for name, values in grid.items():
+        if len(values) > most:
+            raise ValueError(f"more than {most} values of {name}")
+        df = df.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+    return df
+
+
+def sensitivity(panel: DataFrame, grid: dict[str, list], **metrics: Column) -> DataFrame:
+    """The metrics, aggregates that may use the grid's names, of every combination of its values."""
+    return parameter_grid(panel, grid).groupBy(*grid).agg(*[m.alias(n) for n, m in metrics.items()])

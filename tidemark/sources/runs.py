@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +30,13 @@ def load_run(spark: SparkSession, root: str, run_id: str) -> DataFrame:
     return spark.read.parquet(root).where(F.col("run_id") == run_id).drop("run_id")
 
 
+def cached(spark: SparkSession, root: str, run_id: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """The rows kept under an identity, made and kept first where they are not there yet."""
+    if not has_run(spark, root, run_id):
+        persist_run(make(), root, run_id)
+    return load_run(spark, root, run_id)
+
+
 def long_betas(fit: DataFrame, factors: list[str], asset: str = "asset", ts: str = "ts") -> DataFrame:
     """ts, asset, factor, beta, alpha, r2, residual: one row per factor of each fit."""
     long = fit.select(ts, asset, "alpha", "r2", "residual", *[F.col(f"beta_{f}").alias(f) for f in factors])
