@@ -1,7 +1,7 @@
 """Statistical inference on series: HAC, breaks, multiple testing, bootstrap and null experiments.
 
 A univariate series has one row per time and is ordered by one task; many series go by a key and are
-ordered apart. Resampling generates index tables from seeds with numpy inside tasks and joins them to
+ordered apart. Resampling draws index tables by hashes of seed and keys and joins them to
 the series, so that simulations are a dimension of the data and not a loop of jobs.
 """
 
