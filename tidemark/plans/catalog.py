@@ -379,9 +379,12 @@ def effective_trials(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(factors.effective_trials(factors.estimate_covariance(inputs.returns(spark, sf), "shrink")))
 
 
-@query("residual_momentum")
+_CAUSAL1 = _ols_sql(1, "rows between 72 preceding and 1 preceding", 24, MARKET).rpartition(" select ")[0]
+
+
+@query("residual_momentum", f"{_CAUSAL1}, rm as (select asset, ts, case when asset <> 'click' and s_n >= 24 then residual end as e from out) select asset, ts, round(case when count(e) over w = 24 then exp(sum(e) over w) - 1 end, 4) as value from rm window w as (partition by asset order by ts rows 23 preceding)")
 def residual_momentum(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(factors.residual_momentum(inputs.returns(spark, sf), {"factor": "click"}))
+    return rounded(factors.residual_momentum(inputs.returns(spark, sf), {"factor": "click"}), 4)
 
 
 @query(
