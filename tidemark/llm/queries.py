@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tidemark.llm import chat, hnsw, html_text, mixing, near_dups, packing, pii, quality, toxicity, warc
+from tidemark.llm import chat, hnsw, html_text, mixing, near_dups, packing, pii, quality, toxicity, warc, whitening
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op8_near_dups": near_dups.op8_near_dups,
         "op9_packing": packing.op9_packing,
         "op10_nearest": hnsw.op10_nearest,
+        "op11_whitening": whitening.op11_whitening,
         "pipeline": corpus_pipeline.run,
     }
 
