@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tidemark.llm import chat, hnsw, html_text, mixing, near_dups, packing, pii, quality, toxicity, warc, whitening
+from tidemark.llm import chat, collocations, hnsw, html_text, mixing, near_dups, packing, pii, quality, toxicity, warc, whitening
 
 
 def queries() -> dict:
@@ -19,10 +19,11 @@ def queries() -> dict:
         "op9_packing": packing.op9_packing,
         "op10_nearest": hnsw.op10_nearest,
         "op11_whitening": whitening.op11_whitening,
+        "op13_collocations": collocations.op13_collocations,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """The rest is beyond SQL and is tested against brute force, round trips and held-out labels."""
-    return {"op7_warc": " ".join(warc.OP7_SQL.split())}
+    return {"op7_warc": " ".join(warc.OP7_SQL.split()), "op13_collocations": collocations.OP13_SQL}
