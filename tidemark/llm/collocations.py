@@ -24,8 +24,8 @@ ORDER = 4
 #: Small letters for A-Z, one mark for all ends of pieces, one for white space.
 _PLAIN = bytes(10 if x in b".,;:!?\n\x0b\x0c\r" else 32 if x in b" \t" else x + 32 if 65 <= x <= 90 else x for x in range(256))
 _END = b"\n"
-#: Tokens that are counted at once, and sketch blocks in a row of cells.
-CHUNK, BLOCKS = 1 << 21, 512
+#: Tokens that are sketched at once and counted at once, phrases that a task holds, sketch blocks in a row of cells.
+SKETCHED, COUNTED, HELD, BLOCKS = 1 << 21, 1 << 20, 1_000_000, 512
 
 
 class Words:
@@ -44,14 +44,14 @@ class Words:
             d = self.by_lang[lang] = defaultdict(self.counter.__next__)
             d[_END], d[b""] = 0, -1
         tokens = text.translate(_PLAIN).replace(b"\n", b" \n ").split(b" ")
-        ids = np.fromiter(map(d.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+        ids = np.fromiter(map(d.__getitem__, tokens), dtype=np.int32, count=len(tokens))
         ids = ids[ids >= 0]
         self.counts[lang] = self.counts.get(lang, 0) + int(np.count_nonzero(ids))
-        self.parts += [ids, np.zeros(1, np.int64)]
+        self.parts += [ids, np.zeros(1, np.int32)]
         self.size += len(ids) + 1
 
     def ids(self) -> np.ndarray:
-        return np.concatenate(self.parts) if self.parts else np.zeros(0, np.int64)
+        return np.concatenate(self.parts) if self.parts else np.zeros(0, np.int32)
 
     def names(self) -> tuple[list[bytes], list[str]]:
         """Word and language of every number."""
@@ -64,8 +64,8 @@ class Words:
         return words, langs
 
 
-def chunks(batches: Iterator[pa.RecordBatch], size: int = CHUNK) -> Iterator[Words]:
-    """The words of whole texts (columns lang, text as bytes), some millions at a time."""
+def chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[Words]:
+    """The words of whole texts (columns lang, text as bytes), some ``size`` at a time."""
     held = Words()
     for b in batches:
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
@@ -82,20 +82,19 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def phrase_hashes(held: Words, ids: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each order, whether a phrase begins at a position, and its hash (of language and words)."""
+def phrase_hashes(ids: np.ndarray, words: list[bytes], langs: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each order in turn, whether a phrase begins at a position, and its hash (of language and words)."""
     from xxhash import xxh64_intdigest
 
-    words, langs = held.names()
-    seeds = {lang: xxh64_intdigest(lang.encode()) for lang in held.by_lang}
-    own = np.array([xxh64_intdigest(w, seeds.get(g, 0)) for w, g in zip(words, langs, strict=True)], dtype=np.uint64)
-    first = _mix(own)[ids] if len(ids) else np.zeros(0, np.uint64)
-    out = [(ids > 0, first)]
+    seeds = {lang: xxh64_intdigest(lang.encode()) for lang in set(langs)}
+    own = np.array([xxh64_intdigest(w, seeds[g]) for w, g in zip(words, langs, strict=True)], dtype=np.uint64)
+    first = _mix(own)[ids]
+    begins, h = ids > 0, first
+    yield begins, h
     for k in range(1, ORDER):
-        begins, h = out[-1]
         n = max(0, len(ids) - k)
-        out.append((begins[:n] & (ids[k : k + n] > 0), _mix(h[:n] * np.uint64(0x9E3779B97F4A7C15) + first[k : k + n])))
-    return out
+        begins, h = begins[:n] & (ids[k : k + n] > 0), _mix(h[:n] * np.uint64(0x9E3779B97F4A7C15) + first[k : k + n])
+        yield begins, h
 
 
 def cells(h: np.ndarray, bits: int) -> list[np.ndarray]:
@@ -133,10 +132,10 @@ def fill_sketches(texts: DataFrame, bits: int, least: int) -> DataFrame:
     per = bits - int(math.log2(BLOCKS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for held in chunks(batches):
-            every = np.concatenate([h[begins] for begins, h in phrase_hashes(held, held.ids())])
-            for row, cell in enumerate(cells(every, bits)):
-                seen, n = np.unique(cell, return_counts=True)
+        for held in chunks(batches, SKETCHED):
+            every = [cells(h[begins], bits) for begins, h in phrase_hashes(held.ids(), *held.names())]
+            for row in (0, 1):
+                seen, n = np.unique(np.concatenate([c[row] for c in every]), return_counts=True)
                 n, cuts = np.minimum(n, least), np.searchsorted(seen, np.arange(1, BLOCKS, dtype=np.int64) << per)
                 parts = zip(np.split(seen & np.uint32(2**per - 1), cuts), np.split(n, cuts), strict=True)
                 rows = [(b, _pack(s, c)) for b, (s, c) in enumerate(parts) if len(s)]
@@ -171,37 +170,51 @@ def _let_through(bitmap: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
 
 
 def count_survivors(texts: DataFrame, bitmap, bits: int) -> DataFrame:
-    """lang, size, phrase, f: exact counts within a chunk of the phrases that the sketch lets through; a null
-    phrase of size 0 has the number of all words. A phrase passes only if the phrases within it do."""
+    """lang, size, phrase, f: exact counts within a task of the phrases that the sketch lets through; a null
+    phrase of size 0 has the number of all words. A phrase passes only if the phrases within it do. A task
+    hands on what it holds, in order, when that are ``HELD`` phrases."""
+
+    def spelled(ids: np.ndarray, starts: np.ndarray, k: int, words: list[bytes]) -> Iterator[bytes]:
+        return map(b" ".join, zip(*[[words[i] for i in ids[starts + j].tolist()] for j in range(k)], strict=True))
+
+    def counted(held: Words, sketch: np.ndarray) -> Iterator[tuple[int, list[str], Iterator[bytes], list[int]]]:
+        ids, (words, langs) = held.ids(), held.names()
+        passed = rank = None
+        for k, (begins, h) in enumerate(phrase_hashes(ids, words, langs)):
+            if k:
+                begins = begins & passed[: len(h)] & passed[1 : len(h) + 1]
+            at = np.flatnonzero(begins)
+            at = at[_let_through(sketch, h[at], bits)]
+            passed = np.zeros(len(h), bool)
+            passed[at] = True
+            # a phrase is the number of the phrase without its last word, and that word: exact, without hashes
+            key = (rank[at].astype(np.int64) << 32) | ids[at + k] if k else ids[at]
+            _, first, of, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+            rank = np.zeros(len(h), np.int32)
+            rank[at] = of
+            starts = at[first]
+            yield k + 1, [langs[i] for i in ids[starts].tolist()], spelled(ids, starts, k + 1, words), n.tolist()
+
+    def batches_of(total: dict) -> Iterator[pa.RecordBatch]:
+        for (lang, size), d in sorted(total.items()):
+            phrases = sorted(d) if size else [*d]
+            for a in range(0, len(phrases), 20_000):
+                part = phrases[a : a + 20_000]
+                names = pa.array(part, pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array([size] * len(part), pa.int32()), names, pa.array([d[p] for p in part], pa.int64())], ["lang", "size", "phrase", "f"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = bitmap.value
-        for held in chunks(batches):
-            ids, (words, langs) = held.ids(), held.names()
-            out: tuple[list, ...] = ([*held.counts], [0] * len(held.counts), [None] * len(held.counts), [*held.counts.values()])
-            passed, rank, shown = np.zeros(0, bool), ids, None
-            for k, (begins, h) in enumerate(phrase_hashes(held, ids)):
-                if k:
-                    begins = begins & passed[: len(h)] & passed[1 : len(h) + 1]
-                at = np.flatnonzero(begins)
-                at = at[_let_through(sketch, h[at], bits)]
-                passed = np.zeros(len(h), bool)
-                passed[at] = True
-                # a phrase is the number of the phrase without its last word, and that word: exact, without hashes
-                key = rank[at] if not k else (rank[at] << 32) | ids[at + k]
-                _, first, of, n = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
-                rank = np.zeros(len(h), np.int64)
-                rank[at] = of
-                begin = at[first]
-                spelled = [[words[i] for i in ids[begin + j].tolist()] for j in range(k + 1)]
-                out[0].extend(langs[i] for i in ids[begin].tolist())
-                out[1].extend([k + 1] * len(begin))
-                out[2].extend(map(b" ".join, zip(*spelled, strict=True)))
-                out[3].extend(n.tolist())
-                for a in range(0, len(out[0]) if k == ORDER - 1 else 0, 20_000):
-                    b = slice(a, a + 20_000)
-                    phrases = pa.array(out[2][b], pa.binary()).cast(pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array(out[0][b], pa.string()), pa.array(out[1][b], pa.int32()), phrases, pa.array(out[3][b], pa.int64())], ["lang", "size", "phrase", "f"])
+        sketch, total = bitmap.value, defaultdict(lambda: defaultdict(int))
+        for held in chunks(batches, COUNTED):
+            for lang, n in held.counts.items():
+                total[lang, 0][None] += n
+            for size, langs, phrases, counts in counted(held, sketch):
+                for lang, phrase, n in zip(langs, phrases, counts, strict=True):
+                    total[lang, size][phrase] += n
+            if sum(map(len, total.values())) > HELD:
+                yield from batches_of(total)
+                total.clear()
+        yield from batches_of(total)
 
     return texts.mapInArrow(run, "lang string, size int, phrase string, f long")
 
