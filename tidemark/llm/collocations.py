@@ -170,9 +170,12 @@ def _let_through(bitmap: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
 
 
 def count_survivors(texts: DataFrame, bitmap, bits: int) -> DataFrame:
-    """lang, size, phrase, f: exact counts within a task of the phrases that the sketch lets through; a null
-    phrase of size 0 has the number of all words. A phrase passes only if the phrases within it do. A task
-    hands on what it holds, in order, when that are ``HELD`` phrases."""
+    """lang, size, part, phrases, f: exact counts within a task of the phrases that the sketch lets through, dealt
+    by hash into parts; size 0 has the number of all words. A phrase passes only if the phrases within it do.
+    A task hands on what it holds, in order, when that are ``HELD`` phrases."""
+    from xxhash import xxh32_intdigest
+
+    parts = 2 ** max(4, bits - 17)
 
     def spelled(ids: np.ndarray, starts: np.ndarray, k: int, words: list[bytes]) -> Iterator[bytes]:
         return map(b" ".join, zip(*[[words[i] for i in ids[starts + j].tolist()] for j in range(k)], strict=True))
@@ -196,18 +199,22 @@ def count_survivors(texts: DataFrame, bitmap, bits: int) -> DataFrame:
             yield k + 1, [langs[i] for i in ids[starts].tolist()], spelled(ids, starts, k + 1, words), n.tolist()
 
     def batches_of(total: dict) -> Iterator[pa.RecordBatch]:
-        for (lang, size), d in sorted(total.items()):
-            phrases = sorted(d) if size else [*d]
-            for a in range(0, len(phrases), 20_000):
-                part = phrases[a : a + 20_000]
-                names = pa.array(part, pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array([size] * len(part), pa.int32()), names, pa.array([d[p] for p in part], pa.int64())], ["lang", "size", "phrase", "f"])
+        for (lang, size), d in total.items():
+            dealt = sorted((xxh32_intdigest(p) % parts, p) for p in d)
+            at = np.array([b for b, _ in dealt])
+            starts = np.flatnonzero(np.diff(at, prepend=-1))
+            offsets = pa.array(np.append(starts, len(at)).astype(np.int32))
+            names = pa.ListArray.from_arrays(offsets, pa.array([p for _, p in dealt], pa.binary()).cast(pa.string()))
+            counts = pa.ListArray.from_arrays(offsets, pa.array([d[p] for _, p in dealt], pa.int64()))
+            n = len(starts)
+            every = pa.RecordBatch.from_arrays([pa.array([lang] * n), pa.array([size] * n, pa.int32()), pa.array(at[starts].astype(np.int32)), names, counts], ["lang", "size", "part", "phrases", "f"])
+            yield from (every.slice(a, 64) for a in range(0, n, 64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, total = bitmap.value, defaultdict(lambda: defaultdict(int))
         for held in chunks(batches, COUNTED):
             for lang, n in held.counts.items():
-                total[lang, 0][None] += n
+                total[lang, 0][b""] += n
             for size, langs, phrases, counts in counted(held, sketch):
                 for lang, phrase, n in zip(langs, phrases, counts, strict=True):
                     total[lang, size][phrase] += n
@@ -216,7 +223,37 @@ def count_survivors(texts: DataFrame, bitmap, bits: int) -> DataFrame:
                 total.clear()
         yield from batches_of(total)
 
-    return texts.mapInArrow(run, "lang string, size int, phrase string, f long")
+    return texts.mapInArrow(run, "lang string, size int, part int, phrases array<string>, f array<long>")
+
+
+def add_survivors(counted: DataFrame, least: int) -> DataFrame:
+    """lang, size, phrase, f: the sums of what the tasks counted, where they reach ``least``.
+
+    Parts stand in order in a partition, so that a task holds the phrases of one part at a time, and a
+    part is a fixed share of the sketch.
+    """
+    by = ["lang", "size", "part"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, total = None, defaultdict(int)
+
+        def done() -> pa.RecordBatch:
+            found = [(p, n) for p, n in total.items() if n >= least or not now[1]]
+            k = len(found)
+            return pa.RecordBatch.from_arrays([pa.array([now[0]] * k, pa.string()), pa.array([now[1]] * k, pa.int32()), pa.array([p for p, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], ["lang", "size", "phrase", "f"])
+
+        for b in batches:
+            for *key, phrases, counts in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if key != now:
+                    if now is not None:
+                        yield done()
+                    now, total = key, defaultdict(int)
+                for p, n in zip(phrases, counts, strict=True):
+                    total[p] += n
+        if now is not None:
+            yield done()
+
+    return counted.repartition(*by).sortWithinPartitions(*by).mapInArrow(run, "lang string, size int, phrase string, f long")
 
 
 def phrase_counts(docs: DataFrame, scratch: Scratch, *, least: int, text_col: str, lang_col: str) -> DataFrame:
@@ -231,8 +268,7 @@ def phrase_counts(docs: DataFrame, scratch: Scratch, *, least: int, text_col: st
         row, block = divmod(r["block"], BLOCKS)
         bitmap[row, block * size : (block + 1) * size] = np.frombuffer(r["bits"], np.uint8)
     sent = docs.sparkSession.sparkContext.broadcast(bitmap)
-    counted = count_survivors(texts, sent, bits).groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("size") == 0))
-    return scratch.put(counted, "phrases")
+    return scratch.put(add_survivors(count_survivors(texts, sent, bits), least), "phrases")
 
 
 def _piece(words: Column, start: int, n: int) -> Column:
