@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from tidemark.llm import chat, collocations, hnsw, html_text, mixing, near_dups, packing, pii, quality, toxicity, warc, whitening
+from tidemark.llm import chat, collocations, hnsw, html_text, licenses, mixing, near_dups, packing, pii, quality, toxicity, warc, whitening
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op9_packing": packing.op9_packing,
         "op10_nearest": hnsw.op10_nearest,
         "op11_whitening": whitening.op11_whitening,
+        "op12_licenses": licenses.op12_licenses,
         "op13_collocations": collocations.op13_collocations,
         "pipeline": corpus_pipeline.run,
     }
