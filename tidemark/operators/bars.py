@@ -111,8 +111,15 @@ def liquidity_drops(snapshots: DataFrame, threshold: float = 0.2, liquidity: str
 def dense(panel: DataFrame, value: str, asset: str = "asset", ts: str = "ts") -> DataFrame:
     """The full grid of times and assets, with NULL where the panel has no row.
 
-    Only operators whose rows count times of a shared index need it. Its size is times x assets; the
-    two lists are distinct values, and the smaller is broadcast only if Spark finds it small.
+    Only operators whose rows count times of a shared index need it. Its size is times x assets. No two lists
+    are crossed: each row spreads over the times up to its asset's next row, the first also back to the
+    first time. Times are numbered by one task; they are few beside rows.
     """
-    grid = panel.select(ts).distinct().join(panel.select(asset).distinct(), how="cross")
-    return grid.join(panel.select(ts, asset, value), [ts, asset], "left")
+    every = Window.partitionBy()
+    times = panel.select(ts).where(F.col(ts).isNotNull()).distinct().withColumns({"_n": F.row_number().over(Window.orderBy(ts)), "_of": F.count(F.lit(1)).over(every)})
+    w = Window.partitionBy(asset).orderBy("_n")
+    own = panel.select(ts, asset, F.col(value).alias("_v")).join(times, ts)
+    start = F.when(F.lag("_n").over(w).isNull(), F.lit(1)).otherwise(F.col("_n"))
+    end = F.greatest(F.coalesce(F.lead("_n").over(w) - 1, F.col("_of").cast("int")), F.col("_n"))
+    spread = own.withColumns({"_a": start, "_b": end}).select(asset, "_v", F.col("_n").alias("_own"), F.explode(F.sequence("_a", "_b")).alias("_n"))
+    return spread.join(times.select("_n", ts), "_n").select(ts, asset, F.when(F.col("_n") == F.col("_own"), F.col("_v")).alias(value))

@@ -85,7 +85,7 @@ def turnover(weights: DataFrame, asset: str = "asset", ts: str = "ts") -> DataFr
 
 
 def smoothed(weights: DataFrame, alpha: float, asset: str = "asset", ts: str = "ts") -> DataFrame:
-    """Exponentially smoothed weights on the grid."""
+    """Exponentially smoothed weights at every time from the first, an asset without a row having none."""
     full = dense(weights, "weight", asset, ts).withColumn("weight", F.coalesce("weight", F.lit(0.0)))
     return exponential(full, {"smooth": ("weight", alpha)}, asset, ts).select(ts, asset, F.col("smooth").alias("weight"))
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
 from tidemark.functions.windows import along, correlation, full, ln, slope, so_far, trailing
+from tidemark.operators import scan
 
 
 def arithmetic_return(x: Column, asset: str = "asset", ts: str = "ts") -> Column:
@@ -79,39 +79,42 @@ def max_drawdown(panel: DataFrame, value: str = "log_return", asset: str = "asse
     return dd.groupBy(asset).agg(F.max("dd").alias("max_drawdown"), F.min("eqdd").alias("max_equity_drawdown"))
 
 
-def exponential(panel: DataFrame, columns: dict[str, tuple[str, float]], asset: str = "asset", ts: str = "ts") -> DataFrame:
-    """Adds exponentially weighted means: name -> (column, alpha), seeded with the first value.
+#: Days of a piece of a series in recursions over time.
+PIECE_DAYS = 365
 
-    A recursion over time has no built-in form, so each asset's ordered rows go through pandas once;
-    assets are independent and a task holds one asset's series at a time.
-    """
-    schema = panel.select("*", *[F.lit(None).cast("double").alias(n) for n in columns]).schema
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(ts, kind="stable")
-        for name, (column, alpha) in columns.items():
-            part[name] = part[column].astype("float64").ewm(alpha=alpha, adjust=False, ignore_na=False).mean()
-        return part
+def exponential(panel: DataFrame, columns: dict[str, tuple[str, float]], asset: str = "asset", ts: str = "ts", days: int | None = PIECE_DAYS) -> DataFrame:
+    """Adds exponentially weighted means: name -> (column, alpha), seeded with the first value.
 
-    return panel.groupBy(asset).applyInPandas(run, schema)
+    Series are cut into pieces of ``days`` (see ``scan``); None leaves each in one.
+    """
+    return scan.exponential(panel, columns, asset, ts, scan.period(ts, days) if days else None)
 
 
 def span_alpha(span: int) -> float:
     return 2.0 / (span + 1)
 
 
-def trend_features(panel: DataFrame, price: str = "close", spans: tuple[int, int] = (20, 50), asset: str = "asset", ts: str = "ts") -> DataFrame:
-    return exponential(panel, {f"ema{n}": (price, span_alpha(n)) for n in spans}, asset, ts)
+def trend_features(panel: DataFrame, price: str = "close", spans: tuple[int, int] = (20, 50), asset: str = "asset", ts: str = "ts", days: int | None = PIECE_DAYS) -> DataFrame:
+    return exponential(panel, {f"ema{n}": (price, span_alpha(n)) for n in spans}, asset, ts, days)
 
 
-def rsi(panel: DataFrame, price: str = "close", period: int = 14, asset: str = "asset", ts: str = "ts") -> DataFrame:
-    """Adds ``rsi`` from exponentially weighted gains and losses of that span; NULL where losses are 0."""
-    d = F.col(price) - F.lag(price).over(along(asset, ts))
-    moved = panel.withColumn("gain", F.coalesce(F.greatest(d, F.lit(0.0)), F.lit(0.0))).withColumn("loss", F.coalesce(F.greatest(-d, F.lit(0.0)), F.lit(0.0)))
+def trend_and_rsi(panel: DataFrame, spans: tuple[int, ...] = (20, 50), price: str = "close", period: int = 14, asset: str = "asset", ts: str = "ts", days: int | None = PIECE_DAYS) -> DataFrame:
+    """Adds the means of ``trend_features`` and ``rsi`` from one scan of the series.
+
+    RSI is from exponentially weighted gains and losses of the period; NULL where losses are 0."""
+    before = scan.lagged(panel, "_before", price, asset, ts, scan.period(ts, days) if days else None)
+    d = F.col(price) - F.col("_before")
+    moved = before.withColumn("gain", F.coalesce(F.greatest(d, F.lit(0.0)), F.lit(0.0))).withColumn("loss", F.coalesce(F.greatest(-d, F.lit(0.0)), F.lit(0.0)))
     a = span_alpha(period)
-    smooth = exponential(moved, {"avg_gain": ("gain", a), "avg_loss": ("loss", a)}, asset, ts)
+    smooth = exponential(moved, {f"ema{n}": (price, span_alpha(n)) for n in spans} | {"avg_gain": ("gain", a), "avg_loss": ("loss", a)}, asset, ts, days)
     rs = F.when(F.col("avg_loss") > 0, F.try_divide("avg_gain", "avg_loss"))
-    return smooth.withColumn("rsi", 100 - F.lit(100.0) / (1 + rs)).drop("gain", "loss", "avg_gain", "avg_loss")
+    return smooth.withColumn("rsi", 100 - F.lit(100.0) / (1 + rs)).drop("_before", "gain", "loss", "avg_gain", "avg_loss")
+
+
+def rsi(panel: DataFrame, price: str = "close", period: int = 14, asset: str = "asset", ts: str = "ts", days: int | None = PIECE_DAYS) -> DataFrame:
+    """Adds ``rsi`` alone; see ``trend_and_rsi``."""
+    return trend_and_rsi(panel, (), price, period, asset, ts, days)
 
 
 def bar_metrics(panel: DataFrame, freq: str, window: int, price: str = "close", asset: str = "asset", ts: str = "ts") -> DataFrame:
@@ -129,7 +132,7 @@ def add_features(bars: DataFrame, freq: str, window: int, price: str = "close",
     out = out.withColumns({f"return_{k}": momentum(r, n, asset, ts) for k, n in scalars.period_return_bars(freq).items()})
     if liquidity:
         out = out.withColumn("liquidity_change", change(F.col(liquidity), scalars.bars_per_day(freq), asset, ts))
-    return rsi(trend_features(out, price, asset=asset, ts=ts), price, asset=asset, ts=ts)
+    return trend_and_rsi(out, price=price, asset=asset, ts=ts)
 
 
 def with_factor(panel: DataFrame, factor: DataFrame, name: str = "factor", value: str = "log_return", ts: str = "ts") -> DataFrame:

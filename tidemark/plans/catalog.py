@@ -138,8 +138,7 @@ def max_drawdowns(spark: SparkSession, sf: str) -> DataFrame:
  union all select n.asset, n.i, n.ts, e.ema20 + (2.0 / 21) * (n.close - e.ema20), e.g + (2.0 / 15) * (n.gain - e.g), e.l + (2.0 / 15) * (n.loss - e.l) from e join n on n.asset = e.asset and n.i = e.i + 1)
  select asset, ts, round(ema20, 6) as ema20, round(case when l > 0 then 100 - 100 / (1 + g / l) end, 4) as rsi from e""")
 def ema_rsi(spark: SparkSession, sf: str) -> DataFrame:
-    p = returns.trend_features(inputs.bars(spark, sf))
-    return returns.rsi(p).select("asset", "ts", F.round("ema20", 6).alias("ema20"), F.round("rsi", 4).alias("rsi"))
+    return returns.trend_and_rsi(inputs.bars(spark, sf), (20,)).select("asset", "ts", F.round("ema20", 6).alias("ema20"), F.round("rsi", 4).alias("rsi"))
 
 
 _W24 = "(partition by asset order by ts rows 23 preceding)"
