@@ -120,14 +120,6 @@ def test_costs_lower_returns(spark):
     assert not portfolio.rises_with_size(curve).first()[0]
 
 
-def test_quadratic_weights_hold_constraints():
-    rng = np.random.default_rng(3)
-    s, c = rng.normal(size=12), np.eye(12) * 0.04
-    w = portfolio.quadratic_weights(s, c, gross=1.0, net=0.0, most=0.2)
-    assert abs(w.sum()) < 1e-6 and np.abs(w).sum() <= 1 + 1e-6 and np.abs(w).max() <= 0.2 + 1e-9
-    assert w[np.argmax(s)] > 0 > w[np.argmin(s)]
-
-
 def test_benjamini_hochberg_golden(spark):
     d = spark.createDataFrame([(i, p) for i, p in enumerate([0.01, 0.02, 0.03, 0.04, 0.05])], "id int, p double")
     for compat in (False, True):

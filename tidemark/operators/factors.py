@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.windows import correlation, slope, trailing
+from tidemark.operators import gram
 from tidemark.operators.cross_section import neutralized
 from tidemark.operators.returns import momentum
 
@@ -191,22 +192,21 @@ def kalman_betas(panel: DataFrame, factors: list[str], lag: int = 1, q: float =
     return panel.groupBy(asset).applyInPandas(run, schema)
 
 
-def ewma_covariance(panel: DataFrame, halflife: float = 24.0, value: str = "log_return", asset: str = "asset", ts: str = "ts") -> DataFrame:
+def ewma_covariance(panel: DataFrame, halflife: float = 24.0, value: str = "log_return", asset: str = "asset", ts: str = "ts", tiles: int = 4) -> DataFrame:
     """a, b, cov: weights halve every ``halflife`` times back; deviations from plain means; times where
     an asset has no return give nothing."""
-    v = panel.where(F.col(value).isNotNull())
+    v = gram.centred(panel, value, asset)
     times = v.select(ts).distinct().withColumn("_age", F.row_number().over(Window.orderBy(F.desc(ts))) - 1)
     times = times.withColumn("_w", F.pow(F.lit(0.5), F.col("_age") / halflife))
     total = times.agg(F.sum("_w").alias("_total"))
-    d = v.withColumn("_d", F.col(value) - F.avg(value).over(Window.partitionBy(asset))).select(ts, asset, "_d").join(times, ts)
-    a, b = d.select(ts, F.col(asset).alias("a"), F.col("_d").alias("x"), "_w"), d.select(ts, F.col(asset).alias("b"), F.col("_d").alias("y"))
-    return a.join(b, ts).groupBy("a", "b").agg(F.sum(F.col("_w") * F.col("x") * F.col("y")).alias("s")).crossJoin(F.broadcast(total)).select("a", "b", (F.col("s") / F.col("_total")).alias("cov"))
+    sums = gram.pair_sums(v.join(times, ts), value, "_w", asset, ts, tiles)
+    return gram.mirrored(sums.crossJoin(F.broadcast(total)).withColumn("cov", F.col("sxy") / F.col("_total")), "cov")
 
 
-def sample_covariance(panel: DataFrame, value: str = "log_return", asset: str = "asset", ts: str = "ts") -> DataFrame:
-    v = panel.where(F.col(value).isNotNull())
-    a, b = v.select(ts, F.col(asset).alias("a"), F.col(value).alias("x")), v.select(ts, F.col(asset).alias("b"), F.col(value).alias("y"))
-    return a.join(b, ts).groupBy("a", "b").agg(F.covar_samp("x", "y").alias("cov"))
+def sample_covariance(panel: DataFrame, value: str = "log_return", asset: str = "asset", ts: str = "ts", tiles: int = 4) -> DataFrame:
+    """a, b, cov over the times that both have."""
+    sums = gram.pair_sums(gram.centred(panel, value, asset), value, asset=asset, ts=ts, tiles=tiles)
+    return gram.mirrored(sums.withColumn("cov", gram.sample_moment()), "cov")
 
 
 def shrunk(cov: DataFrame, s: float = 0.2) -> DataFrame:
@@ -220,41 +220,64 @@ def effective_trials(cov: DataFrame) -> DataFrame:
     return cov.agg(F.try_divide(diag * diag, F.sum(F.col("cov") * F.col("cov"))).alias("n_eff"))
 
 
-def to_matrix(cov: DataFrame, most: int = 2000) -> tuple[list[str], np.ndarray]:
-    """A covariance of at most ``most`` assets as a matrix on the driver; more are refused."""
-    names = [r["a"] for r in cov.select("a").distinct().orderBy("a").limit(most + 1).collect()]
-    if len(names) > most:
-        raise ValueError(f"more than {most} assets")
-    at = {n: i for i, n in enumerate(names)}
-    m = np.zeros((len(names), len(names)))
-    for r in cov.collect():
-        m[at[r["a"]], at[r["b"]]] = r["cov"] if r["cov"] is not None else 0.0
-    return names, m
-
-
-def positive(m: np.ndarray, least: float = 1e-10) -> np.ndarray:
-    """The nearest symmetric matrix with no eigenvalue below ``least``."""
-    w, v = np.linalg.eigh((m + m.T) / 2)
-    return (v * np.maximum(w, least)) @ v.T
-
-
-def ledoit_wolf(x: np.ndarray) -> np.ndarray:
-    """Shrinkage of the sample covariance to a multiple of the identity at the asymptotically best weight."""
-    x = x - x.mean(axis=0)
-    n, p = x.shape
-    s = x.T @ x / n
-    mu = np.trace(s) / p
-    delta = ((s - mu * np.eye(p)) ** 2).sum() / p
-    beta_ = min((((x**2).T @ (x**2)).sum() / n - (s**2).sum()) / (n * p), delta)
-    w = 0.0 if delta == 0 else beta_ / delta
-    return w * mu * np.eye(p) + (1 - w) * s
+def ledoit_wolf_intensity(panel: DataFrame, value: str = "log_return", asset: str = "asset", ts: str = "ts", tiles: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Centred products of all pairs over all times (a, b, s), and one row: p, n, mu, delta, beta, intensity.
 
+    A missing return counts as the asset's mean. The intensity needs sums alone: squares of the entries, and by
+    time the squared length of the cross-section, whose square is the sum of all products of squares.
+    """
+    v = gram.centred(panel, value, asset)
+    sums = gram.pair_sums(v, value, asset=asset, ts=ts, tiles=tiles)
+    by_time = v.groupBy(ts).agg(F.sum(F.col(value) * F.col(value)).alias("_q")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_q") * F.col("_q")).alias("_q4"))
+    s = gram.mirrored(sums.withColumn("s", F.col("sxy")), "s")
+    own = F.col("a") == F.col("b")
+    entries = s.agg(F.count_if(own).alias("p"), F.sum(F.when(own, F.col("s"))).alias("_trace"), F.sum(F.col("s") * F.col("s")).alias("_s2"))
+    n, p = F.col("n"), F.col("p")
+    one = entries.crossJoin(by_time).withColumn("mu", F.try_divide(F.col("_trace"), n * p)).withColumn("_f", F.try_divide(F.col("_s2"), n * n))
+    one = one.withColumn("delta", F.try_divide(F.col("_f") - p * F.col("mu") * F.col("mu"), p))
+    one = one.withColumn("beta", F.least(F.try_divide(F.try_divide(F.col("_q4"), n) - F.col("_f"), n * p), F.col("delta")))
+    return s, one.select("p", "n", "mu", "delta", "beta", F.when(F.col("delta") > 0, F.try_divide("beta", "delta")).otherwise(F.lit(0.0)).alias("intensity"))
+
+
+def ledoit_wolf(panel: DataFrame, value: str = "log_return", asset: str = "asset", ts: str = "ts", tiles: int = 4) -> DataFrame:
+    """a, b, cov: the covariance shrunk to a multiple of the identity at the asymptotically best weight, which leaves
+    it positive definite."""
+    s, one = ledoit_wolf_intensity(panel, value, asset, ts, tiles)
+    w = F.col("intensity")
+    cov = (1 - w) * F.col("s") / F.col("n") + F.when(F.col("a") == F.col("b"), w * F.col("mu")).otherwise(F.lit(0.0))
+    return s.crossJoin(F.broadcast(one)).select("a", "b", cov.alias("cov"))
+
+
+def positive(cov: DataFrame, *by: str, least: float = 1e-10, most: int = 4000) -> DataFrame:
+    """a, b, cov: the nearest symmetric matrix without an eigenvalue below ``least``, for each of ``by``.
+
+    An eigenvalue needs the whole matrix: one task holds one matrix of ``most`` assets at most and refuses more.
+    """
 
-def estimate_covariance(panel: DataFrame, method: str = "ewma", value: str = "log_return", asset: str = "asset", ts: str = "ts") -> DataFrame:
-    """a, b, cov by ewma (half-life 24), shrink (0.2) or sample; see ``positive`` for the driver's matrix."""
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        names = sorted(set(part["a"]) | set(part["b"]))
+        if len(names) > most:
+            raise ValueError(f"more than {most} assets")
+        at = {n: i for i, n in enumerate(names)}
+        m = np.zeros((len(names), len(names)))
+        m[part["a"].map(at), part["b"].map(at)] = part["cov"].fillna(0.0)
+        w, v = np.linalg.eigh((m + m.T) / 2)
+        m = (v * np.maximum(w, least)) @ v.T if (w < least).any() else (m + m.T) / 2
+        out = pd.DataFrame({"a": np.repeat(names, len(names)), "b": np.tile(names, len(names)), "cov": m.ravel()})
+        for c in by:
+            out[c] = part[c].iloc[0]
+        return out[[*by, "a", "b", "cov"]]
+
+    return cov.select(*by, "a", "b", "cov").groupBy(*by).applyInPandas(run, cov.select(*by, "a", "b", F.col("cov").cast("double").alias("cov")).schema)
+
+
+def estimate_covariance(panel: DataFrame, method: str = "ewma", value: str = "log_return", asset: str = "asset", ts: str = "ts", tiles: int = 4) -> DataFrame:
+    """a, b, cov by ewma (half-life 24), lw, shrink (0.2) or sample, not yet made ``positive``."""
     if method == "ewma":
-        return ewma_covariance(panel, 24.0, value, asset, ts)
-    cov = sample_covariance(panel, value, asset, ts)
+        return ewma_covariance(panel, 24.0, value, asset, ts, tiles)
+    if method == "lw":
+        return ledoit_wolf(panel, value, asset, ts, tiles)
+    cov = sample_covariance(panel, value, asset, ts, tiles)
     if method == "shrink":
         return shrunk(cov, 0.2)
     if method == "sample":

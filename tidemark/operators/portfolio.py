@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -177,44 +176,6 @@ def rank_weights(panel: DataFrame, gross: float = 1.0, net: float = 0.0, signal:
     return scaled.select(ts, asset, (F.col("_w") + (F.lit(net) - F.sum("_w").over(over)) / F.count(F.lit(1)).over(over)).alias("weight"))
 
 
-def quadratic_weights(signal: np.ndarray, cov: np.ndarray, gross: float = 1.0, net: float = 0.0, most: float = 0.1, long_only: bool = False, aversion: float = 1.0, ridge: float = 1e-6, rounds: int = 2000) -> np.ndarray:
-    """min aversion/2 w'Cw - s'w + ridge/2 |w|^2 with sum w = net, sum |w| <= gross, |w| <= most, by
-    projected gradients on the driver; a matrix of assets is small (see ``factors.to_matrix``)."""
-    n = len(signal)
-    h = aversion * cov + ridge * np.eye(n)
-    step = 1.0 / max(np.linalg.eigvalsh(h).max(), 1e-12)
-    low = 0.0 if long_only else -most
-
-    def project(v: np.ndarray) -> np.ndarray:
-        def at(shift: float, shrink: float) -> np.ndarray:
-            x = v - shift
-            return np.clip(np.sign(x) * np.maximum(np.abs(x) - shrink, 0), low, most)
-
-        def balanced(shrink: float) -> np.ndarray:
-            a, b = v.min() - most - shrink - 1, v.max() + most + shrink + 1
-            for _ in range(60):
-                m = (a + b) / 2
-                a, b = (m, b) if at(m, shrink).sum() > net else (a, m)
-            return at((a + b) / 2, shrink)
-
-        w = balanced(0.0)
-        if np.abs(w).sum() > gross:
-            a, b = 0.0, np.abs(v).max() + most + 1
-            for _ in range(60):
-                m = (a + b) / 2
-                a, b = (m, b) if np.abs(balanced(m)).sum() > gross else (a, m)
-            w = balanced(b)
-        return w
-
-    w = project(np.zeros(n))
-    for _ in range(rounds):
-        new = project(w - step * (h @ w - signal))
-        if np.abs(new - w).max() < 1e-10:
-            break
-        w = new
-    return w
-
-
 def net_of_costs(series: DataFrame, fee_bps: float = FEE_BPS, slippage_bps: float | str = SLIPPAGE_BPS, gross: str = "pnl", turn: str = "turnover") -> DataFrame:
     """Adds cost and net; slippage is a number or a column of basis points."""
     slip = F.col(slippage_bps) if isinstance(slippage_bps, str) else F.lit(float(slippage_bps))

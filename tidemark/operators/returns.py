@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
 from tidemark.functions.windows import along, correlation, full, ln, slope, so_far, trailing
-from tidemark.operators import scan
+from tidemark.operators import gram, scan
 
 
 def arithmetic_return(x: Column, asset: str = "asset", ts: str = "ts") -> Column:
@@ -174,16 +174,10 @@ def dispersion_z(series: DataFrame, n: int, value: str = "dispersion", ts: str =
     return series.withColumn("z", F.when(sd > 0, F.try_divide(x - F.avg(x).over(w), sd)))
 
 
-def correlation_matrix(panel: DataFrame, value: str = "log_return", asset: str = "asset", ts: str = "ts") -> DataFrame:
-    """Pairs a <= b of assets with their pairwise-complete correlation and number of common rows.
-
-    The output is one row per pair of assets; the join is on time, so its size is the sum over times
-    of the square of the assets seen then.
-    """
-    v = panel.where(F.col(value).isNotNull())
-    a = v.select(ts, F.col(asset).alias("a"), F.col(value).alias("x"))
-    b = v.select(ts, F.col(asset).alias("b"), F.col(value).alias("y"))
-    return a.join(b, ts).where("a <= b").groupBy("a", "b").agg(correlation(F.col("x"), F.col("y")).alias("corr"), F.count(F.lit(1)).alias("n"))
+def correlation_matrix(panel: DataFrame, value: str = "log_return", asset: str = "asset", ts: str = "ts", tiles: int = 4) -> DataFrame:
+    """Pairs a <= b of assets with their pairwise-complete correlation and number of common rows; see ``gram``."""
+    sums = gram.pair_sums(gram.centred(panel, value, asset), value, asset=asset, ts=ts, tiles=tiles)
+    return sums.select("a", "b", gram.sample_correlation().alias("corr"), F.col("n").cast("long").alias("n"))
 
 
 def lead_lag(signal: DataFrame, returns: DataFrame, lags: range | list[int] = range(-24, 25), least: int = 10, value: str = "value", ret: str = "log_return", asset: str = "asset", ts: str = "ts") -> DataFrame:
