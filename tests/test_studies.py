@@ -93,3 +93,38 @@ def test_positive_clips_eigenvalues(spark):
         assert np.allclose(g.pivot(index="a", columns="b", values="cov"), (v * np.maximum(w, 1e-10)) @ v.T)
     with pytest.raises(Exception, match="more than 2 assets"):
         factors.positive(spark.createDataFrame(rows, "k string, a string, b string, cov double"), "k", most=2).count()
+
+
+# --- order over all rows ------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def p_values(spark):
+    rng = np.random.default_rng(9)
+    rows = [(int(i), float(p), float(rng.normal())) for i, p in enumerate(np.round(rng.beta(0.4, 1.0, 3000), 3))]
+    return spark.createDataFrame(rows, "id int, p double, z double").repartition(9).cache(), sorted(rows, key=lambda r: (r[1], r[0]))
+
+
+def test_positions_over_all_rows(spark, p_values):
+    from tidemark.operators import order
+
+    df, rows = p_values
+    got = {r["id"]: r["rank"] for r in order.numbered(df, "p", "id").collect()}
+    assert got == {r[0]: i + 1 for i, r in enumerate(rows)}
+    assert order.numbered(df.limit(0), "p").count() == 0
+    plan = order.numbered(df, "p", "id")._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan  # dealt once, before
+
+
+@pytest.mark.parametrize("method,compat", [("bh", False), ("bh", True), ("by", False)])
+def test_adjusted_p_values_over_all_rows(p_values, method, compat):
+    from tidemark.operators import inference
+
+    df, rows = p_values
+    n = len(rows)
+    c = sum(1 / i for i in range(1, n + 1)) if method == "by" else 1.0
+    raw = [min(1.0, r[1] * n * c / (i + 1)) for i, r in enumerate(rows)]
+    want = list(itertools.accumulate(raw, max)) if compat else list(itertools.accumulate(raw[::-1], min))[::-1]
+    got = {r["id"]: r["p_adj"] for r in inference.adjusted(df, method, compat=compat).collect()}
+    assert all(got[r[0]] == pytest.approx(w, rel=1e-12) for r, w in zip(rows, want, strict=True))
+    assert inference.adjusted(df, method).columns == ["id", "p", "z", "p_adj", "rejected"]

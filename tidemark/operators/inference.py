@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import normal_cdf, periods_per_year
 from tidemark.functions.windows import unbiased_excess_kurtosis, unbiased_skewness
+from tidemark.operators import order
 
 
 def _partition(by: tuple[str, ...]):
@@ -101,14 +102,21 @@ def adjusted(p_values: DataFrame, method: str = "bh", q: float = 0.05, p: str =
     """Adds p_adj and rejected by Benjamini-Hochberg or -Yekutieli, within ``by``.
 
     Standard: the running minimum from the largest p down. ``compat``: the running maximum from the
-    smallest up. Hypotheses are few beside rows, and one task ranks them.
+    smallest up. Without ``by`` the order runs over all hypotheses, however many (see ``order``, which acts at once);
+    within ``by`` each group is ranked in one task.
     """
     ok = p_values.where(F.col(p).isNotNull())
+    ranks, count = F.col("_r"), F.col("_n")
+    # 1 + 1/2 + ... + 1/n, for large n by its expansion
+    exact = F.aggregate(F.sequence(F.lit(1), F.least(count, F.lit(10_000)).cast("int")), F.lit(0.0), lambda a, i: a + F.lit(1.0) / i)
+    n = count.cast("double")
+    harmonic = F.when(count <= 10_000, exact).otherwise(F.log(n) + F.lit(0.5772156649015329) + 1 / (2 * n) - 1 / (12 * n * n))
+    raw = F.least(F.lit(1.0), F.col(p) * count * (harmonic if method == "by" else F.lit(1.0)) / ranks)
+    if not by:
+        out = order.running(ok, [F.asc(p), F.asc(key)], {"p_adj": (raw, "max" if compat else "min")})
+        return out.withColumn("rejected", F.col("p_adj") <= q).drop("_r", "_n")
     whole = _partition(by)
-    ranked = ok.withColumns({"_r": F.row_number().over(whole.orderBy(p, key)), "_n": F.count(F.lit(1)).over(whole)})
-    c = F.aggregate(F.sequence(F.lit(1), F.col("_n").cast("int")), F.lit(0.0), lambda a, i: a + F.lit(1.0) / i) if method == "by" else F.lit(1.0)
-    raw = F.least(F.lit(1.0), F.col(p) * F.col("_n") * c / F.col("_r"))
-    ranked = ranked.withColumn("_raw", raw)
+    ranked = ok.withColumns({"_r": F.row_number().over(whole.orderBy(p, key)), "_n": F.count(F.lit(1)).over(whole)}).withColumn("_raw", raw)
     if compat:
         adj = F.max("_raw").over(whole.orderBy("_r").rowsBetween(Window.unboundedPreceding, 0))
     else:
@@ -145,7 +153,7 @@ def pbo(returns: DataFrame, blocks: int, value: str = "value", strategy: str = "
     splits = list(itertools.combinations(range(blocks), blocks // 2))
     rows = [(i, b, b in chosen) for i, chosen in enumerate(map(set, splits)) for b in range(blocks)]
     table = spark.createDataFrame(rows, "split int, block int, train boolean")
-    per = sums.join(F.broadcast(table), "block").groupBy(*by, "split", strategy).agg(
+    per = sums.join(table, "block").groupBy(*by, "split", strategy).agg(
         F.try_divide(F.sum(F.when(F.col("train"), F.col("s"))), F.sum(F.when(F.col("train"), F.col("c")))).alias("train_mean"),
         F.try_divide(F.sum(F.when(~F.col("train"), F.col("s"))), F.sum(F.when(~F.col("train"), F.col("c")))).alias("test_mean"),
     )
@@ -258,11 +266,11 @@ def reality_check(observed: DataFrame, nulls: DataFrame, by: str = "hypothesis",
 
 def romano_wolf(observed: DataFrame, nulls: DataFrame, by: str = "hypothesis", stat: str = "stat") -> DataFrame:
     """hypothesis, stat, p_adj by stepping down: each is held against the largest null of those not above it."""
-    ranked = observed.withColumn("_k", F.row_number().over(Window.orderBy(F.desc(stat), by)))
+    ranked = order.numbered(observed, F.desc(stat), F.asc(by), name="_k")
     rest = Window.partitionBy("sim").orderBy("_k").rowsBetween(0, Window.unboundedFollowing)
-    held = nulls.join(F.broadcast(ranked), by).withColumn("_max", F.max("null_stat").over(rest))
+    held = nulls.join(ranked, by).withColumn("_max", F.max("null_stat").over(rest))
     p = held.groupBy(by, stat, "_k").agg(((1 + F.sum((F.col("_max") >= F.col(stat)).cast("int"))) / (F.count(F.lit(1)) + 1.0)).alias("_p"))
-    return p.select(by, stat, F.max("_p").over(Window.orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)).alias("p_adj"))
+    return order.running(p, [F.asc("_k")], {"p_adj": (F.col("_p"), "max")}).select(by, stat, "p_adj")
 
 
 def _moved_blocks(signal: DataFrame, n_sim: int, seed: int, block: int, asset: str, ts: str) -> DataFrame:

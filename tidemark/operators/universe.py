@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import STABLES
+from tidemark.operators import order
 
 
 def keep_reason(base: Column, quote: Column, liquidity: Column, volume: Column, min_liquidity: float, min_volume: float, quotes: list[str] | None = None, same: bool = True, stable: bool = True) -> Column:
@@ -25,15 +26,15 @@ def keep_reason(base: Column, quote: Column, liquidity: Column, volume: Column,
 
 
 def ranked(pairs: DataFrame, liquidity: str = "liquidity_usd", volume: str = "vol_h24", label: str = "label", address: str = "pair_address") -> DataFrame:
-    """Adds rank: liquidity and volume from the largest, then label and address."""
-    return pairs.withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last(liquidity), F.desc_nulls_last(volume), label, address)))
+    """Adds rank: liquidity and volume from the largest, then label and address; see ``order``, which acts at once."""
+    return order.numbered(pairs, F.desc_nulls_last(liquidity), F.desc_nulls_last(volume), F.asc(label), F.asc(address)).withColumn("rank", F.col("rank").cast("int"))
 
 
-def top_pairs(candidates: DataFrame, page: int, min_liquidity: float, min_volume: float, order: str | None = None, **rules) -> DataFrame:
-    """The first of each address (by ``order``) that passes the rules, the ``page`` largest of them."""
+def top_pairs(candidates: DataFrame, page: int, min_liquidity: float, min_volume: float, first_by: str | None = None, **rules) -> DataFrame:
+    """The first of each address (by ``first_by``) that passes the rules, the ``page`` largest of them."""
     first = candidates
-    if order:
-        first = candidates.withColumn("_rn", F.row_number().over(Window.partitionBy("pair_address").orderBy(order))).where("_rn = 1").drop("_rn")
+    if first_by:
+        first = candidates.withColumn("_rn", F.row_number().over(Window.partitionBy("pair_address").orderBy(first_by))).where("_rn = 1").drop("_rn")
     good = first.where(keep_reason(F.col("base_symbol"), F.col("quote_symbol"), F.col("liquidity_usd"), F.col("vol_h24"), min_liquidity, min_volume, **rules) == "accept")
     return good.orderBy(F.desc_nulls_last("liquidity_usd"), F.desc_nulls_last("vol_h24"), "label", "pair_address").limit(page)
 
