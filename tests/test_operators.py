@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import identity, registry, scalars
 from tidemark.functions.scalars import normal_cdf
 from tidemark.functions.windows import average_rank, clip, correlation
-from tidemark.operators import backtest, bars, calibration, cross_section, factors, governance, inference, portfolio, regimes, returns, signals, universe
+from tidemark.operators import backtest, bars, calibration, cross_section, factors, filters, governance, inference, portfolio, regimes, returns, signals, universe
 from tidemark.plans import report, scan
 from tidemark.sources import loaders, runs, sinks
 
@@ -90,7 +90,7 @@ def test_causal_fit_against_least_squares_and_future(spark, panel):
 
 def test_kalman_beta_converges(spark, panel):
     m = factors.factor_columns(panel, {"btc": "BTC"}).where("asset = 'D'")
-    last = factors.kalman_betas(m, ["btc"], q=1e-7, r=1e-5).orderBy(F.desc("ts")).first()
+    last = filters.kalman_betas(m, ["btc"], q=1e-7, r=1e-5).orderBy(F.desc("ts")).first()
     assert last["beta_btc"] == pytest.approx(2.0, abs=0.2)
 
 

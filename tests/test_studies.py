@@ -128,3 +128,37 @@ def test_adjusted_p_values_over_all_rows(p_values, method, compat):
     got = {r["id"]: r["p_adj"] for r in inference.adjusted(df, method, compat=compat).collect()}
     assert all(got[r[0]] == pytest.approx(w, rel=1e-12) for r, w in zip(rows, want, strict=True))
     assert inference.adjusted(df, method).columns == ["id", "p", "z", "p_adj", "rejected"]
+
+
+# --- filters ------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("forget,lag", [(None, 1), (0.98, 1), (None, 3)])
+def test_filter_in_pieces_equals_the_filter(spark, forget, lag):
+    from tidemark.operators import filters
+
+    rng = np.random.default_rng(2)
+    rows = []
+    for name, n in (("hot", 240), ("b", 50), ("short", 5)):
+        beta = np.cumsum(rng.normal(0, 0.05, n)) + 1
+        for i in range(n):
+            f, g = rng.normal(0, 0.05, 2)
+            r = beta[i] * f + 0.3 * g + rng.normal(0, 0.02)
+            rows.append((name, i * 21_600, None if rng.random() < 0.1 else float(r), None if rng.random() < 0.05 else float(f), float(g), "x"))
+    df = spark.createDataFrame(rows, "asset string, sec long, log_return double, f double, g double, tag string").withColumn("ts", F.timestamp_seconds("sec"))
+    options = {"lag": lag, "forget": forget, "min_obs": 10}
+    whole, cut = (filters.kalman_betas(df, ["f", "g"], days=d, **options).toPandas().sort_values(["asset", "ts"]).reset_index(drop=True) for d in (None, 12))
+    assert len(cut) == len(rows) and list(cut.columns) == [*df.columns, "beta_f", "beta_g", "alpha", "residual"]
+    for c in ("beta_f", "beta_g", "alpha", "residual"):
+        assert np.allclose(whole[c].astype(float), cut[c].astype(float), rtol=1e-9, atol=1e-9, equal_nan=True)
+    hot = whole[whole.asset == "hot"]
+    m, p, seen, want = np.zeros(3), np.eye(3), 0, []
+    for r in hot.itertuples():
+        x = np.array([r.f, r.g, 1.0], dtype=float)
+        if np.isfinite(x).all() and np.isfinite(float(r.log_return if r.log_return is not None else np.nan)):
+            p = p / forget if forget else p + 1e-5 * np.eye(3)
+            k = p @ x / (x @ p @ x + 1e-3)
+            m, p, seen = m + k * (r.log_return - x @ m), p - np.outer(k, x @ p), seen + 1
+        want.append(m.copy() if seen >= 10 else np.full(3, np.nan))
+    want = np.vstack([np.full((lag, 3), np.nan), want[: len(want) - lag]])
+    assert np.allclose(hot[["beta_f", "beta_g", "alpha"]].astype(float), want, rtol=1e-9, atol=1e-9, equal_nan=True)

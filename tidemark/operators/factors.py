@@ -155,43 +155,6 @@ def residual_volatility(panel: DataFrame, n: int, freq: str, asset: str = "asset
     return last.select(asset, F.when(F.col("_v") > 0, F.col("_v") * periods_per_year(freq) ** 0.5).alias("residual_vol"))
 
 
-def kalman_betas(panel: DataFrame, factors: list[str], lag: int = 1, q: float = 1e-5, r: float = 1e-3, p0: float = 1.0, forget: float | None = None, min_obs: int = 24, y: str = "log_return", asset: str = "asset", ts: str = "ts") -> DataFrame:
-    """Recursive least squares of each asset: betas and alpha as known ``lag`` rows before each row.
-
-    Each row's state depends on the one before it, which no window expression can say; each asset's
-    ordered rows go through numpy once, assets being independent.
-    """
-    names = [*[f"beta_{f}" for f in factors], "alpha", "residual"]
-    schema = panel.select("*", *[F.lit(None).cast("double").alias(n) for n in names]).schema
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(ts, kind="stable").reset_index(drop=True)
-        k = len(factors) + 1
-        state, cov = np.zeros(k), np.eye(k) * p0
-        x = np.column_stack([part[factors].astype("float64").to_numpy(), np.ones(len(part))])
-        obs = part[y].astype("float64").to_numpy()
-        kept, seen = np.full((len(part), k), np.nan), 0
-        for i in range(len(part)):
-            if np.isfinite(obs[i]) and np.isfinite(x[i]).all():
-                cov = cov / forget if forget else cov + q * np.eye(k)
-                gain = cov @ x[i] / (x[i] @ cov @ x[i] + r)
-                state = state + gain * (obs[i] - x[i] @ state)
-                cov = cov - np.outer(gain, x[i] @ cov)
-                seen += 1
-            if seen >= min_obs:
-                kept[i] = state
-        shifted = np.full_like(kept, np.nan)
-        if lag < len(part):
-            shifted[lag:] = kept[: len(part) - lag]
-        for j, n in enumerate(names[:-1]):
-            part[n] = shifted[:, j]
-        part["residual"] = obs - (x * shifted).sum(axis=1)
-        part[names] = part[names].astype(object).where(part[names].notna(), None)
-        return part
-
-    return panel.groupBy(asset).applyInPandas(run, schema)
-
-
 def ewma_covariance(panel: DataFrame, halflife: float = 24.0, value: str = "log_return", asset: str = "asset", ts: str = "ts", tiles: int = 4) -> DataFrame:
     """a, b, cov: weights halve every ``halflife`` times back; deviations from plain means; times where
     an asset has no return give nothing."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
 from tidemark.functions.windows import average_rank, percent_rank_average, unbiased_excess_kurtosis, unbiased_skewness
-from tidemark.operators import backtest, bars, cross_section, factors, governance, inference, integrity, portfolio, regimes, returns, signals, universe
+from tidemark.operators import backtest, bars, cross_section, factors, filters, governance, inference, integrity, portfolio, regimes, returns, signals, universe
 from tidemark.plans import inputs, scan
 from tidemark.sources import loaders, sinks
 
@@ -394,7 +394,7 @@ def residual_momentum(spark: SparkSession, sf: str) -> DataFrame:
  kn as (select asset, i + 1 as i, b, a from st where seen >= 24) select asset, ts, round(b, 6) as beta_factor, round(a, 6) as alpha, round(y - f * b - a, 6) as residual from k left join kn using (asset, i)""",
 )
 def kalman_betas(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(factors.kalman_betas(inputs.with_market(spark, sf), ["factor"]).select("asset", "ts", "beta_factor", "alpha", "residual"))
+    return rounded(filters.kalman_betas(inputs.with_market(spark, sf), ["factor"]).select("asset", "ts", "beta_factor", "alpha", "residual"))
 
 
 # --- signals ------------------------------------------------------------------------------------
