@@ -162,3 +162,91 @@ def test_filter_in_pieces_equals_the_filter(spark, forget, lag):
         want.append(m.copy() if seen >= 10 else np.full(3, np.nan))
     want = np.vstack([np.full((lag, 3), np.nan), want[: len(want) - lag]])
     assert np.allclose(hot[["beta_f", "beta_g", "alpha"]].astype(float), want, rtol=1e-9, atol=1e-9, equal_nan=True)
+
+
+# --- lineage, cells, folds, documents -----------------------------------------------------------
+
+
+def test_lineage_of_great_depth_in_few_rounds(spark, monkeypatch):
+    from pyspark.sql import DataFrameWriter
+
+    from tidemark.operators import governance
+
+    rounds = []
+    real = DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a: (rounds.append(1), real(self, *a))[1])
+    chain = spark.range(300).select(F.concat(F.lit("a"), F.col("id").cast("string")).alias("child_artifact_id"), F.concat(F.lit("a"), (F.col("id") + 1).cast("string")).alias("parent_artifact_id"))
+    extra = spark.createDataFrame([("a0", "a100"), ("x", "y"), ("y", "x"), ("x", "x"), (None, "a1")], "child_artifact_id string, parent_artifact_id string")
+    got = governance.ancestors(spark, chain.unionByName(extra))
+    depth = {(r["artifact_id"], r["ancestor_id"]): r["depth"] for r in got.collect()}
+    want = {(f"a{i}", f"a{j}"): (j - 99 if i == 0 and j >= 100 else j - i) for i in range(300) for j in range(i + 1, 301)} | {("x", "y"): 1, ("y", "x"): 1, ("x", "x"): 1, ("y", "y"): 2}
+    assert got.count() == len(depth) and depth == want and len(rounds) <= 11
+
+
+def test_cells_are_told_apart(spark):
+    from decimal import Decimal
+
+    from tidemark.operators import governance
+
+    values = [0.0, -0.0, 1.0, -1.5, 0.1, 1e300, 5e-324, 2.0**-1022, 3.0, 2.0**52, 2.0**53 - 1, float("nan"), float("inf"), float("-inf"), None]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    text = [r[0] for r in df.select(governance.encoded_cell(F.col("x"), df.schema["x"].dataType)).collect()]
+    assert text[0] == text[1] == "d0e0" and len(set(text)) == len(values) - 1
+    for v, t in zip(values, text, strict=True):
+        if t[0] == "d" and "n" not in t and v:
+            m, e = t[1:].split("e")
+            assert int(m) * 2.0 ** int(e) == v or abs(v) < 1e-300
+    row = spark.createDataFrame([("a|b", True, 7, Decimal("1.50"), bytearray(b"\x01"), [1, None], (2, "z"))], "s string, b boolean, i int, d decimal(9,2), x binary, l array<int>, r struct<k:int,a:string>")
+    assert [row.select(governance.encoded_cell(F.col(f.name), f.dataType)).first()[0] for f in row.schema] == ["s3:a|b", "b1", "i7", "m1.50", "x01", "[i1,n]", "{s1:z,i2}"]
+    one = lambda d: governance.dataset_id({"t": d}).first()[0]
+    assert one(df) == one(df.repartition(5)) != one(df.unionByName(df)) and one(df) != one(df.where("x is not null"))
+
+
+def test_rows_meet_every_fold_that_has_them(spark):
+    from tidemark.operators import backtest
+
+    rng = np.random.default_rng(3)
+    rows = [(int(s), f"a{int(rng.integers(3))}") for s in np.sort(rng.integers(0, 200 * 86_400, 400))]
+    panel = spark.createDataFrame(rows, "sec long, asset string").withColumn("ts", F.timestamp_seconds("sec"))
+    spans = [(0, 0, 50, 55, 80), (1, 20, 90, 85, 120), (2, 100, 199, None, None), (3, 30, 20, 40, 41)]
+    at = lambda c: F.timestamp_seconds(F.col(c) * 86_400)
+    folds = spark.createDataFrame(spans, "fold_id int, a long, b long, c long, d long").select("fold_id", at("a").alias("train_start"), at("b").alias("train_end"), at("c").alias("test_start"), at("d").alias("test_end"))
+    got = sorted((r["sec"], r["asset"], r["fold_id"], r["part"]) for r in backtest.by_fold(panel, folds).collect())
+    want = []
+    for s, a in rows:
+        for k, p, q, u, v in spans:
+            if p * 86_400 <= s <= q * 86_400:
+                want.append((s, a, k, "train"))
+            elif u is not None and u * 86_400 <= s <= v * 86_400:
+                want.append((s, a, k, "test"))
+    assert got == sorted(want)
+    assert "NestedLoop" not in backtest.by_fold(panel, folds)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_documents_of_any_shape(spark, tmp_path):
+    import json
+
+    from tidemark.sources import documents
+
+    (tmp_path / "m").mkdir()
+    for i, text in enumerate([json.dumps({"run_id": "r1", "outputs": {"b": 1, "a": 2}, "spec": {"research_spec_version": "2"}}), json.dumps({"run_id": 7, "outputs": ["x"], "name": "n\nm"}, indent=2), "{broken", "", "[1]", '{"outputs": null}']):
+        (tmp_path / "m" / f"{i}.json").write_text(text)
+    rows = {r["path"].rsplit("/", 1)[1]: r for r in documents.manifests(spark, f"{tmp_path}/m/*.json").collect()}
+    assert (rows["0.json"]["run_id"], rows["0.json"]["outputs"], rows["0.json"]["spec_version"], rows["0.json"]["corrupt"]) == ("r1", "a, b", "2", None)
+    assert (rows["1.json"]["run_id"], rows["1.json"]["outputs"], rows["1.json"]["name"]) == ("7", '["x"]', "n\nm")
+    assert rows["2.json"]["corrupt"] == "{broken" and rows["2.json"]["outputs"] is None and rows["4.json"]["run_id"] is None and rows["4.json"]["corrupt"] is None and rows["5.json"]["outputs"] == ""
+    assert documents.manifests(spark, f"{tmp_path}/none/*.json").count() == 0
+    p = spark.createDataFrame([("a/b", "/base/"), ("./a", "/base"), ("/x", "/base"), ("s3a://k/v", "/base")], "p string, b string")
+    assert [r[0] for r in p.select(documents.resolved(F.col("p"), F.col("b"))).collect()] == ["/base/a/b", "/base/a", "/x", "s3a://k/v"]
+
+
+def test_a_stored_run_is_read_from_its_partition(spark, tmp_path):
+    from tidemark.sources import runs
+
+    df = spark.createDataFrame([(1, 2.0), (2, float("nan"))], "k int, v double")
+    for name in ("one", "two"):
+        assert runs.persist_run(df, str(tmp_path / "r"), name) and not runs.persist_run(df, str(tmp_path / "r"), name)
+    back = runs.load_run(spark, str(tmp_path / "r"), "two")
+    plan = back._jdf.queryExecution().executedPlan().toString()
+    assert back.columns == ["k", "v"] and back.count() == 2 and back.where("v is null").count() == 1
+    assert "PartitionFilters: [isnotnull(run_id" in plan and "run_id#" in plan

@@ -37,20 +37,35 @@ def walk_forward_folds(panel: DataFrame, train: int, test: int, step: int, expan
     return out.select("fold_id", "train_start", "train_end", "test_start", "test_end")
 
 
-def purged_positions(n: int, min_train: int, horizon: int, embargo: int = 0, step: int = 1) -> list[tuple[range, range]]:
-    """Expanding training and test positions of n rows."""
-    return [(range(0, e), range(e + embargo, e + embargo + horizon)) for e in range(min_train, n - embargo - horizon + 1, max(1, step))] if min_train >= 1 and horizon >= 1 else []
+def purged_folds(panel: DataFrame, min_train: int, horizon: int, embargo: int = 0, step: int = 1, ts: str = "ts") -> DataFrame:
+    """Folds whose training begins with the first time and grows by ``step``; the test of ``horizon`` times
+    begins ``embargo`` times after its end. No fold where the times do not suffice."""
+    if min_train < 1 or horizon < 1:
+        raise ValueError("training and test have one time at least")
+    return walk_forward_folds(panel, min_train, horizon, max(1, step), expanding=True, embargo=embargo, ts=ts)
+
+
+#: Seconds of a bucket by which rows meet folds.
+BUCKET = 7 * 86_400
+
+
+def _bucket(x: Column) -> Column:
+    return F.floor(F.unix_seconds(x.cast("timestamp")) / BUCKET)
 
 
 def by_fold(panel: DataFrame, folds: DataFrame, ts: str = "ts") -> DataFrame:
-    """Each row once for each fold that has it in training or test, with ``part``.
+    """Each row once for each fold that has it in training or test, with ``part``; training goes first.
 
-    Folds are few and are joined by range."""
-    t = panel[ts]
-    inside = (t >= folds["train_start"]) & (t <= folds["train_end"])
-    testing = (t >= folds["test_start"]) & (t <= folds["test_end"])
-    out = panel.join(folds, inside | testing)
-    return out.withColumn("part", F.when((F.col(ts) >= F.col("train_start")) & (F.col(ts) <= F.col("train_end")), "train").otherwise("test"))
+    Rows and the ranges of folds meet by buckets of time, an equality that Spark can hash or broadcast, and are
+    compared exactly there. A range stands once in each of its buckets.
+    """
+    parts = F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.col(f"{p}_start").alias("_low"), F.col(f"{p}_end").alias("_high")) for p in ("train", "test")])).alias("_r")
+    ranges = folds.select("*", parts).select("*", "_r.part", "_r._low", "_r._high").drop("_r").where("_low is not null and _high is not null and _low <= _high")
+    spread = ranges.withColumn("_b", F.explode(F.sequence(_bucket(F.col("_low")), _bucket(F.col("_high")))))
+    t = F.col(ts)
+    met = panel.withColumn("_k", _bucket(t)).join(spread, F.col("_k") == F.col("_b")).where((t >= F.col("_low")) & (t <= F.col("_high")))
+    in_training = (t >= F.col("train_start")) & (t <= F.col("train_end"))
+    return met.where((F.col("part") == "train") | ~F.coalesce(in_training, F.lit(False))).drop("_k", "_b", "_low", "_high")
 
 
 def causality_violations(rows: DataFrame, ts: str = "ts") -> DataFrame:
@@ -72,10 +87,12 @@ def run_walk_forward(panel: DataFrame, folds: DataFrame, fit, score, ts: str = "
 def sign_calibrated(signal: DataFrame, ic: DataFrame, folds: DataFrame, least_ic: float = 0.0, least_n: int = 10, asset: str = "asset", ts: str = "ts") -> DataFrame:
     """The signal times the sign of its mean coefficient in training, within each fold's test; unchanged
     where that is too small or rests on too few times. Overlapping tests multiply."""
-    trained = ic.join(folds, (ic[ts] >= folds["train_start"]) & (ic[ts] <= folds["train_end"])).groupBy("fold_id").agg(F.avg("ic").alias("m"), F.count("ic").alias("n"))
+    trained = by_fold(ic, folds, ts).where("part = 'train'").groupBy("fold_id").agg(F.avg("ic").alias("m"), F.count("ic").alias("n"))
     signs = folds.join(trained, "fold_id").select("test_start", "test_end", F.when((F.col("n") >= least_n) & (F.abs("m") >= least_ic) & (F.col("m") < 0), -1.0).otherwise(1.0).alias("s"))
-    out = signal.join(signs, (signal[ts] >= signs["test_start"]) & (signal[ts] <= signs["test_end"]), "left")
-    return out.groupBy(ts, asset).agg((F.first("value") * F.coalesce(F.product("s"), F.lit(1.0))).alias("value"))
+    # what a time's tests say is one number, found among the times alone
+    tests = signs.withColumns({"train_start": F.lit(None).cast(folds.schema["test_start"].dataType), "train_end": F.lit(None).cast(folds.schema["test_start"].dataType)})
+    turns = by_fold(signal.select(ts).distinct(), tests, ts).groupBy(ts).agg(F.product("s").alias("s"))
+    return signal.join(turns, ts, "left").select(ts, asset, (F.col("value") * F.coalesce("s", F.lit(1.0))).alias("value"))
 
 
 def trend_strategy(bars: DataFrame, fast: int = 20, slow: int = 50, vol_window: int = 24, vol_max: float | None = None, position: float = 0.25, fee_bps: float = FEE_BPS, slippage_bps: float | None = SLIPPAGE_BPS, liquidity: str | None = None, asset: str = "asset", ts: str = "ts") -> DataFrame:

@@ -131,9 +131,10 @@ def residual_returns(panel: DataFrame, fits: DataFrame, factors: list[str], y: s
 def walk_forward_ols(panel: DataFrame, folds: DataFrame, factors: list[str], window: int = 72, min_obs: int = 24, y: str = "log_return", asset: str = "asset", ts: str = "ts") -> DataFrame:
     """One fit per fold and asset over the last ``window`` training rows; then means over assets per fold.
 
-    A fold's training ends before its test begins, so one fit serves all its test times. ``folds`` is a
-    short table of ranges, which is joined by range."""
-    inside = panel.join(folds, (panel[ts] >= folds["train_start"]) & (panel[ts] <= folds["train_end"]))
+    A fold's training ends before its test begins, so one fit serves all its test times."""
+    from tidemark.operators.backtest import by_fold
+
+    inside = by_fold(panel, folds, ts).where("part = 'train'")
     last = inside.withColumn("_rn", F.row_number().over(Window.partitionBy("fold_id", asset).orderBy(F.desc(ts)))).where(F.col("_rn") <= window)
     fits = grouped_ols(last, factors, "fold_id", asset, y=y, least=min_obs)
     return fits.groupBy("fold_id").agg(*[F.avg(f"beta_{f}").alias(f"mean_beta_{f}") for f in factors], F.avg("r2").alias("mean_r2"), F.count("r2").alias("n_assets"))

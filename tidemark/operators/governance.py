@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.session import checkpoints
+from tidemark.session import workspace
 
 EXPERIMENTS = "run_id string, ts timestamp, git_commit string, spec_version string, out_dir string, notes string, tags_json string, params_json string, dataset_id string, hypothesis string"
 METRICS = "run_id string, metric_name string, metric_value double"
@@ -139,33 +140,82 @@ def trace(candidates: DataFrame, reports: DataFrame, events: DataFrame, lineage:
 def ancestors(spark: SparkSession, edges: DataFrame) -> DataFrame:
     """artifact_id, ancestor_id, depth over all edges: each ancestor once, at its least depth.
 
-    A round takes the pairs of the last depth one edge up and keeps those that are new, until there are
-    none; so depth has no bound, many ways to one ancestor are followed once, and cycles end.
+    Paths double: a round takes what is exactly 2^k edges up behind all that is nearer and gives all ancestors up to
+    2^(k+1) edges, as rows that are added to those found before; so rounds are as many as the depth has binary
+    digits. A pair is found at its least depth first, many ways to one ancestor are one pair, and cycles end.
     """
-    checkpoints(spark)
-    e = edges.select(F.col("child_artifact_id").alias("child"), F.col("parent_artifact_id").alias("parent")).distinct().checkpoint()
-    last = found = e.select(F.col("child").alias("artifact_id"), F.col("parent").alias("ancestor_id"), F.lit(1).alias("depth"))
+    root, pair = workspace(spark, "lineage"), ["artifact_id", "ancestor_id"]
+    own = edges.select(F.col("child_artifact_id").alias("artifact_id"), F.col("parent_artifact_id").alias("ancestor_id")).where("artifact_id is not null and ancestor_id is not null").distinct()
+    schema = own.withColumn("depth", F.lit(1)).schema
+    own.withColumn("depth", F.lit(1)).write.parquet(f"{root}/0")
+    written, reach = [f"{root}/0"], 1
     while True:
-        up = last.join(e, F.col("ancestor_id") == F.col("child")).select("artifact_id", F.col("parent").alias("ancestor_id"), (F.col("depth") + 1).alias("depth")).distinct()
-        last = up.join(found.select("artifact_id", "ancestor_id"), ["artifact_id", "ancestor_id"], "left_anti").checkpoint()
-        if last.isEmpty():
+        # ``found`` has all up to ``reach`` edges, ``leap`` the pairs at exactly so many
+        found = spark.read.schema(schema).parquet(*written)
+        leap = spark.read.schema(schema).parquet(written[-1]).where(F.col("depth") == reach)
+        if leap.isEmpty():
             return found
-        found = found.unionByName(last).checkpoint()
+        up = leap.select(F.col("artifact_id").alias("_from"), F.col("ancestor_id").alias("_to"))
+        beyond = found.join(up, F.col("ancestor_id") == F.col("_from")).groupBy("artifact_id", F.col("_to").alias("ancestor_id")).agg((F.min("depth") + reach).cast("int").alias("depth"))
+        beyond.join(found.select(*pair), pair, "left_anti").write.parquet(f"{root}/{len(written)}")
+        written, reach = [*written, f"{root}/{len(written)}"], 2 * reach
+
+
+def encoded_cell(c: Column, kind: T.DataType) -> Column:
+    """A value as text that only equal values of one kind share, whatever engine writes it.
+
+    null n; text s, its length and itself; booleans b; whole numbers i; decimals m with their scale; dates a in days and
+    times t in microseconds since 1970; binaries x in hexadecimal. Floating-point numbers are d, a whole mantissa of 53 bits
+    and a power of two, exact; -0.0 is 0, NaN and infinities have names. Arrays and structs hold encoded parts.
+    """
+    if isinstance(kind, T.StringType):
+        text = F.concat(F.lit("s"), F.length(c).cast("string"), F.lit(":"), c)
+    elif isinstance(kind, T.BooleanType):
+        text = F.when(c, F.lit("b1")).otherwise(F.lit("b0"))
+    elif isinstance(kind, T.IntegralType):
+        text = F.concat(F.lit("i"), c.cast("string"))
+    elif isinstance(kind, T.DecimalType):
+        text = F.concat(F.lit("m"), c.cast("string"))
+    elif isinstance(kind, (T.FloatType, T.DoubleType)):
+        x = c.cast("double")
+        size = F.abs(x)
+        guess = F.floor(F.log2(F.when(size < float("inf"), size))).try_cast("int")
+        e = F.when(F.pow(F.lit(2.0), guess) > size, guess - 1).when(F.pow(F.lit(2.0), guess + 1) <= size, guess + 1).otherwise(guess)
+        # two steps, so that the power itself stays in range for the smallest numbers
+        mantissa = (x * F.pow(F.lit(2.0), F.floor((52 - e) / 2)) * F.pow(F.lit(2.0), (52 - e) - F.floor((52 - e) / 2))).try_cast("long")
+        plain = F.concat(F.lit("d"), mantissa.cast("string"), F.lit("e"), (e - 52).cast("string"))
+        text = F.when(F.isnan(x), F.lit("dnan")).when(size == float("inf"), F.when(x > 0, F.lit("dinf")).otherwise(F.lit("d-inf"))).when(x == 0, F.lit("d0e0")).otherwise(plain)
+    elif isinstance(kind, T.DateType):
+        text = F.concat(F.lit("a"), F.unix_date(c).cast("string"))
+    elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        text = F.concat(F.lit("t"), F.unix_micros(c.cast("timestamp")).cast("string"))
+    elif isinstance(kind, T.BinaryType):
+        text = F.concat(F.lit("x"), F.hex(c))
+    elif isinstance(kind, T.ArrayType):
+        text = F.concat(F.lit("["), F.array_join(F.transform(c, lambda v: encoded_cell(v, kind.elementType)), ","), F.lit("]"))
+    elif isinstance(kind, T.StructType):
+        text = F.concat(F.lit("{"), F.concat_ws(",", *[encoded_cell(c[f.name], f.dataType) for f in sorted(kind.fields, key=lambda f: f.name)]), F.lit("}"))
+    else:
+        raise ValueError(f"no encoding of {kind.simpleString()}")
+    return F.coalesce(text, F.lit("n"))
+
+
+def _kind(kind: T.DataType) -> str:
+    return "timestamp" if isinstance(kind, T.TimestampNTZType) else kind.simpleString()
 
 
 def dataset_id(tables: dict[str, DataFrame]) -> DataFrame:
     """One row: a hash of all tables' rows that does not depend on their order or partitioning.
 
-    Each row is hashed with its schema; a table's hash is made of the count and of two sums of row
-    hashes, which tasks add up apart, and equal rows count as often as they occur."""
+    Each row is hashed as its encoded cells by name of column; a table's hash is made of its schema, the count and two sums of
+    row hashes, which tasks add up apart, and equal rows count as often as they occur."""
     out = None
     for name, df in sorted(tables.items()):
-        cols = sorted(df.columns)
-        row = F.to_json(F.struct(*[F.col(c) for c in cols]), {"ignoreNullFields": "false"})
-        h = F.sha2(row, 256)
-        part = lambda i: F.sum(F.conv(F.substring(h, i, 12), 16, 10).cast("decimal(38,0)"))
+        fields = sorted(df.schema.fields, key=lambda f: f.name)
+        h = F.sha2(F.concat_ws("|", *[encoded_cell(F.col(f"`{f.name}`"), f.dataType) for f in fields]), 256)
+        part = lambda i: F.sum(F.conv(F.substring(h, i, 12), 16, 10).cast("decimal(38,0)"))  # noqa: B023, E731
         one = df.agg(F.count(F.lit(1)).alias("n"), part(1).alias("a"), part(20).alias("b"))
-        one = one.select(F.concat_ws("|", F.lit(name), F.lit(",".join(f"{c}:{dict(df.dtypes)[c]}" for c in cols)), "n", F.coalesce("a", F.lit(0)), F.coalesce("b", F.lit(0))).alias("h"))
+        one = one.select(F.concat_ws("|", F.lit(name), F.lit(",".join(f"{f.name}:{_kind(f.dataType)}" for f in fields)), "n", F.coalesce("a", F.lit(0)), F.coalesce("b", F.lit(0))).alias("h"))
         out = one if out is None else out.unionByName(one)
     return out.agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n"), 256), 1, 16).alias("dataset_id"))
 

@@ -251,11 +251,6 @@ def order_intents(spark: SparkSession, sf: str) -> DataFrame:
     return o.select("ts", F.size("targets").alias("n_targets"), F.array_min(F.map_keys("targets")).alias("first_target"))
 
 
-@query("capacity_monotone", "select bool_or(u) as non_monotone from (select s > lag(s) over (order by m) as u from (values (1.0, 3.0), (2.0, 2.0), (5.0, 2.5)) v(m, s))")
-def capacity_monotone(spark: SparkSession, sf: str) -> DataFrame:
-    return portfolio.rises_with_size(spark.createDataFrame([(1.0, 3.0), (2.0, 2.0), (5.0, 2.5)], "multiplier double, sharpe_annual double"))
-
-
 @query(
     "optimal_weights",
     f"""with {WIDE}, v as (select *, var_samp(log_return) over (partition by asset) as variance from wide where log_return is not null), r as (select *, (({_RANK.format(x='log_return', p='ts')}) / count(*) over (partition by ts) - 0.5) * 2 as w from v),
@@ -453,13 +448,6 @@ def fold_parts(spark: SparkSession, sf: str) -> DataFrame:
     return backtest.by_fold(b, backtest.walk_forward_folds(b, 200, 48, 48, purge=2, embargo=3)).groupBy("fold_id", "part").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-@query("late_training_rows", "select 1 as fold_id, 2 as n_late")
-def late_training_rows(spark: SparkSession, sf: str) -> DataFrame:
-    rows = [(0, "train", 1, 3, 4), (0, "test", 5, 3, 4), (1, "train", 4, 3, 4), (1, "train", 9, 3, 4), (1, "train", 3, 3, 4)]
-    out = backtest.causality_violations(spark.createDataFrame(rows, "fold_id int, part string, ts int, train_end int, test_start int"))
-    return out.withColumn("n_late", F.col("n_late").cast("int"))
-
-
 @query("cost_drag", f"with {RET}, s as (select avg(log_return) as pnl from ret where log_return is not null group by ts), g as (select exp(sum(ln(1 + pnl / 100))) - 1 as g, exp(sum(ln(1 + pnl / 100 - 0.0001))) - 1 as n from s) select round(g, 6) as gross_return, round(n, 6) as net_return, round(g - n, 6) as drag from g")
 def cost_drag(spark: SparkSession, sf: str) -> DataFrame:
     s = inputs.returns(spark, sf).where("log_return is not null").groupBy("ts").agg((F.avg("log_return") / 100).alias("pnl"))

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import factors, optimize
-from tidemark.plans import inputs
-from tidemark.plans.catalog import RET, WIDE, query, rounded
+from tidemark.functions import identity
+from tidemark.operators import backtest, factors, governance, optimize, portfolio, universe
+from tidemark.plans import inputs, more_queries  # noqa: F401  (its SQL is used below)
+from tidemark.plans.catalog import _PAIRS, BARS, RET, SQL, WIDE, _pairs, query, rounded
+from tidemark.session import workspace
+from tidemark.sources import documents, runs, sinks
 
 # --- quadratic programs -------------------------------------------------------------------------
 
@@ -70,3 +73,187 @@ def wide_correlations(spark: SparkSession, sf: str) -> DataFrame:
 
     c = correlation_matrix(inputs.wide(spark, sf))
     return rounded(c.groupBy("a").agg(F.count(F.lit(1)).alias("n_pairs"), F.sum("n").alias("n_times"), F.avg(F.when(F.col("n") >= 5, F.col("corr"))).alias("mean_corr")), 5)
+
+
+# --- order over all rows ------------------------------------------------------------------------
+
+
+@query("universe_ranks", f"with {_PAIRS} select pair_address, cast(row_number() over (order by liquidity_usd desc nulls last, vol_h24 desc nulls last, label, pair_address) as integer) as rank from pr")
+def universe_ranks(spark: SparkSession, sf: str) -> DataFrame:
+    return universe.ranked(_pairs(spark, sf)).select("pair_address", "rank")
+
+
+# --- folds --------------------------------------------------------------------------------------
+
+_TIMES = BARS + ", t as (select ts, row_number() over (order by ts) - 1 as pos from (select distinct ts from bars)), nt as (select count(*) as n from t)"
+
+
+def _folds_sql(train: int, test: int, step: int, gap: int, expanding: bool) -> str:
+    first = "0" if expanding else f"fold_id * {step}"
+    return f"fo as (select cast(fold_id as integer) as fold_id, a.ts as train_start, b.ts as train_end, c.ts as test_start, d.ts as test_end from (select unnest(range(0, 1000)) as fold_id) k join nt on fold_id * {step} + {train + gap + test} <= n join t a on a.pos = {first} join t b on b.pos = fold_id * {step} + {train - 1} join t c on c.pos = fold_id * {step} + {train + gap} join t d on d.pos = fold_id * {step} + {train + gap + test - 1})"
+
+
+@query("purged_folds", f"with {_TIMES}, {_folds_sql(120, 24, 30, 5, True)} select * from fo")
+def purged_folds(spark: SparkSession, sf: str) -> DataFrame:
+    return backtest.purged_folds(inputs.bars(spark, sf), 120, 24, embargo=5, step=30)
+
+
+@query(
+    "purged_rows",
+    f"""with {_TIMES}, {_folds_sql(120, 24, 30, 5, True)} select fold_id, asset, case when ts <= train_end then 'train' else 'test' end as part, count(*) as n_rows, min(ts) as first_ts, max(ts) as last_ts, round(sum(close), 4) as total
+ from bars join fo on ts between train_start and train_end or ts between test_start and test_end group by 1, 2, 3""",
+)
+def purged_rows(spark: SparkSession, sf: str) -> DataFrame:
+    b = inputs.bars(spark, sf)
+    rows = backtest.by_fold(b, backtest.purged_folds(b, 120, 24, embargo=5, step=30))
+    return rounded(rows.groupBy("fold_id", "asset", "part").agg(F.count(F.lit(1)).alias("n_rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.sum("close").alias("total")), 4)
+
+
+@query(
+    "walk_forward_run",
+    f"""with {_TIMES}, {_folds_sql(168, 48, 48, 6, False)}, m as (select fold_id, avg(close) as level, stddev_samp(close) as spread from bars join fo on ts between train_start and train_end group by 1)
+ select fold_id, asset, count(*) as n_rows, round(avg((close - level) / spread), 5) as mean_z from bars join fo on ts between test_start and test_end join m using (fold_id) group by 1, 2""",
+)
+def walk_forward_run(spark: SparkSession, sf: str) -> DataFrame:
+    """What training gives is used in its test alone; rows that reach over would raise."""
+    b = inputs.bars(spark, sf)
+    fit = lambda train: train.groupBy("fold_id").agg(F.avg("close").alias("level"), F.stddev_samp("close").alias("spread"))
+    score = lambda test: test.groupBy("fold_id", "asset").agg(F.count(F.lit(1)).alias("n_rows"), F.avg((F.col("close") - F.col("level")) / F.col("spread")).alias("mean_z"))
+    return rounded(backtest.run_walk_forward(b, backtest.walk_forward_folds(b, 168, 48, 48, purge=2, embargo=4), fit, score), 5)
+
+
+@query("late_training_rows", f"with {_TIMES}, {_folds_sql(168, 48, 48, 0, False)} select fold_id, count(*) as n_late from bars join fo on ts between train_start and train_end where fold_id % 2 = 1 and ts >= train_end - interval 12 hours group by 1")
+def late_training_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Every second fold's test is said to begin twelve hours before its training ends."""
+    b = inputs.bars(spark, sf)
+    folds = backtest.walk_forward_folds(b, 168, 48, 48)
+    rows = backtest.by_fold(b, folds).where("part = 'train'")
+    return backtest.causality_violations(rows.withColumn("test_start", F.when(F.col("fold_id") % 2 == 1, F.col("train_end") - F.expr("interval 12 hours")).otherwise(F.col("test_start"))))
+
+
+@query(
+    "walk_forward_equity",
+    f"""with recursive {_TIMES}, {_folds_sql(120, 96, 60, 0, False)}, x as (select fold_id, asset, ts, close, row_number() over (partition by fold_id, asset order by ts) as i, count(*) over (partition by fold_id, asset) as c from bars join fo on ts between test_start and test_end),
+ e(fold_id, asset, i, ts, close, f, s) as (select fold_id, asset, i, ts, close, close, close from x where i = 1 and c >= 35 union all select x.fold_id, x.asset, x.i, x.ts, x.close, e.f + (2.0 / 11) * (x.close - e.f), e.s + (2.0 / 31) * (x.close - e.s) from e join x on x.fold_id = e.fold_id and x.asset = e.asset and x.i = e.i + 1),
+ p as (select *, case when f > s then 0.25 else 0.0 end as position, ln(close) - lag(ln(close)) over (partition by fold_id, asset order by ts) as r from e), b as (select *, coalesce(lag(position) over (partition by fold_id, asset order by ts), 0.0) as before from p),
+ c as (select *, coalesce(before * r - abs(position - before) * 40 / 10000, 0) as net from b), q as (select *, exp(sum(case when net > -1 then ln(1 + net) end) over (partition by fold_id, asset order by ts)) as equity from c)
+ select asset, ts, fold_id, position, round(net, 5) as net, round(equity, 4) as equity from q qualify row_number() over (partition by asset, ts order by fold_id) = 1""",
+)
+def walk_forward_equity(spark: SparkSession, sf: str) -> DataFrame:
+    """The trend strategy on overlapping tests, stitched to one series of each asset."""
+    b = inputs.bars(spark, sf)
+    run = backtest.walk_forward_strategy(b, backtest.walk_forward_folds(b, 120, 96, 60), lambda rows, asset: backtest.trend_strategy(rows, 10, 30, asset=asset))
+    return run.select("asset", "ts", "fold_id", "position", F.round("net", 5).alias("net"), F.round("equity", 4).alias("equity"))
+
+
+@query("capacity_monotone", f"select coalesce(bool_or(u), false) as non_monotone from (select sharpe_annual > lag(sharpe_annual) over (order by multiplier) as u from ({SQL['capacity_curve']}))")
+def capacity_monotone(spark: SparkSession, sf: str) -> DataFrame:
+    s = inputs.returns(spark, sf).where("log_return is not null").groupBy("ts").agg(F.avg("log_return").alias("pnl"), (F.avg(F.abs("log_return")) / 10).alias("turnover"))
+    return portfolio.rises_with_size(portfolio.capacity_curve(s))
+
+
+# --- lineage ------------------------------------------------------------------------------------
+
+
+@query(
+    "lineage_chains",
+    """with recursive e as (select 's' || s_suppkey as c, 's' || (s_suppkey - s_suppkey % 7 - 1) as p from supplier where s_suppkey % 7 > 0 union all select 's' || s_suppkey, 's' || (s_suppkey - 1) from supplier where s_suppkey % 7 = 0),
+ up(c, a, d) as (select distinct c, p, 1 from e union select up.c, e.p, d + 1 from up join e on up.a = e.c), two as (select 's' || s_suppkey as c, 't' || (s_suppkey // 3) as a, 1 as d from supplier union all select up.c, 't' || (substr(up.a, 2)::int // 3), up.d + 1 from up join e on up.a = e.c union all select distinct up.c, 't' || (substr(up.a, 2)::int // 3), up.d + 1 from up where up.a in (select 's' || s_suppkey from supplier))
+ select c as artifact_id, a as ancestor_id, min(d) as depth from (select * from up union all select * from two) group by 1, 2""",
+)
+def lineage_chains(spark: SparkSession, sf: str) -> DataFrame:
+    """Chains that grow with the table, and a second parent that many share."""
+    k = F.col("s_suppkey").cast("long")
+    s = inputs.table(spark, sf, "supplier")
+    name = lambda kind, c: F.concat(F.lit(kind), c.cast("string"))
+    back = F.when(k % 7 > 0, k - k % 7 - 1).otherwise(k - 1)
+    e = s.select(name("s", k).alias("child_artifact_id"), name("s", back).alias("parent_artifact_id"))
+    return governance.ancestors(spark, e.unionByName(s.select(name("s", k).alias("child_artifact_id"), name("t", F.floor(k / 3)).alias("parent_artifact_id"))))
+
+
+# --- stored documents and runs ------------------------------------------------------------------
+
+_DOC = "case when o_orderkey % 11 = 0 then '{\"run_id\": ' else '{\"run_id\":\"r' || o_orderkey || '\",\"name\":\"' || o_orderpriority || '\"' || case when o_orderkey % 3 = 0 then ',\"spec\":{\"research_spec_version\":\"v' || (o_orderkey % 5) || '\"}' else '' end || case o_orderkey % 4 when 0 then ',\"outputs\":{\"b\":1,\"a\":[2]}' when 1 then ',\"outputs\":\"one.csv\"' else '' end || '}' end"
+
+
+def _documents(spark: SparkSession, sf: str) -> str:
+    """The documents that orders stand for, one in a line, eleven in a hundred cut off; where they are."""
+    path = workspace(spark, "documents")
+    inputs.table(spark, sf, "orders").select(F.expr(_DOC.replace("||", " || ")).alias("value")).write.text(path)
+    return path
+
+
+@query(
+    "manifest_documents",
+    """select case when o_orderkey % 11 > 0 then 'r' || o_orderkey end as run_id, case when o_orderkey % 11 > 0 then o_orderpriority end as name, case when o_orderkey % 11 > 0 then case when o_orderkey % 3 = 0 then 'v' || (o_orderkey % 5) else '' end end as spec_version,
+ case when o_orderkey % 11 > 0 then case o_orderkey % 4 when 0 then 'a, b' when 1 then 'one.csv' else '' end end as outputs, case when o_orderkey % 11 = 0 then '{"run_id": ' end as corrupt from orders""",
+)
+def manifest_documents(spark: SparkSession, sf: str) -> DataFrame:
+    return documents.manifests(spark, _documents(spark, sf), lines=True).select("run_id", "name", "spec_version", "outputs", "corrupt")
+
+
+@query(
+    "resolved_evidence",
+    """with s as (select s_suppkey as k, s_acctbal as b from supplier) select 'c' || k as candidate_id, 'execution_evidence_path' as kind, k % 3 > 0 and k % 5 > 0 as found, case when k % 3 > 0 and k % 5 > 0 and k % 2 = 0 then round(b, 2) end as min_liquidity_usd, case when k % 3 > 0 and k % 5 > 0 then 'linear' end as spread_model, cast(null as double) as rc_p_value from s
+ union all select 'c' || k, 'rc_summary_path', true, null, null, 0.05 from s where k % 4 = 0""",
+)
+def resolved_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """Evidence files of suppliers: some missing, some damaged, some without a field."""
+    s = inputs.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").cast("double").alias("b"))
+    root, k = workspace(spark, "evidence"), F.col("k")
+    liquidity = F.when(k % 2 == 0, F.concat(F.lit('"min_liquidity_usd":'), F.round("b", 2).cast("string"), F.lit(","))).otherwise(F.lit(""))
+    text = F.when(k % 5 == 0, F.lit('{"spread_model"')).otherwise(F.concat(F.lit("{"), liquidity, F.lit('"spread_model":"linear"}')))
+    s.where("k % 3 > 0").select(text.alias("value"), F.concat(F.lit("c"), k.cast("string")).alias("of")).write.partitionBy("of").text(f"{root}/cost")
+    s.where("k % 4 = 0").select(F.lit('{"rc_p_value":0.05}').alias("value")).limit(1).coalesce(1).write.text(f"{root}/rc")
+    docs = documents.documents(spark, f"{root}/cost/*").unionByName(documents.documents(spark, f"{root}/rc"))
+    # part files have names of their own; a document is known by its folder
+    docs = docs.withColumn("path", F.regexp_replace("path", "/[^/]*$", ""))
+    e = F.to_json(F.struct(F.concat(F.lit("./cost/of=c"), k.cast("string")).alias("execution_evidence_path"), F.when(k % 4 == 0, F.lit("rc")).alias("rc_summary_path")))
+    asked = s.select(F.concat(F.lit("c"), k.cast("string")).alias("candidate_id"), e.alias("evidence_json"))
+    kinds = {"execution_evidence_path": {n: documents.EVIDENCE[n] for n in ("min_liquidity_usd", "spread_model")}, "rc_summary_path": {"rc_p_value": ("$.rc_p_value", "double")}}
+    return documents.evidence(asked, docs, kinds, F.lit(f"{root}/")).drop("path")
+
+
+_FIT = RET + ", f as (select asset, count(log_return) as n, avg(log_return) as m, stddev_samp(log_return) as s from ret group by 1)"
+
+
+@query("stored_run", f"with {_FIT} select asset, n, round(m, 6) as m, round(s, 6) as s, 1 as n_made from f")
+def stored_run(spark: SparkSession, sf: str) -> DataFrame:
+    """A run that is asked for twice is made once, and read back from its own partition."""
+    root, made = workspace(spark, "runs"), []
+    key = identity.factor_run_id({"freq": "1h", "tables": "events"})
+
+    def make() -> DataFrame:
+        made.append(1)
+        return inputs.returns(spark, sf).groupBy("asset").agg(F.count("log_return").alias("n"), F.avg("log_return").alias("m"), F.stddev_samp("log_return").alias("s"))
+
+    runs.persist_run(inputs.bars(spark, sf).select("asset", F.lit(0).cast("long").alias("n"), F.col("close").alias("m"), F.col("close").alias("s")), root, "another")
+    runs.cached(spark, root, key, make)
+    again = runs.cached(spark, root, key, make)
+    return rounded(again.withColumn("n_made", F.lit(len(made))))
+
+
+@query("appended_rows", "select status, count(*) as n_rows, count(distinct o_orderkey) as n_keys, round(sum(o_totalprice), 2) as total from (select 'first' as status, * from orders where o_orderkey % 2 = 0 union all select 'second', * from orders where o_orderkey % 2 = 1) group by 1")
+def appended_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """What two appends to one partitioned table leave, read back."""
+    root = workspace(spark, "appended")
+    o = inputs.table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("o_totalprice"))
+    for status, parity in (("first", 0), ("second", 1)):
+        sinks.append(o.where(F.col("o_orderkey") % 2 == parity).withColumn("status", F.lit(status)), root, "status")
+    back = spark.read.parquet(root)
+    return rounded(back.groupBy("status").agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("o_orderkey").alias("n_keys"), F.sum("o_totalprice").alias("total")), 2)
+
+
+# --- identity -----------------------------------------------------------------------------------
+
+_D = "case when {x} = 0 then 'd0e0' else 'd' || cast({x} * pow(2.0, floor((52 - {e}) / 2)) * pow(2.0, 52 - {e} - floor((52 - {e}) / 2)) as bigint) || 'e' || ({e} - 52) end"
+_HASHED = "count(*) as n, sum(('0x' || substr(h, 1, 12))::hugeint) as a, sum(('0x' || substr(h, 20, 12))::hugeint) as b"
+SQL["dataset_identity"] = " ".join(
+    f"""with g as (select *, floor(log2(abs(value)))::int as g from events), ev as (select *, case when pow(2.0, g) > abs(value) then g - 1 when pow(2.0, g + 1) <= abs(value) then g + 1 else g end as e from g),
+ he as (select sha256(concat_ws('|', coalesce('i' || event_id, 'n'), coalesce('s' || length(event_type) || ':' || event_type, 'n'), coalesce('s' || length(props) || ':' || props, 'n'), coalesce('t' || epoch_us(ts), 'n'), coalesce('i' || user_id, 'n'), coalesce({_D.format(x='value', e='e')}, 'n'))) as h from ev),
+ hn as (select sha256(concat_ws('|', coalesce('s' || length(n_name) || ':' || n_name, 'n'), coalesce('i' || n_nationkey, 'n'), coalesce('i' || n_regionkey, 'n'))) as h from nation), ae as (select {_HASHED} from he), an as (select {_HASHED} from hn)
+ select substr(sha256((select 'events|event_id:bigint,event_type:string,props:string,ts:timestamp,user_id:bigint,value:double|' || n || '|' || a || '|' || b from ae) || chr(10) || (select 'nation|n_name:string,n_nationkey:' || (select case typeof(n_nationkey) when 'BIGINT' then 'bigint' else 'int' end from nation limit 1) || ',n_regionkey:' || (select case typeof(n_regionkey) when 'BIGINT' then 'bigint' else 'int' end from nation limit 1) || '|' || n || '|' || a || '|' || b from an)), 1, 16) as dataset_id""".split()
+)
+SQL["optimized_weights"] = SQL["optimal_weights"]
+SQL["trend_backtest"] = SQL["trend_positions"].replace("order by ts)), 5) as equity", "order by ts)), 6) as equity")
+SQL["walk_forward_fits"] = SQL["fold_fits"].replace(" and asset <> 'click'", "").replace("round(avg(b), 5)", "round(avg(b), 6)").replace("round(avg(r2), 5)", "round(avg(r2), 6)")

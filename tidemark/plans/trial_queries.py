@@ -1,4 +1,4 @@
-"""Queries on identities, resampling and the level of the tests, each with the SQL that must give the same rows."""
+"""Queries on identities and resampling, each with the SQL that must give the same rows."""
 
 from __future__ import annotations
 
@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import identity
-from tidemark.operators import calibration, inference
+from tidemark.operators import inference
 from tidemark.plans import inputs, scan
-from tidemark.plans.catalog import _BOOT, _U, SQL, WIDE, _series, query, rounded
+from tidemark.plans.catalog import _BOOT, SQL, WIDE, _series, query, rounded
 
 # --- identities and small facts -----------------------------------------------------------------
 
@@ -62,73 +62,3 @@ def bootstrap_paths(spark: SparkSession, sf: str) -> DataFrame:
     p = inputs.returns(spark, sf).where("asset = 'click' and log_return is not null").select("ts", (F.col("log_return") / 20).alias("pnl"))
     n = p.count()
     return rounded(inference.bootstrap_pnl(p, 200, 42, "block_fixed", max(20.0, n**0.5)).withColumn("total_return", F.round("total_return", 5)))
-
-
-# --- the level of the tests ---------------------------------------------------------------------
-
-_DRAW = "sqrt(-2 * ln(" + _U.format(k="concat_ws('|', 7, trial, series, t, 1)") + ")) * cos(2 * pi() * " + _U.format(k="concat_ws('|', 7, trial, series, t, 2)") + ")"
-
-
-def _drawn(trials: int, series: int, n: int) -> str:
-    return f"dr as (select trial, series, t, {_DRAW} as value from range({trials}) a(trial), range({series}) b(series), range({n}) c(t))"
-
-
-@query("null_panel", f"with {_drawn(3, 4, 50)} select trial, series, t, round(value, 6) as value from dr")
-def null_panel(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(calibration.null_panel(spark, 3, 4, 50, 7))
-
-
-@query("null_ic_series", f"with {_drawn(1, 4, 50)} select series, t, round(greatest(-1, least(1, value * 0.6)), 6) as ic from dr")
-def null_ic_series(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(calibration.null_ic_series(spark, 4, 50, 7, 0.6))
-
-
-@query(
-    "hac_level",
-    f"""with {_drawn(60, 1, 60)}, z as (select trial, t, value - avg(value) over (partition by trial) as z from dr), g as (select a.trial, a.t - b.t as tau, avg(a.z * b.z) as g from z a join z b on a.trial = b.trial and a.t - b.t between 0 and 3 group by 1, 2),
- o as (select trial, sum(case when tau = 0 then 1.0 else 2 * (1 - tau / 4.0) end * g) as omega from g group by 1), m as (select trial, avg(value) as mean from dr group by 1)
- select round(avg((abs(mean) * sqrt(60) / sqrt(omega) > 1.959964)::int::double), 6) as rejection_rate, count(*) as n_trials, 0.05::double as nominal from m join o using (trial) where omega > 0""",
-)
-def hac_level(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(calibration.hac_level(spark, 60, 60, 7))
-
-
-_ADJ = "round(avg(found::int::double), 6) as fdr, round(avg(found::int::double), 6) as any_share"
-
-
-@query(
-    "fdr_level",
-    f"""with p as (select trial, id, {_U.format(k="concat_ws('|', 7, trial, id)")} as p from range(200) a(trial), range(10) b(id)), r as (select trial, p, row_number() over (partition by trial order by p, id) as r from p), c as (select sum(1.0 / i) as c from range(1, 11) q(i)),
- f as (select 'bh' as method, trial, bool_or(p * 10 / r <= 0.05) as found from r group by 2 union all select 'by', trial, bool_or(p * 10 * c / r <= 0.05) from r, c group by 2) select method, {_ADJ} from f group by 1""",
-)
-def fdr_level(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(calibration.fdr_level(spark, 200, 10, 7))
-
-
-_LEVELS = f"""{_drawn(1, 5, 60)}, s as (select series, t, value - avg(value) over (partition by series) as x from dr), pl as (select sim, place, place = 0 or {_U.format(k="concat_ws('|', 7, sim, place, 3)")} < 0.1 as begins from range(60) a(place), range(50) b(sim)),
- pb as (select sim, place, max(case when begins then place end) over (partition by sim order by place) as b from pl), pp as (select sim, (cast(floor({_U.format(k="concat_ws('|', 7, sim, b, 4)")} * 60) as bigint) + place - b) % 60 as t from pb),
- nu as (select sim, series, avg(x) as null_stat from pp join s using (t) group by 1, 2), ob as (select series, avg(value) as stat from dr group by 1)"""
-
-
-@query("reality_check_level", f"with {_LEVELS}, mx as (select sim, max(null_stat) as m from nu group by 1) select round((1 + sum((m >= (select max(stat) from ob))::int)) / 51.0, 6) as p_value, count(*) as n_sim from mx")
-def reality_check_level(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(calibration.reality_check_level(spark, 5, 60, 50, 7))
-
-
-@query(
-    "romano_wolf_level",
-    f"""with {_LEVELS}, k as (select *, row_number() over (order by stat desc, series) as k from ob), h as (select series, stat, k, max(null_stat) over (partition by sim order by k rows between current row and unbounded following) as m from nu join k using (series)),
- p as (select series, stat, k, (1 + sum((m >= stat)::int)) / 51.0 as p from h group by 1, 2, 3) select series as hypothesis, round(stat, 6) as stat, round(max(p) over (order by k), 6) as p_adj from p""",
-)
-def romano_wolf_level(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(calibration.romano_wolf_level(spark, 5, 60, 50, 7))
-
-
-@query(
-    "overfitting_level",
-    f"""with {_drawn(10, 4, 40)}, su as (select trial, series, t // 5 as block, sum(value) as v, count(*) as c from dr group by 1, 2, 3), sp as (select m as split, b as block, (m >> b) & 1 = 1 as train from range(256) x(m), range(8) y(b) where bit_count(m) = 4),
- pe as (select trial, split, series, sum(case when train then v end) / sum(case when train then c end) as tr, sum(case when not train then v end) / sum(case when not train then c end) as te from su join sp using (block) group by 1, 2, 3),
- rk as (select trial, row_number() over (partition by trial, split order by tr desc, series) as w, (row_number() over (partition by trial, split order by te, series) - 0.5) / 4 as share from pe) select trial, round(avg((ln(share / (1 - share)) < 0)::int::double), 6) as pbo, count(*) as n_splits from rk where w = 1 group by 1""",
-)
-def overfitting_level(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(calibration.overfitting_level(spark, 10, 40, 4, 8, 7))

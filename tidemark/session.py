@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -38,3 +40,16 @@ def checkpoints(spark: SparkSession) -> SparkSession:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="tidemark-"))
     return spark
+
+
+def workspace(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, which all executors share; it goes when the driver ends."""
+    path = f"{checkpoints(spark).sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None and spark.sparkContext._jvm is not None:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
