@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import identity
 from tidemark.operators import backtest, factors, governance, optimize, portfolio, universe
 from tidemark.plans import inputs, more_queries  # noqa: F401  (its SQL is used below)
-from tidemark.plans.catalog import _PAIRS, BARS, RET, SQL, WIDE, _pairs, query, rounded
+from tidemark.plans.catalog import _PAIRS, BARS, MARKET, RET, SQL, WIDE, _pairs, query, rounded
 from tidemark.session import workspace
 from tidemark.sources import documents, runs, sinks
 
@@ -257,3 +257,35 @@ SQL["dataset_identity"] = " ".join(
 SQL["optimized_weights"] = SQL["optimal_weights"]
 SQL["trend_backtest"] = SQL["trend_positions"].replace("order by ts)), 5) as equity", "order by ts)), 6) as equity")
 SQL["walk_forward_fits"] = SQL["fold_fits"].replace(" and asset <> 'click'", "").replace("round(avg(b), 5)", "round(avg(b), 6)").replace("round(avg(r2), 5)", "round(avg(r2), 6)")
+
+# --- whole strategies, reports and scans --------------------------------------------------------
+
+SQL["breakout_backtest"] = " ".join(
+    f"""with recursive {RET}, w as (select asset, ts, close, log_return as r, row_number() over (partition by asset order by ts) as i, case when count(log_return) over v = 24 then (log_return - avg(log_return) over v) / nullif(stddev_samp(log_return) over v, 0) end as z from ret window v as (partition by asset order by ts rows 23 preceding)),
+ s(asset, i, held, high) as (select asset, i, coalesce(z >= 2, false), case when z >= 2 then close else 0.0 end from w where i = 1 union all
+  select w.asset, w.i, case when s.held then close > greatest(s.high, close) * (1 - 0.05) else coalesce(z >= 2, false) end, case when s.held then greatest(s.high, close) when z >= 2 then close else s.high end from s join w on w.asset = s.asset and w.i = s.i + 1),
+ p as (select asset, ts, r, case when held then 0.25 else 0.0 end as position from s join w using (asset, i)), b as (select *, coalesce(lag(position) over (partition by asset order by ts), 0.0) as before from p),
+ n as (select *, coalesce(before * r, 0) - abs(position - before) * 40.0 / 10000 as net from b) select asset, ts, position, round(net, 6) as net, round(product(1 + net) over (partition by asset order by ts), 6) as equity from n""".split()
+)
+
+SQL["report_performance"] = " ".join(
+    f"""with {WIDE}, v as (select asset, ts, log_return from wide where log_return is not null), s as (select asset, ts, case when count(*) over x = 3 then exp(sum(log_return) over x) - 1 end as x from v window x as (partition by asset order by ts rows 2 preceding)),
+ k as (select *, count(*) over (partition by ts) as n, row_number() over (partition by ts order by x desc, asset) as up, row_number() over (partition by ts order by x, asset) as down from s where x is not null), l as (select *, least(5, greatest(1, n // 4)) as m from k),
+ ls as (select asset, ts, case when up <= m then 0.5 / m when down <= m then -0.5 / m else 0.0 end as weight from l where n >= 2 * m), grid as (select t.ts, a.asset from (select distinct ts from ls) t cross join (select distinct asset from ls) a), g as (select ts, asset, coalesce(weight, 0) as weight from grid left join ls using (ts, asset)),
+ lg as (select ts, asset, coalesce(lag(weight) over (partition by asset order by ts), 0) as weight from g), pnl as (select ts, sum(weight * log_return) as pnl from lg join v using (ts, asset) group by 1), tn as (select ts, sum(d) as turnover from (select ts, abs(weight - coalesce(lag(weight) over (partition by asset order by ts), weight)) as d from lg) group by 1),
+ q as (select ts, exp(sum(case when net > -1 then ln(1 + net) end) over (order by ts)) as equity from (select ts, pnl - turnover * 40.0 / 10000 as net from pnl join tn using (ts))), r as (select *, equity / lag(equity) over (order by ts) - 1 as r from q),
+ c as (select *, case when r is not null then exp(sum(case when r > -1 then ln(1 + r) end) over (order by ts)) end as c from r), d as (select *, max(c) over (order by ts) - c as d from c),
+ o as (select arg_max(equity, ts) / arg_min(equity, ts) - 1 as total_return, date_diff('microsecond', min(ts), max(ts)) / (365.25 * 86400 * 1e6) as years, stddev_samp(r) as sd, stddev_samp(r) filter (r < 0) as down, avg(r) as m, max(d) as md, avg((r > 0)::int::double) as wr, avg(r) filter (r > 0) as aw, avg(r) filter (r < 0) as al, count(*) as n from d)
+ select round(total_return, 4) as total_return, round(pow(1 + total_return, 1 / years) - 1, 4) as cagr, round(sd * sqrt(365), 4) as vol_annual, round(m / sd * sqrt(365), 4) as sharpe, round(m / down * sqrt(365), 4) as sortino, round(md, 4) as max_drawdown, round(wr, 4) as win_rate, round(aw, 4) as avg_win, round(al, 4) as avg_loss, n as n_bars from o""".split()
+)
+
+_BOTH = "case when log_return is not null and factor is not null then {} end"
+_SLOPE = f"case when var_samp({_BOTH.format('factor')}) over {{w}} > 0 then covar_samp({_BOTH.format('log_return')}, {_BOTH.format('factor')}) over {{w}} / var_samp({_BOTH.format('factor')}) over {{w}} end"
+SQL["scan_with_metrics"] = " ".join(
+    f"""with {MARKET}, k as (select *, row_number() over (partition by asset order by ts desc) as rn, {_SLOPE.format(w='s24')} as bs, {_SLOPE.format(w='s72')} as bl, {_SLOPE.format(w='al')} as b, case when stddev_samp(log_return) over s24 * stddev_samp({_BOTH.format('factor')}) over s24 > 1e-15 then covar_samp({_BOTH.format('log_return')}, {_BOTH.format('factor')}) over s24 / (stddev_samp(log_return) over s24 * stddev_samp({_BOTH.format('factor')}) over s24) end as cs,
+  stddev_samp(log_return) over s24 as vs, stddev_samp(log_return) over s48 as vm, exp(sum(log_return) over sf) as eq from mk window s24 as (partition by asset order by ts rows 23 preceding), s48 as (partition by asset order by ts rows 47 preceding), s72 as (partition by asset order by ts rows 71 preceding), sf as (partition by asset order by ts rows unbounded preceding), al as (partition by asset)),
+ d as (select *, eq / max(eq) over (partition by asset order by ts rows unbounded preceding) - 1 as dd from k), f as (select asset, arg_max(close, ts) / arg_min(close, ts) - 1 as return_24h, arg_max(close, ts) as close from k where rn <= 24 group by 1 having count(*) >= 2 order by 2 desc, 1 limit 3),
+ m as (select asset, exp(sum(case when rn <= 24 then log_return - b * factor end)) - 1 as excess_24h, stddev_samp(log_return) * sqrt(8760) as annual_vol, avg(log_return) / stddev_samp(log_return) * sqrt(8760) as annual_sharpe, min(dd) as max_drawdown, max(case when rn = 1 then bs end) as beta_short, max(case when rn = 1 then bl end) as beta_long, max(case when rn = 1 then cs end) as corr_short, max(case when rn = 1 then vs end) as vol_short, max(case when rn = 1 then vm end) as vol_medium, count(*) as n_bars, max(case when rn = 1 then liquidity_usd end) as liq from d group by 1)
+ select asset, round(return_24h, 6) as return_24h, round(close, 6) as close, round(excess_24h, 6) as excess_24h, round(annual_vol, 6) as annual_vol, round(annual_sharpe, 6) as annual_sharpe, round(max_drawdown, 6) as max_drawdown, round(beta_short, 6) as beta_short, round(beta_long, 6) as beta_long, round(corr_short, 6) as corr_short, round(vol_short, 6) as vol_short, round(vol_medium, 6) as vol_medium, n_bars, round(beta_long - beta_short, 6) as beta_compression,
+  case when beta_short - beta_long is null then 'unknown' when beta_short - beta_long < -0.15 then 'compressed' when beta_short - beta_long > 0.15 then 'expanded' else 'stable' end as beta_state, case when vol_short / vol_medium is null or vol_medium <= 0 then 'unknown' when vol_short / vol_medium >= 1.25 then 'rising' when vol_short / vol_medium <= 0.75 then 'falling' else 'stable' end as vol_regime, round(liq, 6) as liquidity_usd, round(coalesce(liq, 0) * 0.01, 6) as capacity_usd, round(case when liq > 0 then least(500.0, 100000.0 / (liq * 0.01)) else 500.0 end, 6) as est_slippage_bps, case when liq > 0 then least(500.0, 100000.0 / (liq * 0.01)) else 500.0 end <= 50 as tradable from f join m using (asset)""".split()
+)
