@@ -250,3 +250,50 @@ def test_a_stored_run_is_read_from_its_partition(spark, tmp_path):
     plan = back._jdf.queryExecution().executedPlan().toString()
     assert back.columns == ["k", "v"] and back.count() == 2 and back.where("v is null").count() == 1
     assert "PartitionFilters: [isnotnull(run_id" in plan and "run_id#" in plan
+
+
+# --- streams ------------------------------------------------------------------------------------
+
+
+def test_bars_by_arrival_over_several_batches(spark, tmp_path):
+    import datetime as dt
+
+    from tidemark.streaming import ticks as streams
+
+    at = lambda h, m: dt.datetime(2024, 1, 1, h, m)
+    batches = [
+        [("a", at(0, 30), 1, 10.0, 1.0), ("a", at(0, 10), 2, 12.0, 1.0), ("b", at(0, 5), 3, 5.0, None), ("b", at(0, 6), 4, -1.0, 1.0)],
+        [("a", at(0, 1), 5, 8.0, 1.0), ("a", at(1, 5), 6, 9.0, 2.0)],
+        [("a", at(3, 0), 7, 7.0, 1.0)],
+        [("a", at(0, 59), 8, 99.0, 1.0), ("a", at(3, 1), 9, 6.0, 1.0)],  # the first bar is closed by now
+        [("z", at(9, 0), 10, 1.0, 1.0)],
+    ]
+    schema = "asset string, ts timestamp, event_id long, price double, size double"
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    streams.state_store(spark)
+    try:
+        for i, rows in enumerate(batches):
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            stream = streams.arrival_bars(streams.read_ticks(spark, str(tmp_path / "in")))
+            q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+            assert q.awaitTermination(120)
+    finally:
+        spark.conf.set(store, before)
+    got = {(r["asset"], r["ts"].hour): (r["open"], r["high"], r["low"], r["close"], r["volume"], r["n_ticks"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {("a", 0): (10.0, 12.0, 8.0, 8.0, 3.0, 3), ("b", 0): (5.0, 5.0, 5.0, 5.0, 0.0, 1), ("a", 1): (9.0, 9.0, 9.0, 9.0, 2.0, 1), ("a", 3): (7.0, 7.0, 6.0, 6.0, 2.0, 2)}
+
+
+def test_a_cycle_is_whole_or_not_there(spark, tmp_path):
+    from tidemark.streaming import ticks as streams
+
+    root = str(tmp_path / "cycles")
+    with pytest.raises(ValueError):
+        streams.cycle_rows(spark, root, "spot")
+    batch = spark.createDataFrame([("spot", "SOL", 1.0), ("spot", "BAD", -1.0), ("pair", "p", 2.0)], "kind string, asset string, price double")
+    assert streams.run_cycle(batch, 0, root) and streams.run_cycle(batch, 0, root)
+    assert not streams.run_cycle(batch.where("asset <> 'SOL'"), 1, root)
+    batch.where("kind = 'spot'").write.parquet(f"{root}/spot/batch=2")  # crashed before the pairs
+    count = lambda name: sorted((r["batch"], r["asset"]) for r in streams.cycle_rows(spark, root, name).collect())
+    assert count("spot") == [(0, "SOL")] and count("pair") == [(0, "p")]
+    assert streams.run_cycle(batch, 2, root) and count("spot") == [(0, "SOL"), (2, "SOL")] and count("pair") == [(0, "p"), (2, "p")]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import identity
 from tidemark.operators import backtest, factors, governance, optimize, portfolio, universe
 from tidemark.plans import inputs, more_queries  # noqa: F401  (its SQL is used below)
-from tidemark.plans.catalog import _PAIRS, BARS, MARKET, RET, SQL, WIDE, _pairs, query, rounded
+from tidemark.plans.catalog import _PAIRS, BARS, MARKET, RET, SQL, TICKS, WIDE, _pairs, query, rounded
 from tidemark.session import workspace
 from tidemark.sources import documents, runs, sinks
 
@@ -289,3 +289,47 @@ SQL["scan_with_metrics"] = " ".join(
  select asset, round(return_24h, 6) as return_24h, round(close, 6) as close, round(excess_24h, 6) as excess_24h, round(annual_vol, 6) as annual_vol, round(annual_sharpe, 6) as annual_sharpe, round(max_drawdown, 6) as max_drawdown, round(beta_short, 6) as beta_short, round(beta_long, 6) as beta_long, round(corr_short, 6) as corr_short, round(vol_short, 6) as vol_short, round(vol_medium, 6) as vol_medium, n_bars, round(beta_long - beta_short, 6) as beta_compression,
   case when beta_short - beta_long is null then 'unknown' when beta_short - beta_long < -0.15 then 'compressed' when beta_short - beta_long > 0.15 then 'expanded' else 'stable' end as beta_state, case when vol_short / vol_medium is null or vol_medium <= 0 then 'unknown' when vol_short / vol_medium >= 1.25 then 'rising' when vol_short / vol_medium <= 0.75 then 'falling' else 'stable' end as vol_regime, round(liq, 6) as liquidity_usd, round(coalesce(liq, 0) * 0.01, 6) as capacity_usd, round(case when liq > 0 then least(500.0, 100000.0 / (liq * 0.01)) else 500.0 end, 6) as est_slippage_bps, case when liq > 0 then least(500.0, 100000.0 / (liq * 0.01)) else 500.0 end <= 50 as tradable from f join m using (asset)""".split()
 )
+
+
+# --- streams ------------------------------------------------------------------------------------
+
+
+@query(
+    "arrival_bars",
+    f"""with {TICKS}, b as (select asset, date_trunc('hour', ts) as ts, arg_min(price, event_id) as open, max(price) as high, min(price) as low, arg_max(price, event_id) as close, sum(size) as volume, count(*) as n_ticks from ticks group by 1, 2)
+ select asset, ts, round(open, 6) as open, round(high, 6) as high, round(low, 6) as low, round(close, 6) as close, round(volume, 5) as volume, n_ticks from b where ts + interval 1 hour <= (select max(ts) from ticks) - interval 10 minutes""",
+)
+def arrival_bars(spark: SparkSession, sf: str) -> DataFrame:
+    """The events as a stream through keyed state with timers; bars behind the watermark are out at its end."""
+    from tidemark.streaming import ticks as streams
+
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    streams.state_store(spark)
+    out, log = workspace(spark, "arrival-bars"), workspace(spark, "arrival-log")
+    try:
+        events = spark.readStream.schema(inputs.table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+        rows = events.select(F.col("event_type").alias("asset"), "ts", "event_id", F.col("value").alias("price"), F.col("value").alias("size"))
+        streams.arrival_bars(rows).writeStream.format("parquet").option("path", out).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(store, before)
+    return spark.read.schema(streams.BAR).parquet(out).select("asset", "ts", *[F.round(c, 6).alias(c) for c in ("open", "high", "low", "close")], F.round("volume", 5).alias("volume"), "n_ticks")
+
+
+@query(
+    "poll_cycles",
+    """with b as (select *, day(ts) % 3 as batch, event_id % 4 > 0 as spot from events where day(ts) % 3 < 2) select cast(batch as integer) as batch, 'spot' as kind, count(*) as n_rows, round(sum(value), 4) as total from b where spot and value > 0 group by 1
+ union all select cast(batch as integer), 'pair', count(*), round(sum(value), 4) from b where not spot and batch = 1 group by 1""",
+)
+def poll_cycles(spark: SparkSession, sf: str) -> DataFrame:
+    """Three polls: one without the price it needs, one that runs twice, one that breaks between its writes."""
+    from tidemark.streaming import ticks as streams
+
+    root = workspace(spark, "cycles")
+    e = inputs.table(spark, sf, "events").withColumn("batch", F.day("ts") % 3)
+    rows = e.select("batch", F.when((F.col("batch") == 1) & (F.col("event_type") == "click"), F.lit("SOL")).otherwise(F.col("event_type")).alias("asset"), F.col("value").alias("price"), F.when(F.col("event_id") % 4 > 0, F.lit("spot")).otherwise(F.lit("pair")).alias("kind"))
+    for batch in (0, 1, 1):
+        streams.run_cycle(rows.where(F.col("batch") == batch).drop("batch"), batch, root)
+    rows.where("batch = 2 and kind = 'spot' and price > 0").drop("batch").write.parquet(f"{root}/spot/batch=2")  # and no further
+    out = streams.cycle_rows(spark, root, "spot").unionByName(streams.cycle_rows(spark, root, "pair"))
+    return rounded(out.groupBy("batch", "kind").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("price").alias("total")), 4)

@@ -54,10 +54,99 @@ def write_bars(bars: DataFrame, path: str, checkpoint: str, available_now: bool
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def run_cycle(batch: DataFrame, batch_id: int, spot_path: str, pair_path: str, needed: str = "SOL") -> bool:
-    """One poll: spot prices, then pairs if the needed spot price is there; False where it isn't."""
+BAR = "asset string, ts timestamp, open double, high double, low double, close double, volume double, n_ticks long"
+
+
+def arrival_bars(ticks: DataFrame, seconds: int = 3600, watermark: str = "10 minutes", arrival: str = "event_id") -> DataFrame:
+    """Bars whose open and close are the first and last tick to arrive, not the earliest and latest by event time.
+
+    The state of an asset is its open bars. Each has a timer at its end by event time; when the watermark passes
+    it, the bar comes out once and its state goes. Ticks of a bar that is out already are dropped. ``arrival`` orders the
+    ticks of one batch. Needs the RocksDB state store (``state_store``).
+    """
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor
+
+    width = seconds * 1000
+
+    class OpenBars(StatefulProcessor):
+        def init(self, handle) -> None:
+            self.handle = handle
+            self.bars = handle.getMapState("bars", "start long", "open double, high double, low double, close double, volume double, n long")
+
+        def handleInputRows(self, key, rows, timerValues):
+            behind = timerValues.getCurrentWatermarkInMs()
+            for part in rows:
+                part = part.sort_values("arrival", kind="stable")
+                part["start"] = part["ms"] // width * width
+                for start, g in part[part["start"] + width > behind].groupby("start"):
+                    at = (int(start),)
+                    price, size = g["price"], float(g["size"].sum())
+                    if self.bars.containsKey(at):
+                        o, h, low, _, v, n = self.bars.getValue(at)
+                        new = (o, max(h, price.max()), min(low, price.min()), price.iloc[-1], v + size, n + len(g))
+                    else:
+                        new = (price.iloc[0], price.max(), price.min(), price.iloc[-1], size, len(g))
+                        self.handle.registerTimer(int(start) + width)
+                    self.bars.updateValue(at, (*map(float, new[:5]), int(new[5])))
+            yield pd.DataFrame()
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            start = expiredTimerInfo.getExpiryTimeInMs() - width
+            if self.bars.containsKey((start,)):
+                o, h, low, c, v, n = self.bars.getValue((start,))
+                self.bars.removeKey((start,))
+                yield pd.DataFrame({"asset": [key[0]], "ts": [pd.Timestamp(start, unit="ms")], "open": [o], "high": [h], "low": [low], "close": [c], "volume": [v], "n_ticks": [n]})
+            else:
+                yield pd.DataFrame()
+
+        def close(self) -> None:
+            pass
+
+    rows = ticks.where("price > 0").withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
+    rows = rows.select("asset", "ts", F.unix_millis("ts").alias("ms"), "price", F.coalesce("size", F.lit(0.0)).alias("size"), F.col(arrival).alias("arrival"))
+    return rows.groupBy("asset").transformWithStateInPandas(OpenBars(), BAR, "append", "eventtime")
+
+
+def state_store(spark: SparkSession) -> SparkSession:
+    """The state store that keyed state with timers needs."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    return spark
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _commit(spark: SparkSession, root: str, batch_id: int) -> None:
+    """A file that says a batch is whole: it is named at once, by a rename, or not at all."""
+    new, fs = _file_system(spark, f"{root}/commits/.{batch_id}")
+    fs.mkdirs(new.getParent())
+    fs.create(new, True).close()
+    done, _ = _file_system(spark, f"{root}/commits/{batch_id}")
+    if not fs.exists(done):
+        fs.rename(new, done)
+
+
+def run_cycle(batch: DataFrame, batch_id: int, root: str, needed: str = "SOL") -> bool:
+    """One poll: spot prices, and pairs if the needed spot price is there; False where it isn't.
+
+    Both tables are written before the batch is committed, and ``cycle_rows`` reads committed batches alone: a crash
+    between the writes shows nothing of the cycle, and a batch that runs again replaces what it wrote before.
+    """
     spot = batch.where("kind = 'spot' and price > 0")
     ok = not spot.where(F.col("asset") == needed).isEmpty()
-    for rows, path in ((spot, spot_path), *([(batch.where("kind = 'pair'"), pair_path)] if ok else [])):
-        rows.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+    for name, rows in (("spot", spot), ("pair", batch.where("kind = 'pair'") if ok else batch.limit(0))):
+        rows.write.mode("overwrite").parquet(f"{root}/{name}/batch={batch_id}")
+    _commit(batch.sparkSession, root, batch_id)
     return ok
+
+
+def cycle_rows(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """The rows of one of a cycle's tables, of whole cycles alone, with their ``batch``."""
+    path, fs = _file_system(spark, f"{root}/commits")
+    done = sorted(int(f.getPath().getName()) for f in fs.listStatus(path) if not f.getPath().getName().startswith(".")) if fs.exists(path) else []
+    if not done:
+        raise ValueError(f"no whole cycle in {root}")
+    return spark.read.option("basePath", f"{root}/{name}").parquet(*[f"{root}/{name}/batch={b}" for b in done])
