@@ -263,9 +263,9 @@ def test_bars_by_arrival_over_several_batches(spark, tmp_path):
     at = lambda h, m: dt.datetime(2024, 1, 1, h, m)
     batches = [
         [("a", at(0, 30), 1, 10.0, 1.0), ("a", at(0, 10), 2, 12.0, 1.0), ("b", at(0, 5), 3, 5.0, None), ("b", at(0, 6), 4, -1.0, 1.0)],
-        [("a", at(0, 1), 5, 8.0, 1.0), ("a", at(1, 5), 6, 9.0, 2.0)],
+        [("a", at(0, 25), 5, 8.0, 1.0), ("a", at(1, 5), 6, 9.0, 2.0), ("a", at(0, 2), 99, 1.0, 1.0)],
         [("a", at(3, 0), 7, 7.0, 1.0)],
-        [("a", at(0, 59), 8, 99.0, 1.0), ("a", at(3, 1), 9, 6.0, 1.0)],  # the first bar is closed by now
+        [("a", at(0, 59), 8, 99.0, 1.0), ("a", at(3, 1), 9, 6.0, 1.0)],  # the first bar is closed by now; in the batch before, 00:02 was behind the watermark of 00:20
         [("z", at(9, 0), 10, 1.0, 1.0)],
     ]
     schema = "asset string, ts timestamp, event_id long, price double, size double"

@@ -61,7 +61,8 @@ def arrival_bars(ticks: DataFrame, seconds: int = 3600, watermark: str = "10 min
     """Bars whose open and close are the first and last tick to arrive, not the earliest and latest by event time.
 
     The state of an asset is its open bars. Each has a timer at its end by event time; when the watermark passes
-    it, the bar comes out once and its state goes. Ticks of a bar that is out already are dropped. ``arrival`` orders the
+    it, the bar comes out once and its state goes. Ticks behind the watermark are dropped, as are those
+    of a bar that is out already. ``arrival`` orders the
     ticks of one batch. Needs the RocksDB state store (``state_store``).
     """
     import pandas as pd
