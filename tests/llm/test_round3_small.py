@@ -8,7 +8,7 @@ from fractions import Fraction
 import numpy as np
 import pytest
 
-from tidemark.llm import collocations, licenses, whitening
+from tidemark.llm import collocations, html_text, licenses, whitening
 
 # --- whitening
 
@@ -170,3 +170,40 @@ def test_scores_pass_64_bits(spark):
     f = spark.createDataFrame([("en", 1, "x", a), ("en", 1, "y", a), ("en", 2, "x y", a)], "lang string, size int, phrase string, f long")
     r = collocations.scored(f, f.alias("again").select("lang", "size", "phrase", "f")).first()
     assert (r["a"], r["l"], r["r"], r["score"]) == (a, a, a, 1_000_000)
+
+
+# --- pages that name nothing --------------------------------------------------------------------
+
+
+def bare_pages(n=12, host="plain.example"):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    some = lambda k: " ".join(word() for _ in range(k))
+    rows = []
+    for i in range(n):
+        menu = "".join(f'<div><a href="/{w}">{w}</a></div>' for w in (word() for _ in range(4)))
+        body, table = [some(rng.randint(60, 200)) for _ in range(3)], [[word(), word()] for _ in range(3)]
+        main = "".join(f"<p>{t}</p>" for t in body) + "<table>" + "".join(f"<tr><td>{a}</td><td>{b}</td></tr>" for a, b in table) + "</table>"
+        want = " ".join([*body, *(c for r in table for c in r)])
+        rows.append((i, f"http://{host}/{i}", f"<html><body><div>{menu}</div><div>{some(6)}</div><div><div>{main}</div></div><div>{some(9)}</div></body></html>", want))
+    return rows
+
+
+@pytest.mark.parametrize("names", [True, False])
+def test_slots_are_told_apart_without_names(spark, names):
+    rows = bare_pages()
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, want string")
+    out = html_text.main_text(df, names=names).collect()
+    assert len(out) == len(rows) and all(r["text"] == r["want"] for r in out)
+
+
+def test_furniture_is_short_or_dense_with_links():
+    reference = html_text.skeleton([(-1, "#"), (0, "div"), (0, "div"), (2, "ul"), (0, "div"), (0, "div")])
+    words, links = {1: 8.0, 2: 400.0, 3: 5.0, 4: 150.0, 5: 90.0}, {1: 8.0, 4: 140.0}
+    assert html_text.furniture(reference, words, links) == [1, 4]  # what lies in the content stays, and so does what is long
+    assert html_text.furniture(reference, {}, {}) == [] and html_text.furniture(reference, {1: 3.0}, {}) == []
+
+
+def test_compound_names_of_noise():
+    page = '<body><div class="cookie-banner">a</div><div id="disqus_thread">b</div><div class="related-posts">c</div><div class="share-buttons">d</div><div class="cookies-recipe">e</div></body>'
+    assert html_text.extract(page, None, frozenset(), html_text.Aligner()) == "e"

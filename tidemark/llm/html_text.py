@@ -4,7 +4,8 @@ A page becomes a tree of containers with slots of text. A host's most common tre
 without articles, are its reference; simple tree matching aligns every page of the host with it, whole, list items and table
 cells included. Text of containers that match none of the reference is content. Text that is the same
 in its slot on most pages of the host is template, in articles and out of them; other text is content.
-Containers that say what they are (menus, footers, adverts, forms, comments ...) are never content.
+Containers that say what they are (menus, footers, adverts, forms, comments ...) are never content; of those
+that say nothing, slots that are short or dense with links beside the host's large ones are not, either.
 A page with articles has text outside them only in slots that vary over the host's pages.
 """
 
@@ -13,6 +14,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 from zlib import crc32
 
 import numpy as np
@@ -38,7 +40,8 @@ _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]
 #: Whole tokens of a class, id or role.
 _NOISE = re.compile(
     r"nav|navbar|navigation|menus?|breadcrumbs?|masthead|top-?bar|footer|contentinfo|side-?bar|aside|complementary|widgets?|ads?|adverts?|advertisement|advertising|adsense|sponsor(?:ed)?|promo(?:tion)?s?"
-    r"|banner|cookies?|consent|gdpr|notices?|alert|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommend(?:ed|ations)?|comments?|respond|replies|reply|disqus|popup|modal|overlay|pagination|pager|search|skip-?link",
+    r"|banner|cookies?|consent|gdpr|notices?|alert|newsletter|subscribe|subscription|signup|login|share|sharing|social|related|recommend(?:ed|ations)?|comments?|respond|replies|reply|disqus|popup|modal|overlay|pagination|pager|search|skip-?link"
+    r"|cookie[-_](?:banner|bar|notice|consent)|(?:share|social|sharing)[-_](?:buttons?|bar|links?)|related[-_](?:posts?|articles?|links?|stories)|disqus[-_]thread",
     re.IGNORECASE,
 )
 _HEADER = re.compile(r"header|site-?head(?:er)?", re.IGNORECASE)
@@ -52,17 +55,29 @@ def _any(pattern: re.Pattern, names: str) -> bool:
     return any(map(pattern.fullmatch, names.split()))
 
 
-def parse(page: str | None) -> tuple[list[tuple[int, str]], list[tuple[int, int, int, str]]]:
-    """Containers as (parent, label), the root first, and blocks of text as (container, order among
-    that container's blocks, state, text); state: 0 plain, 1 in an article, -1 in a container of noise.
+class Block(NamedTuple):
+    """Text of a container; state: 0 plain, 1 in an article, -1 in a container of noise; links: words in links."""
+
+    node: int
+    order: int
+    state: int
+    text: str
+    links: int
+
+
+def parse(page: str | None, names: bool = True) -> tuple[list[tuple[int, str]], list[Block]]:
+    """Containers as (parent, label), the root first, and blocks of text. Without ``names`` neither tags nor
+    names say anything: every block is plain.
 
     An article or main lifts the noise of names and forms around it; within an article or main, and in
     menus, footers and the like by tag, noise stays noise (comments are articles, too)."""
     nodes: list[tuple[int, str]] = [(-1, "#")]
-    blocks: list[tuple[int, int, int, str]] = []
+    blocks: list[Block] = []
     stack: list[tuple[str, int, int, bool]] = [("#", 0, 0, True)]  # tag, node, state (-2: never lifted), outside article and main
     count = [0]
     buffer: list[str] = []
+    linked: list[str] = []
+    in_link = False
 
     def flush() -> None:
         if buffer:
@@ -70,16 +85,24 @@ def parse(page: str | None) -> tuple[list[tuple[int, str]], list[tuple[int, int,
             buffer.clear()
             if text:
                 _, node, state, _ = stack[-1]
-                blocks.append((node, count[node], max(state, -1), text))
+                blocks.append(Block(node, count[node], max(state, -1) if names else 0, text, len(" ".join(linked).split())))
                 count[node] += 1
+            linked.clear()
+
+    def write(piece: str) -> None:
+        buffer.append(piece)
+        if in_link:
+            linked.append(piece)
 
     at = 0
     page = page or ""
     for m in _TOKEN.finditer(page):
         if m.start() > at:
-            buffer.append(page[at : m.start()])
+            write(page[at : m.start()])
         at = m.end()
         tag = (m["tag"] or "").lower()
+        if tag == "a":
+            in_link = not m["close"]
         if tag in _BREAKS:
             flush()
         elif tag in _CONTAINERS:
@@ -93,7 +116,7 @@ def parse(page: str | None) -> tuple[list[tuple[int, str]], list[tuple[int, int,
             if tag == "li" and stack[-1][0] == "li":
                 stack.pop()
             _, parent, state, outside = stack[-1]
-            names = " ".join(" ".join(next(filter(None, x), "") for x in _NAMES.findall(m["attrs"] or "")).split())
+            said = " ".join(" ".join(next(filter(None, x), "") for x in _NAMES.findall(m["attrs"] or "")).split())
             if tag in _WHOLE:
                 if tag in ("main", "article"):
                     if state == -1 and outside:
@@ -103,17 +126,17 @@ def parse(page: str | None) -> tuple[list[tuple[int, str]], list[tuple[int, int,
                     outside = False
             elif tag in _NEVER and tag not in _WRAPPERS:
                 state = -2
-            elif tag in _WRAPPERS or (names and _any(_NOISE, names)):
+            elif tag in _WRAPPERS or (said and _any(_NOISE, said)):
                 state = min(state, -1)
-            elif state == 0 and (tag == "header" or (names and _any(_HEADER, names))):
+            elif state == 0 and (tag == "header" or (said and _any(_HEADER, said))):
                 state = -1
-            nodes.append((parent, f"{tag}.{names}" if names and tag not in _WHOLE else tag))
+            nodes.append((parent, f"{tag}.{said}" if said and tag not in _WHOLE else tag))
             count.append(0)
             stack.append((tag, len(nodes) - 1, state, outside))
         elif m["raw"]:
             pass
     if at < len(page):
-        buffer.append(page[at:])
+        write(page[at:])
     flush()
     return nodes, blocks
 
@@ -312,38 +335,55 @@ def template_key(node: int, text: str) -> int:
     return node << 32 | crc32(text.encode("utf-8", "surrogatepass"))
 
 
-def extract(page: str | None, reference: str | None, template: frozenset | set, aligner: Aligner, varying: frozenset | set = frozenset()) -> str:
-    """The text of ``page`` outside noise and template. On a page with articles, text outside them must
-    be in a slot known to be ``varying``."""
-    nodes, blocks = parse(page)
-    slots = aligner.slots(nodes, reference) if template or varying else {}
-    articles = any(state == 1 for _, _, state, _ in blocks)
+def extract(page: str | None, reference: str | None, template: frozenset | set, aligner: Aligner, varying: frozenset | set = frozenset(), furniture: frozenset | set = frozenset(), names: bool = True) -> str:
+    """The text of ``page`` outside noise, template and, where neither tags nor names say what it is, outside
+    ``furniture``. On a page with articles, text outside them must be in a slot known to be ``varying``."""
+    nodes, blocks = parse(page, names)
+    slots = aligner.slots(nodes, reference) if template or varying or furniture else {}
+    articles = any(b.state == 1 for b in blocks)
     return " ".join(
-        text
-        for node, _, state, text in blocks
-        if state >= 0 and (node not in slots or template_key(slots[node], text) not in template) and (state == 1 or not articles or slots.get(node) in varying)
+        b.text
+        for b in blocks
+        if b.state >= 0 and (b.node not in slots or template_key(slots[b.node], b.text) not in template) and (b.state == 1 or ((not articles or slots.get(b.node) in varying) and slots.get(b.node) not in furniture))
     )
 
 
-_SLOT, _FILLED, _WHOLE_TEXT, _TEXT = range(4)
+def furniture(reference: str, words: dict[int, float], links: dict[int, float], *, small: float = 0.1, few: float = 30.0, dense: float = 0.5) -> list[int]:
+    """Slots that are around the content, by what their text is like, whatever it says.
 
-
-def evidence(nodes: list[tuple[int, str]], blocks: list[tuple[int, int, int, str]], slots: dict[int, int]) -> set[tuple[int, int]]:
-    """What one page says of its host's slots, as (kind, key): that it has a slot, that the slot has
-    text outside noise, all of that text, and each block of it."""
-    held: dict[int, list[str]] = {}
-    for node, _, state, text in blocks:
-        if state >= 0 and node in slots:
-            held.setdefault(slots[node], []).append(text)
-    out = {(_SLOT, template_key(slot, "")) for slot in slots.values()}
-    for slot, texts in held.items():
-        out |= {(_FILLED, template_key(slot, "")), (_WHOLE_TEXT, template_key(slot, "\n".join(texts)))}
-        out |= {(_TEXT, template_key(slot, t)) for t in texts}
+    ``words`` has the mean words of a slot on the pages that have it, ``links`` how many of them are in links. A slot with a
+    quarter of the words of the largest that is not ``dense`` with links is content, with all below it. Of the
+    rest, slots dense with links are furniture, and those of ``few`` words that are ``small`` beside the largest.
+    """
+    nodes = from_skeleton(reference)
+    largest = max((w for n, w in words.items() if links.get(n, 0.0) < dense * w), default=0.0)
+    inside = [False] * len(nodes)
+    for n, (parent, _) in enumerate(nodes):
+        w = words.get(n, 0.0)
+        inside[n] = (parent >= 0 and inside[parent]) or (w > 0 and w >= 0.25 * largest and links.get(n, 0.0) < dense * w)
+    return sorted(n for n, w in words.items() if n < len(nodes) and w > 0 and not inside[n] and (links.get(n, 0.0) >= dense * w or (w < few and w < small * largest)))
+
+
+_SLOT, _FILLED, _WHOLE_TEXT, _TEXT, _WORDS, _LINKS = range(6)
+
+
+def evidence(nodes: list[tuple[int, str]], blocks: list[Block], slots: dict[int, int]) -> dict[tuple[int, int], int]:
+    """What one page says of its host's slots, by (kind, key): that it has a slot, that the slot has
+    text outside noise, all of that text, and each block of it, as 1 each; and how many words and words in links it has."""
+    held: dict[int, list[Block]] = {}
+    for b in blocks:
+        if b.state >= 0 and b.node in slots:
+            held.setdefault(slots[b.node], []).append(b)
+    out = {(_SLOT, template_key(slot, "")): 1 for slot in slots.values()}
+    for slot, own in held.items():
+        out |= {(_FILLED, template_key(slot, "")): 1, (_WHOLE_TEXT, template_key(slot, "\n".join(b.text for b in own))): 1}
+        out |= {(_TEXT, template_key(slot, b.text)): 1 for b in own}
+        out |= {(_WORDS, template_key(slot, "")): sum(len(b.text.split()) for b in own), (_LINKS, template_key(slot, "")): sum(b.links for b in own)}
     return out
 
 
-def induce(pages: DataFrame, host: str, *, least_pages: int = 4, share: float = 0.5) -> DataFrame:
-    """One row per host: its reference tree, its template, as keys of node and text, and its varying slots.
+def induce(pages: DataFrame, host: str, *, least_pages: int = 4, share: float = 0.5, names: bool = True) -> DataFrame:
+    """One row per host: its reference tree, its template, as keys of node and text, its varying slots and its furniture.
 
     The reference joins the most common trees of pages with and without articles, each that of the
     most common outline. All pages count, with articles
@@ -361,11 +401,11 @@ def induce(pages: DataFrame, host: str, *, least_pages: int = 4, share: float =
 
     def trees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            parsed = [parse(h) for h in b["html"]]
+            parsed = [parse(h, names) for h in b["html"]]
             yield pd.DataFrame(
                 {
                     host: b[host],
-                    "article": [any(state == 1 for _, _, state, _ in blocks) for _, blocks in parsed],
+                    "article": [any(x.state == 1 for x in blocks) for _, blocks in parsed],
                     "outline": [outline(nodes) for nodes, _ in parsed],
                     "reference": [skeleton(nodes) for nodes, _ in parsed],
                     "part": b["part"],
@@ -387,26 +427,33 @@ def induce(pages: DataFrame, host: str, *, least_pages: int = 4, share: float =
         for b in batches:
             n: dict[tuple[str, int, int], float] = {}
             for h, ref, part, page_ in zip(b[host], b["reference"], b["part"], b["html"], strict=True):
-                nodes, blocks = parse(page_)
-                for kind, key in evidence(nodes, blocks, aligner.slots(nodes, ref)):
-                    n[h, kind, key] = n.get((h, kind, key), 0.0) + part
+                nodes, blocks = parse(page_, names)
+                for (kind, key), amount in evidence(nodes, blocks, aligner.slots(nodes, ref)).items():
+                    n[h, kind, key] = n.get((h, kind, key), 0.0) + part * amount
             yield pd.DataFrame([(*k, v) for k, v in n.items()], columns=[host, "kind", "key", "n"])
 
     joined = once.join(references.where(F.col("n_pages") >= least_pages), host)
     keys = joined.select(host, "reference", "part", "html").mapInPandas(texts, f"{host} string, kind int, key long, n double").groupBy(host, "kind", "key").agg(F.round(F.sum("n"), 6).alias("n"))
-    keys = Scratch(pages.sparkSession).put(keys.where(F.col("n") >= least_pages).withColumn("slot", F.shiftright("key", 32)), "evidence")
+    keys = Scratch(pages.sparkSession).put(keys.where((F.col("n") >= least_pages) | (F.col("kind") >= _WORDS)).withColumn("slot", F.shiftright("key", 32)), "evidence")
     of = lambda kind: F.when(F.col("kind") == kind, F.col("n"))
     slots = keys.groupBy(host, "slot").agg(F.max(of(_SLOT)).alias("pages"), F.coalesce(F.max(of(_FILLED)) - F.coalesce(F.max(of(_WHOLE_TEXT)), F.lit(0)), F.lit(0)).alias("changing"))
     most = lambda n: (n >= least_pages) & (n > share * F.col("pages"))
     common = keys.where(F.col("kind") == _TEXT).join(slots, [host, "slot"]).where(most(F.col("n")))
     templates = common.groupBy(host).agg(F.collect_list("key").alias("template"))
     varying = slots.where(most(F.col("changing"))).groupBy(host).agg(F.collect_list("slot").alias("varying"))
+    lengths = keys.groupBy(host, "slot").agg(F.max(of(_SLOT)).alias("pages"), F.max(of(_WORDS)).alias("words"), F.coalesce(F.max(of(_LINKS)), F.lit(0.0)).alias("links")).where("pages is not null and words is not null")
+    lengths = lengths.groupBy(host).agg(F.collect_list(F.struct("slot", (F.col("words") / F.col("pages")).alias("words"), (F.col("links") / F.col("pages")).alias("links"))).alias("lengths"))
+
+    @F.pandas_udf("array<long>")
+    def around(reference: pd.Series, slots_: pd.Series) -> pd.Series:
+        return pd.Series([furniture(r, {x["slot"]: x["words"] for x in s}, {x["slot"]: x["links"] for x in s}) if s is not None else [] for r, s in zip(reference, slots_, strict=True)], dtype=object)
+
     none = F.array().cast("array<long>")
-    out = references.join(templates, host, "left").join(varying, host, "left")
-    return out.select(host, "reference", F.coalesce("template", none).alias("template"), F.coalesce(F.col("varying").cast("array<long>"), none).alias("varying"))
+    out = references.join(templates, host, "left").join(varying, host, "left").join(lengths, host, "left")
+    return out.select(host, "reference", F.coalesce("template", none).alias("template"), F.coalesce(F.col("varying").cast("array<long>"), none).alias("varying"), around("reference", "lengths").alias("furniture"))
 
 
-def main_text(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", text_col: str = "text", share: float = 0.5) -> DataFrame:
+def main_text(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", text_col: str = "text", share: float = 0.5, names: bool = True) -> DataFrame:
     """``pages`` with ``text_col``, the main text, instead of the html; other columns stay.
 
     Null and empty pages, and pages without main text, have an empty text. A null or hostless url
@@ -414,19 +461,20 @@ def main_text(pages: DataFrame, *, url_col: str = "url", html_col: str = "html",
     """
     host, page = fresh(pages, "host", "page")
     named = pages.withColumn(host, F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit("")))
-    wrappers = Scratch(pages.sparkSession).put(induce(named.select(F.col(host).alias("host"), F.col(html_col).alias("html")), "host", share=share), "wrappers")
-    useful = wrappers.where((F.size("template") > 0) | (F.size("varying") > 0)).select(F.col("host").alias("h"), F.col("reference").alias(page), "template", "varying")
+    wrappers = Scratch(pages.sparkSession).put(induce(named.select(F.col(host).alias("host"), F.col(html_col).alias("html")), "host", share=share, names=names), "wrappers")
+    useful = wrappers.where((F.size("template") > 0) | (F.size("varying") > 0) | (F.size("furniture") > 0)).select(F.col("host").alias("h"), F.col("reference").alias(page), "template", "varying", "furniture")
 
-    def run(pages_: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    def run(pages_: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         aligner = Aligner()
+        whole = lambda x: frozenset(() if x is None else x)
         for html, *wrapper in pages_:
-            yield pd.Series([extract(h, r, frozenset(() if t is None else t), aligner, frozenset(() if v is None else v)) for h, r, t, v in zip(html, *wrapper, strict=True)], dtype=object)
+            yield pd.Series([extract(h, r, whole(t), aligner, whole(v), whole(f), names) for h, r, t, v, f in zip(html, *wrapper, strict=True)], dtype=object)
 
-    run.__annotations__ = {"pages_": Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+    run.__annotations__ = {"pages_": Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, pd.Series]], "return": Iterator[pd.Series]}
     extracted = F.pandas_udf(run, "string")
     keep = [c for c in pages.columns if c not in (html_col, text_col)]
     out = named.join(useful, F.col(host) == F.col("h"), "left")
-    return out.select(*[named[c] for c in keep], extracted(named[html_col], F.col(page), F.col("template"), F.col("varying")).alias(text_col))
+    return out.select(*[named[c] for c in keep], extracted(named[html_col], F.col(page), F.col("template"), F.col("varying"), F.col("furniture")).alias(text_col))
 
 
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
