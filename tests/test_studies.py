@@ -297,3 +297,17 @@ def test_a_cycle_is_whole_or_not_there(spark, tmp_path):
     count = lambda name: sorted((r["batch"], r["asset"]) for r in streams.cycle_rows(spark, root, name).collect())
     assert count("spot") == [(0, "SOL")] and count("pair") == [(0, "p")]
     assert streams.run_cycle(batch, 2, root) and count("spot") == [(0, "SOL"), (2, "SOL")] and count("pair") == [(0, "p"), (2, "p")]
+
+
+def test_traded_is_lagged_returns_and_turnover(spark):
+    from tidemark.operators import portfolio
+
+    rng = np.random.default_rng(12)
+    rows = [(int(t), f"a{i}", float(rng.normal())) for t in range(9) for i in range(6) if rng.random() < 0.6]
+    w = spark.createDataFrame(rows, "ts int, asset string, weight double")
+    r = spark.createDataFrame([(t, f"a{i}", float(rng.normal()) if rng.random() < 0.8 else None) for t in range(9) for i in range(6)], "ts int, asset string, log_return double")
+    for bars in (1, 2):
+        held = portfolio.lagged(w, bars)
+        want = {x["ts"]: (x["pnl"], x["turnover"]) for x in portfolio.portfolio_returns(held, r).join(portfolio.turnover(held), "ts").collect()}
+        got = {x["ts"]: (x["pnl"], x["turnover"]) for x in portfolio.traded(w, r, bars).collect()}
+        assert got.keys() == want.keys() and all(np.allclose(got[t], want[t], atol=1e-12) for t in want)

@@ -67,20 +67,35 @@ def held(weights: DataFrame, every: int, asset: str = "asset", ts: str = "ts") -
     return spread.join(times, "_n").select(ts, asset, "weight")
 
 
-def turnover(weights: DataFrame, asset: str = "asset", ts: str = "ts") -> DataFrame:
-    """ts, turnover: the sum of absolute changes of weight, an asset without a row having none; 0 at the
-    first time. A row compares itself with the row of the time before and, where the time after has
-    none, closes there: one exchange by asset and one by time."""
-    rows, times = _numbered(weights, asset, ts)
+def _moves(rows: DataFrame, asset: str) -> DataFrame:
+    """_n, _d: what changes at each numbered time; a row compares itself with the asset's row of the time before and,
+    where the time after has none, closes there."""
     w = along(asset, "_n")
     before = F.when(F.lag("_n").over(w) == F.col("_n") - 1, F.lag("weight").over(w))
     goes_on = F.coalesce(F.lead("_n").over(w) == F.col("_n") + 1, F.lit(False))
     marked = rows.withColumns({"_d": F.abs(F.col("weight") - F.coalesce(before, F.lit(0.0))), "_goes_on": goes_on})
     at = lambda n, d: F.struct(n.alias("_n"), d.alias("_d"))
     both = F.array_compact(F.array(at(F.col("_n"), F.col("_d")), F.when(~F.col("_goes_on"), at(F.col("_n") + 1, F.abs("weight")))))
-    moves = marked.select(F.inline(both))
-    total = moves.groupBy("_n").agg(F.sum("_d").alias("_d"))
-    return times.join(total, "_n", "left").select(ts, F.when(F.col("_n") == 1, 0.0).otherwise(F.coalesce("_d", F.lit(0.0))).alias("turnover"))
+    return marked.select(F.inline(both)).groupBy("_n").agg(F.sum("_d").alias("_d"))
+
+
+def turnover(weights: DataFrame, asset: str = "asset", ts: str = "ts") -> DataFrame:
+    """ts, turnover: the sum of absolute changes of weight, an asset without a row having none; 0 at the
+    first time. One exchange by asset and one by time."""
+    rows, times = _numbered(weights, asset, ts)
+    return times.join(_moves(rows, asset), "_n", "left").select(ts, F.when(F.col("_n") == 1, 0.0).otherwise(F.coalesce("_d", F.lit(0.0))).alias("turnover"))
+
+
+def traded(weights: DataFrame, returns: DataFrame, bars: int = 1, ret: str = "log_return", asset: str = "asset", ts: str = "ts") -> DataFrame:
+    """ts, pnl, turnover of weights that are executed ``bars`` times later: ``portfolio_returns`` and ``turnover`` of
+    ``lagged`` weights, with the times numbered once for all of them."""
+    rows, times = _numbered(weights, asset, ts)
+    at = lambda n, w: F.struct(n.alias("_n"), w.alias("weight"))
+    both = F.array_compact(F.array(at(F.col("_n") + bars, F.col("weight")), F.when(F.col("_n") <= bars, at(F.col("_n"), F.lit(0.0)))))
+    late = rows.select(asset, F.inline(both))  # what would be executed after the last time falls out with the times
+    earned = late.join(times, "_n").join(returns.select(ts, asset, F.col(ret).alias("r")), [ts, asset]).groupBy("_n", ts).agg(F.sum(F.col("weight") * F.coalesce("r", F.lit(0.0))).alias("pnl"))
+    change = F.when(F.col("_n") == 1, 0.0).otherwise(F.coalesce("_d", F.lit(0.0)))
+    return earned.join(_moves(late, asset), "_n", "left").select(ts, "pnl", change.alias("turnover"))
 
 
 def smoothed(weights: DataFrame, alpha: float, asset: str = "asset", ts: str = "ts") -> DataFrame:

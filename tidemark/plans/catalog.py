@@ -309,8 +309,7 @@ _GRID = _LS + """, grid as (select t.ts, a.asset from (select distinct ts from l
  select ts, round(pnl, 6) as pnl, round(turnover, 6) as turnover, round(pnl - turnover * 40.0 / 10000, 6) as net from pnl join tn using (ts)""")
 def portfolio_net_returns(spark: SparkSession, sf: str) -> DataFrame:
     w = inputs.wide(spark, sf)
-    held = portfolio.lagged(portfolio.long_short(w, 4, 4, rank="log_return"))
-    series = portfolio.portfolio_returns(held, w).join(portfolio.turnover(held), "ts")
+    series = portfolio.traded(portfolio.long_short(w, 4, 4, rank="log_return"), w)
     return rounded(portfolio.net_of_costs(series).select("ts", "pnl", "turnover", "net"))
 
 

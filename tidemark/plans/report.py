@@ -34,10 +34,13 @@ def signal_report(signal: DataFrame, returns: DataFrame, freq: str, horizons: tu
     ic = cross_section.information_coefficient(signal, fwd, asset=asset, ts=ts)
     decay = cross_section.ic_decay(signal, returns, list(horizons), ret=ret, asset=asset, ts=ts)
     ranks = cross_section.ranked(signal, ts=ts)
-    w = portfolio.lagged(portfolio.long_short(ranks, k, k, adaptive=True, asset=asset, ts=ts), 1, asset, ts)
+    chosen = portfolio.long_short(ranks, k, k, adaptive=True, asset=asset, ts=ts)
+    w = portfolio.lagged(chosen, 1, asset, ts)
     if rebalance > 1:
         w = portfolio.held(w, rebalance, asset, ts)
-    pnl = portfolio.portfolio_returns(w, returns, ret, asset, ts).join(portfolio.turnover(w, asset, ts), ts)
+        pnl = portfolio.portfolio_returns(w, returns, ret, asset, ts).join(portfolio.turnover(w, asset, ts), ts)
+    else:
+        pnl = portfolio.traded(chosen, returns, 1, ret, asset, ts)
     net = portfolio.net_of_costs(pnl, fee_bps, slippage_bps)
     equity = net.withColumn("equity", F.exp(F.sum(F.log1p("net")).over(_all_before(ts))))
     return Report(
