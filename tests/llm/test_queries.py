@@ -4,6 +4,7 @@ import os
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 
 from tidemark.llm import queries, warc
@@ -17,6 +18,7 @@ CONTRACT = {
     "op5_mixing": "doc_id tokens rate copies",
     "op6_pii": "doc_id text",
     "op8_near_dups": "doc_id class_id",
+    "op12_licenses": "doc_id n_words n_base first_word last_word base_labels labels score",
 }
 
 
@@ -66,3 +68,22 @@ def test_archives_equal_sql(spark):
     got = queries.queries()["op7_warc"](spark, SF).toPandas()[list(want.columns)]
     plain = lambda df: sorted(df.astype(object).where(df.notna(), -1).astype(str).replace(r"\.0$", "", regex=True).itertuples(index=False, name=None))
     assert plain(got) == plain(want)
+
+
+def test_collocations_equal_sql(spark):
+    c = duckdb.connect()
+    c.sql(f"create view documents as select * from '{SF}/documents.parquet'")
+    want = c.sql(queries.oracle_sql()["op13_collocations"]).df()
+    got = queries.queries()["op13_collocations"](spark, SF).toPandas()
+    rows = lambda df: sorted(df[["lang", "rank", "phrase", "a", "l", "r", "n", "score"]].itertuples(index=False, name=None))
+    assert rows(got) == rows(want) and len(got)
+
+
+def test_whitened_covariance_is_the_identity(spark):
+    out = queries.queries()["op11_whitening"](spark, SF).toPandas()
+    rows = source(spark, "embeddings").collect()
+    assert len(out) == 16 * len(rows) and out.identity_error.max() < 1e-9
+    y = out.pivot(index="vec_id", columns="component", values="whitened").to_numpy()
+    distinct = np.unique(np.floor(64 * np.array([r["embedding"] for r in sorted(rows, key=lambda r: r["vec_id"])], dtype=float)), axis=0, return_index=True)[1]
+    cov = np.cov(y[distinct].T, bias=True)
+    assert np.abs(cov - np.eye(16)).max() < 1e-9 and out.n.eq(len(distinct)).all()
