@@ -33,7 +33,7 @@ def table(df: pd.DataFrame) -> list[tuple]:
             elif isinstance(v, (bool, np.bool_)):
                 cells.append(str(bool(v)))
             elif isinstance(v, (int, float, np.integer, np.floating)):
-                cells.append(f"{float(v) + 0.0:.4f}".replace("-0.0000", "0.0000"))
+                cells.append(f"{float(v) + 0.0:.9g}")
             else:
                 cells.append(str(v))
         out.append(tuple(cells))
