@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import ipaddress
 import itertools
 import zlib
 
@@ -306,6 +307,46 @@ def test_long_addresses_and_forms_of_dates(spark):
     assert new[8:] == ["31 February 2001", "2001/02/30"] and not set(new) & set(dates)
 
 
+def test_addresses_secrets_and_numbers_by_context(spark):
+    key = hashlib.sha256(b"k").hexdigest()
+    v6 = ["2001:db8::1", "2001:0DB8:0:0:0:0:0:1", "fe80::1ff:fe23:4567:890a", "2001:db8:85a3:0:0:8a2e:370:7334", "2001:db8::"]
+    new = only(spark, [f"at {x}, x" for x in v6])
+    got = [x[3:].split(",")[0] for x in new]
+    for old, x in zip(v6, got, strict=True):
+        whole = ipaddress.ip_address(old).exploded.replace(":", "")
+        assert ipaddress.ip_address(x).exploded == x and x.replace(":", "") == whole[:4] + python_feistel(whole[4:], "x" * 28, key + "ipv6")
+    assert got[0] == got[1] and len(set(got)) == 4
+    clean = ["std::vector a::b 12::30 10:20:30:40:50:60", "ace::add 1:2:3:4:5:6:7:8:9 2001:db8:1::2::3", "v 1.2.3.4", "v1.2.3.4 and Version 10.0.0.1", "section 3.2.1.4", "123456789", "SSN: 000456789", "sk-short ghp_short AIzax eyJab.cd.ef", "a@b @x.com"]
+    assert only(spark, clean) == clean
+    ip, ipv, bare, hyphened, words = only(spark, ["pav 1.2.3.4", "server 1.2.3.4", "SSN: 123456789", "123-45-6789", "social security number is 123456789."])
+    assert ip[4:] == ipv[7:] != "1.2.3.4" and bare == "SSN: " + hyphened.replace("-", "") != "SSN: 123456789" and words == "social security number is " + bare[5:] + "."
+    secrets = ["ghp_" + "aB3" * 12, "ghp_" + "abcdefghij" * 4, "xoxb-123456789012-abcdefABCDEF", "sk_live_" + "4eC39HqLyjWDarjtT1zdp7dc", "AIza" + "Sy9" * 11 + "xY", "glpat-" + "a1-b2_" * 4, "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.dozjgNryP4J3jVmNHl0w5N_XgL0n3I9P", "github_pat_" + "a1_B2" * 30]
+    begin = ["ghp_", "ghp_", "xoxb-", "sk_live_", "AIza", "glpat-", "eyJ", "github_pat_"]
+    for old, b, x in zip(secrets, begin, only(spark, [f"key={s} end" for s in secrets]), strict=True):
+        x = x[4:-4]
+        kinds = lambda t: ["d" if c in "0123456789" else "l" if c.islower() else "u" if c.isupper() else c for c in t]
+        assert x != old and x.startswith(b) and kinds(x) == kinds(old)
+
+
+def test_addresses_beyond_ascii(spark):
+    olds = ["ü@ex.de", "müller.ß@bücher.example", "иван@почта.рф", "ΑΘΗΝΑ@x.gr", "łódź1@x.xn--p1ai", "ann@" + "x" * 30 + "." + "museum" * 6, "王@例子.中国"]
+    *new, han = only(spark, [f"({x})" for x in olds])
+    assert han == f"({olds[-1]})"  # letters of other scripts stay
+    for old, x in zip(olds, new, strict=False):
+        (a, d), (b, e) = old.split("@"), x[1:-1].split("@")
+        assert d == e and a != b and len(a) == len(b) and [c.isalpha() for c in a] == [c.isalpha() for c in b] and [ord(c) < 128 for c in a] == [ord(c) < 128 for c in b]
+    local = "müllеr.ßx"
+    kinds = "".join(next((k for k, al in (pii.ALPHABETS | pii.FOREIGN).items() if k in "dluaAgGcC" and c in al), "-") for c in local)
+    alphabets = dict(pii.ALPHABETS)
+    try:
+        pii.ALPHABETS.update(pii.FOREIGN)
+        want = python_feistel(local, kinds, hashlib.sha256(b"k").hexdigest() + "|email|0")
+    finally:
+        pii.ALPHABETS.clear()
+        pii.ALPHABETS.update(alphabets)
+    assert only(spark, [local + "@x.de"]) == [want + "@x.de"]
+
+
 def test_number_permutation_is_one_to_one(spark):
     d = spark.range(229 * 319).select(pii.feistel_number(F.col("id"), 229, 319, F.lit("k")).alias("x"))
     r = d.agg(F.count_distinct("x").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()

@@ -29,6 +29,21 @@ ALPHABETS = {
     "x": "0123456789abcdef",
     "X": "0123456789ABCDEF",
 }
+
+
+def _letters(first: int, last: int, small: bool) -> str:
+    return "".join(c for c in map(chr, range(first, last + 1)) if (c.islower() if small else c.isupper()))
+
+
+#: Letters of local parts beyond ASCII: accented Latin, Greek and Cyrillic, small and capital. Those of other scripts stay.
+FOREIGN = {
+    "a": _letters(0xC0, 0x17F, True),
+    "A": _letters(0xC0, 0x17F, False),
+    "g": _letters(0x391, 0x3CE, True),
+    "G": _letters(0x391, 0x3CE, False),
+    "c": _letters(0x400, 0x45F, True),
+    "C": _letters(0x400, 0x45F, False),
+}
 #: Dates from 1900-01-01 to 2099-12-31: 73,049 days = 229 * 319.
 FIRST_DAY, DAYS_A, DAYS_B = "1900-01-01", 229, 319
 
@@ -70,22 +85,46 @@ def _iban_pattern() -> str:
 
 _MONTH = "(?:" + "|".join(dict.fromkeys([*MONTHS, *(m[:3] for m in MONTHS)])) + ")"
 
+#: Published beginnings of secrets, and what follows each.
+SECRETS = {
+    "github_pat_": "[A-Za-z0-9_]{22,}",
+    "gh[pousr]_": "[A-Za-z0-9]{30,}",
+    "glpat-": "[A-Za-z0-9_-]{20,}",
+    "xox[abeprs]-": "[A-Za-z0-9-]{10,}",
+    "[spr]k_(?:live|test)_": "[A-Za-z0-9]{16,}",
+    "sk-": "[A-Za-z0-9_-]{20,}",
+    "AIza": "[A-Za-z0-9_-]{35}",
+    "npm_": "[A-Za-z0-9]{36}",
+    "eyJ": r"[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+}
+_HEX = "[0-9A-Fa-f]{1,4}"
+#: A dotted number after one of these words is no address.
+_NUMBERED = "(?i:(?<![a-z])(?:v|ver|version|release|build|firmware|section|chapter|clause))"
+#: Words that make nine digits a social security number.
+_SSN_WORDS = r"(?i:SSN|social security(?: number| no\.?)?)(?: is)?[ :#=]{1,3}"
+
 #: Kinds in the order in which they are tried; the first that fits at a place takes it.
 PATTERNS = (
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-][A-Za-z0-9.-]*\.[A-Za-z]{2,24}(?![A-Za-z0-9])"),
+    ("email", r"(?<![\p{L}\p{M}\p{N}._%+-])[\p{L}\p{M}\p{N}._%+-]++@[\p{L}\p{N}-][\p{L}\p{M}\p{N}.-]*\.(?:xn--[A-Za-z0-9-]++|[\p{L}\p{M}]{2,}+)(?![\p{L}\p{N}])"),
+    ("secret", rf"(?<![A-Za-z0-9_-])(?:{'|'.join(a + b for a, b in SECRETS.items())})(?![A-Za-z0-9_-])"),
     ("token", r"(?<![A-Za-z0-9])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32}|[0-9A-F]{64}|[0-9A-F]{40}|[0-9A-F]{32})(?![A-Za-z0-9])"),
     ("access_key", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])"),
     ("iban", _iban_pattern()),
+    # all eight groups, or the first, of four digits, and a gap
+    ("ipv6", rf"(?<![A-Za-z0-9:.])(?:(?:{_HEX}:){{7}}{_HEX}|[0-9A-Fa-f]{{4}}(?::{_HEX}){{0,6}}::(?:{_HEX}(?::{_HEX}){{0,5}})?)(?![A-Za-z0-9]|:[A-Za-z0-9:]|\.[0-9])"),
     ("date", r"(?<![0-9./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![0-9/-]|\.[0-9])"),
     ("written_date", rf"(?<![A-Za-z0-9])(?:[0-9]{{1,2}} {_MONTH} [0-9]{{4}}|{_MONTH} [0-9]{{1,2}}, [0-9]{{4}})(?![A-Za-z0-9])"),
-    ("ip", r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"),
+    ("ip", rf"(?<![0-9.])(?<!{_NUMBERED}[.:]?[ ]?)(?:[0-9]{{1,3}}\.){{3}}[0-9]{{1,3}}(?![0-9]|\.[0-9])"),
     ("ssn", r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])"),
+    ("bare_ssn", rf"(?<![A-Za-z0-9]){_SSN_WORDS}[0-9]{{9}}(?![A-Za-z0-9-])"),
     # in fours and what may follow them; by issuers' other groups; digit by digit; without gaps
     ("card", r"(?<![A-Za-z0-9])(?:[0-9]{4}(?:[ -][0-9]{4}){3,}(?:[ -][0-9]{1,3})?|3[0-9]{3}[ -][0-9]{6}[ -][0-9]{4,5}|[0-9]{6}[ -][0-9]{7,13}|[0-9](?:[ -][0-9]){12,18}|[0-9]{13,19})(?![A-Za-z0-9])"),
     ("phone", r"(?<![A-Za-z0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![A-Za-z0-9])"),
     ("phone_intl", r"(?<![A-Za-z0-9+])\+[1-9](?:[ .()-]{0,2}[0-9]){7,14}\)?(?![A-Za-z0-9])"),
 )
 ANY = "|".join(p for _, p in PATTERNS)
+#: What every match of ANY has.
+_NEEDED = "[0-9@]|" + "|".join(SECRETS)
 
 
 def _with(value: Column, f) -> Column:
@@ -107,22 +146,18 @@ def _number(pad: Column, i: Column) -> Column:
     return F.conv(F.substring(pad, i * 7 + 1, F.lit(7)), 16, 10).cast("long")
 
 
-def _add(half: Column, classes: Column, other: Column, r: Column, key: Column, longest: int) -> Column:
-    """``half`` plus the pad, each character within its alphabet; ``classes`` has a letter for each."""
+def _add(half: Column, classes: Column, other: Column, r: Column, key: Column, longest: int, alphabets: Column) -> Column:
+    """``half`` plus the pad, each character within its alphabet; ``classes`` has a letter for each, a key of the map ``alphabets``."""
 
     def one(c: Column, i: Column, pad: Column) -> Column:
-        kind = F.substring(classes, i + 1, F.lit(1))
-        out = c
-        for k, letters in ALPHABETS.items():
-            moved = F.substring(F.lit(letters), (F.position(c, F.lit(letters)) - 1 + _number(pad, i)) % len(letters) + 1, F.lit(1))
-            out = F.when(kind == k, moved).otherwise(out)
-        return out
+        letters = F.try_element_at(alphabets, F.substring(classes, i + 1, F.lit(1)))
+        return _with(letters, lambda al: F.coalesce(F.substring(al, (F.position(c, al) - 1 + _number(pad, i)) % F.length(al) + 1, F.lit(1)), c))
 
     return F.array_join(F.transform(F.array(_pad(key, r, other, longest)), lambda pad: F.array_join(F.transform(_chars(half), lambda c, i: one(c, i, pad)), "")), "")
 
 
-def feistel(text: Column, classes: Column, key: Column, longest: int = 32) -> Column:
-    """The pseudonym of ``text``; ``classes`` is as long and has a key of ALPHABETS for each character
+def feistel(text: Column, classes: Column, key: Column, longest: int = 32, alphabets: dict[str, str] = ALPHABETS) -> Column:
+    """The pseudonym of ``text``; ``classes`` is as long and has a key of ``alphabets`` for each character
     to permute and any other character for one to keep. ``longest`` bounds the length of a half."""
     given = F.struct(text.alias("text"), classes.alias("classes"), F.floor(F.length(text) / 2).cast("int").alias("cut"))
     parts = _with(
@@ -136,12 +171,14 @@ def feistel(text: Column, classes: Column, key: Column, longest: int = 32) -> Co
         ),
     )
 
+    of = F.create_map(*[F.lit(x) for pair in alphabets.items() for x in pair])
+
     def rounds(p: Column) -> Column:
         def turn(acc: Column, r: Column) -> Column:
             even = r % 2 == 0
             return F.struct(
-                F.when(even, _add(acc["a"], p["ca"], acc["b"], r, p["tag"], longest)).otherwise(acc["a"]).alias("a"),
-                F.when(even, acc["b"]).otherwise(_add(acc["b"], p["cb"], acc["a"], r, p["tag"], longest)).alias("b"),
+                F.when(even, _add(acc["a"], p["ca"], acc["b"], r, p["tag"], longest, of)).otherwise(acc["a"]).alias("a"),
+                F.when(even, acc["b"]).otherwise(_add(acc["b"], p["cb"], acc["a"], r, p["tag"], longest, of)).alias("b"),
             )
 
         return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.struct(p["a"].alias("a"), p["b"].alias("b")), turn, lambda acc: F.concat(acc["a"], acc["b"]))
@@ -207,15 +244,42 @@ def _same(c: str, n: Column) -> Column:
 
 def _class_of_each(s: Column) -> Column:
     """d, l, u or - for each character: digit, small letter, capital, any other."""
-    return F.array_join(F.transform(_chars(s), lambda c: F.when(c.rlike("[0-9]"), "d").when(c.rlike("[a-z]"), "l").when(c.rlike("[A-Z]"), "u").otherwise("-")), "")
+    return F.array_join(F.transform(_chars(s), _class_of), "")
+
+
+def _class_of(c: Column) -> Column:
+    return F.when(c.rlike("[0-9]"), "d").when(c.rlike("[a-z]"), "l").when(c.rlike("[A-Z]"), "u").otherwise("-")
+
+
+def _foreign_class_of(c: Column) -> Column:
+    """As ``_class_of``, with the keys of FOREIGN."""
+    out = F.lit("-")
+    for k, letters in FOREIGN.items():
+        out = F.when(F.position(c, F.lit(letters)) > 0, k).otherwise(out)
+    return F.when(c < "\x80", _class_of(c)).otherwise(out)
+
+
+def _pieces(s: Column, key: Column, name: str, class_of=_class_of, alphabets: dict[str, str] = ALPHABETS) -> Column:
+    """``s`` permuted in pieces of 64 characters, mostly one."""
+    at = F.sequence(F.lit(0), F.floor((F.length(s) - 1) / 64).cast("int"))
+
+    def one(i: Column) -> Column:
+        of = lambda x: feistel(x, F.array_join(F.transform(_chars(x), class_of), ""), F.concat_ws("|", key, F.lit(name), i.cast("string")), alphabets=alphabets)
+        return _with(F.substring(s, i * 64 + 1, F.lit(64)), of)
+
+    return F.array_join(F.transform(at, one), "")
 
 
 def _email(m: Column, key: Column) -> Column:
-    """Keeps the domain. A local part is permuted in pieces of 64 characters, mostly one."""
+    """Keeps the domain."""
     local, domain = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
-    pieces = F.sequence(F.lit(0), F.floor((F.length(local) - 1) / 64).cast("int"))
-    new = F.transform(pieces, lambda i: _with(F.substring(local, i * 64 + 1, F.lit(64)), lambda x: feistel(x, _class_of_each(x), F.concat_ws("|", key, F.lit("email"), i.cast("string")))))
-    return F.concat(F.array_join(new, ""), F.lit("@"), domain)
+    return F.concat(_pieces(local, key, "email", _foreign_class_of, ALPHABETS | FOREIGN), F.lit("@"), domain)
+
+
+def _secret(m: Column, key: Column) -> Column:
+    """Keeps the beginning that tells what it is."""
+    start = F.regexp_extract(m, f"^(?:{'|'.join(SECRETS)})", 0)
+    return F.concat(start, _pieces(F.substring(m, F.length(start) + 1, F.length(m)), F.concat_ws("|", key, start), "secret"))
 
 
 def _token(m: Column, key: Column) -> Column:
@@ -285,6 +349,22 @@ def _ip(m: Column, key: Column) -> Column:
     return F.when((o[0] < 256) & (o[1] < 256) & (o[2] < 256) & (o[3] < 256), new)
 
 
+def _ipv6(m: Column, key: Column) -> Column:
+    """Keeps the first group and permutes the other 112 bits, whatever way they are written; the
+    pseudonym has all eight groups."""
+    gap = F.position(F.lit("::"), m) > 0
+    groups = lambda s: F.transform(F.filter(F.split(s, ":"), lambda g: g != ""), lambda g: F.lpad(F.lower(g), 4, "0"))
+    left, right = groups(F.substring_index(m, "::", 1)), F.when(gap, groups(F.substring_index(m, "::", -1))).otherwise(F.array().cast("array<string>"))
+    count = F.size(left) + F.size(right)
+    bits = F.array_join(F.concat(left, F.array_repeat(F.lit("0000"), F.greatest(F.lit(0), 8 - count)), right), "")
+
+    def written(x: Column) -> Column:
+        new = F.concat(F.substring(x, 1, 4), feistel(F.substring(x, 5, 28), _same("x", F.lit(28)), F.concat(key, F.lit("ipv6")), 14))
+        return _with(new, lambda y: F.concat_ws(":", *[F.substring(y, 4 * i + 1, 4) for i in range(8)]))
+
+    return F.when(F.when(gap, count < 8).otherwise(count == 8), _with(bits, written))
+
+
 #: Valid parts of social security numbers: areas 001 to 899 but 666, groups 01 to 99, serials 0001 to 9999.
 _AREAS, _GROUPS, _SERIALS = 898, 99, 9999
 
@@ -303,6 +383,13 @@ def _ssn(m: Column, key: Column) -> Column:
     return F.when(valid, _with(new, written))
 
 
+def _bare_ssn(m: Column, key: Column) -> Column:
+    """The pseudonym of the same number with hyphens, without them."""
+    words, d = F.substring(m, F.lit(1), F.length(m) - 9), F.substring(m, F.length(m) - 8, F.lit(9))
+    hyphened = F.concat_ws("-", F.substring(d, 1, 3), F.substring(d, 4, 2), F.substring(d, 6, 4))
+    return F.concat(words, F.replace(_with(hyphened, lambda x: _ssn(x, key)), F.lit("-"), F.lit("")))
+
+
 def _card_digits(d: Column, key: Column) -> Column:
     """Keeps the first digit, and makes the check digit anew."""
     n = F.length(d)
@@ -359,7 +446,7 @@ def _phone_intl(m: Column, key: Column) -> Column:
     return F.when(F.length(d).between(8, 15), _refill(m, "[0-9]", new))
 
 
-_MAKE = {"email": _email, "token": _token, "access_key": _access_key, "iban": _iban, "date": _date, "written_date": _written_date, "ip": _ip, "ssn": _ssn, "card": _card, "phone": _phone, "phone_intl": _phone_intl}
+_MAKE = {"email": _email, "secret": _secret, "token": _token, "access_key": _access_key, "iban": _iban, "ipv6": _ipv6, "date": _date, "written_date": _written_date, "ip": _ip, "ssn": _ssn, "bare_ssn": _bare_ssn, "card": _card, "phone": _phone, "phone_intl": _phone_intl}
 
 
 def pseudonym(match: Column, key: Column) -> Column:
@@ -372,15 +459,16 @@ def pseudonymise(docs: DataFrame, key: str, *, text_col: str = "text", count_col
     """``docs`` with the personal data in ``text_col`` replaced; other columns and all rows stay.
 
     Validated are Luhn sums of card numbers, lengths and remainders of account numbers, octets, calendar
-    dates from 1900 to 2099 and the area rules of social security numbers; what fails stays as it is,
-    and a valid value beside it is found.
-    Null text stays null, text without digits or @ stays as it is, and equal texts get equal
+    dates from 1900 to 2099, the area rules of social security numbers and the groups of IPv6 addresses; what
+    fails stays as it is, and a valid value beside it is found. Nine digits are a social security number
+    only after words that say so, and dotted numbers after "version" and the like are no addresses.
+    Null text stays null, text without digits, @ or a secret's beginning stays as it is, and equal texts get equal
     results. ``count_col``, if given, gets the number of values replaced (0 for null text).
     """
     k = F.sha2(F.lit(key), 256)
     text = F.col(text_col)
     (values,) = fresh(docs, "pii_values")
-    found = F.when(text.rlike("[0-9]|@"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
+    found = F.when(text.rlike(_NEEDED), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
     pairs = F.transform(found, lambda m: F.struct(m.alias("old"), pseudonym(m, k).alias("new")))
     v = F.col(values)
     between = F.split(text, ANY, -1)
