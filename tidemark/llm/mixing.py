@@ -51,7 +51,8 @@ def fit_domains(docs: DataFrame, labels: DataFrame, *, per_class: int = 1500) ->
     scratch = Scratch(docs.sparkSession)
     own = scratch.put(labels.join(docs.select("doc_id"), "doc_id", "left_semi").select("doc_id", domain.alias("domain")), "own-labels")
     ids = labelled_sample(own, F.col("domain"), per_class, [0, 1, 2])
-    sample = docs.join(F.broadcast(ids), docs["doc_id"] == ids["id"]).select(F.col("text"), "y", "weight").persist()
+    texts = docs.select("doc_id", "text")  # other columns may have the names of the sample's
+    sample = texts.join(F.broadcast(ids), texts["doc_id"] == ids["id"]).select("text", "y", "weight").persist()
     try:
         vocabulary = Vocabulary(mine(sample, [0, 1, 2], max_features=2000))
         rows = sample_hits(sample, vocabulary).select("hits", F.col("y").alias("label"), "weight").persist()

@@ -112,7 +112,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, per_class: int = 2000) -
     Without labelled documents of both classes the model scores by the fixed lexicon alone.
     """
     ids = labelled_sample(labels, F.col("toxic").cast("int"), per_class, [0, 1])
-    sample = docs.join(F.broadcast(ids), docs["doc_id"] == ids["id"]).select(F.col("text"), "y", "weight").persist()
+    texts = docs.select("doc_id", "text")  # other columns may have the names of the sample's
+    sample = texts.join(F.broadcast(ids), texts["doc_id"] == ids["id"]).select("text", "y", "weight").persist()
     try:
         mined = mine(sample, [0, 1])
         features = list(dict.fromkeys(mined + ["w:" + w for w in sorted(INSULTS)]))
