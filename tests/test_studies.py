@@ -1,6 +1,7 @@
 """Quadratic programs, pair sums and what rests on them, against dense matrices."""
 
 import itertools
+import re
 
 import numpy as np
 import pandas as pd
@@ -311,3 +312,21 @@ def test_traded_is_lagged_returns_and_turnover(spark):
         want = {x["ts"]: (x["pnl"], x["turnover"]) for x in portfolio.portfolio_returns(held, r).join(portfolio.turnover(held), "ts").collect()}
         got = {x["ts"]: (x["pnl"], x["turnover"]) for x in portfolio.traded(w, r, bars).collect()}
         assert got.keys() == want.keys() and all(np.allclose(got[t], want[t], atol=1e-12) for t in want)
+
+
+def test_no_frame_is_passed_over_for_each_row(spark):
+    """Minima from the last row down and values to come grow along the reverse order."""
+    from tidemark.operators import bars, inference, signals
+
+    p = spark.createDataFrame([(i, "g", (i * 7 % 50) / 50, i % 3 or None) for i in range(50)], "id int, g string, p double, z int")
+    fills = p.withColumn("f", bars.fill_both_ways(F.col("z"), "g", "id"))
+    assert [r["f"] for r in fills.orderBy("id").limit(4).collect()] == [1, 1, 2, 2]
+    for df in (inference.adjusted(p), inference.adjusted(p, by=("g",)), fills, signals.sign_of(p, "z", "id")):
+        assert not re.search(r"(currentrow\$\(\)|\d), unboundedfollowing", df._jdf.queryExecution().optimizedPlan().toString().lower())
+    want = {}
+    for r in sorted(range(1, 51), reverse=True):
+        q = sorted((row["p"], row["id"]) for row in p.collect())[r - 1]
+        want[q[1]] = min(1.0, q[0] * 50 / r, want.get("last", 1.0))
+        want["last"] = want[q[1]]
+    got = {r["id"]: r["p_adj"] for r in inference.adjusted(p, by=("g",)).collect()}
+    assert all(abs(got[i] - want[i]) < 1e-12 for i in range(50))

@@ -47,12 +47,14 @@ def running(df: DataFrame, order: list[Column | str], least: dict[str, tuple[Col
     """
     placed, at = _placed(_dealt(df, order))
     rows = placed.withColumns({position: at, total: F.col("_order_all")}).withColumns({f"_x_{n}": x for n, (x, _) in least.items()})
-    up, down = (Window.unboundedPreceding, 0), (0, Window.unboundedFollowing)
+    so_far = (Window.unboundedPreceding, 0)
     parts = rows.groupBy(F.col("_order_part").alias("_order_of")).agg(*[(F.max if kind == "max" else F.min)(f"_x_{n}").alias(f"_e_{n}") for n, (_, kind) in least.items()])
-    outside = {n: (F.max(f"_e_{n}").over(Window.orderBy("_order_of").rowsBetween(Window.unboundedPreceding, -1)) if kind == "max" else F.min(f"_e_{n}").over(Window.orderBy("_order_of").rowsBetween(1, Window.unboundedFollowing))) for n, (_, kind) in least.items()}
+    outside = {n: (F.max(f"_e_{n}").over(Window.orderBy("_order_of").rowsBetween(Window.unboundedPreceding, -1)) if kind == "max" else F.min(f"_e_{n}").over(Window.orderBy(F.desc("_order_of")).rowsBetween(Window.unboundedPreceding, -1))) for n, (_, kind) in least.items()}
     parts = parts.select("_order_of", *[x.alias(f"_o_{n}") for n, x in outside.items()])
     joined = rows.join(parts, F.col("_order_part") == F.col("_order_of"))
-    own = Window.partitionBy("_order_part").orderBy("_order_at")
-    inside = {n: (F.max(f"_x_{n}").over(own.rowsBetween(*up)) if kind == "max" else F.min(f"_x_{n}").over(own.rowsBetween(*down))) for n, (_, kind) in least.items()}
+    # a minimum from the last row down runs along the reverse order: Spark grows a frame that starts at the first row, but
+    # passes over all rows that follow for each row of one that ends at the last
+    own = Window.partitionBy("_order_part")
+    inside = {n: (F.max(f"_x_{n}").over(own.orderBy("_order_at").rowsBetween(*so_far)) if kind == "max" else F.min(f"_x_{n}").over(own.orderBy(F.desc("_order_at")).rowsBetween(*so_far))) for n, (_, kind) in least.items()}
     values = {n: (F.greatest if kind == "max" else F.least)(inside[n], F.col(f"_o_{n}")) for n, (_, kind) in least.items()}
     return joined.withColumns(values).select(*df.columns, position, total, *least)

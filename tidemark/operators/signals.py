@@ -38,7 +38,7 @@ def low_vol_tilt(panel: DataFrame, freq: str, factors: list[str] = (), ret: str
 def sign_of(series: DataFrame, value: str = "z", ts: str = "ts", causal: bool = False) -> DataFrame:
     """ts, sign: of the last known value, before the first one of the first to come (unless ``causal``); 0 is +1."""
     before = F.last(value, True).over(Window.orderBy(ts).rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(value, True).over(Window.orderBy(ts).rowsBetween(0, Window.unboundedFollowing))
+    after = F.last(value, True).over(Window.orderBy(F.desc(ts)).rowsBetween(Window.unboundedPreceding, 0))  # see order.running
     z = before if causal else F.coalesce(before, after)
     return series.select(ts, F.when(z >= 0, 1.0).when(z < 0, -1.0).alias("sign"))
 
