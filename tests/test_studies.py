@@ -330,3 +330,23 @@ def test_no_frame_is_passed_over_for_each_row(spark):
         want["last"] = want[q[1]]
     got = {r["id"]: r["p_adj"] for r in inference.adjusted(p, by=("g",)).collect()}
     assert all(abs(got[i] - want[i]) < 1e-12 for i in range(50))
+
+
+def test_arrival_orders_a_batch_whose_ticks_come_in_any_order(spark, tmp_path):
+    """More ticks of one bar than Python takes at once, from the last to arrive to the first, in a folder of files."""
+    from tidemark.plans.study_queries import arrival_bars
+    from tidemark.session import ready
+
+    e = spark.range(3001).selectExpr("id as event_id", "timestamp'2024-01-01' + make_interval(0, 0, 0, 0, if(id = 3000, 5, 0), 0, id % 3000) as ts", "1L as user_id", "'a' as event_type", "double(1 + id) as value", "'{}' as props")
+    e.orderBy(F.desc("event_id")).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = arrival_bars(ready(spark), str(tmp_path)).collect()
+    assert [(r["open"], r["high"], r["low"], r["close"], r["n_ticks"]) for r in got] == [(1.0, 3000.0, 1.0, 3000.0, 3000)]
+
+
+def test_new_pairs_are_bounded_beside_churn(spark):
+    from tidemark.operators import universe
+
+    ranks = lambda names: spark.createDataFrame([(n, i) for i, n in enumerate(names)], "pair_address string, rank int")
+    prev, new = ranks([f"p{i}" for i in range(20)]), ranks(["p3", *[f"n{i}" for i in range(20)]])
+    got = lambda **limits: [tuple(r) for r in universe.churn_controlled(prev, new, 100, 0.25, **limits).collect()]
+    assert len(got()) == 6 and got(most_new=2) == [("p3", 3, True), ("n0", 1, False), ("n1", 2, False)]

@@ -77,19 +77,27 @@ def arrival_bars(ticks: DataFrame, seconds: int = 3600, watermark: str = "10 min
 
         def handleInputRows(self, key, rows, timerValues):
             behind = timerValues.getCurrentWatermarkInMs()
+            fresh = {}  # the bars of this batch, whose ticks come in parts that are in no order
             for part in rows:
-                part = part.sort_values("arrival", kind="stable")
                 part["start"] = part["ms"] // width * width
-                for start, g in part[part["start"] + width > behind].groupby("start"):
-                    at = (int(start),)
-                    price, size = g["price"], float(g["size"].sum())
-                    if self.bars.containsKey(at):
-                        o, h, low, _, v, n = self.bars.getValue(at)
-                        new = (o, max(h, price.max()), min(low, price.min()), price.iloc[-1], v + size, n + len(g))
-                    else:
-                        new = (price.iloc[0], price.max(), price.min(), price.iloc[-1], size, len(g))
-                        self.handle.registerTimer(int(start) + width)
-                    self.bars.updateValue(at, (*map(float, new[:5]), int(new[5])))
+                part = part[part["start"] + width > behind].sort_values("arrival", kind="stable")
+                g = part.groupby("start")
+                sums = g.agg(first=("arrival", "first"), open=("price", "first"), high=("price", "max"), low=("price", "min"), last=("arrival", "last"), close=("price", "last"), volume=("size", "sum"), n=("price", "size"))
+                for start, *new in sums.itertuples():
+                    old = fresh.get(start)
+                    if old is not None:
+                        opened, closed = (old if old[0] <= new[0] else new), (new if new[4] >= old[4] else old)
+                        new = [*opened[:2], max(old[2], new[2]), min(old[3], new[3]), *closed[4:6], old[6] + new[6], old[7] + new[7]]
+                    fresh[start] = new
+            for start, (_, first, high, low, _, last, size, count) in fresh.items():
+                at = (int(start),)
+                if self.bars.containsKey(at):
+                    o, h, lowest, _, v, n = self.bars.getValue(at)
+                    new = (o, max(h, high), min(lowest, low), last, v + size, n + count)
+                else:
+                    new = (first, high, low, last, size, count)
+                    self.handle.registerTimer(int(start) + width)
+                self.bars.updateValue(at, (*map(float, new[:5]), int(new[5])))
             yield pd.DataFrame()
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
