@@ -350,3 +350,11 @@ def test_new_pairs_are_bounded_beside_churn(spark):
     prev, new = ranks([f"p{i}" for i in range(20)]), ranks(["p3", *[f"n{i}" for i in range(20)]])
     got = lambda **limits: [tuple(r) for r in universe.churn_controlled(prev, new, 100, 0.25, **limits).collect()]
     assert len(got()) == 6 and got(most_new=2) == [("p3", 3, True), ("n0", 1, False), ("n1", 2, False)]
+
+
+def test_a_series_that_does_not_move_has_volatility_zero(spark):
+    from tidemark.operators import backtest
+
+    e = spark.range(4).selectExpr("timestamp'2024-01-01' + make_interval(0, 0, 0, int(id)) as ts", "2.0D as equity")
+    row = backtest.performance(e, "1D").first()
+    assert row["vol_annual"] == 0.0 and row["sharpe"] is None and row["max_drawdown"] == 0.0

@@ -155,7 +155,8 @@ def breakout_strategy(bars: DataFrame, z_entry: float = 2.0, stop: float = 0.05,
 
 def performance(equity: DataFrame, freq: str, *by: str, value: str = "equity", ts: str = "ts") -> DataFrame:
     """Per series: total return, CAGR by calendar years, volatility, Sharpe, Sortino (deviation of losing
-    returns), absolute drawdown of the compounded returns, win rate, mean win and loss, rows."""
+    returns), absolute drawdown of the compounded returns, win rate, mean win and loss, rows. A series that does not
+    move has volatility 0 and no Sharpe."""
     year = scalars.periods_per_year(freq)
     w = Window.partitionBy(*by).orderBy(ts)
     back = w.rowsBetween(Window.unboundedPreceding, 0)
@@ -169,7 +170,7 @@ def performance(equity: DataFrame, freq: str, *by: str, value: str = "equity", t
     return e.groupBy(*by).agg(
         total.alias("total_return"),
         F.when(years > 0, F.pow(1 + total, F.try_divide(F.lit(1.0), years)) - 1).alias("cagr"),
-        F.when(sd > 0, sd * year**0.5).alias("vol_annual"),
+        (sd * year**0.5).alias("vol_annual"),
         F.when(sd > 0, F.try_divide(F.avg(x), sd) * year**0.5).alias("sharpe"),
         F.when(down > 0, F.try_divide(F.avg(x), down) * year**0.5).alias("sortino"),
         F.max("_d").alias("max_drawdown"),
