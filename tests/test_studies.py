@@ -358,3 +358,21 @@ def test_a_series_that_does_not_move_has_volatility_zero(spark):
     e = spark.range(4).selectExpr("timestamp'2024-01-01' + make_interval(0, 0, 0, int(id)) as ts", "2.0D as equity")
     row = backtest.performance(e, "1D").first()
     assert row["vol_annual"] == 0.0 and row["sharpe"] is None and row["max_drawdown"] == 0.0
+
+
+def test_correlation_means_are_those_of_all_pairs(spark, monkeypatch):
+    from tidemark.operators.returns import correlation_matrix
+
+    monkeypatch.setattr(gram, "SIDE", 4)
+    rng = np.random.default_rng(5)
+    rows = [(f"a{i:02}", t, float(rng.normal())) for i in range(23) for t in range(12) if rng.random() < 0.7]
+    p = spark.createDataFrame(rows, "asset string, t int, log_return double").selectExpr("asset", "timestamp'2024-01-01' + make_interval(0, 0, 0, t * 200) as ts", "log_return")
+    want = correlation_matrix(p).groupBy("a").agg(F.count(F.lit(1)).alias("n_pairs"), F.sum("n").alias("n_times"), F.avg(F.when(F.col("n") >= 5, F.col("corr"))).alias("m"))
+    want = {r["a"]: r for r in want.collect()}
+    got = gram.correlation_means(p, tiles=3).collect()
+    assert len(got) == len(want) == 23
+    for r in got:
+        w = want[r["a"]]
+        assert (r["n_pairs"], r["n_times"]) == (w["n_pairs"], w["n_times"]) and (r["mean_corr"] is None) == (w["m"] is None) and abs((r["mean_corr"] or 0) - (w["m"] or 0)) < 1e-12
+    # no pair leaves a task: one row for each asset and group
+    assert "n_corr" in gram.correlation_means(p, tiles=3)._jdf.queryExecution().optimizedPlan().toString()

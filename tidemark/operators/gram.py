@@ -63,6 +63,65 @@ def pair_sums(panel: DataFrame, value: str = "log_return", weight: str | None =
     return parts.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in SUMS])
 
 
+#: Assets of a tile and of a block within it, where pairs are summed up in the task.
+TILE, SIDE = 6_000, 500
+
+
+def correlation_means(panel: DataFrame, value: str = "log_return", asset: str = "asset", ts: str = "ts", least: int = 5, tiles: int | None = None) -> DataFrame:
+    """a, n_pairs, n_times, mean_corr: for each asset the pairs a <= b with common times, their common times together and
+    their mean correlation, over pairs of ``least`` common times and more.
+
+    All pairs are computed, from all times, but none leaves its task: a group holds the series of two tiles of assets,
+    goes over them in blocks and hands on one row for each asset. What is shuffled grows with rows times tiles; a task holds two
+    tiles' rows and the matrices of one block. Tiles are ``TILE`` assets, or smaller where series are long; acts at once to count.
+    """
+    seen = centred(panel.where(F.col(asset).isNotNull()), value, asset)
+    series = seen.groupBy(F.col(asset).alias("asset")).agg(F.collect_list(F.struct(F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(value).cast("double").alias("x"))).alias("_s"))
+    if tiles is None:
+        assets, rows = series.agg(F.count(F.lit(1)), F.sum(F.size("_s"))).first()
+        tiles = max(4, -(-assets // TILE), -(-(rows or 0) // 5_000_000))
+    dealt = series.select("asset", F.col("_s.t").alias("t"), F.col("_s.x").alias("x"), F.pmod(F.xxhash64("asset"), F.lit(tiles)).cast("int").alias("tile"))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))).select("asset", "t", "x", F.least("tile", "o").alias("i"), F.greatest("tile", "o").alias("j"), (F.col("tile") > F.col("o")).alias("second"))
+    kind = dict(dealt.dtypes)["asset"]
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("asset")
+        times = np.unique(np.concatenate(group["t"].to_list()))
+        own = group["i"].iloc[0] == group["j"].iloc[0]
+        sides = [group] if own else [group[~group["second"]], group[group["second"]]]
+        names = [g["asset"].to_numpy() for g in sides]
+        totals = [np.zeros((4, len(n))) for n in names]
+
+        def matrix(g: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+            x, m = np.zeros((len(g), len(times))), np.zeros((len(g), len(times)))
+            at, row = np.searchsorted(times, np.concatenate(g["t"].to_list())), np.repeat(np.arange(len(g)), g["t"].map(len))
+            x[row, at], m[row, at] = np.concatenate(g["x"].to_list()), 1.0
+            return x, m
+
+        for p in range(0, len(sides[0]), SIDE):
+            x, mx = matrix(sides[0].iloc[p : p + SIDE])
+            for q in range(p if own else 0, len(sides[-1]), SIDE):
+                y, my = matrix(sides[-1].iloc[q : q + SIDE])
+                n, sx, sy, sxx, syy = mx @ my.T, x @ my.T, mx @ y.T, (x * x) @ my.T, mx @ (y * y).T
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    c = (x @ y.T - sx * sy / n) / (n - 1)
+                    spread = np.sqrt(np.maximum((sxx - sx * sx / n) / (n - 1), 0.0)) * np.sqrt(np.maximum((syy - sy * sy / n) / (n - 1), 0.0))
+                    corr = c / spread
+                ok = (n >= max(least, 2)) & (spread > 1e-15)
+                corr[~ok] = 0.0
+                first = names[0][p : p + SIDE]
+                before = np.searchsorted(names[-1][q : q + SIDE], first, side="left")[:, None] <= np.arange(len(y))[None, :]
+                for k, v in enumerate((n > 0, n, corr, ok)):
+                    totals[0][k, p : p + len(x)] += np.where(before, v, 0.0).sum(axis=1)
+                    if not own:  # the smaller name stands first
+                        totals[1][k, q : q + len(y)] += np.where(before, 0.0, v).sum(axis=0)
+        return pd.concat([pd.DataFrame({"a": n, "n_pairs": t[0], "n_times": t[1], "total": t[2], "n_corr": t[3]}) for n, t in zip(names, totals, strict=True)])
+
+    parts = dealt.groupBy("i", "j").applyInPandas(run, f"a {kind}, n_pairs double, n_times double, total double, n_corr double")
+    out = parts.groupBy("a").agg(*[F.sum(c).alias(c) for c in ("n_pairs", "n_times", "total", "n_corr")]).where("n_pairs > 0")
+    return out.select("a", F.col("n_pairs").cast("long").alias("n_pairs"), F.col("n_times").cast("long").alias("n_times"), F.try_divide("total", "n_corr").alias("mean_corr"))
+
+
 def mirrored(pairs: DataFrame, *values: str) -> DataFrame:
     """Each pair a <= b, and each pair of different assets the other way round too."""
     here = F.struct(F.col("a").alias("a"), F.col("b").alias("b"), *values)
