@@ -376,3 +376,14 @@ def test_correlation_means_are_those_of_all_pairs(spark, monkeypatch):
         assert (r["n_pairs"], r["n_times"]) == (w["n_pairs"], w["n_times"]) and (r["mean_corr"] is None) == (w["m"] is None) and abs((r["mean_corr"] or 0) - (w["m"] or 0)) < 1e-12
     # no pair leaves a task: one row for each asset and group
     assert "n_corr" in gram.correlation_means(p, tiles=3)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_evidence_makes_few_files(spark, tmp_path, monkeypatch):
+    from tidemark.plans import study_queries
+
+    monkeypatch.setattr(study_queries, "workspace", lambda spark, name: str(tmp_path / name))
+    (tmp_path / "sf").mkdir()
+    spark.range(1, 61).selectExpr("id as s_suppkey", "double(id) as s_acctbal").write.parquet(str(tmp_path / "sf" / "supplier.parquet"))
+    rows = study_queries.resolved_evidence(spark, str(tmp_path / "sf")).collect()
+    assert len(rows) == 60 + 15 and sum(r["found"] for r in rows) == 32 + 15
+    assert len(list((tmp_path / "evidence").rglob("part-*"))) <= 10  # not one for each supplier

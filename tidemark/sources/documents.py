@@ -27,8 +27,14 @@ def documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.createDataFrame([], T.StructType([T.StructField("path", T.StringType()), T.StructField("document", T.VariantType()), T.StructField("corrupt", T.StringType())]))
-    parsed = F.try_parse_json("value")
-    return text.select(F.col("_metadata.file_path").alias("path"), parsed.alias("document"), F.when(parsed.isNull(), F.col("value")).alias("corrupt"))
+    return parsed(text.select(F.col("_metadata.file_path").alias("path"), "value"))
+
+
+def parsed(texts: DataFrame) -> DataFrame:
+    """path, document, corrupt of texts (path, value) that are stored many in a file, as small documents should be: each file
+    of its own costs a folder, a rename by the driver and a task's opening."""
+    document = F.try_parse_json("value")
+    return texts.select("path", document.alias("document"), F.when(document.isNull(), F.col("value")).alias("corrupt"))
 
 
 def field(document: Column | str, path: str, kind: str) -> Column:
