@@ -387,3 +387,12 @@ def test_evidence_makes_few_files(spark, tmp_path, monkeypatch):
     rows = study_queries.resolved_evidence(spark, str(tmp_path / "sf")).collect()
     assert len(rows) == 60 + 15 and sum(r["found"] for r in rows) == 32 + 15
     assert len(list((tmp_path / "evidence").rglob("part-*"))) <= 10  # not one for each supplier
+
+
+def test_programs_of_many_assets_need_few_steps():
+    rng = np.random.default_rng(8)
+    s, v, e = rng.normal(size=(3, 1500)), rng.uniform(0.05, 3, size=(3, 1500)), rng.normal(1, 0.5, size=(3, 1500, 1))
+    there = np.arange(1500)[None, :] < np.array([[1500], [900], [7]])
+    for limits in ({"gross": 0.5}, {"gross": 2.0, "net": 0.1}, {"gross": 1.0, "net": 0.3, "long_only": True}):
+        w, kkt = optimize.solve(*[np.where(there, a, 0.0) for a in (s, v)], np.where(there[:, :, None], e, 0.0), there, rounds=1, **limits)
+        assert kkt.max() < 1e-9 and np.abs(w.sum(1) - limits.get("net", 0.0)).max() < 1e-9 and np.abs(w).sum(1).max() < limits["gross"] + 1e-9
