@@ -118,6 +118,27 @@ def test_a_cache_forgets_by_bytes():
     assert c.held < 5000 and c.ids("word0 word199").tolist() == c._whole("word0 word199")
 
 
+def test_the_tokenizer_is_asked_for_words_and_signs_alone(monkeypatch):
+    c = packing.WordCache(packing.word_cache(TOKENIZER).tokenizer)
+    assert c.split and c.direct and not c.whole
+    c.ids("alpha beta 0 1 2 3 4 5 6 7 8 9")
+    asked = []
+    for name in ("_word", "_whole"):
+        monkeypatch.setattr(c, name, lambda chunk, real=getattr(c, name): (asked.append(chunk), real(chunk))[1])
+    text = "alpha!! (beta) alpha, 77 beta-alpha 7.7, (716)555-8176 beta.. x9@beta.alpha"
+    got = c.ids(text).tolist()
+    assert not any(ch.isalnum() for a in asked for ch in a)
+    assert got == packing.word_cache(TOKENIZER)._whole(text)
+
+
+def test_a_cache_keeps_what_it_meets_of_late():
+    c = packing.WordCache(packing.word_cache(TOKENIZER).tokenizer, limit=8000)
+    for i in range(300):
+        c.ids(f"often {chr(97 + i % 26) * (1 + i // 26)}")
+    size = lambda d: sum(len(k) + len(v) + 120 for k, v in d.items())
+    assert ("often" in c or "often" in c.before) and size(c) + size(c.before) < 8000 and len(c) < 60
+
+
 def test_pieces_cover_every_id_once(spark, docs):
     src = docs.select("doc_id", "text").union(spark.createDataFrame([(9001, None), (9002, "long word list. " * 3000), (None, "no id")], "doc_id long, text string"))
     p = packing.pack(src.repartition(3), TOKENIZER, capacity=256).toPandas()

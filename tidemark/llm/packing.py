@@ -8,8 +8,8 @@ nearly full, else it is cut at the largest slot that it fills.
 
 from __future__ import annotations
 
-import itertools
 import re
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -23,10 +23,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import table
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-_BEFORE_END = re.compile(r"(?<=[^\W\d_])[.,]+(?=\s|$)")
-_UNUSUAL = re.compile("[\x1c-\x1fΣ\u0130]|<\\|")
+_PIECES = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
+_UNUSUAL = ("\x1c", "\x1d", "\x1e", "\x1f", "Σ", "\u0130", "<|")
 #: Texts by which a cache finds out whether a tokenizer works chunk by chunk.
-_PROBES = ("Hello, World. It's 42!", "a.b c.. d,,", "école ÉCOLE straße", "tab\tand\nline", "x-y_z 3.14 (ok)", "你好 world", "ﬁne ½ ²", "don't  stop...", "e\u0301 \u200b q")
+_PROBES = ("Hello, World. It's 42!", "a.b c.. d,,", "école ÉCOLE straße", "tab\tand\nline", "x-y_z 3.14 (ok)", "你好 world", "ﬁne ½ ²", "don't  stop...", "e\u0301 \u200b q", "12345 ab12cd3 a1.5b (716)555-8176 x!!y?.. a_b$c@d.ef, été., straße...")
 
 
 def byte_letters() -> dict[int, str]:
@@ -40,32 +40,61 @@ class WordCache(dict):
     """Ids of white-space separated chunks as little-endian bytes; asks the tokenizer once for each.
 
     A chunk of letters alone in small, composed form passes the tokenizer's normalizer and splitter
-    unchanged, so its model is asked directly, if it gives the same ids for a few probes. A tokenizer
-    that gives other ids for chunks than for whole probes encodes every text whole. ``limit`` bounds
-    the bytes of the chunks and their ids.
+    unchanged, so its model is asked directly, if it gives the same ids for a few probes. A chunk of words,
+    digits and signs has the ids of these pieces, one after the other; it is kept itself only if its first
+    piece was known, so that a rare word takes one place. A tokenizer for which this fails on a probe gets
+    chunks whole, and one that gives other ids for chunks than for whole probes encodes every text whole.
+    ``limit`` bounds the bytes of the chunks and their ids: half for those met of late, half for those before.
     """
 
     def __init__(self, tokenizer, limit: int = 64 << 20):
         super().__init__()
-        self.tokenizer, self.limit, self.letters, self.held = tokenizer, limit, byte_letters(), 0
-        self.direct, self.whole = False, False
-        self.whole = any(self.ids(p).tolist() != self._whole(p) for p in _PROBES)
+        self.tokenizer, self.limit, self.letters, self.before, self.held = tokenizer, limit, byte_letters(), {}, 0
+        self.direct, self.whole, self.split = False, False, True
+        self.split = self._probed()
+        if not self.split:
+            self.clear()
+            self.before, self.held = {}, 0
+            self.whole = not self._probed()
         self.direct = not self.whole and all(self._whole(w) == self._word(w) for w in ("a", "thehouse", "écoleß", "straße", "ñandú", "слово", "語"))
 
+    def _probed(self) -> bool:
+        return all(self.ids(p).tolist() == self._whole(p) for p in _PROBES)
+
     def _whole(self, chunk: str) -> list[int]:
         return self.tokenizer.encode(chunk, add_special_tokens=False).ids
 
     def _word(self, chunk: str) -> list[int]:
-        return [t.id for t in self.tokenizer.model.tokenize(chunk.encode().decode("latin-1").translate(self.letters))]
+        seen = chunk if chunk.isascii() else chunk.encode().decode("latin-1").translate(self.letters)
+        return [t.id for t in self.tokenizer.model.tokenize(seen)]
+
+    def _pieces(self, chunk: str) -> list[str]:
+        """Words, digits and runs of signs of a chunk; of one with an apostrophe or beyond ASCII only the full stops
+        and commas after its last letter come off."""
+        first = chunk.rstrip(".,")
+        if first.isalpha():
+            return [first, chunk[len(first) :]]
+        if chunk.isascii() and "'" not in chunk:
+            return _PIECES.findall(chunk)
+        return [first, chunk[len(first) :]] if first != chunk and first[-1:].isalpha() else [chunk]
 
     def __missing__(self, chunk: str) -> bytes:
-        word = self.direct and chunk.isalpha() and unicodedata.is_normalized("NFC", chunk)
-        ids = np.asarray(self._word(chunk) if word else self._whole(chunk), dtype="<u4").tobytes()
+        ids = self.before.get(chunk)
+        if ids is None:
+            alpha = chunk.isalpha()
+            if self.split and not alpha and len(pieces := self._pieces(chunk)) > 1:
+                known = pieces[0] in self or pieces[0] in self.before
+                ids = b"".join([self[p] for p in pieces])
+                if not known:
+                    return ids
+            else:
+                word = alpha and self.direct and (chunk.isascii() or unicodedata.is_normalized("NFC", chunk))
+                found = self._word(chunk) if word else self._whole(chunk)
+                ids = struct.pack(f"<{len(found)}I", *found)
         self.held += len(ids) + len(chunk) + 120  # the last for the two objects and their place
-        if self.held >= self.limit:  # forget the older half, which most rare words are in
-            for old in list(itertools.islice(self, len(self) // 2)):
-                del self[old]
-            self.held = sum(len(k) + len(v) + 120 for k, v in self.items())
+        if self.held >= self.limit // 2:  # forget the chunks that were not met since the last time
+            self.before, self.held = dict(self), 0
+            self.clear()
         self[chunk] = ids
         return ids
 
@@ -75,10 +104,9 @@ class WordCache(dict):
         idea of a space or of lower case differs from the tokenizer's, and texts whose small letters
         compose with marks after them, are encoded whole."""
         low = text.lower()
-        if self.whole or _UNUSUAL.search(text) or not unicodedata.is_normalized("NFC", low):
+        if self.whole or any(c in text for c in _UNUSUAL) or not unicodedata.is_normalized("NFC", low):
             return np.asarray(self._whole(text), dtype="<u4")
-        chunks = _BEFORE_END.sub(r" \g<0>", low).split()
-        return np.frombuffer(b"".join(map(self.__getitem__, chunks)), dtype="<u4")
+        return np.frombuffer(b"".join(map(self.__getitem__, low.split())), dtype="<u4")
 
 
 def cuts(n: int, capacity: int, slack: float, whole: int) -> list[int]:
