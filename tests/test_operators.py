@@ -172,6 +172,52 @@ def test_null_signals_keep_values(spark, panel):
         assert got.agg(F.sum("value")).first()[0] == pytest.approx(s.agg(F.sum("value")).first()[0])
 
 
+def test_null_suite_by_hand_in_one_pass(spark):
+    import hashlib
+
+    rng = np.random.default_rng(8)
+    t0 = datetime(2024, 1, 1)
+    rows = [(t0 + timedelta(days=d), f"a{i}", None if rng.random() < 0.1 else float(rng.integers(0, 5)), None if rng.random() < 0.2 else float(rng.normal())) for d in range(25) for i in range(7) if rng.random() < 0.9]
+    frame = spark.createDataFrame(rows, "ts timestamp, asset string, value double, fwd double")
+    signal, forward = frame.select("ts", "asset", "value"), frame.where("fwd is not null and asset <> 'a6'").select("ts", "asset", "fwd")
+    n_sim = 12
+    out = inference.null_suite(signal, forward, n_sim, 3, 4)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 25
+    got = {r["kind"]: (r["observed_ic"], r["p_value"], r["n_sim"]) for r in out.collect()}
+
+    s = {(t, a): v for t, a, v, _ in rows if v is not None}
+    f = {(t, a): x for t, a, _, x in rows if x is not None and a != "a6"}
+    times, byday = sorted({t for t, _, _, _ in rows}), {}
+    for t, a in s:
+        byday.setdefault(t, []).append(a)
+
+    def mean_ic(sig):
+        ics = []
+        for t in times:
+            names = [a for (u, a) in sig if u == t and (t, a) in f]
+            x, y = (pd.Series([d[t, a] for a in names], dtype=float).rank() for d in (sig, f))
+            if len(names) > 1 and x.std() > 1e-15 and y.std() > 1e-15:
+                ics.append(x.corr(y))
+        return np.mean(ics)
+
+    md5 = lambda text: hashlib.md5(text.encode()).hexdigest()
+    observed, sims = mean_ic(s), {"ranks": [], "permute": [], "blocks": []}
+    for sim in range(n_sim):
+        ranks, permuted = {}, {}
+        for t, names in byday.items():
+            order = sorted(names, key=lambda a: (md5(f"3|{{{t:%Y-%m-%d %H:%M:%S}, {sim}}}|{a}"), a))
+            ranks |= {(t, a): (b + 1) / len(order) for b, a in enumerate(order)}
+            permuted |= {(t, a): s[t, other] for a, other in zip(sorted(names), order, strict=True)}
+        new = sorted(range(len(times)), key=lambda i: (md5(f"{3 + sim}|{i // 4}"), i // 4, i))
+        to = {times[i]: times[j] for j, i in enumerate(new)}
+        for kind, sig in (("ranks", ranks), ("permute", permuted), ("blocks", {(to[t], a): v for (t, a), v in s.items()})):
+            sims[kind].append(mean_ic(sig))
+    for kind, m in sims.items():
+        assert got[kind] == pytest.approx((observed, np.mean(np.array(m) >= observed - 1e-12), n_sim)), kind
+    assert len({round(p, 3) for _, p, _ in got.values()} - {0.0, 1.0}) >= 2  # shares that say something
+
+
 def test_normal_cdf(spark):
     got = [r[0] for r in spark.createDataFrame([(0.0,), (1.96,), (-1.96,)], "z double").select(normal_cdf(F.col("z"))).collect()]
     assert got == pytest.approx([0.5, 0.9750021, 0.0249979], abs=1e-6)
