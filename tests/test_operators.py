@@ -356,6 +356,33 @@ def test_lineage_of_any_depth_and_many_ways(spark):
     assert not out.duplicated(["artifact_id", "ancestor_id"]).any()
 
 
+def test_lineage_of_forests_by_stretches(spark, monkeypatch):
+    def brute(edges):
+        up, want = {}, {}
+        for c, p in edges:
+            up.setdefault(c, set()).add(p)
+        for v in up:
+            level, d = {v}, 0
+            while level:
+                level, d = {p for u in level for p in up.get(u, ()) if (v, p) not in want}, d + 1
+                want |= {(v, p): d for p in level}
+        return want
+
+    rng = np.random.default_rng(4)
+    forest = [(i, int(max(0, i - rng.integers(1, 4)))) for i in range(1, 70)] + [(i, int(rng.integers(60, 65))) for i in range(70, 80)]
+    hanging = [(int(rng.integers(1, 80)), 1000 + int(rng.integers(0, 12))) for _ in range(90)] + [(i, 2000) for i in range(1, 80, 2)]
+    cycle = [(5001, 5000), (5000, 5001), (5002, 5001)]
+    schema = "child_artifact_id long, parent_artifact_id long"
+    for edges, by_stretches in ((forest + hanging, True), (forest + cycle, False)):
+        found = []
+        real = governance._forest
+        monkeypatch.setattr(governance, "_forest", lambda *a, real=real: (found.append(real(*a)), found[-1])[1])
+        got = governance.ancestors(spark, spark.createDataFrame(edges, schema), stretch=4).collect()
+        monkeypatch.setattr(governance, "_forest", real)
+        assert (found[-1] is not None) == by_stretches
+        assert len(got) == len({r[:2] for r in got}) and {(r[0], r[1]): r[2] for r in got} == brute(edges)
+
+
 def test_weights_need_no_grid(spark):
     from tidemark.operators import portfolio
 

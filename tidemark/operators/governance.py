@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import itertools
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -137,16 +139,93 @@ def trace(candidates: DataFrame, reports: DataFrame, events: DataFrame, lineage:
     )
 
 
-def ancestors(spark: SparkSession, edges: DataFrame) -> DataFrame:
+def _forest(spark: SparkSession, own: DataFrame, stretch: int) -> DataFrame | None:
+    """Ancestors where each node has at most one parent with parents; None if there is a cycle.
+
+    Heights cut every path at multiples of ``stretch``. A node has the rest of its own stretch as rows, and the bottom of
+    each whole stretch above it; what a bottom reaches within its stretch is kept once for all nodes below. So what is
+    shuffled grows with nodes times stretch and with nodes times stretches, and pairs are made by the last join alone.
+    Parents without parents hang on the paths; one that hangs on several stretches of a path is taken from the nearest,
+    by lists of what is to be left out beside the stretch.
+    """
+    root, made = workspace(spark, "lineage"), itertools.count()
+    col = F.col
+
+    def put(df: DataFrame) -> DataFrame:
+        path = f"{root}/{next(made)}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    def paths(step: DataFrame, most: int) -> DataFrame:
+        """v, a, d and what else the steps (d = 1) hold, up to ``most`` steps, by doubling."""
+        last = put(step)
+        found, reach = last, 1
+        while reach < most:
+            leap = last.where(col("d") == reach).select(col("v").alias("a"), col("a").alias("_to"))
+            if leap.isEmpty():
+                break
+            last = put(found.join(leap, "a").withColumns({"a": col("_to"), "d": col("d") + reach}).select(*found.columns))
+            found, reach = found.unionByName(last), 2 * reach
+        return found
+
+    own = put(own)
+    nodes = own.select(col("artifact_id").alias("v")).distinct()
+    inner = own.join(nodes.select(col("v").alias("ancestor_id")), "ancestor_id", "left_semi").select(col("artifact_id").alias("v"), col("ancestor_id").alias("p"))
+    outer = own.join(nodes.select(col("v").alias("ancestor_id")), "ancestor_id", "left_anti").select(col("artifact_id").alias("a"), col("ancestor_id").alias("t"))
+    up = put(nodes.join(inner, "v", "left"))
+    at, most, reach = up.select("v", col("p").alias("j"), col("p").isNotNull().cast("int").alias("h")), up.count(), 1
+    while not at.where("j is not null").isEmpty():
+        if reach > most:
+            return None
+        far = at.where("j is not null").join(at.select(col("v").alias("j"), col("j").alias("_j"), col("h").alias("_h")), "j")
+        at, reach = put(at.where("j is null").unionByName(far.select("v", col("_j").alias("j"), (col("h") + col("_h")).alias("h")))), 2 * reach
+    up = put(up.join(at.select("v", (col("h") % stretch).alias("k")), "v"))
+
+    near = paths(up.where("k > 0").select("v", col("p").alias("a"), F.lit(1).alias("d"), "k"), stretch)
+    self_ = lambda df: df.select("v", col("v").alias("a"), F.lit(0).alias("d"))
+    hang = lambda df: df.join(outer, "a").groupBy("v", "t").agg((F.min("d") + 1).alias("d"))
+    within = put(hang(near.select("v", "a", "d").unionByName(self_(up))))
+    result = near.select("v", col("a").alias("t"), "d").unionByName(within)
+
+    tops = near.where("d = k").select("v", "a", "k").unionByName(up.where("k = 0").select("v", col("v").alias("a"), "k"))
+    first = put(tops.join(up.where("p is not null").select(col("v").alias("a"), col("p").alias("b")), "a").select("v", "b", (col("k") + 1).alias("d")))
+    if not first.isEmpty():
+        bottoms = put(first.select(col("b").alias("v")).distinct())
+        chain = paths(first.join(bottoms, "v", "left_semi").select("v", col("b").alias("a"), F.lit(1).alias("d")), most)
+        chain = put(chain.unionByName(self_(bottoms)).select(col("v").alias("b"), col("a").alias("w"), (col("d") * stretch).alias("e")))
+        cover = put(near.select("v", "a", "d").join(bottoms, "v", "left_semi").unionByName(self_(bottoms)))
+        hung = put(hang(cover).select(col("v").alias("w"), "t", col("d").alias("q")))
+        reached = hung.withColumn("hangs", F.lit(True)).unionByName(cover.select(col("v").alias("w"), col("a").alias("t"), col("d").alias("q"), F.lit(False).alias("hangs")))
+        stretches = put(first.join(chain, "b").select("v", "b", "w", (col("d") + col("e")).alias("e")))
+        # what hangs on a nearer stretch: among the whole ones, and on the node's own
+        shared = hung.join(hung.groupBy("t").count().where("count > 1"), "t", "left_semi")
+        nearest = Window.partitionBy("b", "t").orderBy("e")
+        out = chain.join(shared, "w").withColumn("_n", F.row_number().over(nearest)).where("_n > 1").groupBy("b", "w").agg(F.collect_set("t").alias("_x"))
+        own_out = within.select("v", "t").join(hung.select("w", "t"), "t").join(stretches.select("v", "w"), ["v", "w"]).groupBy("v", "w").agg(F.collect_set("t").alias("_y"))
+        parts = 16
+        left = stretches.join(out, ["b", "w"], "left").join(own_out, ["v", "w"], "left").withColumn("_s", F.pmod(F.xxhash64("v"), F.lit(parts)).cast("int"))
+        right = reached.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        gone = lambda c: F.coalesce(F.array_contains(c, col("t")), F.lit(False))
+        pairs = left.join(right, ["w", "_s"]).where(~(col("hangs") & (gone("_x") | gone("_y"))))
+        result = result.unionByName(pairs.select("v", "t", (col("e") + col("q")).alias("d")))
+    return result.select(col("v").alias("artifact_id"), col("t").alias("ancestor_id"), col("d").cast("int").alias("depth"))
+
+
+def ancestors(spark: SparkSession, edges: DataFrame, stretch: int = 256) -> DataFrame:
     """artifact_id, ancestor_id, depth over all edges: each ancestor once, at its least depth.
 
-    Paths double: a round takes what is exactly 2^k edges up behind all that is nearer and gives all ancestors up to
+    Where no node has two parents that have parents themselves, and nothing is its own ancestor, those parents form a
+    forest, whose paths are put together from stretches (``_forest``). Otherwise paths double: a round takes what is exactly 2^k edges up behind all that is nearer and gives all ancestors up to
     2^(k+1) edges, as rows that are added to those found before; so rounds are as many as the depth has binary
     digits. A pair is found at its least depth first, many ways to one ancestor are one pair, and cycles end.
     """
-    root, pair = workspace(spark, "lineage"), ["artifact_id", "ancestor_id"]
+    pair = ["artifact_id", "ancestor_id"]
     own = edges.select(F.col("child_artifact_id").alias("artifact_id"), F.col("parent_artifact_id").alias("ancestor_id")).where("artifact_id is not null and ancestor_id is not null").distinct()
-    schema = own.withColumn("depth", F.lit(1)).schema
+    if own.join(own.select(F.col("artifact_id").alias("ancestor_id")).distinct(), "ancestor_id", "left_semi").groupBy("artifact_id").count().where("count > 1").isEmpty():
+        found = _forest(spark, own, stretch)
+        if found is not None:
+            return found
+    root, schema = workspace(spark, "lineage"), own.withColumn("depth", F.lit(1)).schema
     own.withColumn("depth", F.lit(1)).write.parquet(f"{root}/0")
     written, reach = [f"{root}/0"], 1
     while True:
