@@ -383,6 +383,29 @@ def test_lineage_of_forests_by_stretches(spark, monkeypatch):
         assert len(got) == len({r[:2] for r in got}) and {(r[0], r[1]): r[2] for r in got} == brute(edges)
 
 
+def test_lineage_of_forests_by_lists(spark, tmp_path):
+    chain = spark.range(3000).selectExpr("'s' || id as child_artifact_id", "'s' || (id - if(id % 7 > 0, id % 7, 0) - 1) as parent_artifact_id").unionByName(spark.range(3000).selectExpr("'s' || id", "'t' || (id div 3)").toDF("child_artifact_id", "parent_artifact_id"))
+    governance.ancestors(spark, chain, stretch=16).write.parquet(str(tmp_path / "pairs"))
+    pairs, size = spark.read.parquet(str(tmp_path / "pairs")), sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet"))
+    n = pairs.count()
+    assert n == pairs.select("artifact_id", "ancestor_id").distinct().count() > 1_200_000 and size < n  # under a byte a pair
+
+    # one node has most of the leaves, another most of the parents without parents: their lists are cut, and what hangs twice is left out once
+    rng = np.random.default_rng(5)
+    edges = [(i, i - 1) for i in range(1, 14)] + [(i, int(rng.integers(10, 14))) for i in range(100, 160)] + [(3, 1000 + i) for i in range(40)] + [(9, 1000 + i) for i in range(0, 40, 3)] + [(i, 1000 + i % 40) for i in range(100, 160, 2)]
+    up, want = {}, {}
+    for c, p in edges:
+        up.setdefault(c, set()).add(p)
+    for v in up:
+        level, d = {v}, 0
+        while level:
+            level, d = {p for u in level for p in up.get(u, ()) if (v, p) not in want}, d + 1
+            want |= {(v, p): d for p in level}
+    for tile in (1, 7, 2048):
+        got = governance.ancestors(spark, spark.createDataFrame(edges, "child_artifact_id long, parent_artifact_id long"), stretch=3, tile=tile).collect()
+        assert len(got) == len(want) and {(r[0], r[1]): r[2] for r in got} == want
+
+
 def test_weights_need_no_grid(spark):
     from tidemark.operators import portfolio
 

@@ -139,14 +139,15 @@ def trace(candidates: DataFrame, reports: DataFrame, events: DataFrame, lineage:
     )
 
 
-def _forest(spark: SparkSession, own: DataFrame, stretch: int) -> DataFrame | None:
+def _forest(spark: SparkSession, own: DataFrame, stretch: int, tile: int) -> DataFrame | None:
     """Ancestors where each node has at most one parent with parents; None if there is a cycle.
 
     Heights cut every path at multiples of ``stretch``. A node has the rest of its own stretch as rows, and the bottom of
-    each whole stretch above it; what a bottom reaches within its stretch is kept once for all nodes below. So what is
-    shuffled grows with nodes times stretch and with nodes times stretches, and pairs are made by the last join alone.
-    Parents without parents hang on the paths; one that hangs on several stretches of a path is taken from the nearest,
-    by lists of what is to be left out beside the stretch.
+    each whole stretch above it; what a bottom reaches within its stretch is kept once for all nodes below. Nodes with the
+    same first bottom are lists of about ``tile``, and so is what a bottom reaches: a pair of lists is one row until tasks
+    unfold it, and what is shuffled are lists. Unfolded pairs repeat the second list for each node of the first, in order
+    of depth, which files keep in a fraction of a byte. Parents without parents hang on the paths; one that hangs on
+    several stretches of a path is taken from the nearest: it is left out of the second list, or of that of a single node.
     """
     root, made = workspace(spark, "lineage"), itertools.count()
     col = F.col
@@ -187,31 +188,47 @@ def _forest(spark: SparkSession, own: DataFrame, stretch: int) -> DataFrame | No
     within = put(hang(near.select("v", "a", "d").unionByName(self_(up))))
     result = near.select("v", col("a").alias("t"), "d").unionByName(within)
 
-    tops = near.where("d = k").select("v", "a", "k").unionByName(up.where("k = 0").select("v", col("v").alias("a"), "k"))
+    def dealt(df: DataFrame, by: str, item: str, to: str) -> DataFrame:
+        """The rows of each ``by`` dealt to lists of about ``tile``, numbered by ``to``."""
+        return df.join(df.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / tile).alias("_n")), by).withColumn(to, F.pmod(F.xxhash64(item), col("_n"))).drop("_n")
+
+    tops = put(near.where("d = k").select("v", "a", "k").unionByName(up.where("k = 0").select("v", col("v").alias("a"), "k")))
     first = put(tops.join(up.where("p is not null").select(col("v").alias("a"), col("p").alias("b")), "a").select("v", "b", (col("k") + 1).alias("d")))
     if not first.isEmpty():
+        first = put(dealt(first, "b", "v", "g"))
         bottoms = put(first.select(col("b").alias("v")).distinct())
         chain = paths(first.join(bottoms, "v", "left_semi").select("v", col("b").alias("a"), F.lit(1).alias("d")), most)
         chain = put(chain.unionByName(self_(bottoms)).select(col("v").alias("b"), col("a").alias("w"), (col("d") * stretch).alias("e")))
         cover = put(near.select("v", "a", "d").join(bottoms, "v", "left_semi").unionByName(self_(bottoms)))
         hung = put(hang(cover).select(col("v").alias("w"), "t", col("d").alias("q")))
-        reached = hung.withColumn("hangs", F.lit(True)).unionByName(cover.select(col("v").alias("w"), col("a").alias("t"), col("d").alias("q"), F.lit(False).alias("hangs")))
-        stretches = put(first.join(chain, "b").select("v", "b", "w", (col("d") + col("e")).alias("e")))
-        # what hangs on a nearer stretch: among the whole ones, and on the node's own
-        shared = hung.join(hung.groupBy("t").count().where("count > 1"), "t", "left_semi")
+        reached = hung.unionByName(cover.select(col("v").alias("w"), col("a").alias("t"), col("d").alias("q")))
+        # what hangs on a nearer stretch: among the whole ones (_x), and on the node's own (_y)
+        several = put(outer.join(tops.select(col("v").alias("a"), col("a").alias("_s")), "a").groupBy("t").agg(F.min("_s").alias("_l"), F.max("_s").alias("_m")).where("_l != _m").select("t"))
+        shared = hung.join(several, "t", "left_semi")
         nearest = Window.partitionBy("b", "t").orderBy("e")
         out = chain.join(shared, "w").withColumn("_n", F.row_number().over(nearest)).where("_n > 1").groupBy("b", "w").agg(F.collect_set("t").alias("_x"))
-        own_out = within.select("v", "t").join(hung.select("w", "t"), "t").join(stretches.select("v", "w"), ["v", "w"]).groupBy("v", "w").agg(F.collect_set("t").alias("_y"))
-        parts = 16
-        left = stretches.join(out, ["b", "w"], "left").join(own_out, ["v", "w"], "left").withColumn("_s", F.pmod(F.xxhash64("v"), F.lit(parts)).cast("int"))
-        right = reached.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-        gone = lambda c: F.coalesce(F.array_contains(c, col("t")), F.lit(False))
-        pairs = left.join(right, ["w", "_s"]).where(~(col("hangs") & (gone("_x") | gone("_y"))))
-        result = result.unionByName(pairs.select("v", "t", (col("e") + col("q")).alias("d")))
+        spans = put(chain.join(out, ["b", "w"], "left"))
+        own_out = within.select("v", "t").join(several, "t", "left_semi").join(shared.select("w", "t"), "t").join(first, "v").join(chain.select("b", "w"), ["b", "w"])
+        odd = put(own_out.groupBy("b", "g", "w", "v", "d").agg(F.collect_set("t").alias("_y")))
+
+        below = first.groupBy("b", "g").agg(F.array_sort(F.collect_list(F.struct("d", "v"))).alias("vs"))
+        above = dealt(reached, "w", "t", "c").groupBy("w", "c").agg(F.array_sort(F.collect_list(F.struct("q", "t"))).alias("ts"))
+        aside = odd.groupBy("b", "g", "w").agg(F.collect_list("v").alias("_odd"))
+        many = spans.join(first.select("b", "g").distinct(), "b").join(aside, ["b", "g", "w"], "left").join(below, ["b", "g"])
+        single = odd.join(spans, ["b", "w"]).withColumn("_x", F.array_union(F.coalesce("_x", F.array()), "_y")).withColumn("vs", F.array(F.struct("d", "v")))
+        tiles = many.unionByName(single.drop("v", "d", "_y"), allowMissingColumns=True).join(above, "w")
+        pairs = chain.join(first.groupBy("b").agg(F.count(F.lit(1)).alias("_b")), "b").join(reached.groupBy("w").agg(F.count(F.lit(1)).alias("_w")), "w").agg(F.sum(col("_b") * col("_w"))).first()[0]
+        # a task unfolds some 8 million pairs; the filter within the first inline lets rows go on one by one, where the
+        # compiled form would hold all pairs of a row
+        tiles = tiles.repartition(max(spark.sparkContext.defaultParallelism, pairs >> 23), "b", "g", "w", "c")
+        inside = lambda c, x: F.coalesce(F.array_contains(c, x), F.lit(False))
+        ts = F.when(col("_x").isNull(), col("ts")).otherwise(F.filter("ts", lambda x: ~inside(col("_x"), x["t"])))
+        nodes_of = tiles.select("e", ts.alias("ts"), F.inline(F.filter("vs", lambda x: ~inside(col("_odd"), x["v"]))))
+        result = result.unionByName(nodes_of.select("v", (col("e") + col("d")).alias("e"), F.inline("ts")).select("v", "t", (col("e") + col("q")).alias("d")))
     return result.select(col("v").alias("artifact_id"), col("t").alias("ancestor_id"), col("d").cast("int").alias("depth"))
 
 
-def ancestors(spark: SparkSession, edges: DataFrame, stretch: int = 256) -> DataFrame:
+def ancestors(spark: SparkSession, edges: DataFrame, stretch: int = 256, tile: int = 2048) -> DataFrame:
     """artifact_id, ancestor_id, depth over all edges: each ancestor once, at its least depth.
 
     Where no node has two parents that have parents themselves, and nothing is its own ancestor, those parents form a
@@ -222,7 +239,7 @@ def ancestors(spark: SparkSession, edges: DataFrame, stretch: int = 256) -> Data
     pair = ["artifact_id", "ancestor_id"]
     own = edges.select(F.col("child_artifact_id").alias("artifact_id"), F.col("parent_artifact_id").alias("ancestor_id")).where("artifact_id is not null and ancestor_id is not null").distinct()
     if own.join(own.select(F.col("artifact_id").alias("ancestor_id")).distinct(), "ancestor_id", "left_semi").groupBy("artifact_id").count().where("count > 1").isEmpty():
-        found = _forest(spark, own, stretch)
+        found = _forest(spark, own, stretch, tile)
         if found is not None:
             return found
     root, schema = workspace(spark, "lineage"), own.withColumn("depth", F.lit(1)).schema
